@@ -1,0 +1 @@
+"""spanweave.streaming"""
