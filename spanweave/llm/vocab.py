@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAD_LIMIT = 3_000_000
+HEAD_LIMIT = 1_000_000
 
 
 def head_threshold(vocab: DataFrame, head_limit: int = HEAD_LIMIT) -> int:
