@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from spanweave.llm import op06_token_counts
+from spanweave.llm import (
+    op03_decontaminate,
+    op06_token_counts,
+    op07_pseudonyms,
+    op08_quality,
+    op10_sharding,
+)
 
-_MODULES = [op06_token_counts]
+_MODULES = [op03_decontaminate, op06_token_counts, op07_pseudonyms, op08_quality, op10_sharding]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
