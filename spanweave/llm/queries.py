@@ -8,10 +8,11 @@ from spanweave.llm import (
     op06_token_counts,
     op07_pseudonyms,
     op08_quality,
+    op09_sentencepiece,
     op10_sharding,
 )
 
-_MODULES = [op03_decontaminate, op04_jaccard_join, op06_token_counts, op07_pseudonyms, op08_quality, op10_sharding]
+_MODULES = [op03_decontaminate, op04_jaccard_join, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
