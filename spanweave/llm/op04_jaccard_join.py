@@ -12,11 +12,12 @@ so the space is first cut without loss by shared rare shingles, then by pivots:
 2. A region takes pivots; every member's distance to each of them is computed exactly. A member
    belongs to the Voronoi cell of its nearest pivot and is replicated to cells whose pivot is
    at most 2 * 0.2 farther, so that linked members always meet in a cell. Members at 0.8 or more
-   from all pivots form a cell of their own. Members within 0.2 of a pivot are linked by it;
-   of them a cell keeps those that can still reach a member outside that ball.
+   from all pivots form a cell of their own. Members within 0.2 of a pivot are linked by it; of
+   those linked already a cell keeps what can still reach (by the pivot distances) a member of another component.
 3. Cells are joined in the same way again, with new pivots, until they are small and compared
    directly. Regions up to ``REGION_SETS`` sets do so inside one task, larger ones by rounds of
-   salted, distributed jobs. What does not shrink in ``MAX_ROUNDS`` rounds is joined by pairs of blocks.
+   salted, distributed jobs. What cells would not
+   make cheaper, or not in ``MAX_ROUNDS`` rounds, is joined by pairs of blocks.
 
 Texts move once, and only those of outer regions with two sets or more. The bucket counts steer
 speed only; the result does not depend on them.
@@ -185,54 +186,104 @@ def cells_of(d: np.ndarray) -> list[int]:
     return out
 
 
-def _compare(sets: list[np.ndarray], members: list[int], out: list) -> None:
-    """All linked pairs among a few sets."""
+class Links:
+    """Links found so far among numbered sets, as a union-find forest."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.pairs: list[tuple[int, int]] = []
+
+    def find(self, a: int) -> int:
+        while self.root[a] != a:
+            self.root[a] = self.root[self.root[a]]
+            a = self.root[a]
+        return a
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+            self.pairs.append((a, b))
+
+    def apart(self, members: list[int]) -> set[int]:
+        """The members outside the component that most of them are in."""
+        roots = [self.find(m) for m in members]
+        most = max(set(roots), key=roots.count) if len(set(roots)) < 50 else np.bincount(roots).argmax()
+        return {m for m, r in zip(members, roots) if r != most}
+
+
+def compare(sets: list[np.ndarray], members: list[int], links: Links) -> None:
+    """Add the links among some sets. Shared shingles are counted over an inverted index: common
+    shingles by a matrix product, the others by the pairs of their few owners."""
     size = np.array([len(sets[m]) for m in members])
+    n = len(members)
     token = np.concatenate([sets[m] for m in members])
-    row = np.repeat(np.arange(len(members)), size)
+    row = np.repeat(np.arange(n), size)
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
-    same = token[1:] == token[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    ids = np.cumsum(np.concatenate([[True], ~same]))[keep]
-    row = row[keep]
-    both = np.zeros((len(members), len(members)), np.float64)
-    if len(ids):
-        ids = np.unique(ids, return_inverse=True)[1]
-        step = 1 << 16
-        edges = np.searchsorted(ids, np.arange(0, ids[-1] + step + 1, step))
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            m = np.zeros((len(members), min(step, ids[-1] + 1 - k * step)), np.float32)
-            m[row[a:b], ids[a:b] - k * step] = 1
-            both += m @ m.T
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    start, owners = edges[:-1], np.diff(edges)
+    both = np.zeros(n * n)
+    common = max(8, n // 8)
+    for k in np.unique(owners[(owners > 1) & (owners < common)]).tolist():
+        at = start[owners == k]
+        for i in range(0, len(at), max(1, 2_000_000 // (k * k))):
+            rows = row[at[i : i + max(1, 2_000_000 // (k * k)), None] + np.arange(k)]
+            both += np.bincount((rows[:, :, None] * n + rows[:, None, :]).ravel(), minlength=n * n)
+    both = both.reshape(n, n)
+    often = np.flatnonzero(owners >= common)
+    step = max(256, 4_000_000 // n)
+    for i in range(0, len(often), step):
+        part = often[i : i + step]
+        m = np.zeros((n, len(part)), np.float32)
+        m[row[_ranges(start[part], owners[part])], np.repeat(np.arange(len(part)), owners[part])] = 1
+        both += m @ m.T
     hit = np.triu(linked(np.rint(both).astype(np.int64), size[:, None], size[None, :]), 1)
-    out.extend((members[a], members[b]) for a, b in zip(*np.nonzero(hit)))
-
-
-def region_links(sets: list[np.ndarray], members: list[int] | None = None, out: list | None = None) -> list[tuple[int, int]]:
-    """Links of a region that connect all its linked sets; recursive over pivots and cells."""
-    members = list(range(len(sets))) if members is None else members
-    out = [] if out is None else out
-    if len(members) <= LEAF:
-        if len(members) > 1:
-            _compare(sets, members, out)
-        return out
-    chosen = set(members[:: max(1, len(members) // 8)][:8])
-    pivots = sorted(chosen)
-    at = Pivots([sets[p] for p in pivots])
-    cells: dict[int, list[tuple[float, bool, int]]] = {}
-    for m in members:
-        link, d = at.to(sets[m])
-        out.extend((m, pivots[k]) for k in np.flatnonzero(link).tolist() if pivots[k] != m)
-        if m not in chosen:
-            for c in cells_of(d):
-                cells.setdefault(c, []).append((d[c] if c >= 0 else 1.0, bool(link[c]) if c >= 0 else False, m))
-    for c, rows in cells.items():
-        outside = [d for d, link, _ in rows if not link]
-        if outside:
-            reach = min(outside) - 0.2 - 1e-9
-            region_links(sets, [m for d, link, m in rows if not link or d >= reach], out)
-    return out
+    for a, b in zip(*(x.tolist() for x in np.nonzero(hit))):
+        links.add(members[a], members[b])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a region that connect all its linked sets, by pivots and cells in turn. What one
+    component holds needs no more comparison within it; a region that its cells would not make
+    cheaper is compared directly."""
+    links = Links(len(sets))
+    stack = [list(range(len(sets)))]
+    while stack:
+        members = stack.pop()
+        if len(members) < 2 or not links.apart(members):
+            continue
+        if len(members) <= LEAF:
+            compare(sets, members, links)
+            continue
+        pivots = members[:: max(1, len(members) // 8)][:8]
+        at = Pivots([sets[p] for p in pivots])
+        near: dict[int, list[tuple[float, int]]] = {}
+        for m in members:
+            link, d = at.to(sets[m])
+            for k in np.flatnonzero(link).tolist():
+                links.add(m, pivots[k])
+            if m not in pivots:
+                for c in cells_of(d):
+                    near.setdefault(c, []).append((float(d[c]) if c >= 0 else 1.0, m))
+        others = links.apart(members)
+        cells, cost = [], 0
+        for rows in near.values():
+            away = links.apart([m for _, m in rows])
+            if away:
+                low, high = min(d for d, m in rows if m in away), max(d for d, m in rows if m in away)
+                cells.append([m for d, m in rows if low - 0.2 - 1e-9 <= d <= high + 0.2 + 1e-9])
+                cost += len(cells[-1]) ** 2
+        if 2 * cost < len(members) ** 2:
+            stack.extend(cells)
+        elif others:
+            compare(sets, members, links)
+    return links.pairs
 
 
 def _stars(ids: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,29 +348,25 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in _runs(batches, 3):
         ids, first = np.unique(run.column("cid").to_numpy(), return_index=True)
-        links: list = []
-        _compare(_decode(run.column("shingles").take(pa.array(first))), list(range(len(ids))), links)
-        node, root = _stars(ids, links)
+        links = Links(len(ids))
+        compare(_decode(run.column("shingles").take(pa.array(first))), list(range(len(ids))), links)
+        node, root = _stars(ids, links.pairs)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["src", "dst"])
 
 
 def _split_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by region, salt, kind (pivots first). Emits links to pivots (region null) and
-    members routed to cells: region, pivot of the cell, cid, distance, within the ball, shingles."""
-    names = ["region", "pivot", "cid", "d", "ball", "shingles"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.binary()]
-    for run in _runs_streamed(batches):
-        pivots, ids, rows = run
+    the cells of the other members: region, pivot of the cell, cid, distance."""
+    names = ["region", "pivot", "cid", "d"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    for pivots, ids, rows in _runs_streamed(batches):
         out: list = []
         for region, cid, raw in rows:
-            s = np.frombuffer(raw, np.uint64)
-            link, d = pivots.to(s)
-            is_pivot = cid in ids
-            out.extend((None, ids[k], cid, 0.0, True, None) for k in np.flatnonzero(link).tolist() if ids[k] != cid)
-            if not is_pivot:
-                for c in cells_of(d):
-                    out.append((region, ids[c] if c >= 0 else -1, cid, float(d[c]) if c >= 0 else 1.0, bool(link[c]) if c >= 0 else False, raw))
-        columns = list(zip(*out)) or [[]] * 6
+            link, d = pivots.to(np.frombuffer(raw, np.uint64))
+            out.extend((None, ids[k], cid, 0.0) for k in np.flatnonzero(link).tolist() if ids[k] != cid)
+            if cid not in ids:
+                out.extend((region, ids[c] if c >= 0 else -1, cid, float(d[c]) if c >= 0 else 1.0) for c in cells_of(d))
+        columns = list(zip(*out)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
@@ -347,7 +394,7 @@ def _runs_streamed(batches):
 
 
 def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
-    """rows: region, cid, shingles of regions beyond one task. Returns tables of links (src, dst)."""
+    """rows: region, cid, shingles of all outer regions. Returns tables of links (src, dst)."""
     links = []
     for k in range(MAX_ROUNDS + 1):
         size = rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.length("shingles") / 8).alias("load"))
@@ -365,8 +412,8 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
         salts = F.ceil(F.col("sets") / SALT_SETS).cast("int")
         draw = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         lowest = rows.join(size, "region", "left_semi").groupBy("region").agg(F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid")).alias("p"))
-        big = big.join(lowest.select("region", F.col("p.cid").alias("lowest")), "region")
-        pivots = big.where((draw < F.lit(PIVOTS) / F.col("sets")) | (F.col("cid") == F.col("lowest"))).select(
+        chosen = big.join(lowest.select("region", F.col("p.cid").alias("lowest")), "region")
+        pivots = chosen.where((draw < F.lit(PIVOTS) / F.col("sets")) | (F.col("cid") == F.col("lowest"))).select(
             "region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "cid", "shingles"
         )
         members = big.select("region", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "cid", "shingles")
@@ -374,13 +421,31 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
             pivots.unionByName(members)
             .repartition("region", "salt")
             .sortWithinPartitions("region", "salt", "kind", "cid")
-            .mapInArrow(_split_regions, "region long, pivot long, cid long, d double, ball boolean, shingles binary")
+            .mapInArrow(_split_regions, "region long, pivot long, cid long, d double")
         )
         routed = tmp.save(routed, f"routed{k}")
-        links.append(routed.where("region is null").select(F.col("cid").alias("src"), F.col("pivot").alias("dst")))
-        cells = routed.where("region is not null").withColumn("region", F.xxhash64("region", "pivot", F.lit(k)))
-        reach = cells.where("not ball").groupBy("region").agg((F.min("d") - 0.2 - 1e-9).alias("reach"))
-        rows = tmp.save(cells.join(reach, "region").where("not ball or d >= reach").select("region", "cid", "shingles"), f"cells{k}")
+        found = routed.where("region is null").select(F.col("cid").alias("src"), F.col("pivot").alias("dst"))
+        links.append(found)
+        part = connected_components(found).select(F.col("node").alias("cid"), "component")
+        cells = routed.where("region is not null").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        # a cell needs those outside its largest component, and what they can reach in that one
+        count = cells.groupBy("region", "pivot", "component").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        most = count.groupBy("region", "pivot").agg(F.max(F.struct("n", "component")).alias("most"))
+        away = (
+            count.join(most, ["region", "pivot"])
+            .where("component <> most.component")
+            .groupBy("region", "pivot")
+            .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        )
+        cells = tmp.save(
+            cells.join(away, ["region", "pivot"]).where("d between low - 0.2000001 and high + 0.2000001").select("region", "pivot", "cid"), f"cells{k}"
+        )
+        cost = cells.groupBy("region", "pivot").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+        cost = tmp.save(size.join(cost, "region").select("region", "sets", (F.col("cost") * 2 > F.col("sets") * F.col("sets")).alias("stuck")), f"cost{k}")
+        stuck = rows.join(cost.where("stuck").select("region", "sets"), "region")
+        links.append(tmp.save(_by_blocks(stuck), f"blocks{k}"))
+        on = cells.join(cost.where("not stuck").select("region"), "region", "left_semi").join(rows, ["region", "cid"])
+        rows = tmp.save(on.select(F.xxhash64("region", "pivot", F.lit(k)).alias("region"), "cid", "shingles"), f"rows{k}")
     return links
 
 
