@@ -44,7 +44,15 @@ class Scratch:
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        # the table replaces the shuffles that led to it; their files would otherwise stay on the
+        # executors' disks until the driver's garbage collector finds them
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, "false")
+        self.spark.conf.set(cleanup, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
