@@ -9,6 +9,7 @@ so the space is first cut without loss by shared rare shingles, then by pivots:
    n - ceil(0.8 n) + 1. Sets with such a shingle in common and sizes within 0.8, taken in order of
    size, are chained; the connected components of these chains are the outer regions, and
    no link crosses two of them.
+   Outer regions beyond one task are cut once more with exact counts.
 2. A region takes pivots; every member's distance to each of them is computed exactly. A member
    belongs to the Voronoi cell of its nearest pivot and is replicated to cells whose pivot is
    at most 2 * 0.2 farther, so that linked members always meet in a cell. Members at 0.8 or more
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm import sql
@@ -405,6 +406,9 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
         size = size.where(~fits)
         if not size.limit(1).count():
             break
+        if k == 0:
+            rows = tmp.save(_recut(tmp, rows.join(size, "region", "left_semi")), "recut")
+            continue
         big = rows.join(size, "region")
         if k == MAX_ROUNDS:
             links.append(tmp.save(_by_blocks(big), "blocks"))
@@ -449,6 +453,37 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
     return links
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """region, cid, shingles -> token (of the region), cid, n."""
+    for batch in batches:
+        region, cid = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        for i, raw in enumerate(batch.column(2).to_pylist()):
+            token = np.frombuffer(raw, np.uint64) ^ mix(region[i : i + 1])
+            n = len(token)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.full(n, cid[i])), pa.array(np.full(n, n, np.int32))], ["token", "cid", "n"])
+
+
+def _recut(tmp: Scratch, rows: DataFrame) -> DataFrame:
+    """Cut regions once more by shared rare shingles, now rare by their exact count in the region.
+    A set whose own shingles fill its prefix links with nothing and leaves."""
+    entries = rows.select("region", "cid", "shingles").mapInArrow(_entries, "token long, cid long, n int")
+    counts = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = tmp.save(entries.join(counts, "token"), "shared")
+    own = shared.groupBy("cid").agg((F.first("n") - F.count("*")).alias("alone"))
+    need = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("alone")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("c", "token"))
+    first = shared.join(own, "cid").withColumn("need", need).where("need > 0").withColumn("rank", rank).where("rank <= need")
+    chains = (
+        first.select("token", "n", "cid")
+        .repartition("token")
+        .sortWithinPartitions("token", "n", "cid")
+        .mapInArrow(_chains, "src long, dst long")
+        .distinct()
+    )
+    part = connected_components(tmp.save(chains, "rechains")).select(F.col("node").alias("cid"), F.col("component").alias("part"))
+    return rows.join(part, "cid").select(F.xxhash64("region", "part").alias("region"), "cid", "shingles")
+
+
 def _in_tasks(rows: DataFrame) -> DataFrame:
     return rows.select("region", "cid", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions, "src long, dst long")
 
