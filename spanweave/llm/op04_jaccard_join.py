@@ -309,7 +309,7 @@ def _texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask), pa.array(raw, pa.binary())], ["region", "cid", "shingles"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows with equal first ``keys`` columns, from batches in which they are consecutive."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -339,7 +339,7 @@ def _decode(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small regions: links as stars."""
-    for run in _runs(batches, 1):
+    for run in runs(batches, 1):
         ids, first = np.unique(run.column("cid").to_numpy(), return_index=True)
         sets = _decode(run.column("shingles").take(pa.array(first)))
         node, root = _stars(ids, region_links(sets))
@@ -347,7 +347,7 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in _runs(batches, 3):
+    for run in runs(batches, 3):
         ids, first = np.unique(run.column("cid").to_numpy(), return_index=True)
         links = Links(len(ids))
         compare(_decode(run.column("shingles").take(pa.array(first))), list(range(len(ids))), links)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from spanweave.llm import (
+    op01_revisits,
+    op02_embedding_dedup,
     op03_decontaminate,
     op04_jaccard_join,
     op05_lm_score,
@@ -13,7 +15,7 @@ from spanweave.llm import (
     op10_sharding,
 )
 
-_MODULES = [op03_decontaminate, op04_jaccard_join, op05_lm_score, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding]
+_MODULES = [op01_revisits, op02_embedding_dedup, op03_decontaminate, op04_jaccard_join, op05_lm_score, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
