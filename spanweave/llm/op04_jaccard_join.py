@@ -6,10 +6,10 @@ so the space is first cut without loss by shared rare shingles, then by pivots:
 
 1. Equal shingle sets form one class. Under one order of all shingles (by their corpus count in
    hashed buckets where that is high, then by hash) two sets within 0.2 share one of the first
-   n - ceil(0.8 n) + 1. Sets with such a shingle in common and sizes within 0.8, taken in order of
-   size, are chained; the connected components of these chains are the outer regions, and
-   no link crosses two of them.
-   Outer regions beyond one task are cut once more with exact counts.
+   n - ceil(0.8 n) + 1. Sets with such a shingle in common and sizes within 0.8 are candidates; parity
+   sketches, whose difference is a lower bound of the sets', rule most of them out for certain. Where very
+   many sets share a shingle, neighbours in order of size are chained without that test. The connected components
+   are the outer regions, and no link crosses two of them.
 2. A region takes pivots; every member's distance to each of them is computed exactly. A member
    belongs to the Voronoi cell of its nearest pivot and is replicated to cells whose pivot is
    at most 2 * 0.2 farther, so that linked members always meet in a cell. Members at 0.8 or more
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import sql
@@ -48,6 +48,8 @@ REGION_SETS = 400
 REGION_SHINGLES = 1_500_000
 PIVOTS = 24
 LEAF = 32
+#: Rows of one shingle up to which all its pairs are tested.
+CELL = 32
 MAX_ROUNDS = 10
 BLOCK = 200
 #: Sets of one region that one task compares with the pivots, about.
@@ -61,6 +63,23 @@ def _signature(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return (a[ends[1:]] - a[ends[:-1]]).view(np.int64), (b[ends[1:]] - b[ends[:-1]]).view(np.int64)
 
 
+def _parity_sketch(hashes: np.ndarray) -> bytes:
+    """One bit for each of about n cells of the hash space: whether it holds an odd number of elements."""
+    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    cell = ((hashes >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_cells(a: bytes, b: bytes) -> int:
+    """Cells that differ between two sketches, the larger folded to the smaller's size. Each element that only one set
+    has changes one cell, so this is a lower bound of the symmetric difference."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -69,7 +88,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: doc_id, set size and signature of each text. kind 1: shingle buckets (in n) that
     hold clearly more than their share of this task's distinct sets, and their counts (in s1)."""
     counts, seen, total = np.zeros(1 << BUCKET_BITS, np.int32), set(), 0
-    names = ["kind", "doc_id", "n", "s1", "s2"]
+    names = ["kind", "doc_id", "n", "s1", "s2", "sketch"]
     for batch in batches:
         ids = batch.column(0)
         for i, j, data, offs in text_chunks(batch.column(1)):
@@ -84,13 +103,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts, _bucket(first), 1)
             total += len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(np.diff(ends)), pa.array(s1), pa.array(s2)], names
+                [pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(np.diff(ends)), pa.array(s1), pa.array(s2),
+                 pa.array([_parity_sketch(hashes[a:b]) if new[d] else None for d, (a, b) in enumerate(zip(ends[:-1], ends[1:]))], pa.binary())], names
             )
     mean = total / len(counts)
     heavy = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 4)
     k = len(heavy)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(heavy), pa.array(counts[heavy].astype(np.int64)), pa.nulls(k, pa.int64())], names
+        [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(heavy), pa.array(counts[heavy].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names
     )
 
 
@@ -135,14 +155,60 @@ def _prefixes(heavy):
     return run
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in rows ordered by (token, n, s1) that share the token and whose sizes allow a link."""
-    token, size, key = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by (token, n, s1) -> pairs that share a token and whose sizes allow a link: all of them in cells
+    of up to ``CELL`` rows (sure false), neighbours in order of size in larger ones (sure true)."""
+    token, size, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    long_token = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            token, size, key = (np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate((token, size, key)))
+        if not len(token):
+            continue
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        start, rows = edges[:-1], np.diff(edges)
+        done = np.ones(len(start), bool)
+        large = rows > CELL
+        if long_token is not None and token[0] == long_token:
+            large[0] = True
+        if batch is not None and not large[-1]:
+            done[-1] = False  # may go on in the next batch
+        src, dst, sure = [], [], []
+        for k in np.unique(rows[done & ~large & (rows > 1)]).tolist():
+            at = start[done & ~large & (rows == k)][:, None] + np.arange(k)
+            i, j = np.triu_indices(k, 1)
+            a, b = at[:, i].ravel(), at[:, j].ravel()
+            near = (5 * size[a] >= 4 * size[b]) & (key[a] != key[b])
+            src.append(np.minimum(key[a[near]], key[b[near]]))
+            dst.append(np.maximum(key[a[near]], key[b[near]]))
+            sure.append(np.zeros(int(near.sum()), bool))
+        for c in np.flatnonzero(large).tolist():
+            a = np.arange(start[c], start[c] + rows[c] - 1)
+            near = (5 * size[a] >= 4 * size[a + 1]) & (key[a] != key[a + 1])
+            src.append(np.minimum(key[a[near]], key[a[near] + 1]))
+            dst.append(np.maximum(key[a[near]], key[a[near] + 1]))
+            sure.append(np.ones(int(near.sum()), bool))
+        keep = start[-1] if not done[-1] else len(token) - 1  # of a large cell its last row goes on
+        long_token = token[-1] if large[-1] else None
+        token, size, key = token[keep:], size[keep:], key[keep:]
+        if src:
+            x, y, z = np.concatenate(src), np.concatenate(dst), np.concatenate(sure)
+            _, first = np.unique(mix(x.view(np.uint64)) * np.uint64(2) + mix(y.view(np.uint64)) * np.uint64(7) + z, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(z[first])], ["src", "dst", "sure"])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst, sizes and sketches of pairs -> those whose sketches do not rule a link out: linked sets differ in
+    (n + m) / 9 elements at most."""
     for batch in batches:
-        token, size, key = (np.concatenate([x[-1:], batch.column(c).to_numpy()]) for c, x in enumerate((token, size, key)))
-        near = (token[1:] == token[:-1]) & (key[1:] != key[:-1]) & (5 * size[:-1].astype(np.int64) >= 4 * size[1:])
-        pairs = np.unique(np.stack([key[:-1][near], key[1:][near]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["src", "dst"])
+        src, dst, n, m, a, b = (batch.column(c).to_pylist() for c in range(6))
+        keep = pa.array([9 * differing_cells(x, y) <= p + q for x, y, p, q in zip(a, b, n, m)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
 
 
 def linked(shared, a, b):
@@ -406,9 +472,6 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
         size = size.where(~fits)
         if not size.limit(1).count():
             break
-        if k == 0:
-            rows = tmp.save(_recut(tmp, rows.join(size, "region", "left_semi")), "recut")
-            continue
         big = rows.join(size, "region")
         if k == MAX_ROUNDS:
             links.append(tmp.save(_by_blocks(big), "blocks"))
@@ -453,37 +516,6 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
     return links
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """region, cid, shingles -> token (of the region), cid, n."""
-    for batch in batches:
-        region, cid = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        for i, raw in enumerate(batch.column(2).to_pylist()):
-            token = np.frombuffer(raw, np.uint64) ^ mix(region[i : i + 1])
-            n = len(token)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.full(n, cid[i])), pa.array(np.full(n, n, np.int32))], ["token", "cid", "n"])
-
-
-def _recut(tmp: Scratch, rows: DataFrame) -> DataFrame:
-    """Cut regions once more by shared rare shingles, now rare by their exact count in the region.
-    A set whose own shingles fill its prefix links with nothing and leaves."""
-    entries = rows.select("region", "cid", "shingles").mapInArrow(_entries, "token long, cid long, n int")
-    counts = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = tmp.save(entries.join(counts, "token"), "shared")
-    own = shared.groupBy("cid").agg((F.first("n") - F.count("*")).alias("alone"))
-    need = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("alone")
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy("c", "token"))
-    first = shared.join(own, "cid").withColumn("need", need).where("need > 0").withColumn("rank", rank).where("rank <= need")
-    chains = (
-        first.select("token", "n", "cid")
-        .repartition("token")
-        .sortWithinPartitions("token", "n", "cid")
-        .mapInArrow(_chains, "src long, dst long")
-        .distinct()
-    )
-    part = connected_components(tmp.save(chains, "rechains")).select(F.col("node").alias("cid"), F.col("component").alias("part"))
-    return rows.join(part, "cid").select(F.xxhash64("region", "part").alias("region"), "cid", "shingles")
-
-
 def _in_tasks(rows: DataFrame) -> DataFrame:
     return rows.select("region", "cid", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions, "src long, dst long")
 
@@ -505,22 +537,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tmp = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = tmp.save(rows.mapInArrow(_sign, "kind int, doc_id long, n long, s1 long, s2 long"), "signed", partition_by="kind")
+    signed = tmp.save(rows.mapInArrow(_sign, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary"), "signed", partition_by="kind")
     # at most 2**BUCKET_BITS rows
     heavy = signed.where("kind = 1").groupBy("n").agg(F.sum("s1").alias("c")).toPandas()
     heavy = spark.sparkContext.broadcast((heavy["n"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64)))
     own = signed.where("kind = 0")
-    classes = own.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = own.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
     classes = tmp.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    chains = (
+    pairs = (
         rows.select("text")
         .mapInArrow(_prefixes(heavy), "token long, n int, s1 long")
         .repartition("token")
         .sortWithinPartitions("token", "n", "s1")
-        .mapInArrow(_chains, "src long, dst long")
+        .mapInArrow(_candidates, "src long, dst long, sure boolean")
         .distinct()
     )
-    regions = connected_components(tmp.save(chains, "chains"))
+    pairs = tmp.save(pairs, "pairs")
+    side = classes.select("s1", "n", "sketch")
+    tested = (
+        pairs.where("not sure")
+        .join(side.withColumnsRenamed({"s1": "src", "n": "n1", "sketch": "k1"}), "src")
+        .join(side.withColumnsRenamed({"s1": "dst", "n": "n2", "sketch": "k2"}), "dst")
+        .select("src", "dst", "n1", "n2", "k1", "k2")
+        .mapInArrow(_plausible, "src long, dst long")
+    )
+    plausible = tmp.save(tested.unionByName(pairs.where("sure").select("src", "dst")), "plausible")
+    tmp.drop(pairs)
+    regions = connected_components(plausible)
     members = tmp.save(classes.join(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "s1"), "members")
     sets = members.join(rows, F.col("rep").eqNullSafe(F.col("doc_id"))).select("region", "cid", "n", "s1", "s2", "text")
     sets = tmp.save(sets.mapInArrow(_texts_to_sets, "region long, cid long, shingles binary"), "sets")
