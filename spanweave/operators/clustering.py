@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,16 +67,22 @@ def greedy_dedup(df: DataFrame, by: list[str], sides: int = 1, thr: float = 0.9)
     groups are components of overlapping rows."""
     names = [("chrom", "start", "end")] if sides == 1 else [("chrom1", "start1", "end1"), ("chrom2", "start2", "end2")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(pdf[e] - pdf[s] for _, s, e in names)
-        rows = pdf.assign(_t=-total).sort_values(["_t", *[c for n in names for c in n]]).drop(columns="_t").to_dict("records")
-        kept: list = []
-        for row in rows:
-            if not any(_covers(k, row, names) >= thr for k in kept):
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, []
+        for pdf in frames:
+            stays = []
+            for row in pdf.to_dict("records"):
+                if (key := tuple(row[c] for c in by)) != group:
+                    group, kept = key, []
+                stays.append(not any(_covers(k, row, names) >= thr for k in kept))
+                if stays[-1]:
+                    kept.append(row)
+            yield pdf[stays]
+
+    total = sum((F.col(e) - F.col(s) for _, s, e in names[1:]), F.col(names[0][2]) - F.col(names[0][1]))
+    order = [*by, F.desc("_t"), *[c for n in names for c in n]]
+    rows = df.withColumn("_t", total).repartition(*by).sortWithinPartitions(*order).drop("_t")
+    return rows.mapInPandas(run, df.schema)
 
 
 def grouped_components(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -2,5 +2,610 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from spanweave.functions import sequences as seq
+from spanweave.operators import clustering, intervals, model, ordered, pairs, stats
+from spanweave.operators.components import connected_components
+from spanweave.plans import views as v
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+def _shown(df, *more):
+    return df.select("chrom", F.col("start").alias("s"), F.col("end").alias("e"), *more)
+
+
+# --- interval algebra -------------------------------------------------------------------------
+
+
+@query(
+    "enrich_observed",
+    f"""WITH {v.IV}, {v.TGT}, {v.merged_sql("iv", "m")},
+c AS (SELECT t.name, t.s, t.e, t.chrom, coalesce(sum(CASE WHEN m.s IS NULL THEN 0 ELSE least(t.e, m.e) - greatest(t.s, m.s) END), 0) AS cov
+      FROM (SELECT *, row_number() OVER () AS id FROM tgt) t LEFT JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY t.id, t.name, t.s, t.e, t.chrom)
+SELECT name, CAST(sum(cov) AS BIGINT) AS covered, CAST(sum(e - s) AS BIGINT) AS total, round(sum(cov) / sum(e - s), 6) AS ratio, sum(cov) / sum(e - s) > 0.64 AS over_ratio
+FROM c GROUP BY name""",
+)
+def enrich_observed(spark, d):
+    done = intervals.coverage(v.targets(spark, d), v.intervals(spark, d))
+    ratio = F.sum("covered") / F.sum("length")
+    return done.groupBy("name").agg(F.sum("covered").alias("covered"), F.sum("length").alias("total"), F.round(ratio, 6).alias("ratio"), (ratio > 0.64).alias("over_ratio"))
+
+
+@query(
+    "make_windows",
+    f"WITH {v.IV}, {v.merged_sql('iv', 'm', 2)}, w AS (SELECT chrom, e, unnest(generate_series(s, e - 1, 20)) AS s0 FROM m) SELECT chrom, s0 AS s, least(s0 + 40, e) AS e FROM w",
+)
+def make_windows(spark, d):
+    return _shown(intervals.make_windows(intervals.merge_intervals(v.intervals(spark, d), max_gap=2).drop("n"), 40, 20))
+
+
+_JOIN = "FROM tgt a JOIN iv b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e"
+
+
+@query("iv_overlap", f"WITH {v.IV}, {v.TGT} SELECT a.chrom, a.s AS a_s, a.e AS a_e, a.name AS a_name, b.s AS b_s, b.e AS b_e, b.name AS b_name {_JOIN}")
+def iv_overlap(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d))
+    return j.select("chrom", F.col("start_a").alias("a_s"), F.col("end_a").alias("a_e"), F.col("name_a").alias("a_name"), F.col("start_b").alias("b_s"), F.col("end_b").alias("b_e"), F.col("name_b").alias("b_name"))
+
+
+@query("iv_overlap_clip", f"WITH {v.IV}, {v.TGT} SELECT a.chrom, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e {_JOIN}")
+def iv_overlap_clip(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d))
+    return j.select("chrom", F.greatest("start_a", "start_b").alias("s"), F.least("end_a", "end_b").alias("e"))
+
+
+@query("iv_contain", f"WITH {v.IV}, {v.TGT} SELECT a.chrom, a.s, a.e, b.s AS b_s, b.e AS b_e {_JOIN} AND b.s <= a.s AND a.e <= b.e")
+def iv_contain(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d), min_frac_a=1.0)
+    return j.select("chrom", F.col("start_a").alias("s"), F.col("end_a").alias("e"), F.col("start_b").alias("b_s"), F.col("end_b").alias("b_e"))
+
+
+_SELF = "FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND (least(a.e, b.e) - greatest(a.s, b.s)) >= 0.8 * (a.e - a.s) AND (least(a.e, b.e) - greatest(a.s, b.s)) >= 0.8 * (b.e - b.s)"
+
+
+@query("iv_reciprocal", f"WITH {v.IV} SELECT a.chrom, a.s, a.e, CAST(count(*) AS BIGINT) AS partners {_SELF} GROUP BY a.chrom, a.s, a.e")
+def iv_reciprocal(spark, d):
+    iv = v.intervals(spark, d)
+    j = intervals.overlap_join(iv, iv, min_frac_a=0.8, reciprocal=True)
+    return j.groupBy("chrom", F.col("start_a").alias("s"), F.col("end_a").alias("e")).agg(F.count("*").alias("partners"))
+
+
+@query("iv_closed", f"WITH {v.IV}, {v.TGT} SELECT a.chrom, a.s, CAST(count(*) AS BIGINT) AS n FROM tgt a JOIN iv b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e GROUP BY a.chrom, a.s")
+def iv_closed(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d), closed=True)
+    return j.groupBy("chrom", F.col("start_a").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("iv_semi", f"WITH {v.IV}, {v.TGT} SELECT chrom, s, e, name FROM tgt a WHERE EXISTS (SELECT 1 FROM iv b WHERE a.chrom = b.chrom AND a.s < b.e AND b.s < a.e)")
+def iv_semi(spark, d):
+    return _shown(intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d), "semi"), "name")
+
+
+@query("iv_anti", f"WITH {v.IV}, {v.TGT} SELECT chrom, s, e, name FROM tgt a WHERE NOT EXISTS (SELECT 1 FROM iv b WHERE a.chrom = b.chrom AND a.s < b.e AND b.s < a.e)")
+def iv_anti(spark, d):
+    return _shown(intervals.subtract(v.targets(spark, d), v.intervals(spark, d), whole=True), "name")
+
+
+@query("iv_left", f"WITH {v.IV}, {v.TGT} SELECT a.chrom, a.s, a.name, b.s AS b_s FROM tgt a LEFT JOIN iv b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e")
+def iv_left(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d), "left")
+    return j.select("chrom", F.col("start_a").alias("s"), F.col("name_a").alias("name"), F.col("start_b").alias("b_s"))
+
+
+@query(
+    "iv_subtract",
+    f"""WITH {v.IV}, {v.TGT}, {v.merged_sql("iv", "m")}, t AS (SELECT *, row_number() OVER () AS id FROM tgt),
+c AS (SELECT id, m.s, m.e FROM t JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e),
+b AS (SELECT id, s AS p FROM t UNION ALL SELECT id, e FROM c), x AS (SELECT id, e AS p FROM t UNION ALL SELECT id, s FROM c),
+f AS (SELECT b.id, b.p AS s, (SELECT min(x.p) FROM x WHERE x.id = b.id AND x.p > b.p) AS e FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = b.id AND c.s <= b.p AND b.p < c.e))
+SELECT t.chrom, f.s, f.e, t.name FROM f JOIN t USING (id) WHERE f.s < f.e AND f.s < t.e""",
+)
+def iv_subtract(spark, d):
+    return _shown(intervals.subtract(v.targets(spark, d), v.intervals(spark, d)), "name")
+
+
+@query("iv_merge", f"WITH {v.IV}, {v.merged_sql('iv', 'm')} SELECT chrom, s, e, CAST(n AS BIGINT) AS n FROM m")
+def iv_merge(spark, d):
+    return _shown(intervals.merge_intervals(v.intervals(spark, d)), "n")
+
+
+@query("iv_merge_gap", f"WITH {v.IV}, {v.merged_sql('iv', 'm', 3)} SELECT chrom, s, e, CAST(n AS BIGINT) AS n FROM m")
+def iv_merge_gap(spark, d):
+    return _shown(intervals.merge_intervals(v.intervals(spark, d), max_gap=3), "n")
+
+
+@query("iv_merge_collapse", f"WITH {v.IV}, {v.merged_sql('iv', 'm')} SELECT chrom, min(s) AS s, max(e) AS e, string_agg(name, ',' ORDER BY name) AS items FROM m_g GROUP BY chrom, isl")
+def iv_merge_collapse(spark, d):
+    return _shown(intervals.merge_intervals(v.intervals(spark, d), collect="name"), F.array_join("items", ",").alias("items"))
+
+
+@query(
+    "iv_coverage",
+    f"""WITH {v.IV}, {v.TGT}, {v.merged_sql("iv", "m")}, t AS (SELECT *, row_number() OVER () AS id FROM tgt),
+r AS (SELECT id, count(*) AS n FROM t JOIN iv b ON t.chrom = b.chrom AND t.s < b.e AND b.s < t.e GROUP BY id),
+c AS (SELECT id, sum(least(t.e, m.e) - greatest(t.s, m.s)) AS covered FROM t JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY id)
+SELECT chrom, s, e, name, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(coalesce(covered, 0) / (e - s), 6) AS fraction
+FROM t LEFT JOIN r USING (id) LEFT JOIN c USING (id)""",
+)
+def iv_coverage(spark, d):
+    return _shown(intervals.coverage(v.targets(spark, d), v.intervals(spark, d)), "name", "n", "covered", F.round("fraction", 6).alias("fraction"))
+
+
+@query("iv_union_width", f"WITH {v.IV}, c AS (SELECT chrom, s, e + 1 AS e FROM iv), {v.merged_sql('c', 'm')} SELECT chrom, CAST(sum(e - s) AS BIGINT) AS width FROM m GROUP BY chrom")
+def iv_union_width(spark, d):
+    return intervals.union_width(v.intervals(spark, d), closed=True)
+
+
+@query("group_hull", f"WITH {v.IV} SELECT chrom, name, min(s) AS s, max(e) AS e FROM iv GROUP BY chrom, name")
+def group_hull(spark, d):
+    h = intervals.group_hull(v.intervals(spark, d), ["chrom", "name"])
+    return h.select("chrom", "name", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+@query(
+    "expand_overhang",
+    f"""WITH {v.IV}, {v.TGT}, h AS (SELECT a.chrom, a.s, a.e, min(b.s) AS bs, max(b.e) AS be FROM (SELECT DISTINCT chrom, s, e FROM tgt) a JOIN iv b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e GROUP BY a.chrom, a.s, a.e)
+SELECT t.chrom, least(t.s, coalesce(bs, t.s)) AS s, greatest(t.e, coalesce(be, t.e)) AS e, name FROM tgt t LEFT JOIN h ON t.chrom = h.chrom AND t.s = h.s AND t.e = h.e""",
+)
+def expand_overhang(spark, d):
+    return _shown(intervals.expand_by_overhang(v.targets(spark, d), v.intervals(spark, d)), "name")
+
+
+@query("clamp", f"WITH {v.IV}, l AS (SELECT chrom, max(e) - 20 AS n FROM iv GROUP BY chrom) SELECT chrom, greatest(s, 1) AS s, least(e, n) AS e, name FROM iv JOIN l USING (chrom)")
+def clamp(spark, d):
+    iv = v.intervals(spark, d)
+    return _shown(intervals.clamp(iv, iv.groupBy("chrom").agg((F.max("end") - 20).alias("length"))), "name")
+
+
+@query(
+    "redistribute",
+    f"""WITH {v.IV}, {v.merged_sql("iv", "m", 2)}, w AS (SELECT chrom, e AS me, unnest(generate_series(s, e - 1, 20)) AS s0 FROM m),
+b AS (SELECT DISTINCT chrom, s0 AS s, least(s0 + 20, me) AS e FROM w),
+j AS (SELECT b.chrom, b.s, b.e, m.n / count(*) OVER (PARTITION BY m.chrom, m.s, m.e) AS value FROM b JOIN m ON b.chrom = m.chrom AND m.s <= b.s AND b.e <= m.e)
+SELECT chrom, s, e, round(value, 6) AS value FROM j""",
+)
+def redistribute(spark, d):
+    merged = intervals.merge_intervals(v.intervals(spark, d), max_gap=2).withColumnRenamed("n", "value")
+    base = intervals.make_windows(merged.drop("value"), 20, 20).distinct()
+    return _shown(intervals.redistribute(base, merged, "value"), F.round("value", 6).alias("value"))
+
+
+@query(
+    "grow_to_fixpoint",
+    f"""WITH {v.IV}, {v.TGT}, b AS (SELECT chrom, s, e, 1 AS w FROM tgt UNION ALL SELECT chrom, s, e, 0 FROM iv),
+p AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM p)
+SELECT chrom, min(s) AS s, max(e) AS e FROM g GROUP BY chrom, i HAVING max(w) = 1""",
+)
+def grow_to_fixpoint(spark, d):
+    return _shown(intervals.grow_to_fixpoint(v.targets(spark, d), v.intervals(spark, d)))
+
+
+@query(
+    "region_strings",
+    f"WITH {v.IV} SELECT DISTINCT concat(chrom, ':', s, '-', e) AS region, regexp_extract(concat(chrom, ':', s, '-', e), '^(.*):(\\d+)-(\\d+)$', 1) AS chrom, CAST(regexp_extract(concat(chrom, ':', s, '-', e), '^(.*):(\\d+)-(\\d+)$', 2) AS BIGINT) AS s FROM iv",
+)
+def region_strings(spark, d):
+    rows = v.intervals(spark, d).select(seq.format_region(F.col("chrom"), F.col("start"), F.col("end")).alias("region")).distinct()
+    return rows.withColumn("p", seq.parse_region(F.col("region"))).select("region", F.col("p.chrom").alias("chrom"), F.col("p.start").alias("s"))
+
+
+# --- pairs ------------------------------------------------------------------------------------
+
+_CANON = "CASE WHEN (chrom1, start1, end1) <= (chrom2, start2, end2) THEN {0}1 ELSE {0}2 END AS {0}1, CASE WHEN (chrom1, start1, end1) <= (chrom2, start2, end2) THEN {0}2 ELSE {0}1 END AS {0}2"
+
+
+@query("pair_canonical", f"WITH {v.PAIRS} SELECT DISTINCT {', '.join(_CANON.format(c) for c in ('chrom', 'start', 'end'))} FROM pr")
+def pair_canonical(spark, d):
+    return pairs.distinct_unordered(v.pairs(spark, d))
+
+
+@query("pair_sorted_fields", f"WITH {v.PAIRS} SELECT DISTINCT array_to_string(list_sort([chrom1, CAST(start1 AS VARCHAR), CAST(end1 AS VARCHAR), chrom2, CAST(start2 AS VARCHAR), CAST(end2 AS VARCHAR)]), '|') AS fields FROM pr")
+def pair_sorted_fields(spark, d):
+    return pairs.distinct_sorted_fields(v.pairs(spark, d))
+
+
+@query("pair_unpivot", f"WITH {v.PAIRS} SELECT chrom1 AS chrom, start1 AS s, end1 AS e FROM pr UNION ALL SELECT chrom2, start2, end2 FROM pr")
+def pair_unpivot(spark, d):
+    return _shown(pairs.unpivot_sides(v.pairs(spark, d)))
+
+
+_TOUCH = "(chrom1 = chrom2 AND start1 <= end2 AND start2 <= end1)"
+
+
+@query("pair_no_self_overlap", f"WITH {v.PAIRS} SELECT pair FROM pr WHERE NOT {_TOUCH}")
+def pair_no_self_overlap(spark, d):
+    return pairs.drop_self_overlaps(v.pairs(spark, d)).select("pair")
+
+
+@query("pair_threshold", f"WITH {v.PAIRS} SELECT pair FROM pr WHERE CASE WHEN {_TOUCH} THEN score > 0.6 ELSE score >= 0.1 END")
+def pair_threshold(spark, d):
+    return pairs.overlap_dependent_threshold(v.pairs(spark, d), "score").select("pair")
+
+
+_BOTH = "p.chrom1 = q.chrom{0} AND p.start1 < q.end{0} AND q.start{0} < p.end1 AND p.chrom2 = q.chrom{1} AND p.start2 < q.end{1} AND q.start{1} < p.end2"
+
+
+@query(
+    "pair_both_overlap",
+    f"WITH {v.PAIRS}, j AS (SELECT p.pair AS a, q.pair AS b FROM pr p JOIN pr q ON {_BOTH.format(1, 2)} UNION SELECT p.pair, q.pair FROM pr p JOIN pr q ON {_BOTH.format(2, 1)}) SELECT a AS pair_p, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY a",
+)
+def pair_both_overlap(spark, d):
+    p = v.pairs(spark, d)
+    return pairs.pair_overlap(p, p).groupBy("pair_p").agg(F.count("*").alias("n"))
+
+
+_RECIP = "(least(p.end{0}, q.end{1}) - greatest(p.start{0}, q.start{1})) >= 0.8 * greatest(p.end{0} - p.start{0}, q.end{1} - q.start{1})"
+
+
+@query(
+    "pair_known_anti",
+    f"""WITH {v.PAIRS}, k AS (SELECT * FROM pr WHERE score >= 0.5), n AS (SELECT * FROM pr WHERE score < 0.5),
+j AS (SELECT p.pair FROM n p JOIN k q ON {_BOTH.format(1, 2)} AND {_RECIP.format(1, 1)} AND {_RECIP.format(2, 2)} UNION SELECT p.pair FROM n p JOIN k q ON {_BOTH.format(2, 1)} AND {_RECIP.format(1, 2)} AND {_RECIP.format(2, 1)})
+SELECT pair FROM n WHERE pair NOT IN (SELECT pair FROM j)""",
+)
+def pair_known_anti(spark, d):
+    p = v.pairs(spark, d)
+    return pairs.drop_known(p.where("score < 0.5"), p.where("score >= 0.5")).select("pair")
+
+
+@query(
+    "pair_contained",
+    f"WITH {v.PAIRS} SELECT q.pair AS outer_pair, p.pair AS inner_pair FROM pr p JOIN pr q ON p.chrom1 = q.chrom1 AND p.chrom2 = q.chrom2 AND q.start1 <= p.start1 AND p.end1 <= q.end1 AND q.start2 <= p.start2 AND p.end2 <= q.end2 AND p.pair <> q.pair",
+)
+def pair_contained(spark, d):
+    return pairs.contained_pairs(v.pairs(spark, d)).select(F.col("outer").alias("outer_pair"), F.col("inner").alias("inner_pair"))
+
+
+@query("ambiguous_nulling", "SELECT l_partkey AS k, CASE WHEN count(*) = 1 THEN min(l_orderkey) END AS v FROM lineitem GROUP BY l_partkey")
+def ambiguous_nulling(spark, d):
+    rows = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("v"))
+    return pairs.null_ambiguous(rows, ["k"], ["v"])
+
+
+@query("last_per_key", "SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_per_key(spark, d):
+    rows = v.table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return pairs.last_per_key(rows, ["user_id"], "event_id").select("user_id", "event_type")
+
+
+@query("set_ops", "SELECT k, CAST(sum(u) AS BIGINT) AS times, max(o) AS in_orders, max(p) AS in_parts FROM (SELECT l_partkey AS k, 1 AS u, 0 AS o, 1 AS p FROM lineitem UNION ALL SELECT o_custkey, 1, 1, 0 FROM orders) GROUP BY k")
+def set_ops(spark, d):
+    a = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.lit(1).alias("u"), F.lit(0).alias("o"), F.lit(1).alias("p"))
+    b = v.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("u"), F.lit(1).alias("o"), F.lit(0).alias("p"))
+    return a.unionByName(b).groupBy("k").agg(F.sum("u").alias("times"), F.max("o").alias("in_orders"), F.max("p").alias("in_parts"))
+
+
+# --- statistics -------------------------------------------------------------------------------
+
+
+@query(
+    "entropy_norm",
+    """WITH c AS (SELECT l_partkey AS variant, l_returnflag AS g, count(*) AS c FROM lineitem GROUP BY 1, 2), s AS (SELECT variant, sum(c) AS n, sum(c * log2(c)) AS s, count(*) AS k FROM c GROUP BY 1)
+SELECT variant, round(CASE WHEN k < 2 OR round(log2(n) - s / n, 5) = 0 THEN 0 ELSE round(log2(n) - s / n, 5) / round(log2(k), 5) END, 5) AS entropy FROM s""",
+)
+def entropy_norm(spark, d):
+    return stats.normalized_entropy(v.genotypes(spark, d), ["variant"], "gt").select("variant", F.round("entropy", 5).alias("entropy"))
+
+
+@query("weighted_mean", "SELECT l_suppkey AS k, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS mean FROM lineitem GROUP BY 1")
+def weighted_mean(spark, d):
+    rows = v.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "k")
+    return stats.weighted_mean(rows, ["k"], "l_extendedprice", "l_quantity").select("k", F.round("mean", 4).alias("mean"))
+
+
+@query(
+    "win_similarity",
+    f"""WITH v AS (SELECT CAST(l_suppkey AS VARCHAR) AS c, l_orderkey // 1000 * 1000 AS ws, l_orderkey AS vs, l_orderkey + CAST(l_quantity AS BIGINT) AS ve, l_linenumber AS r, CAST(l_quantity AS BIGINT) AS a FROM lineitem),
+k AS (SELECT concat(c, '|', ws) AS chrom, vs AS s, ve + 1 AS e FROM v), {v.merged_sql("k", "m")}, u AS (SELECT chrom, sum(e - s) AS uniq FROM m GROUP BY chrom),
+z AS (SELECT c, ws, min(vs) AS lo, max(ve) AS hi, sum(greatest(r, a)) AS al FROM v GROUP BY c, ws),
+x AS (SELECT z.*, uniq, greatest(ws + 1000, hi) - least(ws, lo) + 1 - uniq AS ma FROM z JOIN u ON u.chrom = concat(c, '|', ws))
+SELECT c AS chrom, ws AS wstart, CAST(uniq AS BIGINT) AS uniq, CAST(ma AS BIGINT) AS match, round(ma / (ma + al), 6) AS sim FROM x""",
+)
+def win_similarity(spark, d):
+    t = v.table(spark, d, "lineitem")
+    start = F.floor(F.col("l_orderkey") / 1000) * 1000
+    rows = t.select(
+        F.col("l_suppkey").cast("string").alias("chrom"), start.alias("wstart"), (start + 1000).alias("wend"), F.col("l_orderkey").alias("vstart"),
+        (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("vend"), F.col("l_linenumber").alias("ref_len"), F.col("l_quantity").cast("long").alias("alt_len"),
+    )
+    return stats.window_similarity(rows).select("chrom", "wstart", "uniq", "match", F.round("sim", 6).alias("sim"))
+
+
+@query(
+    "trimmed_stats",
+    """WITH q AS (SELECT l_partkey AS k, quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem GROUP BY 1),
+t AS (SELECT l.l_partkey AS k, l.l_extendedprice AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem l JOIN q ON q.k = l.l_partkey WHERE l_extendedprice BETWEEN lo AND hi)
+SELECT q.k, CASE WHEN max(n) >= 2 THEN round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 6) END AS gini, CASE WHEN max(n) >= 2 THEN round(stddev_samp(x), 4) END AS sd FROM q LEFT JOIN t USING (k) GROUP BY q.k""",
+)
+def trimmed_stats(spark, d):
+    rows = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_extendedprice").alias("x"))
+    return stats.trimmed_stats(rows, ["k"], "x").select("k", F.round("gini", 6).alias("gini"), F.round("sd", 4).alias("sd"))
+
+
+@query("row_max", "SELECT l_partkey AS k, max(l_extendedprice) AS row_max FROM lineitem GROUP BY 1")
+def row_max(spark, d):
+    return stats.row_max(v.table(spark, d, "lineitem").withColumnRenamed("l_partkey", "k"), ["k"], "l_extendedprice")
+
+
+@query("class_pivot", "SELECT user_id, " + ", ".join(f"CAST(count(*) FILTER (WHERE event_type = '{c}') AS BIGINT) AS n_{c}" for c in ("click", "view", "purchase")) + " FROM events GROUP BY user_id")
+def class_pivot(spark, d):
+    return stats.class_counts(v.table(spark, d, "events"), ["user_id"], "event_type", ["click", "view", "purchase"])
+
+
+@query(
+    "bubble_score",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS poly, l_quantity / 10 AS polyrefine, l_tax * 50 AS simple, l_discount * 8 AS pathratio FROM lineitem),
+b AS (SELECT *, 2 / (1 + exp(-3 * (polyrefine / (1 + exp(-100 * (poly - 0.1))) - 3))) + 1 / (1 + exp(-3 * (simple - 3))) + CASE WHEN pathratio < 0.5 THEN 1 ELSE 0 END AS v FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS norm_bubble FROM b""",
+)
+def bubble_score(spark, d):
+    t = v.table(spark, d, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = t.select(*keys, F.col("l_discount").alias("poly"), (F.col("l_quantity") / 10).alias("polyrefine"), (F.col("l_tax") * 50).alias("simple"), (F.col("l_discount") * 8).alias("pathratio"))
+    return stats.bubble_score(rows).select(*keys, F.round("norm_bubble", 6).alias("norm_bubble"))
+
+
+@query("hap_freq", "SELECT l_suppkey AS k, l_returnflag AS hap, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey), 6) AS freq FROM lineitem GROUP BY 1, 2")
+def hap_freq(spark, d):
+    rows = v.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("hap"))
+    return stats.group_frequency(rows, ["k"], "hap").select("k", "hap", F.col("count").alias("n"), F.round("freq", 6).alias("freq"))
+
+
+@query(
+    "odds_ratio",
+    """WITH n AS (SELECT count(*) FILTER (WHERE e AND c) AS a, count(*) FILTER (WHERE e AND NOT c) AS b, count(*) FILTER (WHERE NOT e AND c) AS c, count(*) FILTER (WHERE NOT e AND NOT c) AS d FROM (SELECT l_quantity > 25 AS e, l_returnflag = 'R' AS c FROM lineitem))
+SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d, round(a * d / (b * c), 6) AS odds_ratio, round(exp(ln(a * d / (b * c)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS low FROM n""",
+)
+def odds_ratio(spark, d):
+    out = stats.odds_ratio(v.table(spark, d, "lineitem"), F.col("l_quantity") > 25, F.col("l_returnflag") == "R")
+    return out.select("a", "b", "c", "d", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("low", 6).alias("low"))
+
+
+# --- ordered rows -----------------------------------------------------------------------------
+
+_EV = "SELECT user_id, event_id, event_type FROM events"
+
+
+@query(
+    "islands_1d",
+    "WITH g AS (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 40 THEN 1 ELSE 0 END AS n FROM events) SELECT user_id, event_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS island FROM g",
+)
+def islands_1d(spark, d):
+    return ordered.islands_1d(v.table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 40)
+
+
+@query(
+    "run_lengths",
+    f"""WITH e AS ({_EV}), g AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM g) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, CAST(count(*) AS BIGINT) AS length, min(event_id) AS first FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+)
+def run_lengths(spark, d):
+    return ordered.run_lengths(v.table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type", 2)
+
+
+@query(
+    "consecutive_runs",
+    "WITH e AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS i FROM lineitem), g AS (SELECT k, i, i - row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM e) SELECT k, min(i) AS first, max(i) AS last, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY k, r",
+)
+def consecutive_runs(spark, d):
+    rows = v.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("i")).distinct()
+    return ordered.consecutive_runs(rows, ["k"], "i")
+
+
+@query("gaps_to_next", f"WITH {v.IV}, {v.merged_sql('iv', 'm')} SELECT chrom, s, e, lead(s) OVER (PARTITION BY chrom ORDER BY s, e) - e AS gap FROM m")
+def gaps_to_next(spark, d):
+    return _shown(ordered.gaps_to_next(intervals.merge_intervals(v.intervals(spark, d)), ["chrom"], "start", "end"), "gap")
+
+
+_SUP = "SELECT l_suppkey AS k, l_partkey AS node, CAST(sum(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2"
+
+
+def _support(spark, d):
+    return v.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("node")).agg(F.sum("l_quantity").cast("long").alias("w"))
+
+
+@query(
+    "cum_share",
+    f"WITH s AS ({_SUP}), c AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY w DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (PARTITION BY k) AS t FROM s) SELECT k, node, w FROM c WHERE coalesce(b, 0) <= 0.9 * t",
+)
+def cum_share(spark, d):
+    return ordered.cumulative_share(_support(spark, d), ["k"], "w", "node")
+
+
+@query("topk_support", f"WITH s AS ({_SUP}), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w DESC, node) AS rank FROM s) SELECT k, node, w, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def topk_support(spark, d):
+    return ordered.top_k(_support(spark, d), ["k"], "w", "node", 20)
+
+
+@query("equal_slices", "SELECT user_id, event_id, ntile(5) OVER (PARTITION BY user_id ORDER BY event_id) AS slice FROM events")
+def equal_slices(spark, d):
+    return ordered.equal_slices(v.table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 5)
+
+
+@query(
+    "asof_both",
+    f"""WITH {v.TGT}, p AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS chrom, l_orderkey AS pos FROM lineitem),
+x AS (SELECT t.chrom, t.s, t.e, t.name, (SELECT max(pos) FROM p WHERE p.chrom = t.chrom AND pos < t.s) AS l, (SELECT min(pos) FROM p WHERE p.chrom = t.chrom AND pos >= t.e) AS r FROM tgt t)
+SELECT chrom, s, e, name, l AS left_pos, r AS right_pos FROM x WHERE r - l <= 1000000""",
+)
+def asof_both(spark, d):
+    points = v.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("chrom"), F.col("l_orderkey").alias("pos")).distinct()
+    return _shown(ordered.asof_both(points, v.targets(spark, d)), "name", F.col("left").alias("left_pos"), F.col("right").alias("right_pos"))
+
+
+# --- paths ------------------------------------------------------------------------------------
+
+_ST = "st AS (SELECT conv_id AS path, turn AS ord, coalesce(string_split(text, ' ')[1], '') AS node, CAST(length(text) AS BIGINT) AS len, role FROM conversations)"
+
+
+@query("walk_positions", f"WITH {_ST}, n AS (SELECT node, min(len) AS len FROM st GROUP BY node) SELECT path, ord, CAST(sum(n.len) OVER w AS BIGINT) AS pos_e, CAST(sum(n.len) OVER w - n.len + 1 AS BIGINT) AS pos_s FROM st JOIN n USING (node) WINDOW w AS (PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING)")
+def walk_positions(spark, d):
+    st = v.steps(spark, d)
+    nodes = st.groupBy("node").agg(F.min("len").alias("len"))
+    return ordered.walk_positions(st.drop("len"), nodes, closed=True).select("path", "ord", "pos_e", "pos_s")
+
+
+@query("path_string", f"WITH {_ST} SELECT path, string_agg(node, '>' ORDER BY ord, node) AS string FROM st GROUP BY path")
+def path_string(spark, d):
+    return ordered.path_string(v.steps(spark, d), ["path"], "ord", "node", ">")
+
+
+@query("hap_string", f"WITH {_ST} SELECT path, string_agg(CASE WHEN role = 'user' THEN lower(upper(left(node, 1))) ELSE upper(left(node, 1)) END, '' ORDER BY ord) AS string FROM st GROUP BY path")
+def hap_string(spark, d):
+    st = v.steps(spark, d).withColumn("letter", F.upper(F.substring("node", 1, 1))).withColumn("strand", F.when(F.col("role") == "user", "-").otherwise("+"))
+    return ordered.haplotype_string(st, ["path"], "ord", "letter", "strand")
+
+
+@query(
+    "path_share",
+    f"WITH {_ST}, q AS (SELECT DISTINCT path, node FROM st WHERE path % 2 = 1), r AS (SELECT DISTINCT path AS ref_path, node, ord FROM st WHERE path % 2 = 0) SELECT path, min_by(ref_path, (ord, ref_path)) AS ref_path FROM q JOIN r USING (node) GROUP BY path",
+)
+def path_share(spark, d):
+    st = v.steps(spark, d)
+    return ordered.path_share(st.where("path % 2 = 1"), st.where("path % 2 = 0"))
+
+
+@query(
+    "weighted_overlap",
+    """WITH m AS (SELECT DISTINCT l_suppkey % 10 AS g, l_suppkey AS path, l_partkey AS node, l_partkey % 7 + 1 AS len FROM lineitem), t AS (SELECT g, path, sum(len) AS total FROM m GROUP BY 1, 2),
+s AS (SELECT a.g, a.path AS a, b.path AS b, sum(a.len) AS shared FROM m a JOIN m b ON a.g = b.g AND a.node = b.node AND a.path < b.path GROUP BY 1, 2, 3)
+SELECT s.a, s.b, round(shared / greatest(x.total, y.total), 6) AS ratio FROM s JOIN t x ON x.g = s.g AND x.path = s.a JOIN t y ON y.g = s.g AND y.path = s.b""",
+)
+def weighted_overlap(spark, d):
+    m = v.table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("group"), F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("node"), (F.col("l_partkey") % 7 + 1).alias("len"))
+    return ordered.weighted_overlap(m).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    "pattern_groups",
+    """WITH e AS (SELECT l_partkey % 50 AS w, l_suppkey AS sample, string_agg(concat_ws('=', CAST(l_partkey AS VARCHAR), l_returnflag), ',' ORDER BY l_partkey, l_returnflag) AS pattern FROM lineitem GROUP BY 1, 2)
+SELECT w AS window_id, pattern, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY CAST(sample AS VARCHAR)) AS samples FROM e GROUP BY 1, 2""",
+)
+def pattern_groups(spark, d):
+    return ordered.pattern_groups(v.genotypes(spark, d)).withColumnRenamed("window", "window_id")
+
+
+# --- sequences --------------------------------------------------------------------------------
+
+_ACGT = "translate(lower(substr(text, 1, length(text))), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query("revcomp", "SELECT item_id, reverse(translate(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 'ACGT', 'TGCA')) AS rc FROM benchmark")
+def revcomp(spark, d):
+    acgt = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return v.table(spark, d, "benchmark").select("item_id", seq.revcomp(acgt).alias("rc"))
+
+
+_K = "k AS (SELECT DISTINCT item_id, least(x, reverse(translate(x, 'acgt', 'tgca'))) AS kmer FROM (SELECT item_id, unnest(list_transform(range(1, length(t) - 10 + 1), lambda i: t[i:i+10])) AS x FROM (SELECT item_id, lower(translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtacgtac')) AS t FROM benchmark)) WHERE NOT contains(x, 'n'))"
+
+
+def _item_kmers(spark, d):
+    t = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
+    return v.table(spark, d, "benchmark").select("item_id", seq.canonical_kmers(t, 11).alias("kmers"))
+
+
+@query("kmer_count", f"WITH {_K} SELECT item_id, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY item_id")
+def kmer_count(spark, d):
+    return _item_kmers(spark, d).select("item_id", F.size("kmers").cast("long").alias("n"))
+
+
+@query("kmer_share", f"WITH {_K}, b AS (SELECT DISTINCT kmer, 1 AS hit FROM k WHERE item_id % 2 = 0) SELECT item_id, round(count(hit) / count(*), 6) AS share FROM k LEFT JOIN b USING (kmer) GROUP BY item_id")
+def kmer_share(spark, d):
+    rows = seq.kmer_rows(_item_kmers(spark, d), "item_id", F.col("kmers"))
+    return seq.kmer_share(rows, "item_id", rows.where("item_id % 2 = 0")).select("item_id", F.round("share", 6).alias("share"))
+
+
+@query("edit_distance", "WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS dist FROM t a JOIN t b ON b.item_id = a.item_id + 1")
+def edit_distance(spark, d):
+    t = v.table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("text").alias("x")), t.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("y"))
+    return a.join(b, "a").select("a", "b", F.round(seq.normalized_edit_distance(F.col("x"), F.col("y")), 6).alias("dist"))
+
+
+@query("minhash_lsh")
+def minhash_lsh(spark, d):
+    t = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
+    rows = v.table(spark, d, "benchmark").select("item_id", seq.canonical_kmers(t, 5).alias("kmers"))
+    return seq.lsh_pairs(rows, "item_id", "kmers", rows=1, least=0.01).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+# --- clusters ---------------------------------------------------------------------------------
+
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_orderkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.02)"
+
+
+@query(
+    "components",
+    f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM s UNION SELECT s.b, r.m FROM r JOIN s ON s.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n",
+)
+def components(spark, d):
+    t = v.table(spark, d, "lineitem").where("l_quantity = 50 and l_discount < 0.02")
+    return connected_components(t.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1000000).alias("dst")).distinct())
+
+
+@query(
+    "eps_clusters",
+    """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_custkey % 20 AS g, o_orderkey AS x, CAST(floor(o_totalprice / 100) AS BIGINT) AS y FROM orders),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.g = b.g AND abs(a.x - b.x) <= 30 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900),
+r AS (SELECT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT x AS order_key, c AS first_key FROM (SELECT n, min(m) AS m FROM r GROUP BY n) JOIN p ON p.id = n JOIN (SELECT id, x AS c FROM p) q ON q.id = m""",
+)
+def eps_clusters(spark, d):
+    rows = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("g"), F.col("o_orderkey").alias("x"), F.floor(F.col("o_totalprice") / 100).alias("y"))
+    return clustering.eps_clusters(rows, ["g"], ["x", "y"], 30.0).select(F.col("id").alias("order_key"), F.col("cluster").alias("first_key"))
+
+
+@query("greedy_dedup")
+def greedy_dedup(spark, d):
+    iv = v.intervals(spark, d).distinct()
+    order = intervals.merge_intervals(iv).select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    group = iv.join(order, "chrom").where("start >= _s and end <= _e").drop("_e")
+    return _shown(clustering.greedy_dedup(group, ["chrom", "_s"]), "name")
+
+
+# --- features and model -----------------------------------------------------------------------
+
+#: Parameters that stand for fitted ones: three centroids on the first four coordinates.
+CENTROIDS = [[0.1, 0.0, 0.0, 0.1], [-0.1, 0.1, 0.0, 0.0], [0.0, -0.1, 0.1, -0.1]]
+_Q = [" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - ({m})) ** 2" for i, m in enumerate(mu)) for mu in CENTROIDS]
+
+
+@query(
+    "student_t_assign",
+    f"WITH q AS (SELECT vec_id, {', '.join(f'1 / (1 + {x}) AS q{i}' for i, x in enumerate(_Q))} FROM embeddings) SELECT vec_id, round(q0 / (q0 + q1 + q2), 6) AS p0, round(q1 / (q0 + q1 + q2), 6) AS p1, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 'simple' WHEN q1 >= q2 THEN 'CC4' ELSE 'CC1' END AS label FROM q",
+)
+def student_t_assign(spark, d):
+    z = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    rows = v.table(spark, d, "embeddings").select("vec_id", model.soft_assign(z, CENTROIDS).alias("q"))
+    return rows.select("vec_id", F.round(F.col("q")[0], 6).alias("p0"), F.round(F.col("q")[1], 6).alias("p1"), model.argmax_label(F.col("q"), model.LABELS[:3]).alias("label"))
+
+
+@query("encoder")
+def encoder(spark, d):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    weights = [(rng.normal(0, 0.1, (a, b)), np.zeros(b)) for a, b in ((64, 128), (128, 128), (128, 256), (256, 10))]
+    rows = v.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return model.encode(rows, "x", weights).select("vec_id", F.transform("z", lambda x: F.round(x, 4)).alias("z"))
+
+
+@query(
+    "feature_assembly",
+    """SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL""",
+)
+def feature_assembly(spark, d):
+    return model.assemble(v.table(spark, d, "documents").select("doc_id", "n_chars"), [v.table(spark, d, "labels")], ["doc_id"])
