@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.llm.text import text_chunks, words_of
 from spanweave.scratch import Scratch
@@ -181,7 +182,7 @@ def _floats(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel(), pa.float32()))
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def document_statistics(text: pa.Array) -> pa.Array:
     return _floats(features(text))
 
