@@ -4,8 +4,8 @@ Jaccard distance is a metric, so a pivot p tells apart x and y when |d(x,p) - d(
 Texts that share no shingle are all at distance 1, which no finite set of pivots can divide;
 so the space is first cut without loss by shared rare shingles, then by pivots:
 
-1. Equal shingle sets form one class. Under one order of all shingles (by their corpus count in
-   hashed buckets where that is high, then by hash) two sets within 0.2 share one of the first
+1. Equal shingle sets form one class. Under one order of all shingles (by the corpus count of
+   their hashed bucket, then by hash) two sets within 0.2 share one of the first
    n - ceil(0.8 n) + 1. Sets with such a shingle in common and sizes within 0.8 are candidates; parity
    sketches, whose difference is a lower bound of the sets', rule most of them out for certain. Where very
    many sets share a shingle, neighbours in order of size are chained without that test. The connected components
@@ -44,6 +44,7 @@ from spanweave.operators.components import connected_components, local_roots
 from spanweave.scratch import Scratch
 
 BUCKET_BITS = 22
+SEGMENTS = 64
 REGION_SETS = 400
 REGION_SHINGLES = 1_500_000
 PIVOTS = 24
@@ -85,9 +86,10 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, set size and signature of each text. kind 1: shingle buckets (in n) that
-    hold clearly more than their share of this task's distinct sets, and their counts (in s1)."""
-    counts, seen, total = np.zeros(1 << BUCKET_BITS, np.int32), set(), 0
+    """kind 0: doc_id, set size, signature and sketch of each text (the sketch where the set is new to the
+    task). kind 1: how many distinct sets of this task have each bucket of shingles, as bytes (up to 255) in ``SEGMENTS``
+    rows (n: which one)."""
+    counts, seen = np.zeros(1 << BUCKET_BITS, np.int32), set()
     names = ["kind", "doc_id", "n", "s1", "s2", "sketch"]
     for batch in batches:
         ids = batch.column(0)
@@ -101,24 +103,48 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     new[d] = True
             first = hashes[np.repeat(new, np.diff(ends))]
             np.add.at(counts, _bucket(first), 1)
-            total += len(first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(np.diff(ends)), pa.array(s1), pa.array(s2),
                  pa.array([_parity_sketch(hashes[a:b]) if new[d] else None for d, (a, b) in enumerate(zip(ends[:-1], ends[1:]))], pa.binary())], names
             )
-    mean = total / len(counts)
-    heavy = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 4)
-    k = len(heavy)
+    parts = np.minimum(counts, 255).astype(np.uint8).reshape(SEGMENTS, -1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(heavy), pa.array(counts[heavy].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names
-    )
+        [
+            pa.array(np.ones(SEGMENTS, np.int32)), pa.nulls(SEGMENTS, pa.int64()), pa.array(np.arange(SEGMENTS)),
+            pa.nulls(SEGMENTS, pa.int64()), pa.nulls(SEGMENTS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()),
+        ],
+        names,
+    )
+
+
+def _bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by segment -> one row each with the sums of its buckets."""
+    last, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+    for batch in batches:
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if n != last:
+                if total is not None:
+                    yield row()
+                last, total = n, np.zeros(len(raw), np.int64)
+            total += np.frombuffer(raw, np.uint8)
+    if total is not None:
+        yield row()
+
+
+def _ranks(signed: DataFrame) -> np.ndarray:
+    """A 16-bit rank of every bucket, growing with its count in the corpus: 2**(BUCKET_BITS + 1) bytes at any size."""
+    rows = signed.where("kind = 1").select("n", "sketch").repartition("n").sortWithinPartitions("n").mapInArrow(_bucket_sums, "n long, sums binary").collect()
+    out = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.int64)
+    for n, sums in rows:
+        out[n] = np.frombuffer(sums, np.int64)
+    scale = max(1.0, float(out.mean()) / 4096)
+    return np.minimum(out.ravel() / scale, 65535).astype(np.uint16)
 
 
 def _prefixes(heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, count = heavy.value
-        rank = np.zeros(1 << BUCKET_BITS, np.int64)
-        rank[where] = count
+        rank = heavy.value
         seen = set()
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
@@ -133,11 +159,8 @@ def _prefixes(heavy):
                         continue
                     seen.add(s)
                     need = n - (4 * n + 4) // 5 + 1
-                    own, r = hashes[a:b], ranks[a:b]
-                    first = own[r == 0][:need]
-                    if len(first) < need:
-                        order = np.argsort(r, kind="stable")
-                        first = own[order[:need]]
+                    # hashes ascend, so a stable order by rank is one by (rank, hash)
+                    first = hashes[a:b][np.argsort(ranks[a:b], kind="stable")[:need]]
                     tokens.append(first)
                     sizes.append(n)
                     keys.append(s)
@@ -538,9 +561,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = tmp.save(rows.mapInArrow(_sign, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary"), "signed", partition_by="kind")
-    # at most 2**BUCKET_BITS rows
-    heavy = signed.where("kind = 1").groupBy("n").agg(F.sum("s1").alias("c")).toPandas()
-    heavy = spark.sparkContext.broadcast((heavy["n"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64)))
+    heavy = spark.sparkContext.broadcast(_ranks(signed))
     own = signed.where("kind = 0")
     classes = own.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
     classes = tmp.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")

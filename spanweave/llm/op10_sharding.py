@@ -2,7 +2,8 @@
 
 Rows of one group (equal texts) are linked. Every row starts in a shard drawn by hash. In each
 round the pieces of a group (its rows in one starting shard) propose to move to the shard that
-holds most of the group, and a shard admits proposals, largest first, while they fit its room.
+holds most of the group, and a shard admits proposals, largest first, while they fit its room (its
+capacity less the pieces that want to stay).
 Proposals are ranked in a bounded number of buckets, so no shard's movers meet in one task.
 What a shard then holds beyond its capacity (unlinked rows first) is dealt to the shards
 with room. Law: ``bytes``; every shard's bytes differ from the mean by about one row at most.
@@ -59,7 +60,7 @@ def _propagate(tmp: Scratch, pieces: DataFrame, cap: float, shards: int, rounds:
         )
         moves = tmp.save(moves, f"moves{k}")
         wanted = moves.where("cur != to")
-        loads = {r[0]: r[1] for r in moves.groupBy("cur").agg(F.sum("bytes")).collect()}
+        loads = {r[0]: r[1] for r in moves.where("cur = to").groupBy("cur").agg(F.sum("bytes")).collect()}
         room = [max(0.0, cap - loads.get(s, 0)) for s in range(shards)]
         over = Window.partitionBy("to").orderBy("bucket")
         # at most shards * 4096 rows; a bucket that does not fit is passed over
