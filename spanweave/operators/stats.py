@@ -15,13 +15,13 @@ def normalized_entropy(df: DataFrame, by: list[str], value: str, drop: tuple = (
     there is one value."""
     counts = df.where(F.col(value).isNotNull() & ~F.col(value).isin(*drop)).groupBy(*by, value).agg(F.count("*").alias("c"))
     # sum p log2 p from partial sums: log2 n - sum(c log2 c) / n
-    sums = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"), F.count("*").alias("k"))
-    h = F.round(F.log2("n") - F.col("s") / F.col("n"), 5)
-    return sums.select(*by, F.when((F.col("k") < 2) | (h == 0), 0.0).otherwise(h / F.round(F.log2("k"), 5)).alias("entropy"))
+    sums = counts.groupBy(*by).agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.log2("c")).alias("_s"), F.count("*").alias("_k"))
+    h = F.round(F.log2("_n") - F.col("_s") / F.col("_n"), 5)
+    return sums.select(*by, F.when((F.col("_k") < 2) | (h == 0), 0.0).otherwise(h / F.round(F.log2("_k"), 5)).alias("entropy"))
 
 
 def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    return df.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
 
 
 def window_similarity(variants: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def window_similarity(variants: DataFrame) -> DataFrame:
     rows = size.join(uniq, keys)
     first, last = F.least("wstart", "lo"), F.greatest("wend", "hi")
     match = last - first + 1 - F.col("width")
-    return rows.select(*keys, F.col("width").alias("uniq"), match.alias("match"), "alignlen", (match / (match + F.col("alignlen"))).alias("sim"))
+    return rows.select(*keys, F.col("width").alias("uniq"), match.alias("match"), "alignlen", F.try_divide(match, match + F.col("alignlen")).alias("sim"))
 
 
 def trimmed_stats(df: DataFrame, by: list[str], value: str, prop: float = 0.05) -> DataFrame:
@@ -45,9 +45,9 @@ def trimmed_stats(df: DataFrame, by: list[str], value: str, prop: float = 0.05)
     kept = rows.join(cut, by).where((F.col(value) >= F.col("_q")[0]) & (F.col(value) <= F.col("_q")[1]))
     order = Window.partitionBy(*by).orderBy(value)
     ranked = kept.withColumn("_i", F.row_number().over(order))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"), F.sum(value).alias("t"), F.sum(F.col("_i") * F.col(value)).alias("r"))
-    gini = (2 * F.col("r") - (F.col("n") + 1) * F.col("t")) / (F.col("n") * F.col("t"))
-    return cut.select(*by).join(sums, by, "left").select(*by, F.when(F.col("n") >= 2, F.col("sd")).alias("sd"), F.when((F.col("n") >= 2) & (F.col("t") != 0), gini).alias("gini"))
+    sums = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.stddev_samp(value).alias("_sd"), F.sum(value).alias("_t"), F.sum(F.col("_i") * F.col(value)).alias("_r"))
+    gini = F.try_divide(2 * F.col("_r") - (F.col("_n") + 1) * F.col("_t"), F.col("_n") * F.col("_t"))
+    return cut.select(*by).join(sums, by, "left").select(*by, F.when(F.col("_n") >= 2, F.col("_sd")).alias("sd"), F.when(F.col("_n") >= 2, gini).alias("gini"))
 
 
 def row_max(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -88,8 +88,8 @@ def odds_ratio(df: DataFrame, exposed: Column, case: Column) -> DataFrame:
     """One row: the 2x2 counts, their cross-product ratio and its 95 % log-normal interval."""
     n = [F.count(F.when(e & c, 1)) for e, c in ((exposed, case), (exposed, ~case), (~exposed, case), (~exposed, ~case))]
     rows = df.agg(*[x.alias(k) for x, k in zip(n, "abcd")])
-    ratio = F.col("a") * F.col("d") / (F.col("b") * F.col("c"))
-    se = F.sqrt(sum((1 / F.col(k) for k in "bcd"), 1 / F.col("a")))
+    ratio = F.try_divide(F.col("a") * F.col("d"), F.col("b") * F.col("c"))
+    se = F.sqrt(sum((F.try_divide(F.lit(1), F.col(k)) for k in "bcd"), F.try_divide(F.lit(1), F.col("a"))))
     return rows.select("a", "b", "c", "d", ratio.alias("odds_ratio"), F.exp(F.log(ratio) - 1.96 * se).alias("low"), F.exp(F.log(ratio) + 1.96 * se).alias("high"))
 
 
