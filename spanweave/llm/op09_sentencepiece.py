@@ -23,6 +23,7 @@ columns are kept, and a column named like the output is replaced; an empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ MARK = "▁"
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
 _GAP = np.uint64(0xD6E8FEB86659FD93)
+#: Pairs of pieces whose test a worker remembers.
+PAIR_CACHE = 300_000
+#: Chunks of text whose rarer words are encoded together.
+TOGETHER = 8
 
 
 def model_path(name: str = MODEL) -> str:
@@ -66,12 +71,16 @@ class Encoder:
         self.bpe = model["kind"] == "bpe"
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.built: dict[str, tuple] = {}
         self.floor = min(self.scores, default=0.0) - 10.0
 
-    def _merges(self, text: str, border: int) -> bool:
-        """Whether BPE leaves ``text`` as two pieces that meet at ``border`` (0: as one piece)."""
+    def _spines(self, text: str) -> tuple[list, list, bool]:
+        """How BPE builds ``text`` on its own: its rightmost symbol over time, its leftmost one, each with the rank of the
+        merge that ends it, and whether one symbol is left."""
+        if text in self.built:
+            return self.built[text]
         parts = list(text)
+        right, left = [], []
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -80,21 +89,42 @@ class Encoder:
                     best, at = self.scores[k], i
             if best is None:
                 break
-            if border and sum(map(len, parts[: at + 1])) == border:
-                return False
+            if at == len(parts) - 2:
+                right.append((parts[-1], -best))
+            if at == 0:
+                left.append((parts[0], -best))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return len(parts) == (2 if border else 1)
+        self.built[text] = (right + [(parts[-1], math.inf)], left + [(parts[0], math.inf)], len(parts) == 1)
+        return self.built[text]
+
+    def _apart(self, before: str, piece: str) -> bool:
+        """Whether no merge joins two pieces side by side: while a pair of symbols faces each other at the border, their merge
+        must rank behind the one that ends either (of equal ranks the one more to the left comes first)."""
+        right, left = self._spines(before)[0], self._spines(piece)[1]
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = right[i], left[j]
+            k = self.ids.get(x + y)
+            if k is not None and -self.scores[k] < x_ends and -self.scores[k] <= y_ends:
+                return False
+            if x_ends == y_ends == math.inf:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
 
     def _goes(self, before: str, piece: str) -> bool:
         key = (before, piece)
-        if key not in self.pairs:
-            self.pairs[key] = self._merges(before + piece, len(before))
-        return self.pairs[key]
+        got = self.pairs.get(key)
+        if got is None:
+            if len(self.pairs) >= PAIR_CACHE:
+                self.pairs.clear()
+            got = self.pairs[key] = self._apart(before, piece)
+        return got
 
     def _alone(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = self._merges(piece, 0)
-        return self.whole[piece]
+        return self._spines(piece)[2]
 
     def _extend(self, word: str, i: int, last: list, score: list) -> None:
         """Forward state of word[:i] from those of its prefixes."""
@@ -221,26 +251,41 @@ def _encoder_udf(model, head):
         if not held:
             held["encoder"] = Encoder(model.value)
         keys, start, size, pool = head.value
-        values, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        values, ends, held_back = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
+
+        def finish():
+            spelled = {h: w for *_, rare in held_back for h, w in rare.items()}
+            order = sorted(spelled.items(), key=lambda x: x[1])
+            coded = held["encoder"].encode_sorted([w for _, w in order])
+            rare_size = np.array([len(x) for x in coded], np.int64)
+            rare_pool = np.array([i for x in coded for i in x], np.int32)
+            rare_keys = np.array([h for h, _ in order], np.uint64)
+            by_key = np.argsort(rare_keys)
+            rare_start = (np.cumsum(rare_size) - rare_size)[by_key] + len(pool)
+            rare_keys, rare_size = rare_keys[by_key], rare_size[by_key]
+            every = np.concatenate([pool, rare_pool])
+            for k, word_offs, at, known, _ in held_back:
+                begin, n = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+                if len(keys):
+                    begin[known], n[known] = start[at[known]], size[at[known]]
+                if len(rare_keys):
+                    spot = np.searchsorted(rare_keys, k[~known])
+                    begin[~known], n[~known] = rare_start[spot], rare_size[spot]
+                values.append(_gather(every, begin, n))
+                run = np.concatenate([[0], np.cumsum(n)])
+                ends.append(ends[-1][-1] + run[word_offs[1:]])
+            held_back.clear()
+
         for _, _, data, offs in text_chunks(_spaces_for_marks(text)):
             k, gap, a, b, word_offs = _marked(data, offs)
             at, known = lookup(keys, k)
             other = np.flatnonzero(~known)
-            u, first, inverse = np.unique(k[other], return_index=True, return_inverse=True)
-            spelled = _spell(data, *(x[other[first]] for x in (gap, a, b)))
-            order = sorted(range(len(spelled)), key=spelled.__getitem__)
-            coded: list = [None] * len(order)
-            for i, ids in zip(order, held["encoder"].encode_sorted([spelled[i] for i in order])):
-                coded[i] = ids
-            more = np.array([len(x) for x in coded], np.int64)
-            here = np.concatenate([pool, np.array([i for x in coded for i in x], np.int32)])
-            begin, n = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-            if len(keys):
-                begin[known], n[known] = start[at[known]], size[at[known]]
-            begin[other], n[other] = (len(pool) + np.cumsum(more) - more)[inverse], more[inverse]
-            values.append(_gather(here, begin, n))
-            run = np.concatenate([[0], np.cumsum(n)])
-            ends.append(ends[-1][-1] + run[word_offs[1:]])
+            u, first = np.unique(k[other], return_index=True)
+            rare = dict(zip(u.tolist(), _spell(data, *(x[other[first]] for x in (gap, a, b)))))
+            held_back.append((k, word_offs, at, known, rare))
+            if len(held_back) == TOGETHER:
+                finish()
+        finish()
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(values)))
 
     return encode
@@ -283,10 +328,9 @@ def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", h
     shared = spark.sparkContext.broadcast(model)
     column = F.col(text).cast("string")
     words = docs.select(column.alias("text")).mapInArrow(_distinct, "h long, w string, cnt long").groupBy("h", "w").agg(F.sum("cnt").alias("cnt"))
-    coded = Scratch(spark, "pieces").save(
-        words.sortWithinPartitions("w").mapInArrow(_encode_words(shared), "h long, cnt long, ids binary"), "words"
-    )
-    table = coded.where(F.col("cnt") >= head_threshold(coded, head_limit)).select("h", "ids").toArrow()
+    words = Scratch(spark, "pieces").save(words, "words")
+    head_words = words.where(F.col("cnt") >= head_threshold(words, head_limit)).sortWithinPartitions("w")
+    table = head_words.mapInArrow(_encode_words(shared), "h long, cnt long, ids binary").select("h", "ids").toArrow()
     keys = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     raw = table.column("ids").combine_chunks()
