@@ -609,3 +609,117 @@ def encoder(spark, d):
 )
 def feature_assembly(spark, d):
     return model.assemble(v.table(spark, d, "documents").select("doc_id", "n_chars"), [v.table(spark, d, "labels")], ["doc_id"])
+
+
+# --- the rest of the inventory ------------------------------------------------------------------
+
+
+@query(
+    "nonrepeat_filter",
+    f"""WITH {v.IV}, {v.TGT}, {v.merged_sql("iv", "m")}, t AS (SELECT *, row_number() OVER () AS id FROM tgt),
+c AS (SELECT id, sum(least(t.e, m.e) - greatest(t.s, m.s)) AS covered FROM t JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY id)
+SELECT chrom, s, e, name FROM t LEFT JOIN c USING (id) WHERE e - s - coalesce(covered, 0) >= 3""",
+)
+def nonrepeat_filter(spark, d):
+    return _shown(intervals.nonrepeat_filter(v.targets(spark, d), v.intervals(spark, d), 3), "name")
+
+
+@query(
+    "except_intersect",
+    "SELECT k, 'only' AS side FROM (SELECT l_partkey AS k FROM lineitem EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'both' FROM (SELECT l_partkey AS k FROM lineitem INTERSECT SELECT o_custkey FROM orders)",
+)
+def except_intersect(spark, d):
+    a = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
+    b = v.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return a.subtract(b).select("k", F.lit("only").alias("side")).unionByName(a.intersect(b).select("k", F.lit("both").alias("side")))
+
+
+@query("first_per_group", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def first_per_group(spark, d):
+    return pairs.first_per_group(v.table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+
+
+@query(
+    "length_ratio_class",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount * 10 >= 0.8 AND l_tax * 12 >= 0.8 THEN 'both' WHEN l_discount * 10 >= 0.95 OR l_tax * 12 >= 0.95 THEN 'either' ELSE 'none' END AS ratio_class FROM lineitem",
+)
+def length_ratio_class(spark, d):
+    rows = v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("reflenratio"), (F.col("l_tax") * 12).alias("quelenratio"))
+    return pairs.length_ratio_class(rows).drop("reflenratio", "quelenratio")
+
+
+@query(
+    "shorter_overlap",
+    f"WITH {v.IV}, {v.TGT} SELECT a.chrom, a.s, b.s AS b_s, b.e AS b_e, round((least(a.e, b.e) - greatest(a.s, b.s) + 1) / least(a.e - a.s + 1, b.e - b.s + 1), 6) AS share FROM tgt a JOIN iv b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e",
+)
+def shorter_overlap(spark, d):
+    j = intervals.overlap_join(v.targets(spark, d), v.intervals(spark, d), closed=True)
+    share = seq.shorter_overlap(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))
+    return j.select("chrom", F.col("start_a").alias("s"), F.col("start_b").alias("b_s"), F.col("end_b").alias("b_e"), F.round(share, 6).alias("share"))
+
+
+@query(
+    "clip_steps",
+    f"""WITH {_ST}, p AS (SELECT path, ord, node, CAST(sum(len) OVER w AS BIGINT) AS pos_e, CAST(sum(len) OVER w AS BIGINT) - len AS pos_s FROM st WINDOW w AS (PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING))
+SELECT path, ord, greatest(pos_s, 50) - pos_s AS from_pos, least(pos_e, 400) - pos_s AS to_pos, greatest(pos_s, 50) - 50 AS at_pos FROM p WHERE pos_s < 400 AND 50 < pos_e""",
+)
+def clip_steps(spark, d):
+    from pyspark.sql import Window
+
+    st = v.steps(spark, d)
+    end = F.sum("len").over(Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    st = st.withColumn("pos_e", end).withColumn("pos_s", F.col("pos_e") - F.col("len"))
+    regions = st.select("path").distinct().select("path", F.lit(50).cast("long").alias("start"), F.lit(400).cast("long").alias("end"))
+    return ordered.clip_steps(st, regions).select("path", "ord", F.col("from").alias("from_pos"), F.col("to").alias("to_pos"), F.col("at").alias("at_pos"))
+
+
+@query("enrichment_p")
+def enrichment_p(spark, d):
+    iv = v.intervals(spark, d)
+    shuffles = spark.range(5).select(F.col("id").cast("int").alias("shuffle_id"))
+    moved = iv.join(F.broadcast(shuffles)).select("shuffle_id", "chrom", (F.col("start") + F.col("shuffle_id") * 17).alias("start"), (F.col("end") + F.col("shuffle_id") * 17).alias("end"))
+    return stats.enrichment(v.targets(spark, d), iv, moved, 0.64)
+
+
+@query("motif_copy_number")
+def motif_copy_number(spark, d):
+    from spanweave.operators import motif
+
+    acgt = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz ,.", "ACGTACGTACGTACGTACGTACGTACGTA")
+    rows = v.table(spark, d, "benchmark").select("item_id", acgt.alias("sequence")).withColumn("unit", F.substring("sequence", 1, 4))
+    return motif.with_copy_number(rows, "unit", "sequence").drop("sequence")
+
+
+@query("region_blocks")
+def region_blocks(spark, d):
+    from spanweave.operators import blocks
+
+    return blocks.region_blocks(v.steps(spark, d).withColumn("region", F.col("path") % 10))
+
+
+@query("anchor_pair")
+def anchor_pair(spark, d):
+    from spanweave.operators import blocks
+
+    return blocks.anchor_pair(v.steps(spark, d).withColumn("region", F.col("path") % 10))
+
+
+@query("structural_runs")
+def structural_runs(spark, d):
+    from spanweave.operators import blocks
+
+    off = F.when(F.col("role") == "assistant", F.col("ord") * 100)
+    return blocks.structural_runs(v.steps(spark, d).withColumn("ref_pos", off))
+
+
+@query(
+    "element_delta",
+    "SELECT user_id, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END ELSE 0 END) AS BIGINT) AS delta FROM events GROUP BY user_id",
+)
+def element_delta(spark, d):
+    from spanweave.operators import blocks
+
+    e = v.table(spark, d, "events").withColumnRenamed("user_id", "window")
+    counts = e.select("window", F.when(F.col("event_id") % 3 == 0, "SDR").otherwise("REF").alias("source"), F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("n"))
+    out = blocks.element_delta(e.select("window").distinct(), counts, ["click", "view"])
+    return out.select(F.col("window").alias("user_id"), F.col("delta").cast("long").alias("delta"))
