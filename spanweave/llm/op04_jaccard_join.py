@@ -32,6 +32,7 @@ are ignored (``keep_one`` returns them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -555,6 +556,18 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _runtime_filter(spark: SparkSession) -> Iterator[None]:
+    """Let Spark filter the larger side of a join by a Bloom filter of the smaller one's keys at any size of scan."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -586,8 +599,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tmp.drop(pairs)
     regions = connected_components(plausible)
     members = tmp.save(classes.join(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "s1"), "members")
-    sets = members.join(rows, F.col("rep").eqNullSafe(F.col("doc_id"))).select("region", "cid", "n", "s1", "s2", "text")
-    sets = tmp.save(sets.mapInArrow(_texts_to_sets, "region long, cid long, shingles binary"), "sets")
+    # texts outside the regions stay where they are: Spark's runtime Bloom filter (of bounded size) drops most
+    # of them at the scan, before the join's shuffle
+    null_id = F.lit(-(2**63)).cast("long")
+    wanted = members.where("n > 0").withColumn("id", F.coalesce("rep", null_id)).drop("sketch")
+    found = wanted.join(rows.select(F.coalesce("doc_id", null_id).alias("id"), "text"), "id").select("region", "cid", "n", "s1", "s2", "text")
+    with _runtime_filter(spark):
+        sets = tmp.save(found.mapInArrow(_texts_to_sets, "region long, cid long, shingles binary"), "sets")
     links = _large_regions(tmp, sets)
     found = links[0]
     for more in links[1:]:
