@@ -1,11 +1,15 @@
-"""Near-duplicate embeddings (cosine 0.95) by sorted projection passes.
+"""Near-duplicate embeddings (cosine 0.95) by projection passes with whole buckets.
 
-Each pass orders all vectors lexicographically by 64 concatenated random hyperplane hashes and
-compares every vector with the next ``WINDOW`` ones by exact cosine in double precision; the links
-of all passes are united into components. The number of passes follows from the number of vectors, so that a
-pair at the threshold is missed by all of them with probability ``MISS`` at most. Links join vectors of one
+Each pass puts vectors whose random hyperplane hashes agree in ``bits`` bits in one bucket, and every pair
+of a bucket is compared by exact cosine in double precision: buckets of at most ``BUCKET`` vectors in one task,
+larger ones by pairs of blocks. So a pair is met wherever its own bits agree, however densely others lie around
+it, and the number of passes follows from ``bits`` alone: a pair at the threshold is missed by all of them with
+probability ``MISS`` at most. ``bits`` is the cheapest by the bucket sizes of one measured pass; 0 bits is
+one exact comparison of all vectors, which is what inputs of some thousand vectors get. Where it costs less, the members
+of all large buckets are compared with each other once instead of bucket by bucket. Either is quadratic in a
+dense group's size. The links of all passes are united into components. Links join vectors of one
 component only, so a vector's links are then counted within its component, by blocks of it: that count
-is complete for the component, whichever pairs the windows met. Equal vectors are one class from the start.
+is complete for the component, whichever pairs the buckets met. Equal vectors are one class from the start.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; one output row per input row; ties in vec_id
@@ -28,17 +32,35 @@ from spanweave.operators.components import connected_components, local_roots
 from spanweave.scratch import Scratch
 
 COSINE = 0.95
-WINDOW = 256
 MISS = 1e-4
+#: Vectors of a bucket that one task compares.
+BUCKET = 2048
 BLOCK = 1024
+#: Vectors in a block of what is beyond a bucket.
+DENSE_BLOCK = 4096
+MOST_BITS = 48
+#: What a vector costs in a pass (hashes, shuffle), in comparisons.
+_ROW = 512
 _STEP = 512
 
 
-def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
+def passes_for(bits: int, cosine: float = COSINE, miss: float = MISS) -> int:
     """Passes after which a pair at ``cosine`` stays unmet with probability ``miss`` at most: it is met
-    where its first log2(n / window) hashes agree."""
-    agree = (1 - math.acos(cosine) / math.pi) ** max(1.0, math.log2(max(2, n / window)) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - agree)))
+    where all its ``bits`` hashes agree."""
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
+    return 1 if agree == 1 else math.ceil(math.log(miss) / math.log1p(-agree))
+
+
+def best_bits(n: int, sizes: dict[int, tuple[int, int, int]], cosine: float = COSINE) -> int:
+    """The cheapest number of bits. sizes: for each, the squares of a pass's small buckets and of its large ones,
+    summed, and the vectors in large ones."""
+
+    def cost(bits: int) -> float:
+        small, large, dense = sizes[bits]
+        passes = passes_for(bits, cosine)
+        return passes * (n * _ROW + small / 2) + min(passes * large / 2, min(n, 2 * dense) ** 2 / 2)
+
+    return min(sizes, key=cost)
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +80,11 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _hashes(passes: int):
+def _hashes(passes: int, bits: int, vectors: bool):
+    """cid, v -> pass, dim, key, cid and, with ``vectors``, v."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.int64(1) << np.arange(bits, dtype=np.int64)[::-1]
         for batch in batches:
             cid, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             dims = np.array([len(r) // 8 for r in raw])
@@ -68,46 +93,44 @@ def _hashes(passes: int):
                 for i in range(0, len(at), 4096):
                     part = at[i : i + 4096]
                     x = _unit([raw[k] for k in part.tolist()])
+                    n = len(part)
                     for t in range(passes):
-                        planes = np.random.Generator(np.random.PCG64([7, dim, t])).standard_normal((dim, 64))
-                        key = np.packbits(x @ planes > 0, axis=1, bitorder="big").view(">u8").ravel().astype(np.uint64)
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, t, np.int32)),
-                                pa.array(np.full(n, dim, np.int32)),
-                                pa.array(key.view(np.int64)),
-                                pa.array(cid[part]),
-                                batch.column(1).take(pa.array(part)),
-                            ],
-                            ["pass", "dim", "key", "cid", "v"],
-                        )
+                        planes = np.random.Generator(np.random.PCG64([7, dim, t])).standard_normal((bits, dim))
+                        key = (x @ planes.T > 0) @ place if bits else np.zeros(n, np.int64)
+                        columns = [pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(key), pa.array(cid[part])]
+                        names = ["pass", "dim", "key", "cid"]
+                        if vectors:
+                            columns.append(batch.column(1).take(pa.array(part)))
+                            names.append("v")
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _windows(window: int, cosine: float):
+def _stars(cosine: float, keys: int):
+    """Rows ordered by the first ``keys`` columns, which name a bucket or a pair of blocks: its links, as stars."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            if not batch.num_rows:
+        for part in runs(batches, keys):
+            if part.num_rows < 2:
                 continue
-            table = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch])
-            old = 0 if carry is None else carry.num_rows
-            carry = table.slice(max(0, table.num_rows - window))
-            kind = table.column("pass").to_numpy().astype(np.int64) << 32 | table.column("dim").to_numpy()
-            cid, raw = table.column("cid").to_numpy(), table.column("v").to_pylist()
-            edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])).tolist()
+            cid, x = part.column("cid").to_numpy(), _unit(part.column("v").to_pylist())
+            end, second = len(x), None
+            if "b" in part.column_names and part.column("i")[0] != part.column("j")[0]:
+                # two blocks: each of the first with all of the second
+                order = np.argsort(part.column("b").to_numpy(), kind="stable")
+                cid, x = cid[order], x[order]
+                end = second = np.count_nonzero(part.column("b").to_numpy() == part.column("i")[0].as_py())
             src, dst = [cid[:0]], [cid[:0]]
-            for a, b in zip(edges[:-1], edges[1:]):
-                x = _unit(raw[a:b])
-                for i in range(0, b - a, _STEP):
-                    g = x[i : i + _STEP] @ x[i : i + _STEP + window].T
-                    p, q = np.nonzero(g >= cosine)
-                    # each with those after it; what both come from the rows carried over was compared before
-                    near = (q > p) & (q - p <= window) & (a + i + q >= old)
-                    src.append(cid[a + i + p[near]])
-                    dst.append(cid[a + i + q[near]])
+            for i in range(0, end, _STEP):
+                k = i if second is None else second
+                p, q = np.nonzero(x[i : min(end, i + _STEP)] @ x[k:].T >= cosine)
+                after = i + p < k + q
+                src.append(cid[i + p[after]])
+                dst.append(cid[k + q[after]])
+                if sum(map(len, src)) > 1 << 20:
+                    node, root = local_roots(np.concatenate(src), np.concatenate(dst))
+                    src, dst = [node], [root]
             node, root = local_roots(np.concatenate(src), np.concatenate(dst))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["src", "dst"])
 
@@ -130,21 +153,71 @@ def _count(cosine: float):
     return run
 
 
-def embedding_components(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+def _measured(classes: DataFrame, n: int, bucket: int) -> dict[int, tuple[int, int, int]]:
+    """What best_bits() takes: bucket sizes of the first pass, which has the same leading bits at any depth."""
+    most = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / 64))) + 16)
+    keys = classes.select("cid", "v").mapInArrow(_hashes(1, most, False), "pass int, dim int, key long, cid long")
+    found = keys.groupBy("dim", "key").agg(F.count("*").alias("r"))
+    least = max(1, math.ceil(math.log2(max(1, n) / (4 * bucket))))
+    steps = sorted({0, most, *range(least, most, 3)})
+    found = found.select("dim", "r", "key", F.explode(F.array(*map(F.lit, steps))).alias("bits"))
+    cut = F.expr(f"shiftright(key, {most} - bits)")
+    r = F.col("r").cast("double")
+    sizes = (
+        found.groupBy("bits", "dim", cut.alias("key"))
+        .agg(F.sum("r").alias("r"))
+        .groupBy("bits")
+        .agg(F.sum(F.when(r <= bucket, r * r).otherwise(0)), F.sum(F.when(r > bucket, r * r).otherwise(0)), F.sum(F.when(r > bucket, r).otherwise(0)))
+    )
+    return {row[0]: (row[1], row[2], row[3]) for row in sizes.collect()}
+
+
+def _edges(tmp: Scratch, classes: DataFrame, cosine: float, bits: int, bucket: int) -> DataFrame:
+    """src, dst: the links of all buckets, as stars."""
+    passes, names = passes_for(bits, cosine), ["pass", "dim", "key"]
+    held = classes.select("cid", "v")
+    keys = held.mapInArrow(_hashes(passes, bits, False), "pass int, dim int, key long, cid long")
+    large = tmp.save(keys.groupBy(*names).agg(F.count("*").alias("r")).where(F.col("r") > bucket), "large")
+    square, any_ = large.agg(F.sum(F.col("r").cast("double") * F.col("r")), F.count("*")).first()
+    rows = held.mapInArrow(_hashes(passes, bits, True), "pass int, dim int, key long, cid long, v binary")
+    small = rows.join(large, names, "left_anti") if any_ else rows
+    out = small.repartition(*names).sortWithinPartitions(*names).mapInArrow(_stars(cosine, 3), "src long, dst long").distinct()
+    out = tmp.save(out, "edges")
+    if not any_:
+        return out
+    dense = tmp.save(keys.join(large, names, "left_semi"), "dense")
+    once = tmp.save(dense.select("cid", "dim").distinct(), "once")
+    if (once.groupBy("dim").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]) <= square:
+        dense = once.select(F.col("dim").cast("long").alias("group"), "cid")
+    else:
+        dense = dense.select(F.xxhash64(*names).alias("group"), "cid")
+    blocks = dense.groupBy("group").agg(F.ceil(F.count("*") / DENSE_BLOCK).cast("int").alias("blocks"))
+    split = dense.join(blocks, "group").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "cid", "b").join(held, "cid")
+    more = (
+        split.select("group", "i", "j", "cid", "b", "v")
+        .repartition("group", "i", "j")
+        .sortWithinPartitions("group", "i", "j")
+        .mapInArrow(_stars(cosine, 3), "src long, dst long")
+        .distinct()
+    )
+    return out.unionByName(tmp.save(more, "dense_edges"))
+
+
+def embedding_components(vectors: DataFrame, cosine: float = COSINE, bits: int | None = None, bucket: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding). ``bits`` is measured if it is None."""
     spark = vectors.sparkSession
     tmp = Scratch(spark, "embeddings")
+    bucket = BUCKET if bucket is None else bucket
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = tmp.save(rows.mapInArrow(_valid, "vec_id long, v binary"), "rows")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = tmp.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    ordered = (
-        classes.select("cid", "v")
-        .mapInArrow(_hashes(passes_for(classes.count(), cosine, window)), "pass int, dim int, key long, cid long, v binary")
-        .repartitionByRange("pass", "dim", "key", F.xxhash64("cid"))
-        .sortWithinPartitions("pass", "dim", "key", F.xxhash64("cid"))
-    )
-    edges = tmp.save(ordered.mapInArrow(_windows(window, cosine), "src long, dst long").distinct(), "edges")
+    n = classes.count()
+    if bits is None:
+        bits = best_bits(n, _measured(classes, n, bucket), cosine) if n > bucket else 0
+    edges = _edges(tmp, classes, cosine, bits, bucket)
     found = connected_components(edges).select(F.col("node").alias("cid"), "component")
     members = tmp.save(classes.join(found, "cid"), "members")
     size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("rep").alias("component_id"))

@@ -158,6 +158,47 @@ def test_embeddings(spark):
     assert op02_embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def cone(n, pairs, dims=64):
+    """Vectors at pairwise cosine 0.9 about one axis, the last ones near copies at 0.952 of the first."""
+    rng = np.random.default_rng(3)
+    side = rng.normal(size=(n, dims))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = math.sqrt(0.1) * side
+    x[:, 0] = math.sqrt(0.9)
+    off = rng.normal(size=(pairs, dims))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.concatenate([x, 0.952 * x[:pairs] + math.sqrt(1 - 0.952**2) * off])
+
+
+@pytest.mark.parametrize("limits", [(None, None), (0, 700), (4, 600), (3, 100)])
+def test_embeddings_in_one_cone(spark, limits):
+    x = cone(6000, 300) if limits[0] is None else cone(1500, 80)
+    x = np.concatenate([x, np.random.default_rng(4).normal(size=(len(x) // 2, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    forest = Forest(len(x))
+    for i, j in zip(*np.nonzero(hit)):
+        forest.join(i, j)
+    lowest = {}
+    for k in range(len(x)):
+        lowest.setdefault(forest.find(k), k)
+    got = op02_embedding_dedup.embedding_components(df, bits=limits[0], bucket=limits[1]) if limits[0] is not None else op02_embedding_dedup.embedding_components(df)
+    assert hit.sum() >= 160
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(k, int(hit[k].sum()), lowest[forest.find(k)]) for k in range(len(x))]
+
+
+def test_bits_follow_the_measured_buckets():
+    even = {0: (0, 1e10, 10**5), 6: (1.6e8, 0, 0), 20: (2e5, 0, 0)}
+    dense = {0: (0, 1e10, 10**5), 6: (1e8, 5e9, 7 * 10**4), 20: (2e5, 0, 0)}
+    assert op02_embedding_dedup.best_bits(10**5, even) == 6
+    assert op02_embedding_dedup.best_bits(10**5, dense) == 20
+    assert op02_embedding_dedup.passes_for(0) == 1
+
+
 # 3
 
 
