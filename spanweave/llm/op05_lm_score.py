@@ -9,10 +9,9 @@ at a time.
 
 p(w | v) = a * c(v,w) / c(v) + (1 - a) * u(w): a is learnt for each magnitude of c(v) by leaving one
 out over a tenth of the training texts; u(w) is the additive unigram estimate that the base score
-has too. Unigram counts are exact: the commonest ``head_limit`` words are broadcast, the others are
-joined by a shuffle. Of a first word outside the head only an upper bound of c(v) is used, and of a
-second one the smallest u(w) where the bigram is known, so the sum over w stays at most 1 but for
-the quantisation of counts.
+has too. c(v) and u(w) are exact for every word: the commonest ``head_limit`` words are broadcast, and
+tokens of which either word is outside the head get the missing counts by shuffle joins, in learning as
+in scoring, so the scores do not depend on ``head_limit``. A first word that training has not seen leaves u(w).
 
 Defined cases: null counts as empty and consists of the end token; a null doc_id counts as the empty
 string, so it is held out; repeated rows are scored each; without training rows c and N are 0; an empty
@@ -40,8 +39,8 @@ SEGMENT_POSITIONS = 1 << 19
 END, START = np.uint64(0xE220A8397B1DCDAF), np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 WEIGHTS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 0.97])
-#: Magnitudes of c(v): log2 up to 62; 63 is a first word outside the head.
-TAIL_CLASS = 63
+#: Magnitudes of c(v): log2 up to 62.
+CLASSES = 63
 
 
 def _levels() -> np.ndarray:
@@ -217,12 +216,39 @@ class Model:
         return COUNT_OF[level]
 
     def contexts(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c(v) or its bound, class of its magnitude)."""
+        """(c(v), whether it is known here)."""
         at, known = lookup(self.keys, first)
-        c = np.where(known, self.counts[at] if len(self.keys) else 0, max(1, self.facts["cut"] - 1)).astype(float)
+        c = np.where(known, self.counts[at] if len(self.keys) else 0, 1).astype(np.int64)
         c[first == START] = max(1, self.facts["texts"])
-        kind = np.where(known | (first == START), np.log2(np.maximum(c, 1)).astype(np.int64), TAIL_CLASS)
-        return c, kind
+        return c, known | (first == START)
+
+    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(c(w), whether it is known here)."""
+        at, known = lookup(self.keys, tokens)
+        return np.where(known, self.counts[at] if len(self.keys) else 0, 1).astype(np.int64), known
+
+
+def _magnitude(c: np.ndarray) -> np.ndarray:
+    return np.frexp(c.astype(float))[1] - 1
+
+
+def _open_tokens(group: np.ndarray, first, tokens, cv, known_v, cw, known_w, pairs) -> dict[str, np.ndarray]:
+    """Distinct (group, bigram) of which a word's count comes with a join. kind: 1 for the first word, 2 for the
+    second one, 3 for both. a, b: the words. c: the count of the word that is known. n: occurrences. x: c(v, w)."""
+    at = np.flatnonzero(~(known_v & known_w))
+    key = mix(_pair_key(first[at], tokens[at]) + group[at].astype(np.uint64) * _PAIR)
+    _, one, n = np.unique(key, return_index=True, return_counts=True)
+    at = at[one]
+    kind = np.where(known_v[at], 0, 1).astype(np.int32) + np.where(known_w[at], 0, 2).astype(np.int32)
+    return {
+        "kind": kind,
+        "group": group[at],
+        "a": first[at].view(np.int64),
+        "b": tokens[at].view(np.int64),
+        "c": np.where(known_v[at], cv[at], np.where(known_w[at], cw[at], 0)),
+        "n": n.astype(np.int64),
+        "x": pairs[at],
+    }
 
 
 def _groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -232,37 +258,47 @@ def _groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, n
 
 
 def _learn(head, shards, facts):
-    """class, w0..: log10 likelihoods of training tokens, each left out, for each weight."""
+    """kind 0: class, w0..: log10 likelihoods of training tokens, each left out, for each weight. Other kinds: open tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(head.value, shards, facts)
-        total = np.zeros((TAIL_CLASS + 1, len(WEIGHTS)))
+        total = np.zeros((CLASSES, len(WEIGHTS)))
+        names = [f"w{k}" for k in range(len(WEIGHTS))]
         for batch in batches:
             for _, _, tokens, offs in _groups(batch.column(0)):
                 first = _contexts(tokens, offs)
-                at, known = lookup(model.keys, tokens)
-                c = np.where(known, model.counts[at] if len(model.keys) else 0, 1)
-                u = model.unigram(np.maximum(c - 1.0, 0))
-                cv, kind = model.contexts(first)
-                share = np.clip((model.bigrams(first, tokens) - 1) / np.maximum(cv - 1, 1), 0, 1)
+                cw, known_w = model.words(tokens)
+                cv, known_v = model.contexts(first)
+                pairs = model.bigrams(first, tokens)
+                done = known_v & known_w
+                u = model.unigram(np.maximum(cw[done] - 1.0, 0))
+                share = np.clip((pairs[done] - 1) / np.maximum(cv[done] - 1, 1), 0, 1)
+                kind = _magnitude(cv[done])
                 for k, a in enumerate(WEIGHTS):
-                    total[:, k] += np.bincount(kind, np.log10(a * share + (1 - a) * u), TAIL_CLASS + 1)
-        columns = [pa.array(np.arange(TAIL_CLASS + 1)), *(pa.array(total[:, k]) for k in range(len(WEIGHTS)))]
-        yield pa.RecordBatch.from_arrays(columns, ["class", *(f"w{k}" for k in range(len(WEIGHTS)))])
+                    total[:, k] += np.bincount(kind, np.log10(a * share + (1 - a) * u), CLASSES)
+                o = _open_tokens(np.zeros(len(tokens), np.int64), first, tokens, cv, known_v, cw, known_w, pairs)
+                none = pa.nulls(len(o["n"]), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(o[c]) for c in ("kind", "group", "a", "b", "c", "n", "x")), *(none for _ in names)], _OPEN + names)
+        zero = pa.array(np.zeros(CLASSES, np.int64))
+        columns = [pa.array(np.zeros(CLASSES, np.int32)), pa.array(np.arange(CLASSES)), zero, zero, zero, zero, pa.array(np.zeros(CLASSES))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(total[:, k]) for k in range(len(WEIGHTS)))], _OPEN + names)
 
     return run
 
 
+_OPEN = ["kind", "group", "a", "b", "c", "n", "x"]
+_OPEN_SCHEMA = "kind int, group long, a long, b long, c long, n long, x double"
+
+
 def _score(head, shards, facts):
-    """kind 0: row, doc_id, tokens (a), known ones in the head (b), base (x) and score (y) but for the
-    tail. kind 1: row, word (a) of the tail, its occurrences (b), and those without a known bigram (x)."""
+    """kind 0: row (group), doc_id, tokens (a), known ones in the head (b), base (x) and score (y) but for
+    what is open. Other kinds: open tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model = Model(head.value, shards, facts)
         weight = np.array(facts["weights"])
-        low = model.unigram(np.array(1.0))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
@@ -271,39 +307,42 @@ def _score(head, shards, facts):
                 rows = np.arange(row, row + n)
                 row += n
                 first = _contexts(tokens, offs)
-                at, known = lookup(model.keys, tokens)
-                u = model.unigram(np.where(known, model.counts[at] if len(model.keys) else 0, 0).astype(float))
-                cv, kind = model.contexts(first)
+                cw, known_w = model.words(tokens)
+                u = model.unigram(cw.astype(float))
+                cv, known_v = model.contexts(first)
                 pairs = model.bigrams(first, tokens)
-                a = weight[kind]
-                share = np.minimum(pairs / cv, 1)
-                open_ = ~known & ((pairs == 0) | (a == 0))  # the tail's u(w) comes with the join
-                p = a * share + (1 - a) * np.where(known, u, low)
-                y = np.where(open_, np.log10(1 - a), np.log10(np.where(open_, 1, p)))
-                x = np.where(known, np.log10(u), 0)
-                known_n, base, score = (np.add.reduceat(v, offs[:-1]) for v in (known.astype(np.int64), x, y))
-                doc = np.repeat(np.arange(n), np.diff(offs))[~known]
-                tail = np.empty(len(doc), [("d", np.int64), ("h", np.int64)])
-                tail["d"], tail["h"] = doc, tokens[~known].view(np.int64)
-                tail, inverse, freq = np.unique(tail, return_inverse=True, return_counts=True)
-                free = np.bincount(inverse, open_[~known], len(tail)).astype(float)
-                m = len(tail)
+                a = weight[_magnitude(cv)]
+                p = a * np.minimum(pairs / cv, 1) + (1 - a) * u
+                y = np.where(known_v & known_w, np.log10(p), 0)
+                x = np.where(known_w, np.log10(u), 0)
+                known_n, base, score = (np.add.reduceat(v, offs[:-1]) for v in (known_w.astype(np.int64), x, y))
+                o = _open_tokens(np.repeat(rows, np.diff(offs)), first, tokens, cv, known_v, cw, known_w, pairs)
+                m = len(o["n"])
+                zero = np.zeros(n, np.int64)
+                docs = [zero.astype(np.int32), rows, np.diff(offs), known_n, zero, zero, base]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)),
-                        pa.array(np.concatenate([rows, rows[tail["d"]]])),
+                        *(pa.array(np.concatenate([d, o[c]])) for c, d in zip(_OPEN, docs)),
                         pa.concat_arrays([ids.slice(i, n), pa.nulls(m, pa.int64())]),
-                        pa.array(np.concatenate([np.diff(offs), tail["h"]])),
-                        pa.array(np.concatenate([known_n, freq])),
-                        pa.array(np.concatenate([base, free])),
                         pa.array(np.concatenate([score, np.zeros(m)])),
                     ],
-                    ["kind", "row", "doc_id", "a", "b", "x", "y"],
+                    [*_OPEN, "doc_id", "y"],
                 )
 
     return run
 
 
+def _resolved(tokens: DataFrame, tail: DataFrame) -> DataFrame:
+    """Open tokens with cv and cw: exact counts of both words, 0 for words not in training."""
+    found = lambda key, name: tail.select(F.col("h").alias(key), F.col("cnt").alias(name))
+    count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
+    own = ["kind", "group", "n", "x"]
+    first = tokens.where("kind = 1").join(found("a", "cv"), "a", "left").select(*own, count("cv"), F.col("c").alias("cw"))
+    both = tokens.where("kind = 3").join(found("a", "cv"), "a", "left").select(*own, "b", count("cv"))
+    second = tokens.where("kind = 2").select(*own, "b", F.col("c").alias("cv")).unionByName(both)
+    return first.unionByName(second.join(found("b", "cw"), "b", "left").select(*own, "cv", count("cw")))
+
+
 def _broadcast_shards(filters: DataFrame, segments: int, limit: int) -> list:
     """Broadcasts of consecutive segments with at most ``limit`` bytes together (or one segment);
     the driver holds one at a time."""
@@ -354,38 +393,48 @@ def lm_scores(docs: DataFrame, head_limit: int = HEAD_LIMIT, shard_bytes: int =
     )
     filters = tmp.save(filters, "filters")
     shards = _broadcast_shards(filters, segments, shard_bytes)
-    facts = {"n": n, "v": v, "texts": texts, "cut": cut, "segments": segments}
+    facts = {"n": n, "v": v, "texts": texts, "segments": segments}
+    rare = counts.where(F.col("cnt") < cut)
+    unigram = lambda c: (c + 0.1) / F.lit(n + 0.1 * (v + 1))
+    magnitude = F.length(F.bin(F.greatest("cv", F.lit(1)))) - 1
     names = [f"w{k}" for k in range(len(WEIGHTS))]
+    learnt = tmp.save(
+        rows.where(part == 1).select("text").mapInArrow(_learn(head, shards, facts), _OPEN_SCHEMA + "".join(f", {w} double" for w in names)),
+        "learnt",
+        partition_by="kind",
+    )
+    share = F.least(F.greatest((F.col("x") - 1) / F.greatest(F.col("cv") - 1, F.lit(1)), F.lit(0.0)), F.lit(1.0))
+    u = unigram(F.greatest(F.col("cw") - 1, F.lit(0)))
+    left_out = [F.sum(F.col("n") * F.log10(F.lit(float(a)) * share + F.lit(1 - float(a)) * u)).alias(w) for a, w in zip(WEIGHTS, names)]
+    classes = learnt.where("kind = 0").select(F.col("group").alias("class"), *names)
+    classes = classes.unionByName(_resolved(learnt, rare).groupBy(magnitude.cast("long").alias("class")).agg(*left_out))
     learnt = (
-        rows.where(part == 1)
-        .select("text")
-        .mapInArrow(_learn(head, shards, facts), "class long, " + ", ".join(f"{w} double" for w in names))
-        .groupBy("class")
+        classes.groupBy("class")
         .agg(*[F.sum(w).alias(w) for w in names])
         .toPandas()
         .set_index("class")
-        .reindex(range(TAIL_CLASS + 1), fill_value=0.0)[names]
+        .reindex(range(CLASSES), fill_value=0.0)[names]
         .to_numpy()
     )
     facts["weights"] = WEIGHTS[learnt.argmax(1)].tolist()
-    scored = tmp.save(
-        rows.mapInArrow(_score(head, shards, facts), "kind int, row long, doc_id long, a long, b long, x double, y double"),
-        "scored",
-        partition_by="kind",
-    )
-    c = F.coalesce(F.col("cnt"), F.lit(0))
-    u = F.log10((c + 0.1) / F.lit(n + 0.1 * (v + 1)))
+    scored = tmp.save(rows.mapInArrow(_score(head, shards, facts), _OPEN_SCHEMA + ", doc_id long, y double"), "scored", partition_by="kind")
+    weight = F.when(F.col("cv") == 0, 0.0).otherwise(F.get(F.array(*map(F.lit, facts["weights"])), magnitude))
+    u = unigram(F.col("cw"))
+    p = weight * F.least(F.col("x") / F.greatest("cv", F.lit(1)), F.lit(1.0)) + (1 - weight) * u
+    second = F.col("kind") != 1
     tail = (
-        scored.where("kind = 1")
-        .select("row", F.col("a").alias("h"), "b", "x")
-        .join(counts.where(F.col("cnt") < cut), "h", "left")
-        .groupBy("row")
-        .agg(F.sum(F.when(c > 0, F.col("b")).otherwise(0)).alias("k"), F.sum(F.col("b") * u).alias("base"), F.sum(F.col("x") * u).alias("free"))
+        _resolved(scored, rare)
+        .groupBy("group")
+        .agg(
+            F.sum(F.when(second & (F.col("cw") > 0), F.col("n")).otherwise(0)).alias("k"),
+            F.sum(F.when(second, F.col("n") * F.log10(u)).otherwise(0.0)).alias("base"),
+            F.sum(F.col("n") * F.log10(p)).alias("open"),
+        )
     )
     zero = F.lit(0)
     return (
         scored.where("kind = 0")
-        .join(tail, "row", "left")
+        .join(tail, "group", "left")
         .select(
             "doc_id",
             (part == 0).alias("held_out"),
@@ -393,7 +442,7 @@ def lm_scores(docs: DataFrame, head_limit: int = HEAD_LIMIT, shard_bytes: int =
             (F.col("b") + F.coalesce("k", zero)).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("x") + F.coalesce("base", zero)).alias("base_score"),
-            (F.col("y") + F.coalesce("free", zero)).alias("score"),
+            (F.col("y") + F.coalesce("open", zero)).alias("score"),
         )
     )
 

@@ -311,6 +311,21 @@ def test_lm_scores(docs, none, limits):
     assert op05_lm_score.lm_scores(none).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_head(spark, docs):
+    """Counts of words outside the broadcast head are exact, as first and as second words."""
+    def scores(rows, *limits):
+        got = op05_lm_score.lm_scores(rows, *limits).collect()
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score, r.base_score) for r in got))
+
+    pairs = [(i, " ".join(f"q{k}a q{k}b" for k in RNG.integers(0, 60, 40)) + " common" * 30) for i in range(200)]
+    rare = spark.createDataFrame(pairs, "doc_id long, text string")
+    for rows in (docs, rare):
+        whole = scores(rows, 10**6, 10**8)
+        for limits in ((20, 10**8), (0, 10**8), (20, 200)):
+            for a, b in zip(whole, scores(rows, *limits), strict=True):
+                assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_log_frequency_filter_never_answers_too_low():
     keys = np.unique(RNG.integers(1, 2**63, 5000, dtype=np.uint64))
     counts = np.minimum(RNG.geometric(0.2, len(keys)) ** 2, 10**6)
