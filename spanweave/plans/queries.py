@@ -557,6 +557,13 @@ def components(spark, d):
     return connected_components(t.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1000000).alias("dst")).distinct())
 
 
+@query("components_all")
+def components_all(spark, d):
+    """Over every row of lineitem; parts are even nodes, orders odd ones. Without SQL: the recursion above keeps a row for every pair of connected nodes."""
+    t = v.table(spark, d, "lineitem")
+    return connected_components(t.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst")).distinct())
+
+
 @query(
     "eps_clusters",
     """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_custkey % 20 AS g, o_orderkey AS x, CAST(floor(o_totalprice / 100) AS BIGINT) AS y FROM orders),

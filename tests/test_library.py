@@ -126,6 +126,28 @@ def test_components(spark):
     assert (root == 0).all() and len(node) == 51
 
 
+def test_components_of_all_rows(spark, tmp_path):
+    from spanweave.plans.queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    keys = [(int(p), int(o)) for p, o in zip(rng.integers(1, 300, 400), rng.integers(1, 300, 400))] + [(2_000_000, 1), (1_000_001, 999), (None, 5)]
+    rows = [(p, o, float(k % 50 + 1), k % 11 / 100) for k, (p, o) in enumerate(keys)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for p, o in keys:
+        if p is not None:
+            a, b = find(2 * p), find(2 * o + 1)
+            root[max(a, b)] = min(a, b)
+    got = rows_of(QUERIES["components_all"](spark, str(tmp_path)), "node", "component")
+    assert got == sorted((x, find(x)) for x in root) and len({c for _, c in got}) < len(got) / 4
+
+
 def test_clusters(spark):
     df = spark.createDataFrame([("c", 0, 100), ("c", 5, 100), ("c", 90, 200)], "chrom string, start long, end long")
     assert rows_of(clustering.greedy_dedup(df, ["chrom"])) == [("c", 0, 100), ("c", 90, 200)]
