@@ -191,6 +191,23 @@ def test_embeddings_in_one_cone(spark, limits):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(k, int(hit[k].sum()), lowest[forest.find(k)]) for k in range(len(x))]
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_embeddings_meet_across_partitions(spark, monkeypatch, partitions):
+    """One pass in which all vectors share a bucket meets every pair, however many partitions there are."""
+    monkeypatch.setattr(op02_embedding_dedup, "passes_for", lambda *a: 1)
+    x = cone(700, 60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.vec_id: r.component_id for r in op02_embedding_dedup.embedding_components(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(got[700 + k] == got[k] for k in range(60))
+
+
 def test_bits_follow_the_measured_buckets():
     even = {0: (0, 1e10, 10**5), 6: (1.6e8, 0, 0), 20: (2e5, 0, 0)}
     dense = {0: (0, 1e10, 10**5), 6: (1e8, 5e9, 7 * 10**4), 20: (2e5, 0, 0)}
