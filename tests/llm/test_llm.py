@@ -208,6 +208,22 @@ def test_embeddings_meet_across_partitions(spark, monkeypatch, partitions):
     assert all(got[700 + k] == got[k] for k in range(60))
 
 
+def test_embeddings_in_many_groups(spark):
+    """Large buckets of several groups, compared bucket by bucket."""
+    rng = np.random.default_rng(8)
+    axes = rng.normal(size=(12, 64))
+    x = np.concatenate([a / np.linalg.norm(a) + 0.03 * rng.normal(size=(60, 64)) for a in axes])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    forest = Forest(len(x))
+    for i, j in zip(*np.nonzero(hit)):
+        forest.join(i, j)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op02_embedding_dedup.embedding_components(df, bits=5, bucket=20).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (int(hit[k].sum()), forest.find(k)) for k in range(len(x))}
+
+
 def test_bits_follow_the_measured_buckets():
     even = {0: (0, 1e10, 10**5), 6: (1.6e8, 0, 0), 20: (2e5, 0, 0)}
     dense = {0: (0, 1e10, 10**5), 6: (1e8, 5e9, 7 * 10**4), 20: (2e5, 0, 0)}
