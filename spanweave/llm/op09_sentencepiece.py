@@ -4,7 +4,8 @@ A text is read as marked words: one or more spaces (the first word has the dummy
 characters up to the next space. No piece but runs of spaces holds a space after its first
 character, so marked words are encoded independently. The distinct marked words are sorted, which makes them a
 trie in depth-first order: going from one word to the next keeps the forward states of their common
-prefix and extends them by the characters that differ.
+prefix and extends them by the characters that differ. An automaton of the pieces (its states are kept along the
+prefix as well) names those that end at each new character, the longest first.
 
 The forward state of a prefix is its best last piece. For a unigram model that is the last piece of
 the segmentation with the largest sum of scores. A BPE model (the kind at hand) does not
@@ -12,8 +13,9 @@ maximise that sum; its state is the last piece t of the prefix's BPE encoding, w
 that goes with the state before t: a sequence of pieces is a BPE encoding exactly if every two neighbours
 are what BPE makes of their concatenation. So the result equals the library's for either kind.
 
-The commonest marked words (at most ``HEAD_LIMIT``) are encoded once for the corpus and broadcast;
-the others, few in each batch of texts, are encoded by the same pass over the batch's own trie.
+The commonest marked words of up to ``HEAD_BYTES`` bytes (at most ``HEAD_WORDS``, so the broadcast has a proven bound) are
+encoded once for the corpus and broadcast; the others, few in each batch of texts, are encoded by the same
+pass over the batch's own trie. Words are told apart by 128 bits of hash.
 
 Defined cases: null counts as empty and gives an empty array (decoded: empty text); U+2581 in a text
 counts as a space, as in the library; characters without a piece become their UTF-8 bytes' pieces,
@@ -23,6 +25,7 @@ columns are kept, and a column named like the output is replaced; an empty table
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -31,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.text import mix, text_chunks, words_of
-from spanweave.llm.vocab import HEAD_LIMIT, head_threshold, lookup
+from spanweave.llm.text import distinct_keys, mix, text_chunks, words_of
+from spanweave.llm.vocab import head_threshold
 from spanweave.scratch import Scratch
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+HEAD_WORDS, HEAD_BYTES = 400_000, 48
+_MARK = np.frombuffer(MARK.encode(), np.uint8)
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
-_GAP = np.uint64(0xD6E8FEB86659FD93)
+_GAP, _GAP2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Pairs of pieces whose test a worker remembers.
-PAIR_CACHE = 300_000
-#: Chunks of text whose rarer words are encoded together.
-TOGETHER = 8
+PAIR_CACHE = 1_000_000
+#: Moves of the automaton by way of suffixes that a worker remembers.
+MOVE_CACHE = 1_000_000
+#: Bytes of text whose rarer words are encoded together.
+TOGETHER = 8 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -60,7 +67,13 @@ def load_model(path: str, kind: str = "bpe") -> dict:
     n = sp.get_piece_size()
     ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
     raw = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-    return {"kind": kind, "ids": ids, "scores": [sp.get_score(i) for i in range(n)], "bytes": raw, "unk": sp.unk_id(), "size": n}
+    return with_key({"kind": kind, "ids": ids, "scores": [sp.get_score(i) for i in range(n)], "bytes": raw, "unk": sp.unk_id(), "size": n})
+
+
+def with_key(model: dict) -> dict:
+    """``model`` with a digest of its content, by which workers know it again."""
+    content = repr([model["kind"], sorted(model["ids"].items()), model["scores"], sorted(model["bytes"].items()), model["unk"]])
+    return model | {"key": hashlib.sha256(content.encode()).hexdigest()}
 
 
 class Encoder:
@@ -68,11 +81,65 @@ class Encoder:
 
     def __init__(self, model: dict):
         self.ids, self.scores, self.raw, self.unk = model["ids"], model["scores"], model["bytes"], model["unk"]
-        self.bpe = model["kind"] == "bpe"
-        self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.bpe, self.width = model["kind"] == "bpe", model["size"]
+        self.piece, self.length = [""] * self.width, [0] * self.width
+        for piece, i in self.ids.items():
+            self.piece[i], self.length[i] = piece, len(piece)
+        self._build()
+        self.pairs: dict[int, bool] = {}
         self.built: dict[str, tuple] = {}
         self.floor = min(self.scores, default=0.0) - 10.0
+        #: Characters whose forward state was asked for, and those of them taken over from the word before.
+        self.states = self.reused = 0
+
+    def _build(self) -> None:
+        """The automaton: moves of each state, the state of its longest proper suffix, and the pieces that end in it."""
+        self.moves: list[dict[str, int]] = [{}]
+        own = [-1]
+        for piece, i in self.ids.items():
+            at = 0
+            for c in piece:
+                at = self.moves[at].get(c) or self._new(at, c, own)
+            own[at] = i if at else -1
+        self.suffix = [0] * len(own)
+        self.next_own = [0] * len(own)  # the nearest suffix state in which a piece ends
+        queue = list(self.moves[0].values())
+        for at in queue:
+            for c, to in self.moves[at].items():
+                up = self.suffix[at]
+                while up and c not in self.moves[up]:
+                    up = self.suffix[up]
+                up = self.suffix[to] = self.moves[up].get(c, 0)
+                self.next_own[to] = up if own[up] >= 0 else self.next_own[up]
+                queue.append(to)
+        self.own, self.options, self.learnt = own, [None] * len(own), 0
+
+    def _new(self, at: int, c: str, own: list) -> int:
+        self.moves[at][c] = len(self.moves)
+        self.moves.append({})
+        own.append(-1)
+        return len(own) - 1
+
+    def _move(self, at: int, c: str) -> int:
+        up = at
+        while up and c not in self.moves[up]:
+            up = self.suffix[up]
+        to = self.moves[up].get(c, 0)
+        if to and self.learnt < MOVE_CACHE:
+            self.learnt += 1
+            self.moves[at][c] = to
+        return to
+
+    def _options(self, at: int) -> tuple:
+        """Pieces that end in a state, the longest first; for BPE those that it makes of their own characters."""
+        out, to = [], at
+        while to:
+            i = self.own[to]
+            if i >= 0 and (not self.bpe or self.length[i] == 1 or self._spines(self.piece[i])[2]):
+                out.append((i, self.length[i]))
+            to = self.next_own[to]
+        self.options[at] = tuple(out)
+        return self.options[at]
 
     def _spines(self, text: str) -> tuple[list, list, bool]:
         """How BPE builds ``text`` on its own: its rightmost symbol over time, its leftmost one, each with the rank of the
@@ -114,69 +181,109 @@ class Encoder:
             else:
                 j += 1
 
-    def _goes(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            got = self.pairs[key] = self._apart(before, piece)
+    def _goes(self, before: int, piece: int) -> bool:
+        if len(self.pairs) >= PAIR_CACHE:
+            self.pairs.clear()
+        got = self.pairs[before * self.width + piece] = self._apart(self.piece[before], self.piece[piece])
         return got
 
-    def _alone(self, piece: str) -> bool:
-        return self._spines(piece)[2]
-
-    def _extend(self, word: str, i: int, last: list, score: list) -> None:
-        """Forward state of word[:i] from those of its prefixes."""
-        ids = self.ids
-        if self.bpe:
-            for k in range(max(0, i - self.longest), i):
-                piece = word[k:i]
-                if piece in ids and (i - k == 1 or self._alone(piece)) and (k == 0 or last[k] not in ids or self._goes(last[k], piece)):
-                    last[i] = piece
-                    return
-            last[i] = word[i - 1]
-            return
-        best = score[i - 1] + (self.scores[ids[word[i - 1]]] if word[i - 1] in ids else self.floor)
-        last[i] = word[i - 1]
-        for k in range(max(0, i - self.longest), i - 1):
-            j = ids.get(word[k:i])
-            if j is not None and score[k] + self.scores[j] > best:
-                best, last[i] = score[k] + self.scores[j], word[k:i]
-        score[i] = best
-
-    def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; words in ascending order."""
-        out, before, last, score = [], "", [""], [0.0]
+    def _extend_bpe(self, word: str, n: int, last: list, at: list) -> None:
+        """Forward states of the prefixes of ``word`` longer than n: the last piece, or -1 for a character without one."""
+        moves, options, pairs, width = self.moves, self.options, self.pairs, self.width
+        state = at[n]
+        for i in range(n, len(word)):
+            c = word[i]
+            state = moves[state].get(c) or self._move(state, c)
+            at.append(state)
+            found = options[state]
+            if found is None:
+                found = self._options(state)
+            for piece, size in found:
+                before = last[i + 1 - size]
+                if before >= 0 and i + 1 > size:
+                    ok = pairs.get(before * width + piece)
+                    if ok is None:
+                        ok = self._goes(before, piece)
+                    if not ok:
+                        continue
+                last.append(piece)
+                break
+            else:
+                last.append(-1)
+
+    def _extend_unigram(self, word: str, n: int, last: list, at: list, score: list) -> None:
+        state = at[n]
+        for i in range(n, len(word)):
+            c = word[i]
+            state = self.moves[state].get(c) or self._move(state, c)
+            at.append(state)
+            best, pick = -math.inf, -1
+            for piece, size in self.options[state] or self._options(state):
+                s = score[i + 1 - size] + self.scores[piece]
+                if s > best:
+                    best, pick = s, piece
+            if c not in self.ids and score[i] + self.floor > best:
+                best, pick = score[i] + self.floor, -1
+            last.append(pick)
+            score.append(best)
+
+    def encode_sorted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has; words in ascending order."""
+        out: list[int] = []
+        sizes: list[int] = []
+        before, last, at, score = "", [-1], [0], [0.0]
+        length = self.length
         for word in words:
-            n = 0
-            top = min(len(before), len(word))
-            while n < top and before[n] == word[n]:
-                n += 1
-            del last[n + 1 :], score[n + 1 :]
-            last.extend([""] * (len(word) - n))
-            score.extend([0.0] * (len(word) - n))
-            for i in range(n + 1, len(word) + 1):
-                self._extend(word, i, last, score)
-            ids: list[int] = []
-            i = len(word)
+            n, m = _common(before, word), len(word)
+            self.states += m
+            self.reused += n
+            del last[n + 1 :], at[n + 1 :]
+            if self.bpe:
+                self._extend_bpe(word, n, last, at)
+            else:
+                del score[n + 1 :]
+                self._extend_unigram(word, n, last, at, score)
+            own: list[int] = []
+            i = m
             while i:
                 piece = last[i]
-                i -= len(piece)
-                k = self.ids.get(piece)
-                if k is not None:
-                    ids.append(k)
+                if piece >= 0:
+                    own.append(piece)
+                    i -= length[piece]
                 else:
-                    ids.extend(self.raw.get(b, self.unk) for b in reversed(piece.encode("utf-8"))) if self.raw else ids.append(self.unk)
-            ids.reverse()
-            out.append(ids)
+                    i -= 1
+                    own.extend(self.raw.get(x, self.unk) for x in reversed(word[i].encode("utf-8"))) if self.raw else own.append(self.unk)
+            own.reverse()
+            out += own
+            sizes.append(len(own))
             before = word
-        return out
+        return np.array(out, np.int32), np.array(sizes, np.int64)
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix; neighbours in order share most of it."""
+    n = min(len(a), len(b))
+    if n > 64 and a[:n] != b[:n]:
+        n = next(i for i in range(n) if a[i] != b[i])
+    while a[:n] != b[:n]:
+        n -= 1
+    return n
+
+
+#: The encoder of the model last used in this worker.
+_KEPT: dict[str, Encoder] = {}
+
+
+def _encoder(model: dict) -> Encoder:
+    if model["key"] not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model["key"]] = Encoder(model)
+    return _KEPT[model["key"]]
 
 
 def _marked(data: np.ndarray, offs: np.ndarray):
-    """Marked words of a chunk: keys, spaces before, byte spans, and their offsets per text."""
-    words = words_of(data, offs, lower=False, space=_BLANK)
+    """Marked words of a chunk: two keys, spaces before, byte spans, and their offsets per text."""
+    words = words_of(data, offs, lower=False, space=_BLANK, second=True)
     n = len(words.starts)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(words.offs))
     prev = np.concatenate([[0], words.ends[:-1]])
@@ -190,12 +297,14 @@ def _marked(data: np.ndarray, offs: np.ndarray):
     tail[np.diff(offs) == 0] = 0
     rest = np.flatnonzero(tail > 0)
     at = words.offs[1:][rest]
-    key = words.hashes.copy()
-    key[gap > 1] = mix(key[gap > 1] ^ (gap[gap > 1].astype(np.uint64) * _GAP))
     starts, ends = np.insert(words.starts, at, offs[1:][rest]), np.insert(words.ends, at, offs[1:][rest])
-    keys = np.insert(key, at, mix(tail[rest].astype(np.uint64) * _GAP + np.uint64(1)))
+    keys = []
+    for own, factor in ((words.hashes, _GAP), (words.second, _GAP2)):
+        key = own.copy()
+        key[gap > 1] = mix(key[gap > 1] ^ (gap[gap > 1].astype(np.uint64) * factor))
+        keys.append(np.insert(key, at, mix(tail[rest].astype(np.uint64) * factor + np.uint64(1))))
     counts = np.diff(words.offs) + (tail > 0)
-    return keys, np.insert(gap, at, tail[rest]), starts, ends, np.concatenate([[0], np.cumsum(counts)])
+    return keys[0], keys[1], np.insert(gap, at, tail[rest]), starts, ends, np.concatenate([[0], np.cumsum(counts)])
 
 
 def _spaces_for_marks(column: pa.Array) -> pa.Array:
@@ -205,88 +314,112 @@ def _spaces_for_marks(column: pa.Array) -> pa.Array:
     return pc.replace_substring(pc.fill_null(column, ""), MARK, " ")
 
 
-def _spell(data: np.ndarray, gap: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    raw = data.tobytes()
-    return [MARK * g + raw[a:b].decode("utf-8", "replace") for g, a, b in zip(gap.tolist(), starts.tolist(), ends.tolist())]
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of ``pool``, one after another."""
+    end = np.cumsum(size)
+    return pool[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
+def _binary(data: np.ndarray, size: np.ndarray, kind=None) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum(size)])
+    kind = kind or pa.large_binary()
+    offs = offs.astype(np.int64 if kind in (pa.large_binary(), pa.large_string()) else np.int32)
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _spell(data: np.ndarray, gap: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The marked words as bytes."""
+    size = 3 * gap + ends - starts
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    marks = 3 * gap
+    out[np.repeat(end - size - np.cumsum(marks) + marks, marks) + np.arange(marks.sum())] = np.tile(_MARK, int(gap.sum()))
+    own = ends - starts
+    before = np.cumsum(own) - own
+    step = np.arange(own.sum())
+    out[np.repeat(end - own - before, own) + step] = data[np.repeat(starts - before, own) + step]
+    return _binary(out, size)
+
+
+class Group:
+    """Distinct marked words of consecutive chunks, and which of them each place holds."""
+
+    def __init__(self, chunks: list):
+        marked = [_marked(data, offs) for data, offs in chunks]
+        self.keys = np.concatenate([m[0] for m in marked])
+        self.second = np.concatenate([m[1] for m in marked])
+        self.first, self.inverse = distinct_keys(self.keys, self.second)
+        base = np.cumsum([0] + [len(data) for data, _ in chunks])
+        self.gap = np.concatenate([m[2] for m in marked])
+        self.starts = np.concatenate([m[3] + b for m, b in zip(marked, base)])
+        self.ends = np.concatenate([m[4] + b for m, b in zip(marked, base)])
+        self.data = np.concatenate([data for data, _ in chunks]) if len(chunks) > 1 else chunks[0][0]
+        places = np.cumsum([0] + [len(m[0]) for m in marked])
+        self.offs = np.concatenate([[0], *(m[5][1:] + p for m, p in zip(marked, places))])
+
+    def spelled(self, which: np.ndarray) -> pa.Array:
+        at = self.first[which]
+        return _spell(self.data, self.gap[at], self.starts[at], self.ends[at])
+
+
+def _groups(column: pa.Array) -> Iterator[Group]:
+    held, size = [], 0
+    for _, _, data, offs in text_chunks(_spaces_for_marks(column)):
+        held.append((data, offs))
+        size += len(data)
+        if size >= TOGETHER:
+            yield Group(held)
+            held, size = [], 0
+    if held:
+        yield Group(held)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, counts, spelled = [], [], []
-        for _, _, data, offs in text_chunks(_spaces_for_marks(batch.column(0))):
-            k, gap, a, b, _ = _marked(data, offs)
-            u, first, n = np.unique(k, return_index=True, return_counts=True)
-            keys.append(u)
-            counts.append(n)
-            spelled.extend(_spell(data, gap[first], a[first], b[first]))
-        if keys:
-            k = np.concatenate(keys)
-            u, first, inverse = np.unique(k, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array([spelled[i] for i in first.tolist()], pa.string()), pa.array(n)], ["h", "w", "cnt"])
+        for g in _groups(batch.column(0)):
+            words = g.spelled(np.arange(len(g.first))).cast(pa.binary())
+            keys = (pa.array(k[g.first].view(np.int64)) for k in (g.keys, g.second))
+            yield pa.RecordBatch.from_arrays([*keys, words, pa.array(np.bincount(g.inverse, minlength=len(g.first)))], ["h", "h2", "w", "cnt"])
+
+
+def _words(column: pa.Array) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in column.to_pylist()]
 
 
 def _encode_words(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = _encoder(model.value)
         for batch in batches:
-            ids = encoder.encode_sorted(batch.column(1).to_pylist())
-            raw = pa.array([np.array(x, np.int32).tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), raw], ["h", "cnt", "ids"])
+            ids, size = encoder.encode_sorted(_words(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(ids.view(np.uint8), 4 * size, pa.binary())], ["h", "h2", "ids"])
 
     return run
 
 
-def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Slices of ``pool``, one after another."""
-    end = np.cumsum(size)
-    return pool[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-
-
 def _encoder_udf(model, head):
-    held: dict = {}
-
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        if not held:
-            held["encoder"] = Encoder(model.value)
-        keys, start, size, pool = head.value
-        values, ends, held_back = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
-
-        def finish():
-            spelled = {h: w for *_, rare in held_back for h, w in rare.items()}
-            order = sorted(spelled.items(), key=lambda x: x[1])
-            coded = held["encoder"].encode_sorted([w for _, w in order])
-            rare_size = np.array([len(x) for x in coded], np.int64)
-            rare_pool = np.array([i for x in coded for i in x], np.int32)
-            rare_keys = np.array([h for h, _ in order], np.uint64)
-            by_key = np.argsort(rare_keys)
-            rare_start = (np.cumsum(rare_size) - rare_size)[by_key] + len(pool)
-            rare_keys, rare_size = rare_keys[by_key], rare_size[by_key]
-            every = np.concatenate([pool, rare_pool])
-            for k, word_offs, at, known, _ in held_back:
-                begin, n = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-                if len(keys):
-                    begin[known], n[known] = start[at[known]], size[at[known]]
-                if len(rare_keys):
-                    spot = np.searchsorted(rare_keys, k[~known])
-                    begin[~known], n[~known] = rare_start[spot], rare_size[spot]
-                values.append(_gather(every, begin, n))
-                run = np.concatenate([[0], np.cumsum(n)])
-                ends.append(ends[-1][-1] + run[word_offs[1:]])
-            held_back.clear()
-
-        for _, _, data, offs in text_chunks(_spaces_for_marks(text)):
-            k, gap, a, b, word_offs = _marked(data, offs)
-            at, known = lookup(keys, k)
-            other = np.flatnonzero(~known)
-            u, first = np.unique(k[other], return_index=True)
-            rare = dict(zip(u.tolist(), _spell(data, *(x[other[first]] for x in (gap, a, b)))))
-            held_back.append((k, word_offs, at, known, rare))
-            if len(held_back) == TOGETHER:
-                finish()
-        finish()
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(values)))
+        encoder = _encoder(model.value)
+        keys, second, start, size, pool = head.value
+        values, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for g in _groups(text):
+            k = g.keys[g.first]
+            at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+            known = (keys[at] == k) & (second[at] == g.second[g.first]) if len(keys) else np.zeros(len(k), bool)
+            rare = np.flatnonzero(~known)
+            spelled = _words(g.spelled(rare))
+            order = sorted(range(len(rare)), key=spelled.__getitem__)
+            ids, n = encoder.encode_sorted([spelled[i] for i in order])
+            begin, many = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+            if len(keys):
+                begin[known], many[known] = start[at[known]], size[at[known]]
+            begin[rare[order]], many[rare[order]] = len(pool) + np.cumsum(n) - n, n
+            many = many[g.inverse]
+            values.append(_gather(np.concatenate([pool, ids]), begin[g.inverse], many))
+            run = np.concatenate([[0], np.cumsum(many)])
+            counts.append(np.diff(run[g.offs]))
+        offs = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(values)))
 
     return encode
 
@@ -294,6 +427,14 @@ def _encoder_udf(model, head):
 def _decoder_udf(model):
     held: dict = {}
 
+    def spell(ids: np.ndarray, offs: np.ndarray) -> list[str]:
+        """Texts of ids[offs[i]:offs[i+1]]."""
+        size = held["size"][ids]
+        raw = _gather(held["pool"], held["start"][ids], size).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[offs].tolist()
+        parts = (raw[a:b] for a, b in zip(ends[:-1], ends[1:]))
+        return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in parts]
+
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
@@ -309,35 +450,38 @@ def _decoder_udf(model):
             size = np.array([len(x) for x in spelled], np.int64)
             held.update(size=size, start=np.cumsum(size) - size, pool=np.frombuffer(b"".join(spelled), np.uint8))
         ids = pc.fill_null(ids, [])
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat[(flat < 0) | (flat >= len(held["size"]))] = len(held["size"]) - 1
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
         offs = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        out = []
-        for i in range(len(offs) - 1):
-            part = flat[offs[i] : offs[i + 1]]
-            raw = _gather(held["pool"], held["start"][part], held["size"][part]).tobytes()
-            out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+        out, i = [], 0
+        while i < len(ids):
+            j = min(len(ids), max(i + 1, int(np.searchsorted(offs, offs[i] + (1 << 20), "right")) - 1))
+            part = flat[offs[i] : offs[j]].astype(np.int64)
+            part[(part < 0) | (part >= len(held["size"]))] = len(held["size"]) - 1
+            out += spell(part, offs[i : j + 1] - offs[i])
+            i = j
         return pa.array(out, pa.string())
 
     return decode
 
 
-def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", head_limit: int = HEAD_LIMIT) -> DataFrame:
+def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", head_limit: int = HEAD_WORDS) -> DataFrame:
     """``docs`` with the piece ids of its text column as array<int>."""
     spark = docs.sparkSession
+    tmp = Scratch(spark, "pieces")
     shared = spark.sparkContext.broadcast(model)
     column = F.col(text).cast("string")
-    words = docs.select(column.alias("text")).mapInArrow(_distinct, "h long, w string, cnt long").groupBy("h", "w").agg(F.sum("cnt").alias("cnt"))
-    words = Scratch(spark, "pieces").save(words, "words")
-    head_words = words.where(F.col("cnt") >= head_threshold(words, head_limit)).sortWithinPartitions("w")
-    table = head_words.mapInArrow(_encode_words(shared), "h long, cnt long, ids binary").select("h", "ids").toArrow()
-    keys = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    words = docs.select(column.alias("text")).mapInArrow(_distinct, "h long, h2 long, w binary, cnt long").groupBy("h", "h2", "w").agg(F.sum("cnt").alias("cnt"))
+    words = tmp.save(words.where(F.octet_length("w") <= HEAD_BYTES), "words")
+    common = words.where(F.col("cnt") >= head_threshold(words, head_limit)).sortWithinPartitions("w")
+    table = common.select("h", "h2", "w").mapInArrow(_encode_words(shared), "h long, h2 long, ids binary").toArrow()
+    tmp.drop(words)
+    keys, second = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h", "h2"))
     order = np.argsort(keys)
     raw = table.column("ids").combine_chunks()
     raw = raw if not isinstance(raw, pa.ChunkedArray) else pa.concat_arrays(raw.chunks)
     bounds = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 4 if len(raw) else np.zeros(1, np.int64)
     pool = np.frombuffer(raw.buffers()[2], np.int32).copy() if len(raw) and raw.buffers()[2] is not None else np.zeros(0, np.int32)
-    head = spark.sparkContext.broadcast((keys[order], bounds[:-1][order], np.diff(bounds)[order], pool))
+    head = spark.sparkContext.broadcast((keys[order], second[order], bounds[:-1][order], np.diff(bounds)[order], pool))
     return docs.withColumn(ids, _encoder_udf(shared, head)(column))
 
 

@@ -20,7 +20,6 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE_VALUE[_SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -29,13 +28,15 @@ _SHORT = _RNG.integers(1, 2**63, 16, dtype=np.uint64)
 
 
 class Words(NamedTuple):
-    """Words of one chunk: byte span, hash, and for document i the words offs[i]:offs[i+1]."""
+    """Words of one chunk: byte span, hash, and for document i the words offs[i]:offs[i+1]. ``second``: another
+    64 bits of each word's hash, if asked for."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     offs: np.ndarray
+    second: np.ndarray | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,7 +76,8 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def words_of(data: np.ndarray, doc_offs: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+def words_of(data: np.ndarray, doc_offs: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE, second: bool = False) -> Words:
+    """Words between the bytes of ``space``; every other byte takes part in the hash."""
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -91,7 +93,7 @@ def words_of(data: np.ndarray, doc_offs: np.ndarray, lower: bool = True, space:
     ends = np.flatnonzero(last) + 1
     offs = np.searchsorted(starts, doc_offs)
     if len(starts) == 0:
-        return Words(data, starts, ends, np.zeros(0, np.uint64), offs)
+        return Words(data, starts, ends, np.zeros(0, np.uint64), offs, np.zeros(0, np.uint64))
     lens = ends - starts
     value = _BYTE_VALUE[data]
     value[~inside] = 0
@@ -100,7 +102,24 @@ def words_of(data: np.ndarray, doc_offs: np.ndarray, lower: bool = True, space:
     power = powers(int(lens.max()))
     value *= power[np.minimum(at, len(power) - 1)]
     hashes = mix(np.add.reduceat(value, starts) + lens.astype(np.uint64) * _GRAM[15])
-    return Words(data, starts, ends, hashes, offs)
+    other = None
+    if second:
+        # a sum of non-linear terms of the same bytes and places
+        value ^= value >> np.uint64(29)
+        value *= _GRAM[13]
+        other = mix(np.add.reduceat(value, starts) ^ (lens.astype(np.uint64) * _GRAM[14]))
+    return Words(data, starts, ends, hashes, offs, other)
+
+
+def distinct_keys(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of one row for each distinct pair of 64-bit keys, the number in that list of each row)."""
+    _, at, inverse = np.unique(first, return_index=True, return_inverse=True)
+    if (second[at][inverse] == second).all():
+        return at, inverse
+    pairs = np.empty(len(first), [("a", np.uint64), ("b", np.uint64)])
+    pairs["a"], pairs["b"] = first, second
+    _, at, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+    return at, inverse
 
 
 def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -15,17 +15,20 @@ HEAD_LIMIT = 1_000_000
 
 
 def head_threshold(vocab: DataFrame, head_limit: int = HEAD_LIMIT) -> int:
-    """Smallest count c such that at most ``head_limit`` rows have cnt >= c.
+    """A count c such that at most ``head_limit`` rows have cnt >= c; the smallest of those with six leading binary digits.
 
-    The histogram of counts has few rows: distinct counts grow as the square root of the
-    corpus at most, and counts are cut at 2**20 here."""
+    The histogram of the counts so rounded has at most 32 rows for each of 63 magnitudes."""
+    shift = F.greatest(F.lit(0), F.length(F.bin("cnt")) - 6).cast("int")
+    rounded = F.expr("shiftleft(shiftright(cnt, _s), _s)")
     hist = (
-        vocab.groupBy(F.least("cnt", F.lit(1 << 20)).alias("c"))
+        vocab.where("cnt > 0")
+        .select("cnt", shift.alias("_s"))
+        .groupBy(rounded.alias("c"))
         .agg(F.count("*").alias("n"))
         .toPandas()
         .sort_values("c", ascending=False)
     )
-    total, best = 0, (1 << 20) + 1
+    total, best = 0, 2**62
     for c, n in zip(hist["c"], hist["n"]):
         total += int(n)
         if total > head_limit:

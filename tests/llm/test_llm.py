@@ -23,6 +23,8 @@ from spanweave.llm import (
     op10_sharding,
 )
 from spanweave.llm.queries import ORACLE, QUERIES
+from spanweave.llm.text import distinct_keys, words_of
+from spanweave.llm.vocab import head_threshold
 
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, size string, score string, row string, g string, ids string"
 RNG = np.random.default_rng(11)
@@ -60,12 +62,12 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def words(text):
+def byte_words(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
 
 
 def shingles(text):
-    w = words(text)
+    w = byte_words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
@@ -237,7 +239,7 @@ def test_bits_follow_the_measured_buckets():
 
 def test_decontaminate(spark, docs, none):
     texts = [t for _, t, *_ in ROWS]
-    long = words(texts[7])
+    long = byte_words(texts[7])
     items = [(0, b" ".join(long[20_000:20_030]).decode()), (1, b" ".join(long[5:30]).decode().upper()), (2, None), (3, ""), (4, "a b c d"), (5, prose(30)), (5, texts[12]), (None, "two words"), (6, b" ".join([*long[100:125], b"zz", *long[126:160]]).decode())]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, shared int")
     want = Counter()
@@ -330,7 +332,7 @@ def held(i):
 
 @pytest.mark.parametrize("limits", [(10**6, 10**8), (20, 200)])
 def test_lm_scores(docs, none, limits):
-    tokens = [[*words(t), None] for _, t, *_ in ROWS]
+    tokens = [[*byte_words(t), None] for _, t, *_ in ROWS]
     counts = Counter(w for (i, *_), seq in zip(ROWS, tokens) if not held(i) for w in seq)
     n, v = sum(counts.values()), len(counts)
     want = Counter()
@@ -490,6 +492,8 @@ def test_sentencepiece(spark, none, head):
     sp = sentencepiece.SentencePieceProcessor(model_file=op09_sentencepiece.model_path())
     model = op09_sentencepiece.load_model(op09_sentencepiece.model_path())
     rows = [(r[0], r[1]) for r in ROWS] + [(800, " "), (801, "   lead  and   trail   "), (802, "x▁y ▁"), (803, "中文\U0001f600 aaaaaa <s> \t\n"), (804, "a" * 3000)]
+    # words that differ in white space other than blanks only
+    rows += [(810 + k, t) for k, t in enumerate(["foo\tbar baz", "foo\nbar baz", "foo\rbar baz", "foo\x0bbar baz", "a\n\nb", "a\r\nb", "a\nb"])]
     df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, ids int, decoded string")
     got = op09_sentencepiece.decode(op09_sentencepiece.encode(df, model, head_limit=head), model).collect()
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter((i, tuple(sp.encode(t or "")), sp.decode(sp.encode(t or ""))) for i, t in rows)
@@ -507,8 +511,31 @@ def test_unigram_passes_find_the_best_sum():
             top[i] = max(top[k] + model["scores"][ids[w[k:i]]] for k in range(i) if w[k:i] in ids)
         return top[-1]
 
-    for w, got in zip(rows, op09_sentencepiece.Encoder(model).encode_sorted(rows)):
+    encoder = op09_sentencepiece.Encoder(model)
+    flat, sizes = encoder.encode_sorted(rows)
+    for w, got in zip(rows, np.split(flat, np.cumsum(sizes)[:-1])):
         assert math.isclose(sum(model["scores"][i] for i in got), best(w))
+    assert 0.2 < encoder.reused / encoder.states < 1
+
+
+def test_words_of_one_hash_stay_apart():
+    first, second = np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    at, number = distinct_keys(first, second)
+    assert len(at) == 3 and number[0] == number[3] != number[1]
+    chunk = np.frombuffer(b"a\tb a\nb a\tb", np.uint8)
+    blank = np.zeros(256, bool)
+    blank[32] = True
+    for key in (w := words_of(chunk, np.array([0, len(chunk)]), space=blank, second=True)).hashes, w.second:
+        assert key[0] == key[2] != key[1]
+
+
+def test_head_threshold_is_a_bound(spark):
+    for counts in ([2**40 + k for k in range(50)], [3] * 40 + [10**6] * 5, list(range(1, 300))):
+        df = spark.createDataFrame([(c,) for c in counts], "cnt long")
+        for limit in (0, 4, 40, 1000):
+            cut = head_threshold(df, limit)
+            assert sum(c >= cut for c in counts) <= limit
+        assert head_threshold(df, 1000) <= min(counts)
 
 
 # 10
