@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-setting is absent (local tests) a temporary folder of this machine is used.
+setting is absent and the master is local (tests) a temporary folder of this machine is used;
+a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_COLLECTING: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spanweave-")
@@ -37,6 +44,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        for opened in _COLLECTING:
+            opened.append(self)
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         self._n += 1
@@ -59,8 +68,23 @@ class Scratch:
 
     def drop(self, *saved: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def remove(self) -> None:
+        """Delete all tables: the results that read them have been written."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def collecting(opened: list[Scratch]) -> Iterator[None]:
+    """Within this context every new Scratch is also appended to ``opened``, for its owner to remove."""
+    _COLLECTING.append(opened)
+    try:
+        yield
+    finally:
+        _COLLECTING.remove(opened)
