@@ -3,15 +3,16 @@
 Counts are quantised to levels (thresholds growing by half). A bigram of level q is stored as q
 entries of a Bloom filter, (bigram, 1) to (bigram, q); probing (bigram, 1), (bigram, 2), ... until
 the first miss gives its level back, never too low, and too high with small probability. The
-filter has a fixed number of bits for each entry, so it grows with the corpus; it is cut into
-shards of at most ``SHARD_BYTES`` by the bigram's first word. Each is broadcast, and a task holds one
-at a time.
+filter has a fixed number of bits for each entry, so it grows with the corpus; it is cut into segments by the bigram.
+Up to ``BROADCAST_BYTES`` its segments are broadcast in shards of at most ``SHARD_BYTES``, of which a task holds one at a
+time. A larger filter is not broadcast: the distinct bigrams of each text are sent to the segments instead (salted, as one
+bigram may be in every text) and probed there. Both give the same scores.
 
-p(w | v) = a * c(v,w) / c(v) + (1 - a) * u(w): a is learnt for each magnitude of c(v) by leaving one
-out over a tenth of the training texts; u(w) is the additive unigram estimate that the base score
-has too. c(v) and u(w) are exact for every word: the commonest ``head_limit`` words are broadcast, and
-tokens of which either word is outside the head get the missing counts by shuffle joins, in learning as
-in scoring, so the scores do not depend on ``head_limit``. A first word that training has not seen leaves u(w).
+p(w | v) = (c(v,w) + m * u(w)) / (c(v) + m), additive smoothing with the unigram estimate u(w) (that of the base score) as
+the prior; its weight m is the mean number of different successors of a word in all training texts. c(v,w) is the
+filter's count, at most c(v). c(v) and u(w) are exact for every word: the commonest ``head_limit`` words are broadcast, and
+tokens of which either word is outside the head get the missing counts by shuffle joins, so the scores do not depend on
+``head_limit``. A first word that training has not seen leaves u(w).
 
 Defined cases: null counts as empty and consists of the end token; a null doc_id counts as the empty
 string, so it is held out; repeated rows are scored each; without training rows c and N are 0; an empty
@@ -32,15 +33,17 @@ from spanweave.llm.vocab import HEAD_LIMIT, collect_sorted, head_threshold, look
 from spanweave.scratch import Scratch
 
 SHARD_BYTES = 32_000_000
+BROADCAST_BYTES = 512_000_000
 BITS_PER_ENTRY = 10
+#: Copies of a segment among which its probes are dealt where the filter is not broadcast.
+SALTS = 8
+#: Bytes of text whose tokens are looked up together.
+GROUP_BYTES = 4 << 20
 PROBES = 4
 #: Bigram positions for each segment of the filter, about.
 SEGMENT_POSITIONS = 1 << 19
 END, START = np.uint64(0xE220A8397B1DCDAF), np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
-WEIGHTS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 0.97])
-#: Magnitudes of c(v): log2 up to 62.
-CLASSES = 63
 
 
 def _levels() -> np.ndarray:
@@ -70,23 +73,23 @@ def _contexts(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, counts = [], []
-        for _, _, data, offs in text_chunks(batch.column(0)):
-            h, n = np.unique(_tokens(data, offs)[0], return_counts=True)
-            keys.append(h)
-            counts.append(n)
-        if keys:
-            h, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(h)).astype(np.int64)
+        for _, _, tokens, _ in _groups(batch.column(0)):
+            h, n = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "cnt"])
 
 
+def _groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Tokens of consecutive texts with some megabytes together."""
+    for i, j, data, offs in text_chunks(column, size):
+        yield (i, j, *_tokens(data, offs))
+
+
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _PAIR + second)
 
 
-def _segment(first: np.ndarray, segments: int) -> np.ndarray:
-    return (mix(first ^ _PAIR) % np.uint64(segments)).astype(np.int32)
+def _segment(key: np.ndarray, segments: int) -> np.ndarray:
+    return (mix(key ^ _PAIR) % np.uint64(segments)).astype(np.int32)
 
 
 def _bigram_blocks(segments: int):
@@ -94,9 +97,8 @@ def _bigram_blocks(segments: int):
     text, summed before the shuffle."""
 
     def flush(held):
-        first, key = (np.concatenate(x) for x in zip(*held))
-        key, at, n = np.unique(key, return_index=True, return_counts=True)
-        seg = _segment(first[at], segments)
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        seg = _segment(key, segments)
         order = np.argsort(seg, kind="stable")
         seg, key, n = seg[order], key[order], n[order].astype(np.uint32)
         edges = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]])
@@ -115,9 +117,8 @@ def _bigram_blocks(segments: int):
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
                 tokens, token_offs = _tokens(data, offs)
-                first = _contexts(tokens, token_offs)
-                held.append((first, _pair_key(first, tokens)))
-                size += len(first)
+                held.append(_pair_key(_contexts(tokens, token_offs), tokens))
+                size += len(tokens)
                 if size >= 1_000_000:
                     yield flush(held)
                     held, size = [], 0
@@ -135,10 +136,10 @@ def _probe_bits(key: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.nd
         yield ((a + np.uint64(i) * b) >> np.uint64(8)) % bits
 
 
-def filter_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def filter_of(keys: np.ndarray, counts: np.ndarray, per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The filter's bytes for distinct keys and their counts."""
     level = np.searchsorted(LEVELS, counts, "right")
-    bits = np.uint64(max(64, BITS_PER_ENTRY * int(level.sum())))
+    bits = np.uint64(max(64, per_entry * int(level.sum())))
     out = np.zeros(int(bits + np.uint64(7)) // 8 * 8, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
         key = keys[level >= q]
@@ -147,26 +148,29 @@ def filter_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([bits], np.uint64).view(np.uint8), np.packbits(out, bitorder="little")])
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by segment -> segment, filter."""
+def _filters(per_entry: int):
+    """Rows ordered by segment -> segment, distinct bigrams, filter."""
 
     def done(seg, parts):
         key = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in parts])
         n = np.concatenate([np.frombuffer(c, np.uint8 if 8 * len(c) == len(k) else np.uint32).astype(np.int64) for k, c in parts])
         key, inverse = np.unique(key, return_inverse=True)
-        raw = filter_of(key, np.bincount(inverse, n, len(key)).astype(np.int64)).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([raw], pa.binary())], ["segment", "filter"])
+        raw = filter_of(key, np.bincount(inverse, n, len(key)).astype(np.int64), per_entry).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([raw], pa.binary())], ["segment", "pairs", "filter"])
 
-    last, parts = None, []
-    for batch in batches:
-        for seg, k, c in zip(*(batch.column(x).to_pylist() for x in range(3))):
-            if parts and seg != last:
-                yield done(last, parts)
-                parts = []
-            last = seg
-            parts.append((k, c))
-    if parts:
-        yield done(last, parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            for seg, k, c in zip(*(batch.column(x).to_pylist() for x in range(3))):
+                if parts and seg != last:
+                    yield done(last, parts)
+                    parts = []
+                last = seg
+                parts.append((k, c))
+        if parts:
+            yield done(last, parts)
+
+    return run
 
 
 class Shard:
@@ -175,6 +179,17 @@ class Shard:
     def __init__(self, raw: np.ndarray, begin: np.ndarray, bits: np.ndarray):
         self.raw, self.begin, self.bits = raw, begin, bits
 
+    @classmethod
+    def of(cls, segments: int, filters: list[tuple[int, bytes]]):
+        begin, bits = np.zeros(segments, np.int64), np.zeros(segments, np.uint64)
+        parts, run = [np.zeros(0, np.uint8)], 0
+        for seg, raw in filters:
+            part = np.frombuffer(raw, np.uint8)
+            bits[seg], begin[seg] = part[:8].view(np.uint64)[0], run
+            parts.append(part[8:])
+            run += len(part) - 8
+        return cls(np.concatenate(parts), begin, bits)
+
     def levels(self, key: np.ndarray, seg: np.ndarray) -> np.ndarray:
         """Level of each bigram by repeated probes; 0 where its segment is not here."""
         out = np.zeros(len(key), np.int64)
@@ -201,6 +216,8 @@ def _open(broadcast, alone: bool) -> Shard:
 
 
 class Model:
+    """Counts of the head's words, and the filter if it is broadcast (``shards`` None: it is not)."""
+
     def __init__(self, head, shards, facts: dict):
         self.keys, self.counts = head
         self.shards, self.facts = shards, facts
@@ -208,97 +225,38 @@ class Model:
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (self.facts["n"] + 0.1 * (self.facts["v"] + 1))
 
-    def bigrams(self, first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        key, seg = _pair_key(first, tokens), _segment(first, self.facts["segments"])
+    def bigrams(self, key: np.ndarray) -> np.ndarray:
         level = np.zeros(len(key), np.int64)
-        for b in self.shards:
+        seg = _segment(key, self.facts["segments"])
+        for b in self.shards or []:
             level += _open(b, len(self.shards) == 1).levels(key, seg)
         return COUNT_OF[level]
 
-    def contexts(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c(v), whether it is known here)."""
-        at, known = lookup(self.keys, first)
-        c = np.where(known, self.counts[at] if len(self.keys) else 0, 1).astype(np.int64)
-        c[first == START] = max(1, self.facts["texts"])
-        return c, known | (first == START)
-
-    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c(w), whether it is known here)."""
-        at, known = lookup(self.keys, tokens)
-        return np.where(known, self.counts[at] if len(self.keys) else 0, 1).astype(np.int64), known
-
-
-def _magnitude(c: np.ndarray) -> np.ndarray:
-    return np.frexp(c.astype(float))[1] - 1
-
-
-def _open_tokens(group: np.ndarray, first, tokens, cv, known_v, cw, known_w, pairs) -> dict[str, np.ndarray]:
-    """Distinct (group, bigram) of which a word's count comes with a join. kind: 1 for the first word, 2 for the
-    second one, 3 for both. a, b: the words. c: the count of the word that is known. n: occurrences. x: c(v, w)."""
-    at = np.flatnonzero(~(known_v & known_w))
-    key = mix(_pair_key(first[at], tokens[at]) + group[at].astype(np.uint64) * _PAIR)
-    _, one, n = np.unique(key, return_index=True, return_counts=True)
-    at = at[one]
-    kind = np.where(known_v[at], 0, 1).astype(np.int32) + np.where(known_w[at], 0, 2).astype(np.int32)
-    return {
-        "kind": kind,
-        "group": group[at],
-        "a": first[at].view(np.int64),
-        "b": tokens[at].view(np.int64),
-        "c": np.where(known_v[at], cv[at], np.where(known_w[at], cw[at], 0)),
-        "n": n.astype(np.int64),
-        "x": pairs[at],
-    }
-
-
-def _groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Tokens of consecutive texts with some megabytes together."""
-    for i, j, data, offs in text_chunks(column, size):
-        yield (i, j, *_tokens(data, offs))
+    def counts_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count in training, whether it is known here)."""
+        at, known = lookup(self.keys, words)
+        c = np.where(known, self.counts[at] if len(self.keys) else 0, 0).astype(np.int64)
+        c[words == START] = self.facts["texts"]
+        return c, known | (words == START)
 
+    def log_p(self, pairs: np.ndarray, cv: np.ndarray, u: np.ndarray) -> np.ndarray:
+        m = self.facts["prior"]
+        return np.log10((np.minimum(pairs, cv) + m * u) / (cv + m))
 
-def _learn(head, shards, facts):
-    """kind 0: class, w0..: log10 likelihoods of training tokens, each left out, for each weight. Other kinds: open tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(head.value, shards, facts)
-        total = np.zeros((CLASSES, len(WEIGHTS)))
-        names = [f"w{k}" for k in range(len(WEIGHTS))]
-        for batch in batches:
-            for _, _, tokens, offs in _groups(batch.column(0)):
-                first = _contexts(tokens, offs)
-                cw, known_w = model.words(tokens)
-                cv, known_v = model.contexts(first)
-                pairs = model.bigrams(first, tokens)
-                done = known_v & known_w
-                u = model.unigram(np.maximum(cw[done] - 1.0, 0))
-                share = np.clip((pairs[done] - 1) / np.maximum(cv[done] - 1, 1), 0, 1)
-                kind = _magnitude(cv[done])
-                for k, a in enumerate(WEIGHTS):
-                    total[:, k] += np.bincount(kind, np.log10(a * share + (1 - a) * u), CLASSES)
-                o = _open_tokens(np.zeros(len(tokens), np.int64), first, tokens, cv, known_v, cw, known_w, pairs)
-                none = pa.nulls(len(o["n"]), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(o[c]) for c in ("kind", "group", "a", "b", "c", "n", "x")), *(none for _ in names)], _OPEN + names)
-        zero = pa.array(np.zeros(CLASSES, np.int64))
-        columns = [pa.array(np.zeros(CLASSES, np.int32)), pa.array(np.arange(CLASSES)), zero, zero, zero, zero, pa.array(np.zeros(CLASSES))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(total[:, k]) for k in range(len(WEIGHTS)))], _OPEN + names)
-
-    return run
-
-
-_OPEN = ["kind", "group", "a", "b", "c", "n", "x"]
-_OPEN_SCHEMA = "kind int, group long, a long, b long, c long, n long, x double"
+_OPEN = ["kind", "group", "a", "b", "cv", "cw", "n", "x"]
+_OPEN_SCHEMA = "kind int, group long, a long, b long, cv long, cw long, n long, x double"
 
 
 def _score(head, shards, facts):
-    """kind 0: row (group), doc_id, tokens (a), known ones in the head (b), base (x) and score (y) but for
-    what is open. Other kinds: open tokens."""
+    """kind 0: row (group), doc_id, tokens (a), known ones in the head (b), base (x) and score (y) but for what is open.
+    Other kinds, one row for each distinct (text, bigram) that is open: bit 0, the count of the first word (cv) is to
+    come; bit 1, that of the second one (cw); bit 2, both are known and only the bigram's (x) is to come. n: occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model = Model(head.value, shards, facts)
-        weight = np.array(facts["weights"])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
@@ -307,22 +265,28 @@ def _score(head, shards, facts):
                 rows = np.arange(row, row + n)
                 row += n
                 first = _contexts(tokens, offs)
-                cw, known_w = model.words(tokens)
+                key = _pair_key(first, tokens)
+                (cw, known_w), (cv, known_v) = model.counts_of(tokens), model.counts_of(first)
                 u = model.unigram(cw.astype(float))
-                cv, known_v = model.contexts(first)
-                pairs = model.bigrams(first, tokens)
-                a = weight[_magnitude(cv)]
-                p = a * np.minimum(pairs / cv, 1) + (1 - a) * u
-                y = np.where(known_v & known_w, np.log10(p), 0)
                 x = np.where(known_w, np.log10(u), 0)
+                if shards is None:
+                    pairs, done = np.zeros(len(key)), np.zeros(len(key), bool)
+                else:
+                    pairs, done = model.bigrams(key), known_v & known_w
+                y = np.where(done, model.log_p(pairs, cv, u), 0)
                 known_n, base, score = (np.add.reduceat(v, offs[:-1]) for v in (known_w.astype(np.int64), x, y))
-                o = _open_tokens(np.repeat(rows, np.diff(offs)), first, tokens, cv, known_v, cw, known_w, pairs)
-                m = len(o["n"])
+                at = np.flatnonzero(~done)
+                owner = np.repeat(rows, np.diff(offs))[at]
+                _, one, times = np.unique(mix(key[at] + owner.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
+                at, owner, m = at[one], owner[one], len(one)
+                kind = np.where(known_v[at], 0, 1) + np.where(known_w[at], 0, 2)
+                kind[kind == 0] = 4
                 zero = np.zeros(n, np.int64)
-                docs = [zero.astype(np.int32), rows, np.diff(offs), known_n, zero, zero, base]
+                docs = [zero.astype(np.int32), rows, np.diff(offs), known_n, zero, zero, zero, base]
+                more = [kind.astype(np.int32), owner, first[at].view(np.int64), tokens[at].view(np.int64), cv[at], cw[at], times.astype(np.int64), pairs[at]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array(np.concatenate([d, o[c]])) for c, d in zip(_OPEN, docs)),
+                        *(pa.array(np.concatenate([d, o])) for d, o in zip(docs, more)),
                         pa.concat_arrays([ids.slice(i, n), pa.nulls(m, pa.int64())]),
                         pa.array(np.concatenate([score, np.zeros(m)])),
                     ],
@@ -332,15 +296,59 @@ def _score(head, shards, facts):
     return run
 
 
+def _places(segments: int):
+    """Open tokens -> the same with their segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(_segment(_pair_key(a, b), segments)), *batch.columns], ["segment", *batch.schema.names])
+
+    return run
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by segment and salt, the filter first -> open tokens with the count of their bigram (x)."""
+    shard = None
+    for batch in batches:
+        seg, raw = batch.column("segment").to_numpy(), batch.column("filter")
+        edges = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        cuts = sorted({0, *edges, batch.num_rows})
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            part = batch.slice(i, j - i)
+            if part.column("filter")[0].is_valid:
+                shard = int(seg[i]), Shard.of(1, [(0, part.column("filter")[0].as_py())])
+                part = part.slice(1)
+            if not part.num_rows:
+                continue
+            a, b = (part.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+            here = (seg[j - part.num_rows : j] == shard[0]) if shard else np.zeros(part.num_rows, bool)
+            x = COUNT_OF[shard[1].levels(_pair_key(a, b), np.zeros(len(a), np.int64))] if shard else np.zeros(len(a))
+            columns = [part.column(c) for c in _OPEN[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(here, x, 0.0))], _OPEN)
+
+
+def _probe_by_segment(tokens: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
+    """Open tokens with x, by a shuffle to the filter's segments."""
+    placed = tokens.mapInArrow(_places(segments), "segment int, " + _OPEN_SCHEMA)
+    placed = placed.select("segment", F.pmod(F.xxhash64("group"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), *_OPEN)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    tables = filters.select("segment", "filter").withColumn("salt", salts)
+    both = tables.unionByName(placed, allowMissingColumns=True).select("segment", "salt", "filter", *_OPEN)
+    order = F.col("filter").isNull()
+    return both.repartition("segment", "salt").sortWithinPartitions("segment", "salt", order).mapInArrow(_probed, _OPEN_SCHEMA)
+
+
 def _resolved(tokens: DataFrame, tail: DataFrame) -> DataFrame:
     """Open tokens with cv and cw: exact counts of both words, 0 for words not in training."""
     found = lambda key, name: tail.select(F.col("h").alias(key), F.col("cnt").alias(name))
     count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
     own = ["kind", "group", "n", "x"]
-    first = tokens.where("kind = 1").join(found("a", "cv"), "a", "left").select(*own, count("cv"), F.col("c").alias("cw"))
-    both = tokens.where("kind = 3").join(found("a", "cv"), "a", "left").select(*own, "b", count("cv"))
-    second = tokens.where("kind = 2").select(*own, "b", F.col("c").alias("cv")).unionByName(both)
-    return first.unionByName(second.join(found("b", "cw"), "b", "left").select(*own, "cv", count("cw")))
+    first = tokens.where("kind = 1").drop("cv").join(found("a", "cv"), "a", "left").select(*own, count("cv"), "cw")
+    both = tokens.where("kind = 3").drop("cv").join(found("a", "cv"), "a", "left").select(*own, "b", count("cv"))
+    second = tokens.where("kind = 2").select(*own, "b", "cv").unionByName(both)
+    second = second.join(found("b", "cw"), "b", "left").select(*own, "cv", count("cw"))
+    return first.unionByName(second).unionByName(tokens.where("kind = 4").select(*own, "cv", "cw"))
 
 
 def _broadcast_shards(filters: DataFrame, segments: int, limit: int) -> list:
@@ -348,30 +356,25 @@ def _broadcast_shards(filters: DataFrame, segments: int, limit: int) -> list:
     the driver holds one at a time."""
     sc = filters.sparkSession.sparkContext
     sizes = filters.select("segment", F.length("filter").alias("n")).orderBy("segment").toPandas()
-    out, first, held = [], 0, 0
-    spans = []
+    first, held, spans = 0, 0, []
     for seg, n in zip(sizes["segment"].tolist(), sizes["n"].tolist()):
         if held and held + n > limit:
             spans.append((first, seg))
             first, held = seg, 0
         held += n
     spans.append((first, segments))
+    out = []
     for a, b in spans:
-        table = filters.where((F.col("segment") >= a) & (F.col("segment") < b)).toArrow()
-        begin, bits = np.zeros(segments, np.int64), np.zeros(segments, np.uint64)
-        parts, run = [np.zeros(0, np.uint8)], 0
-        for seg, raw in zip(table.column("segment").to_pylist(), table.column("filter").to_pylist()):
-            part = np.frombuffer(raw, np.uint8)
-            bits[seg] = part[:8].view(np.uint64)[0]
-            begin[seg] = run
-            parts.append(part[8:])
-            run += len(part) - 8
-        out.append(sc.broadcast((np.concatenate(parts), begin, bits)))
-        del table, parts
+        rows = filters.where((F.col("segment") >= a) & (F.col("segment") < b)).select("segment", "filter").toArrow()
+        shard = Shard.of(segments, list(zip(rows.column("segment").to_pylist(), rows.column("filter").to_pylist())))
+        out.append(sc.broadcast((shard.raw, shard.begin, shard.bits)))
+        del rows, shard
     return out
 
 
-def lm_scores(docs: DataFrame, head_limit: int = HEAD_LIMIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, head_limit: int = HEAD_LIMIT, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entry: int = BITS_PER_ENTRY
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -389,41 +392,25 @@ def lm_scores(docs: DataFrame, head_limit: int = HEAD_LIMIT, shard_bytes: int =
         train.mapInArrow(_bigram_blocks(segments), "segment int, keys binary, counts binary")
         .repartition("segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(_filters, "segment int, filter binary")
+        .mapInArrow(_filters(bits_per_entry), "segment int, pairs long, filter binary")
     )
     filters = tmp.save(filters, "filters")
-    shards = _broadcast_shards(filters, segments, shard_bytes)
-    facts = {"n": n, "v": v, "texts": texts, "segments": segments}
-    rare = counts.where(F.col("cnt") < cut)
-    unigram = lambda c: (c + 0.1) / F.lit(n + 0.1 * (v + 1))
-    magnitude = F.length(F.bin(F.greatest("cv", F.lit(1)))) - 1
-    names = [f"w{k}" for k in range(len(WEIGHTS))]
-    learnt = tmp.save(
-        rows.where(part == 1).select("text").mapInArrow(_learn(head, shards, facts), _OPEN_SCHEMA + "".join(f", {w} double" for w in names)),
-        "learnt",
-        partition_by="kind",
-    )
-    share = F.least(F.greatest((F.col("x") - 1) / F.greatest(F.col("cv") - 1, F.lit(1)), F.lit(0.0)), F.lit(1.0))
-    u = unigram(F.greatest(F.col("cw") - 1, F.lit(0)))
-    left_out = [F.sum(F.col("n") * F.log10(F.lit(float(a)) * share + F.lit(1 - float(a)) * u)).alias(w) for a, w in zip(WEIGHTS, names)]
-    classes = learnt.where("kind = 0").select(F.col("group").alias("class"), *names)
-    classes = classes.unionByName(_resolved(learnt, rare).groupBy(magnitude.cast("long").alias("class")).agg(*left_out))
-    learnt = (
-        classes.groupBy("class")
-        .agg(*[F.sum(w).alias(w) for w in names])
-        .toPandas()
-        .set_index("class")
-        .reindex(range(CLASSES), fill_value=0.0)[names]
-        .to_numpy()
-    )
-    facts["weights"] = WEIGHTS[learnt.argmax(1)].tolist()
+    pairs, size = filters.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()
+    # a word of training, the start among them and the end not, has so many different successors on average
+    prior = pairs / v if pairs else 1.0
+    facts = {"n": n, "v": v, "texts": texts, "segments": segments, "prior": prior}
+    shards = _broadcast_shards(filters, segments, shard_bytes) if size <= broadcast_bytes else None
     scored = tmp.save(rows.mapInArrow(_score(head, shards, facts), _OPEN_SCHEMA + ", doc_id long, y double"), "scored", partition_by="kind")
-    weight = F.when(F.col("cv") == 0, 0.0).otherwise(F.get(F.array(*map(F.lit, facts["weights"])), magnitude))
-    u = unigram(F.col("cw"))
-    p = weight * F.least(F.col("x") / F.greatest("cv", F.lit(1)), F.lit(1.0)) + (1 - weight) * u
-    second = F.col("kind") != 1
+    for b in (head, *(shards or [])):
+        b.destroy()
+    tokens = scored.where("kind > 0").select(*_OPEN)
+    if shards is None:
+        tokens = _probe_by_segment(tokens, filters, segments)
+    u = (F.col("cw") + 0.1) / F.lit(n + 0.1 * (v + 1))
+    p = (F.least(F.col("x"), F.col("cv").cast("double")) + F.lit(prior) * u) / (F.col("cv") + F.lit(prior))
+    second = F.col("kind").isin(2, 3)
     tail = (
-        _resolved(scored, rare)
+        _resolved(tokens, counts.where(F.col("cnt") < cut))
         .groupBy("group")
         .agg(
             F.sum(F.when(second & (F.col("cw") > 0), F.col("n")).otherwise(0)).alias("k"),

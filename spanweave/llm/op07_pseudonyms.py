@@ -1,21 +1,26 @@
 """Format-preserving pseudonyms for validated numbers and dates, in Spark expressions only.
 
 A value is read as digits of a mixed-radix number; an 8-round alternating Feistel network over
-these digits (round function: SHA-256 of key, kind, round and the other half, added modulo each
-digit's radix) permutes all values of its format. Equal values get equal pseudonyms in every
+these digits (round function: SHA-512 of key, kind, round and the other half, added modulo each
+digit's radix; no two digits share a part of the digest) permutes all values of its format. Equal values get equal pseudonyms in every
 document; who has the key can undo the permutation.
 
 Kinds and what is validated and permuted:
 - card: 13 to 19 digits, plain or in groups, that pass the Luhn test; all digits but the check
   digit, which is computed anew;
-- date: a calendar day of 1900 to 2099 as y-m-d, y/m/d, d.m.y or m/d/y; the day number, so one day
-  has one pseudonym in every notation;
+- date: a calendar day of 1900 to 2099 as y-m-d, y/m/d, d.m.y, m/d/y or, where that is no day, d/m/y; the day
+  number, so one day has one pseudonym in every notation;
+- iban: a country code and up to 30 letters and digits, plain or in groups, whose check digits are right (mod 97); all but
+  the country, each character within its class, with check digits computed anew;
 - ssn: ddd-dd-dddd in the issued ranges (area, group and serial);
 - phone: ten digits after an optional country code, which stays;
 - ip: four numbers up to 255;
 - email: letters and digits of the local part, each within its class.
 What fails its test (a number of 16 digits with a wrong check digit, 31.02.) stays as it is.
 
+The key is the caller's: ``pseudonymise`` has no default. The registered query and the pipeline read it from the session's
+setting ``spanweave.pseudonyms.key``; where that is unset they use a published one, for demonstration.
+
 Defined cases: null text stays null; a text without matches is returned unchanged; other columns
 are kept, and columns named like the added ones are replaced; repeated rows stay repeated.
 """
@@ -25,7 +30,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "public-demonstration-key"
+#: Not a secret.
+DEMONSTRATION_KEY = "public-demonstration-key"
+KEY_SETTING = "spanweave.pseudonyms.key"
 ROUNDS = 8
 #: 1900-01-01 to 2099-12-31 are 73,049 = 17 * 4297 days.
 FIRST_DAY, DATE_RADIX = "DATE'1900-01-01'", (17, 4297)
@@ -36,7 +43,8 @@ _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PATTERN = rf"(?<![\p{{L}}\p{{N}}]|\d[.,/-])(?=[+(0-9])(?:{_DATE}|{_SSN}|{_IP}|{_CARD}|{_PHONE})(?![\p{{L}}\p{{N}}]|[.,/-]\d)|{_EMAIL}"
+_IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+PATTERN = rf"(?<![\p{{L}}\p{{N}}]|\d[.,/-])(?=[+(0-9])(?:{_DATE}|{_SSN}|{_IP}|{_CARD}|{_PHONE})(?![\p{{L}}\p{{N}}]|[.,/-]\d)|(?<![\p{{L}}\p{{N}}]){_IBAN}(?![\p{{L}}\p{{N}}])|{_EMAIL}"
 
 
 def _sql(text: str) -> str:
@@ -52,8 +60,9 @@ def _feistel(values: str, radixes: str, kind: str, key: str) -> str:
     """values, radixes: SQL of array<int> of one length."""
     first = "(size(vs) div 2)"
     other = f"cast(if(r % 2 = 1, slice(acc, {first} + 1, size(acc) - {first}), slice(acc, 1, {first})) as string)"
-    digest = f"sha2(concat_ws('|', {key}, '{kind}', cast(r as string), {other}), 256)"
-    step = f"cast(pmod(v + cast(conv(substr(dg, 1 + 6 * (i % 10), 6), 16, 10) as bigint), rs[i]) as int)"
+    # 21 numbers of 24 bits from each digest
+    digest = f"transform(sequence(0, greatest(0, size(acc) - 1) div 21), b -> sha2(concat_ws('|', {key}, '{kind}', cast(r as string), cast(b as string), {other}), 512))"
+    step = "cast(pmod(v + cast(conv(substr(dg[i div 21], 1 + 6 * (i % 21), 6), 16, 10) as bigint), rs[i]) as int)"
     moved = f"transform(acc, (v, i) -> if((i < {first}) = (r % 2 = 1), {step}, v))"
     fold = f"aggregate(sequence(1, {ROUNDS}), vs, (acc, r) -> {_let('dg', digest, moved)})"
     return _let("vs", values, _let("rs", radixes, fold))
@@ -88,21 +97,38 @@ def _card(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    year_first = "substr(m, 5, 1) in ('-', '/')"
-    dots = "substr(m, 3, 1) = '.'"
-    iso = (
-        f"if({year_first}, concat_ws('-', substr(m, 1, 4), substr(m, 6, 2), substr(m, 9, 2)), "
-        f"if({dots}, concat_ws('-', substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2)), concat_ws('-', substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2))))"
+    dash, slash, dots = "substr(m, 5, 1) = '-'", "substr(m, 5, 1) = '/'", "substr(m, 3, 1) = '.'"
+    month_first = "concat_ws('-', substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2))"
+    day_first = "concat_ws('-', substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2))"
+    form = (
+        f"case when {dash} then 'yyyy-MM-dd' when {slash} then 'yyyy/MM/dd' when {dots} then 'dd.MM.yyyy' "
+        f"when try_cast({month_first} as date) is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
     )
+    iso = f"case when {dash} or {slash} then replace(m, '/', '-') when fm = 'MM/dd/yyyy' then {month_first} else {day_first} end"
     a, b = DATE_RADIX
     moved = _feistel(f"array(cast(dn div {b} as int), cast(dn % {b} as int))", f"array({a}, {b})", "date", key)
-    day = _let("nd", moved, f"date_add({FIRST_DAY}, nd[0] * {b} + nd[1])")
-    shown = (
-        f"if({year_first}, date_format(dt, if(substr(m, 5, 1) = '-', 'yyyy-MM-dd', 'yyyy/MM/dd')), "
-        f"date_format(dt, if({dots}, 'dd.MM.yyyy', 'MM/dd/yyyy')))"
+    shown = _let("dt", _let("nd", moved, f"date_add({FIRST_DAY}, nd[0] * {b} + nd[1])"), "date_format(dt, fm)")
+    return _let("fm", form, _let("dn", f"datediff(try_cast({iso} as date), {FIRST_DAY})", f"if(dn between 0 and {a * b - 1}, {shown}, m)"))
+
+
+def _iban(key: str) -> str:
+    """ib: its characters without blanks. Modulo 97 the rearranged number must be 1."""
+    number = "if(c between '0' and '9', cast(c as int), ascii(c) - 55)"
+    rest = lambda body, check: (
+        f"aggregate(concat({body}, slice(ib, 1, 2), {check}), cast(0 as bigint), (t, c) -> pmod(t * if(c between '0' and '9', 10, 100) + {number}, 97))"
     )
-    changed = _let("dt", day, shown)
-    return _let("dn", f"datediff(try_cast({iso} as date), {FIRST_DAY})", f"if(dn between 0 and {a * b - 1}, {changed}, m)")
+    values = "transform(bo, c -> if(c between '0' and '9', cast(c as int), ascii(c) - 65))"
+    radixes = "transform(bo, c -> if(c between '0' and '9', 10, 26))"
+    moved = _feistel(values, radixes, "iban", key)
+    letters = f"transform({moved}, (v, i) -> if(bo[i] between '0' and '9', cast(v as string), char(65 + v)))"
+    zeros = "array('0', '0')"
+    check = f"lpad(cast(98 - {rest('nb', zeros)} as string), 2, '0')"
+    whole = f"concat(slice(ib, 1, 2), split({check}, ''), nb)"
+    step = "if(c = ' ', struct(concat(a.o, c) as o, a.k as k), struct(concat(a.o, ni[a.k]) as o, a.k + 1 as k))"
+    put = f"aggregate(split(m, ''), struct('' as o, 0 as k), (a, c) -> {step}, a -> a.o)"
+    changed = _let("nb", letters, _let("ni", whole, put))
+    valid = f"size(ib) between 15 and 34 and {rest('bo', 'slice(ib, 3, 2)')} = 1"
+    return _let("ib", "filter(split(m, ''), c -> c <> ' ')", _let("bo", "slice(ib, 5, size(ib) - 4)", f"if({valid}, {changed}, m)"))
 
 
 def _ssn(key: str) -> str:
@@ -143,12 +169,12 @@ def _email(key: str) -> str:
 def pseudonym_sql(key: str) -> str:
     """SQL of the pseudonym of the lambda variable m."""
     k = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    kinds = ((_DATE, _date), (_SSN, _ssn), (_IP, _ip), (_CARD, _card))
+    kinds = ((_DATE, _date), (_SSN, _ssn), (_IP, _ip), (_CARD, _card), (_IBAN, _iban))
     cases = "".join(f" when m rlike {_sql(f'^(?:{p})$')} then {f(k)}" for p, f in kinds)
     return f"case when contains(m, '@') then {_email(k)}{cases} else {_phone(k)} end"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text column pseudonymised and n_matches, n_replaced added or replaced."""
     own = [c for c in docs.columns if c not in ("n_matches", "n_replaced")]
     found = docs.select(*own, F.expr(f"regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0)").alias("_found"))
@@ -161,9 +187,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     )
 
 
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pseudonymise(docs.select("doc_id", "text"))
+    return pseudonymise(docs.select("doc_id", "text"), key_of(spark))
 
 
 QUERIES = {"op7_pseudonyms": op7_pseudonyms}
