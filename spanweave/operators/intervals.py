@@ -1,9 +1,13 @@
 """Interval algebra on (chrom, start, end) rows, half-open unless ``closed`` says otherwise.
 
-Joins are equi joins on (chrom, bin): each interval is listed once for every bin it touches, and
-an overlap is emitted in the one bin where the later of the two begins. So any number of
-intervals on one chromosome spreads over tasks, and adaptive execution splits a bin that is still too
-large. The bin width follows from the lengths in the data.
+Joins are equi joins on (chrom, level, bin). An interval's level follows from its length, so that it touches two bins of its
+level at most; it is listed at its own level and, to meet longer intervals, at the coarser levels that occur on the other side. So a
+chromosome-long interval among short ones costs two rows, not one for each short bin. A pair meets at the level of its longer
+interval and is emitted in the one bin where the later of the two begins. Adaptive execution splits a bin that is still too large.
+Orders along a chromosome are taken in two levels (``running``), so no task holds a whole one.
+
+Defined cases: rows with a null chrom, start or end overlap nothing (``anti`` and ``left`` keep them); empty intervals (start >= end)
+overlap what they lie inside of; repeated rows count each; other columns, null or not, are carried; empty tables give none.
 """
 
 from __future__ import annotations
@@ -11,6 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.running import in_blocks, running
+from spanweave.scratch import Scratch
+
+#: Width of the smallest bins, and the factor from one level to the next.
+SMALLEST, FACTOR = 64, 8
+MOST_LEVELS = 17
+
 
 def make_windows(df: DataFrame, width: int = 1000, step: int = 500, compat_shift: bool = False) -> DataFrame:
     """One window for each start in [start, end) by ``step``, clipped at the end. ``compat_shift`` adds 1 to starts."""
@@ -23,23 +34,71 @@ def make_windows(df: DataFrame, width: int = 1000, step: int = 500, compat_shift
     )
 
 
-def bin_width(*sides: DataFrame) -> int:
-    """The 90th percentile of interval lengths; it steers the join only, not its result."""
-    best = 1
-    for df in sides:
-        p = df.select(F.percentile_approx(F.col("end") - F.col("start"), 0.9)).first()[0]
-        best = max(best, int(p or 1))
-    return best
+def _level(start: str, end: str, smallest: int) -> Column:
+    """The first level whose bins are as wide as the interval is long."""
+    size = F.col(end) - F.col(start)
+    out = F.lit(MOST_LEVELS)
+    for k in range(MOST_LEVELS - 1, -1, -1):
+        out = F.when(size <= smallest * FACTOR**k, k).otherwise(out)
+    return out
+
+
+def levels_of(df: DataFrame, start: str = "start", end: str = "end", smallest: int = SMALLEST) -> list[int]:
+    """The levels that occur; at most ``MOST_LEVELS`` + 1."""
+    return sorted(df.agg(F.collect_set(_level(start, end, smallest))).first()[0])
+
+
+def _place(level: int, turn: int):
+    return lambda at: F.struct(F.lit(level).alias("l"), at.alias("b"), F.lit(turn).alias("t"))
+
+
+def _listed(df: DataFrame, start: str, end: str, own: list[int], other: list[int], first: bool, smallest: int, closed: bool, tag: str = "") -> DataFrame:
+    """``df`` once for each bin where a row looks for partners: adds _level, _bin and _turn (with ``tag``). In turn 1 a row of
+    the first side meets, at its own level, shorter or equal ones; in turn 2 longer ones, at theirs."""
+    last = F.col(end) if closed else F.greatest(F.col(start), F.col(end) - 1)
+    size = lambda k: F.lit(smallest * FACTOR**k)
+    level = _level(start, end, smallest)
+    places = []
+    for k in sorted({*own, *other}):
+        lo, hi = F.floor(F.col(start) / size(k)), F.floor(last / size(k))
+        turns = []
+        if k in own:
+            turns.append((level == k, 1))
+            if not first and any(x < k for x in other):
+                turns.append((level == k, 2))
+        if k in other and any(x < k for x in own):
+            turns.append((level < k, 2 if first else 1))
+        for cond, turn in turns:
+            at = F.transform(F.sequence(lo, F.greatest(lo, hi)), _place(k, turn))
+            places.append(F.when(cond, at).otherwise(F.expr("cast(array() as array<struct<l:int,b:bigint,t:int>>)")))
+    if not places:
+        places = [F.expr("cast(array() as array<struct<l:int,b:bigint,t:int>>)")]
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_p", F.explode(F.concat(*places)))
+    return rows.withColumns({f"_level{tag}": F.col("_p.l"), f"_bin{tag}": F.col("_p.b"), f"_turn{tag}": F.col("_p.t")}).drop("_p")
+
+
+def _suffixed(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(c + suffix) for c in df.columns])
 
 
-def _bins(df: DataFrame, width: int, closed: bool) -> DataFrame:
-    last = F.col("end") if closed else F.greatest(F.col("start"), F.col("end") - 1)
-    lo, hi = F.floor(F.col("start") / width), F.floor(last / width)
-    return df.withColumn("_bin", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+_PLACE = ["_level", "_bin", "_turn"]
 
 
-def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
-    return df.select(*[F.col(c) if c == "_bin" else F.col(c).alias(c + suffix) for c in df.columns])
+def _here(start: Column, level: str, bin: str, smallest: int) -> Column:
+    """Whether this is the bin in which the pair's later interval begins."""
+    width = F.lit(float(smallest)) * F.pow(F.lit(float(FACTOR)), F.col(level))
+    return F.col(bin) == F.floor(start / width)
+
+
+def _pairs(a: DataFrame, b: DataFrame, closed: bool, smallest: int) -> DataFrame:
+    """Overlapping pairs: chrom, a's columns with _a, b's with _b, overlap."""
+    one = 1 if closed else 0
+    la, lb = levels_of(a, smallest=smallest), levels_of(b, smallest=smallest)
+    left = _suffixed(_listed(a, "start", "end", la, lb, True, smallest, closed), "_a", ["chrom", *_PLACE])
+    right = _suffixed(_listed(b, "start", "end", lb, la, False, smallest, closed), "_b", ["chrom", *_PLACE])
+    start, end = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
+    cond = (F.col("start_a") < F.col("end_b") + one) & (F.col("start_b") < F.col("end_a") + one) & _here(start, "_level", "_bin", smallest)
+    return left.join(right, ["chrom", *_PLACE]).where(cond).drop(*_PLACE).withColumn("overlap", end - start + one)
 
 
 def overlap_join(
@@ -54,71 +113,77 @@ def overlap_join(
     """Pairs of overlapping rows of a and b; columns get the suffixes _a and _b.
 
     how: inner; left (rows of a without a partner too); semi or anti (rows of a). min_frac_a: share of a's
-    length that the overlap must reach; reciprocal: of b's too. ``overlap`` is the length of the overlap."""
-    width = bin or bin_width(a, b)
+    length that the overlap must reach; reciprocal: of b's too. ``overlap`` is the length of the overlap. ``bin``: width of the
+    smallest bins, which does not change the result."""
     one = 1 if closed else 0
-    start, end = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
-    size = end - start + one
-    cond = (F.col("start_a") < F.col("end_b") + one) & (F.col("start_b") < F.col("end_a") + one)
-    cond = cond & (F.col("_bin") == F.floor(start / width))
+    size = F.col("overlap")
+    cond = F.lit(True)
     if min_frac_a is not None:
-        cond = cond & (size >= (F.col("end_a") - F.col("start_a") + one) * min_frac_a)
+        cond = size >= (F.col("end_a") - F.col("start_a") + one) * min_frac_a
         if reciprocal:
             cond = cond & (size >= (F.col("end_b") - F.col("start_b") + one) * min_frac_a)
-    pairs = (
-        _suffixed(_bins(a, width, closed), "_a")
-        .withColumnRenamed("chrom_a", "chrom")
-        .join(_suffixed(_bins(b, width, closed), "_b").withColumnRenamed("chrom_b", "chrom"), ["chrom", "_bin"])
-        .where(cond)
-        .withColumn("overlap", size)
-        .drop("_bin")
-    )
     if how == "inner":
-        return pairs
-    own = [f"{c}_a" if c != "chrom" else c for c in a.columns]
-    if how == "left":
-        rows = _suffixed(a, "_a").withColumnRenamed("chrom_a", "chrom")
-        lone = rows.join(pairs.select(*own).distinct(), own, "left_anti")
-        return pairs.unionByName(lone, allowMissingColumns=True)
-    hit = pairs.select(*[F.col(o).alias(c) for o, c in zip(own, a.columns)]).distinct()
-    return a.join(hit, a.columns, "left_semi" if how == "semi" else "left_anti")
+        return _pairs(a, b, closed, bin or SMALLEST).where(cond)
+    # whether a row of a has a partner depends on its place alone; of b no other columns are needed for that
+    spot = ["chrom", "start", "end"]
+    hit = _pairs(a.select(*spot).distinct(), b.select(*spot).distinct(), closed, bin or SMALLEST).where(cond)
+    hit = hit.select("chrom", F.col("start_a").alias("start"), F.col("end_a").alias("end")).distinct()
+    if how in ("semi", "anti"):
+        return a.join(hit, spot, f"left_{how}")
+    lone = _suffixed(a.join(hit, spot, "left_anti"), "_a", ["chrom"])
+    return _pairs(a, b, closed, bin or SMALLEST).where(cond).unionByName(lone, allowMissingColumns=True)
+
+
+def both_sides_join(p: DataFrame, q: DataFrame, closed: bool = False, smallest: int = SMALLEST) -> DataFrame:
+    """Pairs of rows of p and q (chrom1, start1, end1, chrom2, start2, end2) that overlap on both sides, met by bins of both: columns with _p
+    and _q, and overlap1, overlap2."""
+    one = 1 if closed else 0
+    keys, cond = [], F.lit(True)
+    left, right = p, q
+    sizes = {}
+    for k in ("1", "2"):
+        s, e = f"start{k}", f"end{k}"
+        lp, lq = levels_of(p, s, e, smallest), levels_of(q, s, e, smallest)
+        left = _listed(left, s, e, lp, lq, True, smallest, closed, k)
+        right = _listed(right, s, e, lq, lp, False, smallest, closed, k)
+        keys += [f"chrom{k}", *[f"{c}{k}" for c in _PLACE]]
+        start, end = F.greatest(f"{s}_p", f"{s}_q"), F.least(f"{e}_p", f"{e}_q")
+        cond = cond & (F.col(f"{s}_p") < F.col(f"{e}_q") + one) & (F.col(f"{s}_q") < F.col(f"{e}_p") + one) & _here(start, f"_level{k}", f"_bin{k}", smallest)
+        sizes[f"overlap{k}"] = end - start + one
+    hit = _suffixed(left, "_p", keys).join(_suffixed(right, "_q", keys), keys).where(cond)
+    return hit.drop(*[c for c in keys if not c.startswith("chrom")]).withColumns(sizes)
+
+
+def _marked(rows: DataFrame, by: list[str], new) -> DataFrame:
+    """Adds ``_island``: the first start of the run of rows that a row belongs to. new(reach): whether a row begins one, by the
+    largest end of all rows before it."""
+    blocks = in_blocks(rows, "start")
+    reached = running(blocks, by, ["start", "end"], "_reach", F.col("end"), "max", inclusive=False)
+    first = F.when(F.col("_reach").isNull() | new(F.col("_reach")), F.col("start"))
+    return running(reached, by, ["start", "end"], "_island", first, "max").drop("_reach", "_block")
 
 
 def merge_intervals(df: DataFrame, by: list[str] | None = None, max_gap: int = 0, collect: str | None = None) -> DataFrame:
     """Unions of rows that overlap, touch or lie at most ``max_gap`` apart, with the number of rows in
-    each; ``collect``: a column whose values are listed in order.
-
-    Intervals are merged within blocks of the axis first, then what is left is merged across
-    blocks, so a long chromosome is not one task's work until few intervals remain of it."""
+    each; ``collect``: a column whose values are listed in order."""
     by = by or ["chrom"]
+    rows = df.select(*by, "start", "end", *([collect] if collect else [])).where("start is not null and end is not null")
     value = [F.array_sort(F.collect_list(collect)).alias("items")] if collect else []
-    rows = df.select(*by, "start", "end", F.lit(1).cast("long").alias("n"), *([collect] if collect else []))
-    if not collect:
-        span = max(1, 64 * bin_width(df))
-        rows = _islands(rows.withColumn("_block", F.floor(F.col("start") / span)), [*by, "_block"], max_gap, [F.sum("n").alias("n")]).drop("_block")
-    return _islands(rows, by, max_gap, [F.sum("n").alias("n"), *value])
-
-
-def _islands(rows: DataFrame, by: list[str], gap: int, sums: list[Column]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *sums).drop("_island")
+    marked = _marked(rows, by, lambda reach: F.col("start") > reach + max_gap)
+    return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *value).drop("_island")
 
 
 def coverage(a: DataFrame, b: DataFrame, bin: int | None = None) -> DataFrame:
     """Rows of a with n (overlapping rows of b), covered (length of their union within the row),
     length and fraction. Equal rows of a are counted each."""
-    width = bin or bin_width(a, b)
     keys = a.columns
     own = [F.col("chrom") if c == "chrom" else F.col(f"{c}_a").alias(c) for c in keys]
     spots = a.select("chrom", "start", "end").distinct()
-    raw = overlap_join(spots, b.select("chrom", "start", "end"), bin=width).groupBy("chrom", "start_a", "end_a").agg(F.count("*").alias("n"))
-    union = merge_intervals(b).select("chrom", "start", "end")
-    part = overlap_join(spots, union, bin=width).groupBy("chrom", "start_a", "end_a").agg(F.sum("overlap").alias("covered"))
+    raw = overlap_join(spots, b.select("chrom", "start", "end"), bin=bin).groupBy("chrom", "start_a", "end_a").agg(F.count("*").alias("n"))
+    union = Scratch(b.sparkSession, "coverage").save(merge_intervals(b).select("chrom", "start", "end"), "union")
+    part = overlap_join(spots, union, bin=bin).groupBy("chrom", "start_a", "end_a").agg(F.sum("overlap").alias("covered"))
     both = raw.join(part, ["chrom", "start_a", "end_a"])
-    rows = _suffixed(a, "_a").withColumnRenamed("chrom_a", "chrom")
+    rows = _suffixed(a, "_a", ["chrom"])
     zero = F.lit(0).cast("long")
     return rows.join(both, ["chrom", "start_a", "end_a"], "left").select(
         *own,
@@ -133,7 +198,7 @@ def subtract(a: DataFrame, b: DataFrame, whole: bool = False) -> DataFrame:
     """What b leaves of each row of a (one row for each piece); ``whole``: rows of a that b does not touch."""
     if whole:
         return overlap_join(a, b.select("chrom", "start", "end"), "anti")
-    union = merge_intervals(b).select("chrom", "start", "end")
+    union = Scratch(b.sparkSession, "subtract").save(merge_intervals(b).select("chrom", "start", "end"), "union")
     spots = a.select("chrom", "start", "end").distinct()
     cuts = overlap_join(spots, union).groupBy("chrom", "start_a", "end_a").agg(
         F.array_sort(F.collect_list(F.struct(F.greatest("start_a", "start_b").alias("s"), F.least("end_a", "end_b").alias("e")))).alias("_cuts")
@@ -191,8 +256,44 @@ def grow_to_fixpoint(windows: DataFrame, regions: DataFrame) -> DataFrame:
     """Windows widened by the regions that stick out of them, until nothing changes: the hull of each
     connected group of overlapping windows and regions that holds a window."""
     both = windows.select("chrom", "start", "end", F.lit(1).alias("w")).unionByName(regions.select("chrom", "start", "end", F.lit(0).alias("w")))
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = both.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    marked = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("chrom", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("w").alias("w")).where("w = 1").drop("_i", "w")
+    marked = _marked(both.where("start is not null and end is not null"), ["chrom"], lambda reach: F.col("start") >= reach)
+    return marked.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("w").alias("w")).where("w = 1").drop("_island", "w")
+
+
+def adjacent_windows(windows: DataFrame, shared: int = 500) -> DataFrame:
+    """Adds ``cluster``, the first start of a run of windows each of which overlaps the one before it (in the order of starts, then ends) by more than
+    ``shared`` or lies inside it."""
+    rows = in_blocks(windows.where("start is not null and end is not null"), "start")
+    for name in ("start", "end"):
+        rows = running(rows, ["chrom"], ["start", "end"], f"_p{name}", F.col(name), "last", inclusive=False)
+    inside = (F.col("start") >= F.col("_pstart")) & (F.col("end") <= F.col("_pend"))
+    near = F.least("end", "_pend") - F.greatest("start", "_pstart") > shared
+    first = F.when(F.col("_pstart").isNull() | ~(inside | near), F.struct("start", "end"))
+    rows = running(rows, ["chrom"], ["start", "end"], "_c", first, "last")
+    return rows.withColumn("cluster", F.col("_c.start")).drop("_c", "_pstart", "_pend", "_block")
+
+
+def carry_hulls(windows: DataFrame) -> DataFrame:
+    """windows: chrom, start, end, hull_start, hull_end (what a window would grow to; null: itself). A window strictly inside the hull of the last window that
+    was not itself carried takes that hull (extended true). Sequential in a run of windows, so runs are cut, without
+    loss, where no earlier hull reaches: adds run; a run is one task."""
+    order = ["start", "end"]
+    whole = windows.where("start is not null and end is not null").withColumns({"hull_start": F.coalesce("hull_start", "start"), "hull_end": F.coalesce("hull_end", "end")})
+    reached = running(in_blocks(whole, "start"), ["chrom"], order, "_reach", F.greatest("end", "hull_end"), "max", inclusive=False)
+    first = F.when(F.col("_reach").isNull() | (F.col("end") >= F.col("_reach")), F.struct(*order))
+    rows = running(reached, ["chrom"], order, "_run", first, "last").drop("_reach", "_block")
+
+    def carry(pdf):
+        pdf = pdf.sort_values(order, kind="stable")
+        low, high, out = None, None, []
+        for s, e, a, b in zip(pdf["start"], pdf["end"], pdf["hull_start"], pdf["hull_end"]):
+            inside = low is not None and s > low and e < high
+            if not inside:
+                low, high = a, b
+            out.append((low, high, inside))
+        return pdf.assign(hull_start=[x[0] for x in out], hull_end=[x[1] for x in out], extended=[x[2] for x in out])
+
+    names = windows.columns
+    flat = rows.select(*names, F.col("_run.start").alias("_rs"), F.col("_run.end").alias("_re"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields) + ", extended boolean"
+    return flat.groupBy("chrom", "_rs", "_re").applyInPandas(lambda pdf: carry(pdf)[[*names, "extended"]], schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.running import block_span, in_blocks, running
+
 
 def islands_1d(df: DataFrame, by: list[str], pos: str, eps: float) -> DataFrame:
     """Adds ``island``: a new one begins where the gap to the previous position exceeds ``eps``. Equal to
@@ -36,8 +38,9 @@ def consecutive_runs(df: DataFrame, by: list[str], index: str) -> DataFrame:
 
 
 def gaps_to_next(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    over = Window.partitionBy(*by).orderBy(start, end)
-    return df.withColumn("gap", F.lead(start).over(over) - F.col(end))
+    """Adds ``gap``: from a row's end to the start of the next row (by start, then end); null for the last."""
+    rows = running(in_blocks(df, start), by, [start, end], "_next", F.col(start), "last", inclusive=False, reverse=True)
+    return rows.withColumn("gap", F.col("_next") - F.col(end)).drop("_next", "_block")
 
 
 def cumulative_share(df: DataFrame, by: list[str], weight: str, tie: str, until: float = 0.9) -> DataFrame:
@@ -57,30 +60,50 @@ def equal_slices(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("slice", F.ntile(n).over(Window.partitionBy(*by).orderBy(order)))
 
 
-def asof_both(points: DataFrame, regions: DataFrame, max_span: int = 1_000_000) -> DataFrame:
-    """For each region (chrom, start, end) the last point before its start and the first at its end or
-    after; regions without either, or with more than ``max_span`` between them, are left out.
-
-    One ordered pass over points and region borders together, by chromosome."""
-    marks = points.select("chrom", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    spots = regions.select("chrom", "start", "end").distinct()
-    left = spots.select("chrom", F.col("start").alias("pos"), F.lit(0).alias("kind"), "start", "end")
-    right = spots.select("chrom", F.col("end").alias("pos"), F.lit(0).alias("kind"), "start", "end")
+def _points_around(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions (key, start, end; distinct) with left, the last point (key, pos) before the start, and right, the first at the end or after; null
+    where there is none."""
+    marks = points.where("pos is not null").select("key", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    left = regions.select("key", F.col("start").alias("pos"), F.lit(0).alias("kind"), "start", "end")
+    right = regions.select("key", F.col("end").alias("pos"), F.lit(0).alias("kind"), "start", "end")
     own = F.when(F.col("kind") == 1, F.col("pos"))
+    span = block_span(points, "pos")
     # at one position borders come first: a point there is not before the start, but at the end
-    order = Window.partitionBy("chrom").orderBy("pos", "kind")
-    before = left.unionByName(marks).withColumn("left", F.last(own, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    after = right.unionByName(marks).withColumn("right", F.first(own, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    both = before.where("kind = 0").select("chrom", "start", "end", "left").join(after.where("kind = 0").select("chrom", "start", "end", "right"), ["chrom", "start", "end"])
-    found = both.where((F.col("right") - F.col("left")) <= max_span)
-    return regions.join(found, ["chrom", "start", "end"])
+    before = running(in_blocks(left.unionByName(marks), "pos", span), ["key"], ["pos", "kind"], "left", own, "last")
+    after = running(in_blocks(right.unionByName(marks), "pos", span), ["key"], ["pos", "kind"], "right", own, "last", reverse=True)
+    keys = ["key", "start", "end"]
+    return before.where("kind = 0").select(*keys, "left").join(after.where("kind = 0").select(*keys, "right"), keys)
+
+
+def asof_both(points: DataFrame, regions: DataFrame, max_span: int = 1_000_000) -> DataFrame:
+    """For each region (chrom, start, end) the last point before its start and the first at its end or
+    after; regions without either, or with more than ``max_span`` between them, are left out."""
+    spots = regions.select(F.col("chrom").alias("key"), "start", "end").distinct()
+    found = _points_around(points.withColumnRenamed("chrom", "key"), spots).where((F.col("right") - F.col("left")) <= max_span)
+    return regions.join(found.withColumnRenamed("key", "chrom"), ["chrom", "start", "end"])
+
+
+def asof_path(regions: DataFrame, steps: DataFrame) -> DataFrame:
+    """For each region (path, start, end; closed) the last step that begins at its start or before and the first that ends at its end or after: adds
+    first_ord and last_ord (null where there is none). steps: path, ord, pos_s, pos_e, in path order."""
+    spots = regions.select("path", "start", "end").distinct()
+    begins = steps.select(F.col("path").alias("key"), F.col("pos_s").alias("pos"))
+    ends = steps.select(F.col("path").alias("key"), F.col("pos_e").alias("pos"))
+    left = _points_around(begins, spots.select(F.col("path").alias("key"), (F.col("start") + 1).alias("start"), F.col("end")))
+    right = _points_around(ends, spots.select(F.col("path").alias("key"), F.col("start"), F.col("end")))
+    both = left.select("key", (F.col("start") - 1).alias("start"), "end", "left").join(right.select("key", "start", "end", "right"), ["key", "start", "end"])
+    at = lambda pos, name: steps.groupBy(F.col("path").alias("key"), F.col(pos)).agg(F.min("ord").alias(name))
+    both = both.join(at("pos_s", "first_ord").withColumnRenamed("pos_s", "left"), ["key", "left"], "left").join(
+        at("pos_e", "last_ord").withColumnRenamed("pos_e", "right"), ["key", "right"], "left"
+    )
+    return regions.join(both.select(F.col("key").alias("path"), "start", "end", "first_ord", "last_ord"), ["path", "start", "end"], "left")
 
 
 def walk_positions(steps: DataFrame, segments: DataFrame, path: str = "path", ord: str = "ord", node: str = "node", closed: bool = False) -> DataFrame:
-    """Adds pos_s, pos_e of each step on its path, from the lengths of the nodes (node, len)."""
-    rows = steps.join(segments.select(node, "len"), node)
-    end = F.sum("len").over(Window.partitionBy(path).orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("pos_e", end).withColumn("pos_s", F.col("pos_e") - F.col("len") + (1 if closed else 0))
+    """Adds pos_s, pos_e of each step on its path, from the lengths of the nodes (node, len). Steps at unknown nodes are left out."""
+    rows = in_blocks(steps.join(segments.select(node, "len"), node), ord)
+    rows = running(rows, [path], [ord], "pos_e", F.col("len"), "sum").drop("_block")
+    return rows.withColumn("pos_s", F.col("pos_e") - F.col("len") + (1 if closed else 0))
 
 
 def path_string(steps: DataFrame, by: list[str], ord: str, text: str, sep: str = "") -> DataFrame:

@@ -1,13 +1,16 @@
-"""Interval pairs: columns chrom1, start1, end1, chrom2, start2, end2 and any others."""
+"""Interval pairs: columns chrom1, start1, end1, chrom2, start2, end2 and any others.
 
-from __future__ import annotations
+Defined cases: a pair with a null in its places overlaps nothing and no filter keeps it, but for those that name it; repeated
+pairs count each, except where an operator says distinct; empty tables give none.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.intervals import overlap_join
+from spanweave.operators.components import connected_components
+from spanweave.operators.intervals import both_sides_join
 
 SIDE1, SIDE2 = ["chrom1", "start1", "end1"], ["chrom2", "start2", "end2"]
 
@@ -67,22 +70,26 @@ def length_ratio_class(df: DataFrame, both: float = 0.8, either: float = 0.95) -
 
 
 def pair_overlap(p: DataFrame, q: DataFrame, min_recip: float | None = None, allow_swap: bool = True) -> DataFrame:
-    """pair_p, pair_q of pairs (with a column ``pair``) that overlap on both sides, if asked reciprocally.
-
-    The first sides are joined by bins; the second sides are a filter on that join."""
-    turns = [q] + ([swap_sides(q)] if allow_swap else [])
-
-    def both(r: DataFrame) -> DataFrame:
-        left = p.select("pair", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), *SIDE2)
-        right = r.select("pair", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), *SIDE2)
-        hit = overlap_join(left, right, min_frac_a=min_recip, reciprocal=min_recip is not None)
-        size = F.least("end2_a", "end2_b") - F.greatest("start2_a", "start2_b")
-        cond = (F.col("chrom2_a") == F.col("chrom2_b")) & (size > 0)
-        if min_recip is not None:
-            cond = cond & (size >= (F.col("end2_a") - F.col("start2_a")) * min_recip) & (size >= (F.col("end2_b") - F.col("start2_b")) * min_recip)
-        return hit.where(cond).select("pair_a", "pair_b")
-
-    return reduce(DataFrame.unionByName, map(both, turns)).distinct().select(F.col("pair_a").alias("pair_p"), F.col("pair_b").alias("pair_q"))
+    """pair_p, pair_q of pairs (with a column ``pair``) that overlap on both sides, if asked reciprocally, in either orientation. One
+    join by bins of both sides."""
+    own = ["pair", *SIDE1, *SIDE2]
+    turns = q.select(*own)
+    if allow_swap:
+        turns = turns.unionByName(swap_sides(turns))
+    hit = both_sides_join(p.select(*own), turns)
+    if min_recip is not None:
+        for k in ("1", "2"):
+            for side in ("p", "q"):
+                hit = hit.where(F.col(f"overlap{k}") >= (F.col(f"end{k}_{side}") - F.col(f"start{k}_{side}")) * min_recip)
+    return hit.select(F.col("pair_p"), F.col("pair_q")).distinct()
+
+
+def overlap_clusters(df: DataFrame) -> DataFrame:
+    """pair, cluster: components of the pairs (id ``pair`` long) that overlap on both sides in the same orientation (closed); the
+    cluster of a pair without a partner is its own id."""
+    hit = both_sides_join(df.select("pair", *SIDE1, *SIDE2), df.select("pair", *SIDE1, *SIDE2), closed=True).where("pair_p < pair_q")
+    found = connected_components(hit, "pair_p", "pair_q").withColumnsRenamed({"node": "pair", "component": "cluster"})
+    return df.select("pair").distinct().join(found, "pair", "left").select("pair", F.coalesce("cluster", "pair").alias("cluster"))
 
 
 def drop_known(p: DataFrame, known: DataFrame, min_recip: float = 0.8) -> DataFrame:
@@ -93,10 +100,10 @@ def drop_known(p: DataFrame, known: DataFrame, min_recip: float = 0.8) -> DataFr
 
 def contained_pairs(df: DataFrame) -> DataFrame:
     """outer, inner: pairs of which one contains the other on both sides (and is not the same)."""
-    left = df.select("pair", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), *SIDE2)
-    hit = overlap_join(left, left, min_frac_a=1.0)
-    inside = (F.col("chrom2_a") == F.col("chrom2_b")) & (F.col("start2_b") <= F.col("start2_a")) & (F.col("end2_a") <= F.col("end2_b"))
-    return hit.where(inside & (F.col("pair_a") != F.col("pair_b"))).select(F.col("pair_b").alias("outer"), F.col("pair_a").alias("inner"))
+    rows = df.select("pair", *SIDE1, *SIDE2)
+    hit = both_sides_join(rows, rows)
+    inside = [(F.col(f"start{k}_q") <= F.col(f"start{k}_p")) & (F.col(f"end{k}_p") <= F.col(f"end{k}_q")) for k in ("1", "2")]
+    return hit.where(inside[0] & inside[1] & (F.col("pair_p") != F.col("pair_q"))).select(F.col("pair_q").alias("outer"), F.col("pair_p").alias("inner"))
 
 
 def null_ambiguous(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
