@@ -30,6 +30,7 @@ def collinear_blocks(paths: dict[str, list[str]]) -> dict[str, int]:
 
     def find(n):
         while root[n] != n:
+            root[n] = root[root[n]]
             n = root[n]
         return n
 
@@ -100,18 +101,47 @@ def anchor_pair(steps: DataFrame, k: int = 20, edge: int = 10) -> DataFrame:
 
 
 def structural_runs(steps: DataFrame, least: int = 20) -> DataFrame:
-    """steps: path, ord, len, ref_pos (null off the reference). Runs off the reference with more than ``least``
-    letters or a flank gap above it: path, first, last, inserted, deleted."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("path").orderBy("ord")
-    before = F.last(F.when(F.col("ref_pos").isNotNull(), F.col("ref_pos") + F.col("len")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("ref_pos", True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    off = F.when(F.col("ref_pos").isNull(), 1).otherwise(0)
-    run = F.sum(F.when(F.col("ref_pos").isNotNull(), 1).otherwise(0)).over(order)
-    rows = steps.withColumn("_b", before).withColumn("_a", after).withColumn("_off", off).withColumn("_run", run).where("_off = 1")
-    runs = rows.groupBy("path", "_run").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.sum("len").alias("inserted"), (F.max("_a") - F.max("_b")).alias("deleted"))
-    return runs.where((F.col("inserted") > least) | (F.col("deleted") > least)).drop("_run")
+    """steps: path, ord, len, ref_pos (null off the reference). path, kind, first, last, left_end, right_pos, inserted, deleted.
+
+    INS: runs of steps off the reference with more than ``least`` letters, or whose neighbours on it lie more than ``least`` apart in either direction (a
+    path's end counts as before its beginning). DEL: gaps of more than ``least`` between the parts of the reference that a run of steps on it covers; its
+    first and last are those of that run."""
+    from spanweave.operators.intervals import merge_intervals
+    from spanweave.operators.ordered import gaps_to_next
+    from spanweave.operators.running import in_blocks, running
+
+    rows = in_blocks(steps.select("path", "ord", "len", "ref_pos"), "ord")
+    on = F.col("ref_pos").isNotNull()
+    place = F.when(on, F.struct(F.col("ref_pos").alias("s"), (F.col("ref_pos") + F.col("len")).alias("e")))
+    rows = running(rows, ["path"], ["ord"], "_b", place, "last", inclusive=False)
+    rows = running(rows, ["path"], ["ord"], "_a", place, "last", inclusive=False, reverse=True)
+    rows = running(rows, ["path"], ["ord"], "_on", F.when(on, 1).otherwise(0), "sum")
+    rows = running(rows, ["path"], ["ord"], "_off", F.when(on, 0).otherwise(1), "sum").drop("_block")
+    off = rows.where(~on).groupBy("path", "_on").agg(
+        F.min("ord").alias("first"), F.max("ord").alias("last"), F.sum("len").alias("inserted"), F.first("_b").alias("b"), F.first("_a").alias("a")
+    )
+    edge = F.lit(-1).cast("long")
+    left_s, left_e, right_s, right_e = F.coalesce("b.s", edge), F.coalesce("b.e", edge), F.coalesce("a.s", edge - 1), F.coalesce("a.e", edge - 1)
+    wide = (F.col("inserted") > least) | (right_s - left_e > least) | (left_s - right_e > least)
+    ins = off.where(wide).select("path", F.lit("INS").alias("kind"), "first", "last", F.col("b.e").alias("left_end"), F.col("a.s").alias("right_pos"), "inserted", F.lit(0).cast("long").alias("deleted"))
+    parts = rows.where(on).select("path", F.col("_off").alias("run"), F.col("ref_pos").alias("start"), (F.col("ref_pos") + F.col("len")).alias("end"))
+    gaps = gaps_to_next(merge_intervals(parts, ["path", "run"], max_gap=least), ["path", "run"], "start", "end").where("gap is not null")
+    spans = rows.where(on).groupBy("path", F.col("_off").alias("run")).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    gone = gaps.join(spans, ["path", "run"]).select(
+        "path", F.lit("DEL").alias("kind"), "first", "last", F.col("end").alias("left_end"), (F.col("end") + F.col("gap")).alias("right_pos"), F.lit(0).cast("long").alias("inserted"), F.col("gap").alias("deleted")
+    )
+    return ins.unionByName(gone)
+
+
+def region_scores(regions: DataFrame) -> DataFrame:
+    """Adds pathratio (kept_paths / all_paths) and lenratio (the smaller over the larger of node_len and end - start) to regions, both cut to two places, as
+    the score takes them; null where a denominator is 0."""
+    cut = lambda x: F.floor(x * 100) / 100
+    span = F.col("end") - F.col("start")
+    return regions.withColumns({
+        "pathratio": cut(F.try_divide(F.col("kept_paths"), F.col("all_paths"))),
+        "lenratio": cut(F.try_divide(F.least("node_len", span), F.greatest("node_len", span))),
+    })
 
 
 def element_delta(windows: DataFrame, counts: DataFrame, classes: list[str]) -> DataFrame:

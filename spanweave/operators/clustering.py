@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,37 +52,55 @@ def cluster_kind(clusters: DataFrame, large: int = 100) -> DataFrame:
     return size.withColumn("kind", F.when(F.col("n") == 1, "nointe").when(F.col("n") >= large, "large").otherwise("inte"))
 
 
-def _covers(keep, row, sides: list[tuple[str, str, str]]) -> bool:
-    def share(p, q):
-        if keep[p[0]] != row[q[0]]:
-            return 0.0
-        size = min(keep[p[2]], row[q[2]]) - max(keep[p[1]], row[q[1]]) + 1
-        return max(0.0, size) / min(keep[p[2]] - keep[p[1]] + 1, row[q[2]] - row[q[1]] + 1)
+class _Kept:
+    """Places of the rows that stay, in numpy arrays that grow by doubling."""
 
-    return min(max(share(p, q) for p in sides) for q in sides)
+    def __init__(self, sides: int):
+        self.n, self.chrom = 0, np.empty((sides, 64), object)
+        self.start, self.end = np.zeros((sides, 64), np.int64), np.zeros((sides, 64), np.int64)
+
+    def covers(self, chrom: list, start: list, end: list, share: float) -> bool:
+        """Whether one kept row covers the share of the shorter of both, on each side of the new row with its better side."""
+        n = self.n
+        if not n:
+            return False
+        least = None
+        for c, s, e in zip(chrom, start, end):
+            size = np.minimum(self.end[:, :n], e) - np.maximum(self.start[:, :n], s) + 1
+            part = np.where(self.chrom[:, :n] == c, np.maximum(size, 0) / np.minimum(self.end[:, :n] - self.start[:, :n] + 1, e - s + 1), 0.0).max(0)
+            least = part if least is None else np.minimum(least, part)
+        return bool((least >= share).any())
+
+    def add(self, chrom: list, start: list, end: list) -> None:
+        if self.n == self.start.shape[1]:
+            self.chrom, self.start, self.end = (np.concatenate([x, np.empty_like(x)], 1) for x in (self.chrom, self.start, self.end))
+        self.chrom[:, self.n], self.start[:, self.n], self.end[:, self.n] = chrom, start, end
+        self.n += 1
 
 
 def greedy_dedup(df: DataFrame, by: list[str], sides: int = 1, thr: float = 0.9) -> DataFrame:
     """Rows that stay when each group is read from the longest on and a row goes if a kept one covers ``thr`` of the
-    shorter of both (closed), for two sides on each side. Sequential by nature, so one task for a group;
-    groups are components of overlapping rows."""
+    shorter of both (closed), for two sides on each side. Sequential by nature, so one task for a group, which compares a row
+    with all kept ones at once; groups are components of overlapping rows. Rows with nulls in their places go."""
     names = [("chrom", "start", "end")] if sides == 1 else [("chrom1", "start1", "end1"), ("chrom2", "start2", "end2")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        group, kept = None, _Kept(len(names))
         for pdf in frames:
-            stays = []
-            for row in pdf.to_dict("records"):
-                if (key := tuple(row[c] for c in by)) != group:
-                    group, kept = key, []
-                stays.append(not any(_covers(k, row, names) >= thr for k in kept))
-                if stays[-1]:
-                    kept.append(row)
+            stays = np.zeros(len(pdf), bool)
+            places = [[pdf[n[k]].tolist() for n in names] for k in range(3)]
+            for i, key in enumerate(zip(*(pdf[c] for c in by))):
+                if key != group:
+                    group, kept = key, _Kept(len(names))
+                row = [[column[i] for column in kind] for kind in places]
+                if not kept.covers(*row, thr):
+                    kept.add(*row)
+                    stays[i] = True
             yield pdf[stays]
 
     total = sum((F.col(e) - F.col(s) for _, s, e in names[1:]), F.col(names[0][2]) - F.col(names[0][1]))
     order = [*by, F.desc("_t"), *[c for n in names for c in n]]
-    rows = df.withColumn("_t", total).repartition(*by).sortWithinPartitions(*order).drop("_t")
+    rows = df.dropna(subset=[c for n in names for c in n]).withColumn("_t", total).repartition(*by).sortWithinPartitions(*order).drop("_t")
     return rows.mapInPandas(run, df.schema)
 
 

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating star contractions.
 
 Every round is two equi joins and two partial aggregations over the edges; rounds grow with
-the logarithm of the longest path. Nothing is gathered on the driver or in one task.
+the logarithm of the longest path. What is left when at most ``LOCAL_EDGES`` edges are (a few megabytes, whatever the table's size was) is
+finished by one task instead of further rounds over all tasks; the result is the same. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from spanweave.scratch import Scratch
 
 
+#: Edges that one task may finish.
+LOCAL_EDGES = 200_000
+
+
 def local_roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of an edge list and the smallest node each one reaches."""
     nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -45,16 +50,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 50) -> DataFrame:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges that are left, in one task -> stars."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if held:
+        node, root = local_roots(*(np.concatenate(x) for x in zip(*held)))
+        keep = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 200, local: int = LOCAL_EDGES) -> DataFrame:
     """node, component (its smallest reachable node) for every node of ``edges`` (long ids).
 
-    Edges with a null end are ignored; loops give a component of one node."""
+    Edges with a null end are ignored; loops give a component of one node. Rounds go on until nothing changes; more than
+    ``max_iter`` of them (they grow with the logarithm of the longest path) is an error, never an unfinished result."""
     tmp = Scratch(edges.sparkSession, "components")
     edges = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
     loops = edges.where("u = v").select("u").distinct()
     now = tmp.save(edges.where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
     mark = None
-    for k in range(max_iter):
+    for k in range(max_iter + 1):
+        if now.count() <= local:
+            done = tmp.save(now.repartition(1).mapInArrow(_finish, "u long, v long"), "finished")
+            tmp.drop(now)
+            now = done
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -73,6 +93,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components still changed after {max_iter} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = loops.join(now.select("u").union(now.select("v")).distinct(), "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))

@@ -238,9 +238,21 @@ def expand_by_overhang(regions: DataFrame, repeats: DataFrame) -> DataFrame:
     return rows.select(*[F.least("start", "_s").alias(c) if c == "start" else F.greatest("end", "_e").alias(c) if c == "end" else F.col(c) for c in regions.columns])
 
 
-def nonrepeat_filter(regions: DataFrame, repeats: DataFrame, least: int = 500) -> DataFrame:
-    """Regions with at least ``least`` positions outside the repeats."""
-    return coverage(regions, repeats).where(F.col("length") - F.col("covered") >= least).select(*regions.columns)
+def transfer_overhang(pairs: DataFrame, repeats: DataFrame, lengths: DataFrame, factor: int = 1) -> DataFrame:
+    """pairs: chrom1, start1, end1, chrom2, start2, end2. The second side grows by ``factor`` times what repeats on the first side stick out of it,
+    within its sequence (chrom, length)."""
+    first = pairs.select(F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end")).distinct()
+    out = expand_by_overhang(first.withColumns({"s0": F.col("start"), "e0": F.col("end")}), repeats)
+    grown = out.select(F.col("chrom").alias("chrom1"), F.col("s0").alias("start1"), F.col("e0").alias("end1"), (F.col("s0") - F.col("start")).alias("_l"), (F.col("end") - F.col("e0")).alias("_r"))
+    rows = pairs.join(grown, ["chrom1", "start1", "end1"]).join(lengths.select(F.col("chrom").alias("chrom2"), "length"), "chrom2", "left")
+    start, end = F.greatest(F.lit(0), F.col("start2") - factor * F.col("_l")), F.least("length", F.col("end2") + factor * F.col("_r"))
+    return rows.select(*pairs.columns, start.alias("grown_start"), end.alias("grown_end"))
+
+
+def nonrepeat_filter(regions: DataFrame, repeats: DataFrame, least: int = 500, satellites: DataFrame | None = None, most_share: float = 0.7) -> DataFrame:
+    """Regions with at least ``least`` positions outside the repeats and, if ``satellites`` are given, at most ``most_share`` of theirs in those."""
+    left = coverage(regions, repeats).where(F.col("length") - F.col("covered") >= least).select(*regions.columns)
+    return left if satellites is None else coverage(left, satellites).where(F.col("fraction") <= most_share).select(*regions.columns)
 
 
 def redistribute(base: DataFrame, merged: DataFrame, value: str) -> DataFrame:

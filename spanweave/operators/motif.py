@@ -29,16 +29,19 @@ def infix_distances(motif: str, text: str) -> np.ndarray:
     return row
 
 
-def best_hit(motif: str, text: str) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the first best place of the motif; the shortest start for that end."""
+def best_hits(motif: str, text: str) -> tuple[int, list[tuple[int, int]]]:
+    """(edits, places) of all best places of the motif inside the text, in order of their ends; each begins as far left as that many edits allow."""
     if not motif or not text:
-        return None
-    ends = infix_distances(motif, text)
-    end = int(ends.argmin())
-    edits = int(ends[end])
-    back = infix_distances_from_end(motif, text[:end])
-    start = end - int(np.flatnonzero(back == edits)[0])
-    return (start, end, edits) if start < end else None
+        return len(motif), []
+    ends = infix_distances(motif, text)[1:]
+    edits = int(ends.min())
+    places = []
+    for end in (np.flatnonzero(ends == edits) + 1).tolist():
+        back = infix_distances_from_end(motif, text[:end])
+        start = end - int(np.flatnonzero(back == edits)[-1])
+        if start < end:
+            places.append((start, end))
+    return edits, places
 
 
 def infix_distances_from_end(motif: str, text: str) -> np.ndarray:
@@ -52,50 +55,90 @@ def infix_distances_from_end(motif: str, text: str) -> np.ndarray:
     return row
 
 
+def _apart(places: list[tuple[int, int]], share: float = 0.7) -> list[tuple[int, int]]:
+    """The places, in order, without those of which ``share`` or more is covered by ones before."""
+    kept, covered = [], set()
+    for s, e in places:
+        own = set(range(s, e))
+        if not kept or len(own & covered) < share * len(own):
+            kept.append((s, e))
+            covered |= own
+    return kept
+
+
 def motif_hits(motif: str, text: str, tolerance: float = 0.2) -> list[tuple[int, int]]:
-    """Places of the motif with at most ``tolerance`` of its length in edits, found in gaps again and again."""
+    """Places of the motif with at most ``tolerance`` of its length in edits. All best places of a stretch are taken (but those that others cover by 70 %),
+    then what lies before, after and, where it is longer than half a motif, between them is searched in the same way."""
     hits, stack = [], [(0, len(text))]
     while stack:
         a, b = stack.pop()
-        if b - a < max(1, math.ceil(len(motif) * (1 - tolerance))):
+        edits, places = best_hits(motif, text[a:b].upper())
+        if not places or edits > tolerance * len(motif):
             continue
-        hit = best_hit(motif, text[a:b])
-        if hit is None or hit[2] > tolerance * len(motif):
-            continue
-        s, e = a + hit[0], a + hit[1]
-        hits.append((s, e))
-        stack += [(a, s), (e, b)]
+        found = [(a + s, a + e) for s, e in _apart(places)]
+        hits += found
+        if found[0][0] > a:
+            stack.append((a, found[0][0]))
+        stack += [(e, s) for (_, e), (s, _) in zip(found, found[1:]) if abs(s - e + 1) > 0.5 * len(motif) and s > e]
+        if found[-1][1] < b:
+            stack.append((found[-1][1], b))
     return sorted(hits)
 
 
-def copy_number(motif: str, text: str, tolerance: float = 0.2) -> tuple[int, int, int]:
-    """(copies, start, end) of the longest chain of hits, widened by chains that a small gap separates."""
-    hits = motif_hits(motif, text, tolerance)
-    if not hits:
-        return 0, 0, 0
-    gap = math.ceil(tolerance * len(motif))
+def _chains(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
     chains = [[hits[0]]]
     for h in hits[1:]:
-        if h[0] - chains[-1][-1][1] <= gap:
+        if abs(h[0] - chains[-1][-1][1] + 1) <= math.ceil(0.2 * size):
             chains[-1].append(h)
         else:
             chains.append([h])
+    return chains
+
+
+def grown_chain(hits: list[tuple[int, int]], size: int, tolerance: float = 0.3) -> list[tuple[int, int]]:
+    """The longest chain of hits (gaps up to a fifth of the motif), grown by chains on either side. A chain joins if it overlaps the last joined one
+    by less than a fifth of the motif, or its gap, in motifs, is under min(3, ceil(tolerance * n)), n being the hits held before the last
+    chain joined (to the left, once one joined there, the letters they span). A chain that does not join is passed over."""
+    chains = _chains(hits, size)
     k = max(range(len(chains)), key=lambda i: (len(chains[i]), -i))
-    lo = hi = k
-    n = len(chains[k])
-    grown = True
-    while grown:
-        grown = False
-        room = min(3, math.ceil(0.3 * n)) * len(motif)
-        if lo > 0 and chains[lo][0][0] - chains[lo - 1][-1][1] < room:
-            lo -= 1
-            n += len(chains[lo])
-            grown = True
-        if hi + 1 < len(chains) and chains[hi + 1][0][0] - chains[hi][-1][1] < room:
-            hi += 1
-            n += len(chains[hi])
-            grown = True
-    return n, chains[lo][0][0], chains[hi][-1][1]
+    held, n = list(chains[k]), len(chains[k])
+
+    def joins(gap: int) -> bool:
+        return gap / size < min(3, math.ceil(tolerance * n)) if gap >= 0 else gap / size > -0.2
+
+    last = chains[k]
+    for chain in chains[k + 1 :]:
+        if joins(chain[0][0] - last[-1][1] + 1):
+            n = len(held)
+            held += chain
+            last = chain
+    first = chains[k]
+    for chain in reversed(chains[:k]):
+        if joins(first[0][0] - chain[-1][1] + 1):
+            n = held[-1][1] - held[0][0] - 1
+            held = chain + held
+            first = chain
+    return sorted(held)
+
+
+def copy_number(motif: str, text: str, tolerance: float = 0.2) -> tuple[int, int, int]:
+    """(copies, start, end) of the grown chain of hits."""
+    hits = motif_hits(motif.upper(), text, tolerance) if motif else []
+    if not hits:
+        return 0, 0, 0
+    held = grown_chain(hits, len(motif))
+    return len(held), held[0][0], held[-1][1]
+
+
+def non_redundant(calls: list[tuple[float, int, int]], share: float = 0.9) -> list[tuple[float, int, int]]:
+    """Calls (score, start, end), the best first, without those of which ``share`` or more is covered by ones before."""
+    kept, covered = [], set()
+    for call in sorted(calls, reverse=True):
+        own = set(range(call[1], call[2]))
+        if not kept or len(own & covered) < share * len(own):
+            kept.append(call)
+            covered |= own
+    return kept
 
 
 def oriented_copy_number(motif: str, text: str) -> dict:
@@ -134,13 +177,57 @@ def extend_flanks(motif: str, before: str, core: str, after: str, tries: int = 1
 
 
 def with_copy_number(df: DataFrame, motif: str, seq: str) -> DataFrame:
-    """Adds copies, start, end, strand of the motif column in the sequence column (nulls count as empty)."""
+    """Adds copies, start, end, strand and purity of the motif column in the sequence column (nulls count as empty)."""
+
+    @F.pandas_udf("copies int, start int, end int, strand string, purity double")
+    def run(m: pd.Series, s: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(m, s):
+            call = oriented_copy_number(a or "", b or "")
+            unit = (a or "") if call["strand"] == "+" else (a or "").translate(_PAIR)[::-1]
+            hits = [h for h in motif_hits(unit.upper(), b or "") if call["start"] <= h[0] and h[1] <= call["end"]] if call["copies"] else []
+            out.append((*call.values(), purity(hits)))
+        return pd.DataFrame(out, columns=["copies", "start", "end", "strand", "purity"])
+
+    return df.withColumn("_c", run(motif, seq)).select(*df.columns, "_c.copies", "_c.start", "_c.end", "_c.strand", "_c.purity")
+
+
+def with_flanks(df: DataFrame, motif: str, before: str, core: str, after: str, tries: int = 10) -> DataFrame:
+    """Adds flank_copies and flank_letters: the copies when the core is widened as long as that adds some, and by how much (nulls count as empty)."""
+
+    @F.pandas_udf("flank_copies int, flank_letters int")
+    def run(m: pd.Series, b: pd.Series, c: pd.Series, a: pd.Series) -> pd.DataFrame:
+        out = [extend_flanks(*(x or "" for x in row), tries) for row in zip(m, b, c, a)]
+        return pd.DataFrame(out, columns=["flank_copies", "flank_letters"])
 
-    @F.pandas_udf("copies int, start int, end int, strand string")
+    return df.withColumn("_c", run(motif, before, core, after)).select(*df.columns, "_c.flank_copies", "_c.flank_letters")
+
+
+def with_best_places(df: DataFrame, motif: str, seq: str) -> DataFrame:
+    """Adds edits and places (array<struct<start, end>>): the fewest edits of the motif inside the sequence, and all places that reach them."""
+
+    @F.pandas_udf("edits int, places array<struct<start:int,end:int>>")
     def run(m: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([oriented_copy_number(a or "", b or "") for a, b in zip(m, s)], columns=["copies", "start", "end", "strand"])
+        out = [best_hits(a or "", b or "") for a, b in zip(m, s)]
+        return pd.DataFrame([(e, [{"start": x, "end": y} for x, y in p]) for e, p in out], columns=["edits", "places"])
+
+    return df.withColumn("_c", run(motif, seq)).select(*df.columns, "_c.edits", "_c.places")
+
+
+def non_redundant_calls(df: DataFrame, by: list[str], score: str, share: float = 0.9) -> DataFrame:
+    """Rows (start, end) of each group that stay when they are read from the best score on; a group's calls are one locus, one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = {}
+        for call in non_redundant(list(zip(pdf[score], pdf["start"], pdf["end"])), share):
+            left[call] = left.get(call, 0) + 1
+        keep = []
+        for call in zip(pdf[score], pdf["start"], pdf["end"]):
+            keep.append(left.get(call, 0) > 0)
+            left[call] = left.get(call, 0) - 1
+        return pdf[keep]
 
-    return df.withColumn("_c", run(motif, seq)).select(*df.columns, "_c.copies", "_c.start", "_c.end", "_c.strand")
+    return df.dropna(subset=[score, "start", "end"]).groupBy(*by).applyInPandas(run, df.schema)
 
 
 def is_candidate(consensus: Column, length: Column, copies: Column) -> Column:

@@ -128,6 +128,55 @@ def merge_check(before: DataFrame, after: DataFrame, share: float = 0.95) -> Dat
     return out.select("cluster", good.alias("replaced"))
 
 
+def refine_pairs(df: DataFrame, align, seed: int = 0, identity: float = 0.9, length: int = 1000) -> DataFrame:
+    """Near-miss pairs (SIDE1, SIDE2, identity, align_len) whose ends are moved about until an aligner is content: adds refined_start1, refined_end1, refined_start2,
+    refined_end2, refined_identity. For steps of growing size, up to the length of the pair's alignment, each pattern of moves is tried on
+    the pair; the first alignment of at least ``identity`` and ``length`` is taken, one that is no worse than the best so far is
+    where the next moves begin. Pairs without success are left out.
+
+    align(chrom1, start1, end1, chrom2, start2, end2) -> (identity, length, start1, end1, start2, end2) or None. The draws of a pair follow
+    from ``seed`` and its places."""
+    import random
+
+    import pandas as pd
+
+    # fixed values: the steps, and the patterns of moves of the four ends
+    steps = [0, 100, 200, 500, 1000, 2000, 3000, 4000, 5000]
+    moves = [(-1, 0), (-1, 1), (0, 1), (1, 0), (0, -1), (1, -1)]
+    patterns = [(*m, 0, 0) for m in moves] + [(0, 0, *m) for m in moves] + [m + m for m in moves]
+
+    def refined(row) -> tuple | None:
+        draw = random.Random(f"{seed}|{[row[c] for c in SIDE1 + SIDE2]}")
+        ends, best = [row["start1"], row["end1"], row["start2"], row["end2"]], row["identity"]
+        for low, high in zip(steps, steps[1:]):
+            if high > row["align_len"]:
+                return None
+            size = draw.randint(low, high)
+            for pattern in patterns:
+                s1, e1, s2, e2 = (e + k * size for e, k in zip(ends, pattern))
+                if min(s1, s2) < 0 or s1 >= e1 or s2 >= e2:
+                    continue
+                got = align(row["chrom1"], s1, e1, row["chrom2"], s2, e2)
+                if got is None or got[0] < best:
+                    continue
+                best, ends = got[0], list(got[2:6])
+                if got[0] >= identity and got[1] >= length:
+                    return (*ends, best)
+        return None
+
+    names = ["refined_start1", "refined_end1", "refined_start2", "refined_end2", "refined_identity"]
+
+    def run(frames):
+        for pdf in frames:
+            found = [refined(row) for row in pdf.to_dict("records")]
+            keep = [f is not None for f in found]
+            more = pd.DataFrame([f for f in found if f is not None], columns=names, index=pdf.index[keep])
+            yield pd.concat([pdf[keep], more], axis=1)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, schema + "".join(f", {n} {'double' if n.endswith('identity') else 'long'}" for n in names))
+
+
 def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of each key that comes last in ``order`` (ties: the largest row)."""
     rest = [c for c in df.columns if c not in key]

@@ -1,4 +1,8 @@
-"""Statistics of rows and groups."""
+"""Statistics of rows and groups.
+
+Defined cases: null values do not count, and a group of nulls only has null or zero statistics; a null group key is a group; repeated rows
+count each; empty tables give none.
+"""
 
 from __future__ import annotations
 
@@ -110,3 +114,50 @@ def enrichment(targets: DataFrame, observed: DataFrame, shuffled: DataFrame, rat
     return counts.where("shuffle_id <> -1").join(F.broadcast(seen)).groupBy("observed").agg(
         F.count("*").alias("shuffles"), ((1 + F.count(F.when(F.col("count") >= F.col("observed"), 1))) / (1 + F.count("*"))).alias("p")
     )
+
+
+def best_metrics(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """The largest value of two metrics in each group; nulls do not count."""
+    return df.groupBy(*by).agg(F.max(a).alias(a), F.max(b).alias(b))
+
+
+def mean_and_members(df: DataFrame, by: list[str], value: str, listed: str, sep: str = ",") -> DataFrame:
+    """For each group the mean of ``value`` and the distinct members, in order, of the lists (text) in ``listed``."""
+    every = F.flatten(F.collect_list(F.split(listed, sep)))
+    members = F.array_join(F.array_sort(F.filter(F.array_distinct(every), lambda x: x != "")), sep)
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), members.alias("members"))
+
+
+def most_common(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The commonest value of each group and how often it occurs (ties: the smallest value); nulls do not count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value), F.max("n").alias("n"))
+
+
+def passing_groups(df: DataFrame, by: list[str], part: str, whole: str, ratio: float) -> DataFrame:
+    """One row, groups: how many groups have sum(part) / sum(whole) above ``ratio``."""
+    each = df.groupBy(*by).agg(F.try_divide(F.sum(part), F.sum(whole)).alias("r"))
+    return each.agg(F.count(F.when(F.col("r") > ratio, 1)).alias("groups"))
+
+
+def sample_support(df: DataFrame, node: str = "node", sample: str = "sample") -> DataFrame:
+    """node, support: in how many different samples it occurs."""
+    return df.groupBy(node).agg(F.countDistinct(sample).alias("support"))
+
+
+def dense_ids(df: DataFrame, *cols: str) -> DataFrame:
+    """Adds ``id``: the rank of the row's values of ``cols`` among the distinct ones, from 1."""
+    from spanweave.operators.tables import number_rows
+
+    ids = number_rows(df.select(*cols).distinct(), *cols, name="id").withColumnsRenamed({c: f"_v{k}" for k, c in enumerate(cols)})
+    on = [F.col(c).eqNullSafe(F.col(f"_v{k}")) for k, c in enumerate(cols)]
+    return df.join(ids, reduce(lambda a, b: a & b, on)).drop(*[f"_v{k}" for k in range(len(cols))])
+
+
+def continuity(df: DataFrame, least: int = 500_000, most_span: int = 1_500_000) -> DataFrame:
+    """sample, covered, contigs, span, good for places (sample, chrom, start, end): good if more than ``least`` positions are covered, on one contig, within
+    ``most_span``."""
+    width = union_width(df, ["sample", "chrom"]).groupBy("sample").agg(F.sum("width").alias("covered"))
+    hull = df.groupBy("sample").agg(F.countDistinct("chrom").alias("contigs"), (F.max("end") - F.min("start")).alias("span"))
+    good = (F.col("covered") > least) & (F.col("contigs") == 1) & (F.col("span") <= most_span)
+    return width.join(hull, "sample").select("sample", "covered", "contigs", "span", good.alias("good"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions import sequences as seq
-from spanweave.operators import clustering, intervals, model, ordered, pairs, stats
+from spanweave.operators import blocks, clustering, intervals, model, ordered, pairs, paths, stats, tables
 from spanweave.operators.components import connected_components
 from spanweave.plans import views as v
 
@@ -501,32 +504,30 @@ def pattern_groups(spark, d):
 
 # --- sequences --------------------------------------------------------------------------------
 
-_ACGT = "translate(lower(substr(text, 1, length(text))), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
-
-
-@query("revcomp", "SELECT item_id, reverse(translate(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 'ACGT', 'TGCA')) AS rc FROM benchmark")
+@query("revcomp", "SELECT doc_id, md5(reverse(translate(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 'ACGT', 'TGCA'))) AS rc FROM documents")
 def revcomp(spark, d):
     acgt = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return v.table(spark, d, "benchmark").select("item_id", seq.revcomp(acgt).alias("rc"))
+    return v.table(spark, d, "documents").select("doc_id", F.md5(seq.revcomp(acgt)).alias("rc"))
 
 
-_K = "k AS (SELECT DISTINCT item_id, least(x, reverse(translate(x, 'acgt', 'tgca'))) AS kmer FROM (SELECT item_id, unnest(list_transform(range(1, length(t) - 10 + 1), lambda i: t[i:i+10])) AS x FROM (SELECT item_id, lower(translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtacgtac')) AS t FROM benchmark)) WHERE NOT contains(x, 'n'))"
+_T = "lower(translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtacgtac'))"
+_K = f"k AS (SELECT DISTINCT doc_id, least(x, reverse(translate(x, 'acgt', 'tgca'))) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(t) - 10 + 1), lambda i: t[i:i+10])) AS x FROM (SELECT doc_id, {_T} AS t FROM documents)) WHERE NOT contains(x, 'n'))"
 
 
-def _item_kmers(spark, d):
+def _doc_kmers(spark, d):
     t = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    return v.table(spark, d, "benchmark").select("item_id", seq.canonical_kmers(t, 11).alias("kmers"))
+    return v.table(spark, d, "documents").select("doc_id", seq.canonical_kmers(t, 11).alias("kmers"))
 
 
-@query("kmer_count", f"WITH {_K} SELECT item_id, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY item_id")
+@query("kmer_count", f"WITH {_K}, c AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM documents LEFT JOIN c USING (doc_id)")
 def kmer_count(spark, d):
-    return _item_kmers(spark, d).select("item_id", F.size("kmers").cast("long").alias("n"))
+    return _doc_kmers(spark, d).select("doc_id", F.coalesce(F.size("kmers"), F.lit(0)).cast("long").alias("n"))
 
 
-@query("kmer_share", f"WITH {_K}, b AS (SELECT DISTINCT kmer, 1 AS hit FROM k WHERE item_id % 2 = 0) SELECT item_id, round(count(hit) / count(*), 6) AS share FROM k LEFT JOIN b USING (kmer) GROUP BY item_id")
+@query("kmer_share", f"WITH {_K}, b AS (SELECT DISTINCT kmer, 1 AS hit FROM k WHERE doc_id % 2 = 0) SELECT doc_id, round(count(hit) / count(*), 6) AS share FROM k LEFT JOIN b USING (kmer) GROUP BY doc_id")
 def kmer_share(spark, d):
-    rows = seq.kmer_rows(_item_kmers(spark, d), "item_id", F.col("kmers"))
-    return seq.kmer_share(rows, "item_id", rows.where("item_id % 2 = 0")).select("item_id", F.round("share", 6).alias("share"))
+    rows = seq.kmer_rows(_doc_kmers(spark, d), "doc_id", F.col("kmers"))
+    return seq.kmer_share(rows, "doc_id", rows.where("doc_id % 2 = 0")).select("doc_id", F.round("share", 6).alias("share"))
 
 
 @query("edit_distance", "WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS dist FROM t a JOIN t b ON b.item_id = a.item_id + 1")
@@ -536,16 +537,22 @@ def edit_distance(spark, d):
     return a.join(b, "a").select("a", "b", F.round(seq.normalized_edit_distance(F.col("x"), F.col("y")), 6).alias("dist"))
 
 
-@query("minhash_lsh")
+_G = "g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(length(text) - 29 + 1, 1)), lambda i: text[i:i+29])) AS x FROM documents), z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)"
+
+
+@query(
+    "minhash_lsh",
+    f"""WITH {_G}, j AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS s FROM g p JOIN g q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2)
+SELECT a, b, round(s / (m.n + o.n - s), 6) AS jaccard FROM j JOIN z m ON m.doc_id = a JOIN z o ON o.doc_id = b WHERE s / (m.n + o.n - s) >= 0.4""",
+)
 def minhash_lsh(spark, d):
-    t = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    rows = v.table(spark, d, "benchmark").select("item_id", seq.canonical_kmers(t, 5).alias("kmers"))
-    return seq.lsh_pairs(rows, "item_id", "kmers", rows=1, least=0.01).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    rows = v.table(spark, d, "documents").select("doc_id", seq.char_kmers(F.col("text"), 30).alias("grams"))
+    return seq.lsh_pairs(rows, "doc_id", "grams", least=0.4).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 # --- clusters ---------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_orderkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.02)"
+_EDGES = "e AS (SELECT DISTINCT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders UNION SELECT c_custkey * 2, c_custkey * 2 + 2 FROM customer WHERE c_custkey % 7 <> 0)"
 
 
 @query(
@@ -553,8 +560,10 @@ _EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_orderkey + 1000000 AS b FROM l
     f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM s UNION SELECT s.b, r.m FROM r JOIN s ON s.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n",
 )
 def components(spark, d):
-    t = v.table(spark, d, "lineitem").where("l_quantity = 50 and l_discount < 0.02")
-    return connected_components(t.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1000000).alias("dst")).distinct())
+    """Customers (even nodes) with their orders (odd ones), and chains of customers."""
+    own = v.table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
+    chain = v.table(spark, d, "customer").where("c_custkey % 7 <> 0").select((F.col("c_custkey") * 2).alias("src"), (F.col("c_custkey") * 2 + 2).alias("dst"))
+    return connected_components(own.unionByName(chain).distinct())
 
 
 @query("components_all")
@@ -585,9 +594,9 @@ def greedy_dedup(spark, d):
 
 # --- features and model -----------------------------------------------------------------------
 
-#: Parameters that stand for fitted ones: three centroids on the first four coordinates.
-CENTROIDS = [[0.1, 0.0, 0.0, 0.1], [-0.1, 0.1, 0.0, 0.0], [0.0, -0.1, 0.1, -0.1]]
-_Q = [" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - ({m})) ** 2" for i, m in enumerate(mu)) for mu in CENTROIDS]
+#: Parameters that stand for fitted ones: three centroids on 64 coordinates, by a rule.
+CENTROIDS = [[((i * (k + 2) + k) % 5 - 2) / 10 for i in range(64)] for k in range(3)]
+_Q = [f"list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - ((((i - 1) * {k + 2} + {k}) % 5 - 2) / 10)) ** 2))" for k in range(3)]
 
 
 @query(
@@ -595,8 +604,7 @@ _Q = [" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - ({m})) ** 2" for i, m i
     f"WITH q AS (SELECT vec_id, {', '.join(f'1 / (1 + {x}) AS q{i}' for i, x in enumerate(_Q))} FROM embeddings) SELECT vec_id, round(q0 / (q0 + q1 + q2), 6) AS p0, round(q1 / (q0 + q1 + q2), 6) AS p1, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 'simple' WHEN q1 >= q2 THEN 'CC4' ELSE 'CC1' END AS label FROM q",
 )
 def student_t_assign(spark, d):
-    z = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    rows = v.table(spark, d, "embeddings").select("vec_id", model.soft_assign(z, CENTROIDS).alias("q"))
+    rows = v.table(spark, d, "embeddings").select("vec_id", model.soft_assign(F.col("embedding").cast("array<double>"), CENTROIDS).alias("q"))
     return rows.select("vec_id", F.round(F.col("q")[0], 6).alias("p0"), F.round(F.col("q")[1], 6).alias("p1"), model.argmax_label(F.col("q"), model.LABELS[:3]).alias("label"))
 
 
@@ -680,7 +688,14 @@ def clip_steps(spark, d):
     return ordered.clip_steps(st, regions).select("path", "ord", F.col("from").alias("from_pos"), F.col("to").alias("to_pos"), F.col("at").alias("at_pos"))
 
 
-@query("enrichment_p")
+@query(
+    "enrichment_p",
+    f"""WITH {v.IV}, {v.TGT}, sh AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS k), x AS (SELECT concat(k, '|', chrom) AS chrom, s + greatest(k, 0) * 17 AS s, e + greatest(k, 0) * 17 AS e FROM iv, sh), {v.merged_sql("x", "m")},
+t AS (SELECT concat(k, '|', chrom) AS chrom, s, e, name, k, row_number() OVER () AS id FROM tgt, sh),
+c AS (SELECT t.id, t.k, t.name, t.e - t.s AS len, coalesce(sum(least(t.e, m.e) - greatest(t.s, m.s)), 0) AS cov FROM t LEFT JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY ALL),
+n AS (SELECT k, count(*) FILTER (WHERE r > 0.64) AS n FROM (SELECT k, name, sum(cov) / sum(len) AS r FROM c GROUP BY 1, 2) GROUP BY k), o AS (SELECT n AS observed FROM n WHERE k = -1)
+SELECT observed, count(*) AS shuffles, (1 + count(*) FILTER (WHERE n >= observed)) / (1 + count(*)) AS p FROM n, o WHERE k <> -1 GROUP BY observed""",
+)
 def enrichment_p(spark, d):
     iv = v.intervals(spark, d)
     shuffles = spark.range(5).select(F.col("id").cast("int").alias("shuffle_id"))
@@ -699,23 +714,45 @@ def motif_copy_number(spark, d):
 
 @query("region_blocks")
 def region_blocks(spark, d):
-    from spanweave.operators import blocks
-
     return blocks.region_blocks(v.steps(spark, d).withColumn("region", F.col("path") % 10))
 
 
-@query("anchor_pair")
-def anchor_pair(spark, d):
-    from spanweave.operators import blocks
+_AP = f"""{_ST}, x AS (SELECT path % 10 AS region, *, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY ord) AS r FROM st),
+u AS (SELECT region, node, count(DISTINCT path) AS s FROM x GROUP BY 1, 2), t AS (SELECT region, node FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY s DESC, node) AS k FROM u) WHERE k <= 20),
+h AS (SELECT DISTINCT region, path, node AS a FROM x JOIN t USING (region, node) WHERE r <= 10), l AS (SELECT DISTINCT region, path, node AS b FROM x JOIN t USING (region, node) WHERE r > n - 10),
+c AS (SELECT region, a, b, count(DISTINCT path) AS paths FROM h JOIN l USING (region, path) WHERE a <> b GROUP BY 1, 2, 3)"""
 
+
+@query("anchor_pair", f"WITH {_AP} SELECT region, m.a AS a, m.b AS b, m.paths AS paths FROM (SELECT region, max_by(c, (paths, a, b)) AS m FROM c GROUP BY region)")
+def anchor_pair(spark, d):
     return blocks.anchor_pair(v.steps(spark, d).withColumn("region", F.col("path") % 10))
 
 
-@query("structural_runs")
-def structural_runs(spark, d):
-    from spanweave.operators import blocks
+@query(
+    "anchored_paths",
+    f"""WITH {_AP}, m AS (SELECT region, arg_max(a, (paths, a, b)) AS a, arg_max(b, (paths, a, b)) AS b FROM c GROUP BY region),
+e AS (SELECT region, path, node, ord < min(ord) OVER (PARTITION BY path) + 10 AS f, ord > max(ord) OVER (PARTITION BY path) - 10 AS l FROM x)
+SELECT region, path, a, b FROM e JOIN m USING (region) GROUP BY ALL HAVING (bool_or(f AND node = a) AND bool_or(l AND node = b)) OR (bool_or(f AND node = b) AND bool_or(l AND node = a))""",
+)
+def anchored_paths(spark, d):
+    return paths.anchored_paths(v.steps(spark, d).withColumn("region", F.col("path") % 10))
+
 
-    off = F.when(F.col("role") == "assistant", F.col("ord") * 100)
+@query(
+    "structural_runs",
+    f"""WITH {_ST}, r AS (SELECT path, ord, len, CASE WHEN role = 'assistant' THEN ord * 100 END AS p FROM st),
+x AS (SELECT *, sum(CASE WHEN p IS NULL THEN 0 ELSE 1 END) OVER w AS on_, sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END) OVER w AS off_,
+  last_value(p IGNORE NULLS) OVER b AS bs, last_value(p + len IGNORE NULLS) OVER b AS be, first_value(p IGNORE NULLS) OVER a AS s1, first_value(p + len IGNORE NULLS) OVER a AS e1 FROM r
+  WINDOW w AS (PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY path ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+i AS (SELECT path, min(ord) AS first, max(ord) AS last, sum(len) AS inserted, any_value(bs) AS bs, any_value(be) AS be, any_value(s1) AS s1, any_value(e1) AS e1 FROM x WHERE p IS NULL GROUP BY path, on_),
+o AS (SELECT path, off_, ord, p AS s, p + len AS e, max(p + len) OVER (PARTITION BY path, off_ ORDER BY p, p + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM x WHERE p IS NOT NULL),
+g AS (SELECT path, off_, pe, s FROM o WHERE s > pe + 20), f AS (SELECT path, off_, min(ord) AS first, max(ord) AS last FROM o GROUP BY 1, 2)
+SELECT path, 'INS' AS kind, first, last, be AS left_end, s1 AS right_pos, CAST(inserted AS BIGINT) AS inserted, 0 AS deleted FROM i
+WHERE inserted > 20 OR coalesce(s1, -2) - coalesce(be, -1) > 20 OR coalesce(bs, -1) - coalesce(e1, -2) > 20
+UNION ALL SELECT path, 'DEL', first, last, pe, s, 0, s - pe FROM g JOIN f USING (path, off_)""",
+)
+def structural_runs(spark, d):
+    off = F.when(F.col("role") == "assistant", F.col("ord").cast("long") * 100)
     return blocks.structural_runs(v.steps(spark, d).withColumn("ref_pos", off))
 
 
@@ -724,9 +761,290 @@ def structural_runs(spark, d):
     "SELECT user_id, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END ELSE 0 END) AS BIGINT) AS delta FROM events GROUP BY user_id",
 )
 def element_delta(spark, d):
-    from spanweave.operators import blocks
-
     e = v.table(spark, d, "events").withColumnRenamed("user_id", "window")
     counts = e.select("window", F.when(F.col("event_id") % 3 == 0, "SDR").otherwise("REF").alias("source"), F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("n"))
     out = blocks.element_delta(e.select("window").distinct(), counts, ["click", "view"])
     return out.select(F.col("window").alias("user_id"), F.col("delta").cast("long").alias("delta"))
+
+
+# --- paths through a graph ----------------------------------------------------------------------
+
+_SEQ = "translate(lower(node), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query("oriented_sequence", f"WITH {_ST} SELECT path, md5(string_agg(CASE WHEN role = 'user' THEN {_SEQ} ELSE reverse(translate({_SEQ}, 'ACGT', 'TGCA')) END, '' ORDER BY ord)) AS seq FROM st GROUP BY path")
+def oriented_sequence(spark, d):
+    st = v.steps(spark, d).withColumn("orient", F.when(F.col("role") == "user", ">").otherwise("<"))
+    acgt = F.translate(F.lower("node"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return paths.oriented_sequences(st, st.select("node", acgt.alias("seq")).distinct()).select("path", F.md5("seq").alias("seq"))
+
+
+_POS = f"{_ST}, n AS (SELECT node, min(len) AS len FROM st GROUP BY node), p AS (SELECT path, ord, node, role, n.len AS len, CAST(sum(n.len) OVER w AS BIGINT) AS pos_e, CAST(sum(n.len) OVER w - n.len + 1 AS BIGINT) AS pos_s FROM st JOIN n USING (node) WINDOW w AS (PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING))"
+
+
+def _positions(spark, d):
+    st = v.steps(spark, d)
+    return ordered.walk_positions(st.drop("len"), st.groupBy("node").agg(F.min("len").alias("len")), closed=True)
+
+
+@query(
+    "asof_path",
+    f"""WITH {_POS}, x AS (SELECT path, max(pos_s) FILTER (WHERE pos_s <= 50) AS l, min(pos_e) FILTER (WHERE pos_e >= 120) AS r FROM p GROUP BY path),
+f AS (SELECT path, min(ord) AS first_ord FROM p JOIN x USING (path) WHERE pos_s = l GROUP BY path), g AS (SELECT path, min(ord) AS last_ord FROM p JOIN x USING (path) WHERE pos_e = r GROUP BY path)
+SELECT path, first_ord, last_ord FROM x LEFT JOIN f USING (path) LEFT JOIN g USING (path)""",
+)
+def asof_path(spark, d):
+    p = _positions(spark, d)
+    regions = p.select("path").distinct().select("path", F.lit(50).cast("long").alias("start"), F.lit(120).cast("long").alias("end"))
+    return ordered.asof_path(regions, p).select("path", "first_ord", "last_ord")
+
+
+@query("unmatched_paths", f"WITH {_ST} SELECT DISTINCT path FROM st q WHERE path % 2 = 1 AND NOT EXISTS (SELECT 1 FROM st x JOIN st r ON x.node = r.node WHERE x.path = q.path AND r.path % 2 = 0)")
+def unmatched_paths(spark, d):
+    st = v.steps(spark, d)
+    return paths.unmatched_paths(st.where("path % 2 = 1"), st.where("path % 2 = 0"))
+
+
+_COMMON = "c AS (SELECT node FROM st GROUP BY node HAVING count(DISTINCT path) >= 3)"
+
+
+@query("disjoint_paths", f"WITH {_ST}, {_COMMON} SELECT path, ord, EXISTS (SELECT 1 FROM st x JOIN c USING (node) WHERE x.path = st.path) AS meets FROM st")
+def disjoint_paths(spark, d):
+    st = v.steps(spark, d)
+    common = stats.sample_support(st, sample="path").where("support >= 3")
+    sides = [paths.disjoint_paths(st, common, x).select("path", "ord", F.lit(not x).alias("meets")) for x in (True, False)]
+    return sides[0].unionByName(sides[1])
+
+
+@query("consumed_matches", f"WITH {_ST} SELECT q.path AS path, min(r.path) AS ref_path FROM st q JOIN st r ON q.node = r.node WHERE q.path % 2 = 1 AND r.path % 2 = 0 GROUP BY q.path")
+def consumed_matches(spark, d):
+    st = v.steps(spark, d)
+    return paths.consumed_matches(st.where("path % 2 = 1"), st.where("path % 2 = 0").withColumn("rank", F.col("path")))
+
+
+@query("repeated_paths", f"WITH {_ST}, a AS (SELECT path, arg_min(node, ord) AS f, count(*) AS n FROM st GROUP BY path) SELECT path, min(path) OVER (PARTITION BY f, n) AS kept FROM a")
+def repeated_paths(spark, d):
+    whole = v.steps(spark, d).groupBy("path").agg(F.min_by("node", "ord").alias("first_node"), F.count("*").alias("len"))
+    return paths.drop_repeated_paths(whole)
+
+
+@query("haplotype_paths")
+def haplotype_paths(spark, d):
+    """Genotypes of suppliers at 50 sites of one reference path; no SQL: what is missing is chained to a fixpoint."""
+    t = v.table(spark, d, "lineitem")
+    site = (F.col("l_partkey") % 50).alias("variant")
+    gt = F.when(F.col("l_returnflag") == "A", ".").when(F.col("l_returnflag") == "R", "1").otherwise("0")
+    genotypes = t.groupBy(F.col("l_suppkey").alias("group"), site).agg(F.max(gt).alias("gt"))
+    sites = spark.range(50).select(F.col("id").alias("variant"))
+    own = F.format_string(">%d>%d>%d", F.col("variant") * 2, F.col("variant") * 2 + 1, F.col("variant") * 2 + 2)
+    other = F.format_string(">%d>9%d>%d", F.col("variant") * 2, F.col("variant"), F.col("variant") * 2 + 2)
+    alleles = sites.select("variant", F.lit(0).alias("allele"), own.alias("traversal")).unionByName(sites.select("variant", F.lit(1).alias("allele"), other.alias("traversal")))
+    return paths.haplotype_paths(genotypes, alleles, F.lit("".join(f">{k}" for k in range(101))))
+
+
+@query(
+    "project_regions",
+    f"""WITH {_POS}, i AS (SELECT path AS region, node, ord, role, greatest(pos_s - 1, 19) - (pos_s - 1) AS f, least(pos_e, 150) - (pos_s - 1) AS t, len FROM p WHERE path % 2 = 0 AND pos_s - 1 < 150 AND 19 < pos_e AND len > 0),
+h AS (SELECT region, s.path AS sample, i.ord, f, t, CASE WHEN i.role = s.role THEN s.pos_s - 1 + f ELSE s.pos_s - 1 + i.len - t END AS s, CASE WHEN i.role = s.role THEN s.pos_s - 1 + t ELSE s.pos_s - 1 + i.len - f END AS e FROM i JOIN p s ON s.node = i.node AND s.path % 2 = 1),
+sh AS (SELECT region, sample, sum(w) / 131 AS share FROM (SELECT DISTINCT region, sample, ord, t - f AS w FROM h) GROUP BY 1, 2),
+r AS (SELECT *, max(e) OVER (PARTITION BY region, sample ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM h),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s - pe > 131 / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY region, sample ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r),
+u AS (SELECT region, sample, run, min(s) AS s, max(e) AS e FROM g GROUP BY 1, 2, 3), q AS (SELECT *, least(e - s, 131) / greatest(e - s, 131) AS ratio FROM u),
+k AS (SELECT *, max(ratio) OVER (PARTITION BY region, sample) AS most, row_number() OVER (PARTITION BY region, sample ORDER BY e - s DESC, s) AS n FROM q)
+SELECT region, sample, s, e, round(ratio, 6) AS ratio, round(share, 6) AS share FROM k JOIN sh USING (region, sample) WHERE ratio > 0.5 OR (most <= 0.5 AND n = 1)""",
+)
+def project_regions(spark, d):
+    p = _positions(spark, d).withColumn("orient", F.col("role"))
+    reference, sample = p.where("path % 2 = 0 and len > 0"), p.where("path % 2 = 1")
+    regions = reference.select("path").distinct().select(F.col("path").alias("region"), "path", F.lit(20).cast("long").alias("start"), F.lit(150).cast("long").alias("end"))
+    placed = sample.select(F.col("path").alias("sample"), F.lit("c").alias("chrom"), "node", (F.col("pos_s") - 1).alias("start"), F.col("pos_e").alias("end"), "orient")
+    return paths.project_regions(regions, reference, placed).select("region", "sample", F.col("start").alias("s"), F.col("end").alias("e"), F.round("ratio", 6).alias("ratio"), F.round("share", 6).alias("share"))
+
+
+@query("unit_steps", f"WITH {_ST} SELECT path, ord, CAST(unnest(generate_series(0, CASE WHEN len > 10 THEN len // 10 ELSE 1 END - 1)) AS INTEGER) AS part FROM st")
+def unit_steps(spark, d):
+    return paths.unit_steps(v.steps(spark, d)).select("path", "ord", "part")
+
+
+# --- windows, tables and the small ones -----------------------------------------------------------
+
+
+@query(
+    "adjacent_windows",
+    f"""WITH {v.IV}, l AS (SELECT chrom, s, e, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY chrom ORDER BY s, e)),
+n AS (SELECT *, sum(CASE WHEN ps IS NULL OR NOT ((s >= ps AND e <= pe) OR least(e, pe) - greatest(s, ps) > 15) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT chrom, s, e, min(s) OVER (PARTITION BY chrom, g) AS cluster FROM n""",
+)
+def adjacent_windows(spark, d):
+    return _shown(intervals.adjacent_windows(v.intervals(spark, d), 15), "cluster")
+
+
+@query("carry_hulls")
+def carry_hulls(spark, d):
+    """A window's hull depends on the one before it in turn, which SQL's windows cannot carry."""
+    w = v.targets(spark, d).withColumns({"hull_start": F.col("start") - F.col("start") % 50, "hull_end": F.col("end") + F.col("start") % 70})
+    return _shown(intervals.carry_hulls(w), "name", "hull_start", "hull_end", "extended")
+
+
+@query(
+    "overlap_clusters",
+    f"""WITH RECURSIVE {v.PAIRS}, i AS (SELECT pair, row_number() OVER (ORDER BY pair) AS id, chrom1, start1, end1, chrom2, start2, end2 FROM (SELECT DISTINCT * EXCLUDE (score) FROM pr)),
+e AS (SELECT p.id AS a, q.id AS b FROM i p JOIN i q ON p.id <> q.id AND p.chrom1 = q.chrom1 AND p.chrom2 = q.chrom2 AND p.start1 <= q.end1 AND q.start1 <= p.end1 AND p.start2 <= q.end2 AND q.start2 <= p.end2),
+r AS (SELECT id AS n, id AS m FROM i UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT n AS pair, min(m) AS cluster FROM r GROUP BY n""",
+)
+def overlap_clusters(spark, d):
+    rows = tables.number_rows(v.pairs(spark, d).drop("score").distinct(), "pair")
+    return pairs.overlap_clusters(rows.drop("pair").withColumnRenamed("row", "pair"))
+
+
+@query("row_selection", "SELECT event_id, row FROM (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS row FROM events) WHERE row IN (SELECT l_partkey FROM lineitem)")
+def row_selection(spark, d):
+    rows = tables.number_rows(v.table(spark, d, "events").select("event_id"), "event_id")
+    picked = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("row"))
+    return tables.select_rows(rows, picked, "event_id")
+
+
+@query(
+    "paste",
+    "SELECT event_id, c_custkey FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events) FULL JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS n FROM customer) USING (n)",
+)
+def paste(spark, d):
+    a, b = v.table(spark, d, "events").select("event_id"), v.table(spark, d, "customer").select("c_custkey", (-F.col("c_custkey")).alias("o"))
+    return tables.paste(a, b, ["event_id"], ["o"]).select("event_id", "c_custkey")
+
+
+@query("dense_ids", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER (ORDER BY least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey)) AS BIGINT) AS id FROM lineitem")
+def dense_ids(spark, d):
+    t = v.table(spark, d, "lineitem").withColumns({"lo": F.least("l_partkey", "l_suppkey"), "hi": F.greatest("l_partkey", "l_suppkey")})
+    return stats.dense_ids(t, "lo", "hi").select("l_orderkey", "l_linenumber", "l_partkey", "id")
+
+
+@query("union_distinct", "SELECT l_partkey AS k FROM lineitem UNION SELECT o_custkey FROM orders")
+def union_distinct(spark, d):
+    return tables.union_distinct(v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), v.table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+
+
+@query(
+    "with_precedence",
+    "SELECT l_orderkey AS k, l_quantity AS x FROM lineitem UNION ALL SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT l_orderkey FROM lineitem)",
+)
+def with_precedence(spark, d):
+    a = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("double").alias("x"))
+    b = v.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").cast("double").alias("x"))
+    return tables.with_precedence(a, b, ["k"])
+
+
+@query("coordinate_sort", f"WITH {v.IV} SELECT chrom, s, e, CAST(row_number() OVER (ORDER BY chrom, s, e) AS BIGINT) AS row FROM iv")
+def coordinate_sort(spark, d):
+    iv = v.intervals(spark, d).select("chrom", "start", "end")
+    return _shown(tables.number_rows(tables.coordinate_sort(iv), "chrom", "start", "end"), "row")
+
+
+@query("class_texts", "SELECT event_id, event_type LIKE '%i%' AS has_i FROM events")
+def class_texts(spark, d):
+    e = v.table(spark, d, "events").select("event_id", "event_type")
+    return reduce(DataFrame.unionByName, [tables.by_class(e, "event_type", ["i"], k).select("event_id", F.lit(k).alias("has_i")) for k in (True, False)])
+
+
+@query("best_metrics", "SELECT l_partkey AS k, max(l_quantity) AS q, max(l_discount) AS x FROM lineitem GROUP BY 1")
+def best_metrics(spark, d):
+    return stats.best_metrics(v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("x")), ["k"], "q", "x")
+
+
+@query(
+    "mean_and_members",
+    "SELECT k, round(avg(l_quantity), 6) AS mean, string_agg(DISTINCT m, ',' ORDER BY m) AS members FROM (SELECT l_partkey AS k, l_quantity, unnest([l_returnflag, l_linestatus]) AS m FROM lineitem) GROUP BY k",
+)
+def mean_and_members(spark, d):
+    t = v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity", F.concat_ws(",", "l_returnflag", "l_linestatus").alias("m"))
+    return stats.mean_and_members(t, ["k"], "l_quantity", "m").withColumn("mean", F.round("mean", 6))
+
+
+@query("most_common", "SELECT k, arg_min(x, (-n, x)) AS x, max(n) AS n FROM (SELECT l_suppkey AS k, l_linenumber AS x, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY k")
+def most_common(spark, d):
+    return stats.most_common(v.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("x")), ["k"], "x")
+
+
+@query("passing_groups", "SELECT count(*) FILTER (WHERE r > 0.05) AS groups FROM (SELECT sum(l_discount) / sum(l_tax + l_discount + 0.5) AS r FROM lineitem GROUP BY l_partkey)")
+def passing_groups(spark, d):
+    t = v.table(spark, d, "lineitem").select("l_partkey", F.col("l_discount").alias("a"), (F.col("l_tax") + F.col("l_discount") + 0.5).alias("b"))
+    return stats.passing_groups(t, ["l_partkey"], "a", "b", 0.05)
+
+
+@query("sample_support", "SELECT l_partkey AS node, count(DISTINCT l_suppkey) AS support FROM lineitem GROUP BY 1")
+def sample_support(spark, d):
+    return stats.sample_support(v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("sample")))
+
+
+@query(
+    "continuity",
+    f"""WITH {v.IV}, x AS (SELECT name || '|' || chrom AS chrom, s, e FROM iv), {v.merged_sql("x", "m")}, c AS (SELECT split_part(chrom, '|', 1) AS sample, sum(e - s) AS covered FROM m GROUP BY 1),
+h AS (SELECT name AS sample, count(DISTINCT chrom) AS contigs, max(e) - min(s) AS span FROM iv GROUP BY 1) SELECT sample, CAST(covered AS BIGINT) AS covered, contigs, span, covered > 1000 AND contigs = 1 AND span <= 100000 AS good FROM c JOIN h USING (sample)""",
+)
+def continuity(spark, d):
+    return stats.continuity(v.intervals(spark, d).withColumnRenamed("name", "sample"), 1000, 100_000)
+
+
+@query("size_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(l_partkey, l_suppkey) / greatest(l_partkey, l_suppkey), 6) AS r FROM lineitem")
+def size_ratio(spark, d):
+    return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(seq.size_ratio(F.col("l_partkey"), F.col("l_suppkey")), 6).alias("r"))
+
+
+@query(
+    "region_scores",
+    "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_linenumber / 7 * 100) / 100 AS pathratio, floor(least(l_partkey, l_suppkey + 5) / greatest(l_partkey, l_suppkey + 5) * 100) / 100 AS lenratio FROM lineitem",
+)
+def region_scores(spark, d):
+    t = v.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_linenumber").alias("kept_paths"), F.lit(7).alias("all_paths"), F.col("l_partkey").alias("node_len"), F.lit(0).alias("start"), (F.col("l_suppkey") + 5).alias("end")
+    )
+    return blocks.region_scores(t).select("l_orderkey", "l_linenumber", "l_partkey", "pathratio", "lenratio")
+
+
+@query(
+    "transfer_overhang",
+    f"""WITH {v.IV}, {v.PAIRS}, o AS (SELECT p.pair, p.start1, p.end1, p.start2, p.end2, min(b.s) AS bs, max(b.e) AS be FROM pr p LEFT JOIN iv b ON b.chrom = p.chrom1 AND p.start1 < b.e AND b.s < p.end1 GROUP BY ALL)
+SELECT pair, greatest(0, start2 - 2 * greatest(0, start1 - coalesce(bs, start1))) AS grown_start, least(5000, end2 + 2 * greatest(0, coalesce(be, end1) - end1)) AS grown_end FROM o""",
+)
+def transfer_overhang(spark, d):
+    lengths = spark.range(10).select(F.col("id").cast("string").alias("chrom"), F.lit(5000).cast("long").alias("length"))
+    p = v.pairs(spark, d).drop("score").distinct()
+    return intervals.transfer_overhang(p, v.intervals(spark, d), lengths, 2).select("pair", "grown_start", "grown_end")
+
+
+@query("accepted_pairs", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE 1 - l_discount >= 0.95 AND l_quantity * 100 >= 1000 AND l_tax * 10 >= 0.5")
+def accepted_pairs(spark, d):
+    t = v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (1 - F.col("l_discount")).alias("identity"), (F.col("l_quantity") * 100).alias("align_len"), (F.col("l_tax") * 10).alias("matchindel"))
+    return pairs.accepted(t, identity=0.95).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("cluster_kinds", "SELECT o_custkey AS cluster, count(*) AS n, CASE WHEN count(*) = 1 THEN 'nointe' WHEN count(*) >= 12 THEN 'large' ELSE 'inte' END AS kind FROM orders GROUP BY 1")
+def cluster_kinds(spark, d):
+    return clustering.cluster_kind(v.table(spark, d, "orders").select(F.col("o_custkey").alias("cluster")), 12)
+
+
+@query("representatives", "SELECT o_custkey AS component, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def representatives(spark, d):
+    t = v.table(spark, d, "orders").select(F.col("o_custkey").alias("component"), "o_orderkey", "o_totalprice")
+    return clustering.representatives(t, "o_orderkey", "o_totalprice").select("component", "o_orderkey")
+
+
+@query("grouped_components", f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM s UNION SELECT s.b, r.m FROM r JOIN s ON s.a = r.n) SELECT k, coalesce(min(m), k) AS component FROM (SELECT c_custkey * 2 AS k FROM customer) LEFT JOIN r ON r.n = k GROUP BY k")
+def grouped_components(spark, d):
+    own = v.table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
+    customers = v.table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), "c_custkey")
+    chain = customers.where("c_custkey % 7 <> 0").select(F.col("k").alias("src"), (F.col("k") + 2).alias("dst"))
+    return clustering.grouped_components(own.unionByName(chain).distinct(), customers.select("k"), "k")
+
+
+@query("rescale", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(ceil(l_orderkey + l_quantity * l_discount) AS BIGINT) AS at FROM lineitem")
+def rescale(spark, d):
+    t = v.table(spark, d, "lineitem")
+    at = seq.rescale(F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_quantity"), F.col("l_discount"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", at.cast("long").alias("at"))
+
+
+@query("subsequence", "SELECT doc_id, substr(text, 11, 20) AS half_open, substr(text, 10, 21) AS closed FROM documents")
+def subsequence(spark, d):
+    at = lambda closed: seq.subsequence(F.col("text"), F.lit(10), F.lit(30), closed)
+    return v.table(spark, d, "documents").select("doc_id", at(False).alias("half_open"), at(True).alias("closed"))
