@@ -1,12 +1,13 @@
 """Benchmark decontamination: short items found inside documents of any length.
 
 Containment of an item in a document is the share of the item's distinct 5-word shingles that
-the document has; an item counts as found from 80 %. Search: documents are partitioned by size
-(powers of two of their shingle count) and each partition has its own one-permutation MinHash
-sketch, with 16 bins per shingle of its upper bound. So a sketch resolves short items in long
-documents as well as in short ones: each shared shingle is missed with probability 1/32 only,
-and an item of six shingles with about 1e-7. Items of up to 4 shingles are compared with all
-shingles of a document instead of the sketch. Candidates are verified with the shingles' words.
+the document has; an item counts as found from 80 %. Search: items are partitioned by size (powers of two of their shingle
+count), and each partition has a sampling rate, so that an item's MinHash sketch (its hashes below a limit) has 16 to 32
+elements, however long it is; items of up to ``SKETCH`` shingles are their own sketch. A document's sketch for a partition
+is its hashes below the same limit, so the share of an item's sketch that it has estimates the containment at any size of
+the document. Each sketch has its own threshold: a candidate shares so many elements that an item with 80 % is missed with
+probability ``MISS`` at most (an item that is its own sketch: never). A document that is too small for a partition skips it.
+Candidates are verified with the shingles' words.
 
 Items are broadcast in blocks of at most ``BLOCK_SHINGLES`` shingles; a larger benchmark takes
 more passes over the documents. Documents are never shuffled.
@@ -18,7 +19,9 @@ pairs; empty tables give no rows; other columns are ignored (or kept, by ``clean
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +34,24 @@ from spanweave.llm.text import Words, shingle_sets, text_chunks, words_of
 BLOCK_SHINGLES = 1_000_000
 #: Distinct shingles shared, in percent of the item's.
 PERCENT = 80
-BINS_PER_SHINGLE = 16
-TINY = 4
-_NONE = np.uint64(2**64 - 1)
+#: Elements of a sketch, at most on average.
+SKETCH = 32
+MISS = 1e-6
 
 
-def _sketch(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """The smallest hash of every bin that has one."""
-    low = np.full(bins, _NONE)
-    np.minimum.at(low, (hashes & np.uint64(bins - 1)).astype(np.int64), hashes)
-    return low[low != _NONE]
+@cache
+def least_shared(sketch: int) -> int:
+    """The most elements that a threshold may ask for: fewer are shared with probability ``MISS`` at most where each is with ``PERCENT``."""
+    p, total = PERCENT / 100, 0.0
+    for c in range(sketch + 1):
+        total += math.comb(sketch, c) * p**c * (1 - p) ** (sketch - c)
+        if total > MISS:
+            return c
+    return sketch
 
 
 class Items:
-    """Shingle sets of a block of items, indexed by their sketches for each size partition."""
+    """Shingle sets of a block of items, and the index of their sketches for each size partition."""
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids, self.texts, self.sets = ids, texts, []
@@ -52,30 +59,45 @@ class Items:
             hashes, ends = shingle_sets(words_of(data, offs))
             self.sets.extend(hashes[a:b] for a, b in zip(ends[:-1], ends[1:]))
         self.size = np.array([len(s) for s in self.sets], np.int64)
-        self.tiny = self._index([s if len(s) <= TINY else s[:0] for s in self.sets])
-        self.parts: dict[int, tuple] = {}
         self.grams: dict[int, set] = {}
+        self.need = np.maximum(1, -(-self.size * PERCENT // 100))
+        sketches: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, s in enumerate(self.sets):
+            part = max(0, (max(1, len(s)) - 1).bit_length() - (SKETCH - 1).bit_length())
+            sketch = s[: np.searchsorted(s, self.limit(part))] if part else s
+            if part and least_shared(len(sketch)) < 1:
+                part, sketch = 0, s  # an unlucky draw: too few elements for any threshold
+            elif part:
+                self.need[k] = least_shared(len(sketch))
+            sketches.setdefault(part, []).append((k, sketch))
+        self.parts = {}
+        for part, held in sketches.items():
+            key = np.concatenate([s for _, s in held])
+            item = np.repeat([k for k, _ in held], [len(s) for _, s in held])
+            order = np.argsort(key, kind="stable")
+            smallest = min(int(-(-self.size[k] * PERCENT // 100)) for k, _ in held)
+            self.parts[part] = key[order], item[order], smallest
 
     @staticmethod
-    def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(key, kind="stable")
-        return key[order], item[order]
-
-    def _hits(self, index: tuple, query: np.ndarray) -> np.ndarray:
-        key, item = index
-        if not len(key):
-            return item[:0]
-        a, b = np.searchsorted(key, query), np.searchsorted(key, query, "right")
-        return np.concatenate([item[x:y] for x, y in zip(a[b > a].tolist(), b[b > a].tolist())] or [item[:0]])
+    def limit(part: int) -> np.uint64:
+        """Hashes below it are in the sketches of a partition."""
+        return np.uint64((1 << (64 - part)) - 1)
 
     def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        part = int(len(hashes) - 1).bit_length()
-        bins = BINS_PER_SHINGLE << part
-        if part not in self.parts:
-            self.parts[part] = self._index([_sketch(s, bins) if len(s) > TINY else s[:0] for s in self.sets])
-        return np.unique(np.concatenate([self._hits(self.parts[part], _sketch(hashes, bins)), self._hits(self.tiny, hashes)]))
+        """Items whose sketch shares enough with that of a document."""
+        found = []
+        for part, (key, item, smallest) in self.parts.items():
+            if len(hashes) < smallest or not len(key):
+                continue
+            own = hashes[: np.searchsorted(hashes, self.limit(part))] if part else hashes
+            a, b = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            n = (b - a)[b > a]
+            if not len(n):
+                continue
+            at = np.repeat(a[b > a] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hit, shared = np.unique(item[at], return_counts=True)
+            found.append(hit[shared >= self.need[hit]])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def item_grams(self, k: int) -> set:
         if k not in self.grams:
