@@ -35,7 +35,7 @@ COSINE = 0.95
 MISS = 1e-4
 #: Vectors of a bucket that one task compares.
 BUCKET = 2048
-BLOCK = 1024
+BLOCK = 4096
 #: Vectors in a block of what is beyond a bucket.
 DENSE_BLOCK = 4096
 MOST_BITS = 48
@@ -138,17 +138,27 @@ def _stars(cosine: float, keys: int):
 
 
 def _count(cosine: float):
-    """Rows ordered by (component, i, j): links of each class in a pair of blocks."""
+    """Rows ordered by (component, i, j): links of each class in a pair of blocks, a block against itself where i = j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, 3):
             cid, own, weight = (part.column(c).to_numpy() for c in ("cid", "b", "n"))
             x = _unit(part.column("v").to_pylist())
-            hit = (x @ x.T >= cosine).astype(np.int64)
-            np.fill_diagonal(hit, 0)
-            if part.column("i")[0] != part.column("j")[0]:
-                hit[own[:, None] == own[None, :]] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(hit @ weight)], ["cid", "links"])
+            first = own == part.column("i")[0].as_py()
+            links = np.zeros(len(cid), np.int64)
+            rows, others = np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.arange(len(cid))
+            alone = part.column("i")[0] == part.column("j")[0]
+            for k in range(0, len(rows), _STEP):
+                at = rows[k : k + _STEP]
+                hit = x[at] @ x[others].T >= cosine
+                if alone:
+                    hit[np.arange(len(at)), at] = False
+                elif first.all():
+                    hit[:] = False
+                links[at] += hit @ weight[others]
+                if not alone and not first.all():
+                    links[others] += weight[at] @ hit
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(links)], ["cid", "links"])
 
     return run
 
