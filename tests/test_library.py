@@ -116,6 +116,13 @@ def test_sequences(spark):
     assert (got.start, got.end) == (100, 200)
     docs = spark.createDataFrame([(1, list("abcdefgh")), (2, list("abcdefgx")), (3, list("qrst")), (4, [])], "k long, s array<string>")
     assert rows_of(seq.lsh_pairs(docs, "k", "s", least=0.5), "a", "b") == [(1, 2)]
+    rng = np.random.default_rng(1)
+    sets = [[int(x) for x in rng.choice(60, 20, replace=False)] for _ in range(60)] + [[1, 2, 3], [1, 2, 3], []]
+    df = spark.createDataFrame([(k, [f"x{i}" for i in x]) for k, x in enumerate(sets)], "k int, s array<string>")
+    for least in (0.1, 0.3, 0.6):
+        jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+        want = [(a, b) for a in range(63) for b in range(a + 1, 63) if sets[a] and sets[b] and jac(sets[a], sets[b]) >= least]
+        assert rows_of(seq.lsh_pairs(df, "k", "s", least=least), "a", "b") == want
 
 
 def test_components(spark):
@@ -208,7 +215,8 @@ def test_motifs(spark):
         m, t = ("".join(rng.choice(list("ACGT"), n)) for n in (rng.integers(2, 6), rng.integers(3, 14)))
         want = [min(edits(m, t[k:e]) for k in range(e + 1)) for e in range(len(t) + 1)]
         assert motif.infix_distances(m, t).tolist() == want
-        s, e, d = motif.best_hit(m, t) or (0, 0, len(m))
+        d, places = motif.best_hits(m, t)
+        s, e = places[0] if places else (0, 0)
         assert d == min(want) and edits(m, t[s:e]) == d
     assert motif.copy_number("ACGTC", "TT" + "ACGTC" * 4 + "GG")[0] == 4
     assert motif.oriented_copy_number("AACCC", "GGGTT" * 3)["strand"] == "-"
@@ -227,4 +235,164 @@ def test_blocks(spark):
     assert (got.blocks, got.kept_len, got.total_len, got.poly) == (2, 900, 1150, 1)
     assert blocks.anchor_pair(df, edge=1).first().paths >= 1
     runs = spark.createDataFrame([("p", 0, 5, 0), ("p", 1, 30, None), ("p", 2, 5, 5), ("p", 3, 2, None), ("p", 4, 5, 100)], "path string, ord int, len long, ref_pos long")
-    assert rows_of(blocks.structural_runs(runs), "first", "inserted", "deleted") == [(1, 30, 0), (3, 2, 90)]
+    assert rows_of(blocks.structural_runs(runs), "kind", "first", "left_end", "right_pos", "inserted", "deleted") == [("INS", 1, 5, 5, 30, 0), ("INS", 3, 10, 100, 2, 0)]
+    gone = spark.createDataFrame([("p", k, 10, x) for k, x in enumerate([0, 15, 60, 400, None])], "path string, ord int, len long, ref_pos long")
+    assert rows_of(blocks.structural_runs(gone), "kind", "first", "last", "left_end", "right_pos", "deleted") == [("DEL", 0, 3, 25, 60, 35), ("DEL", 0, 3, 70, 400, 330), ("INS", 4, 4, 410, None, 0)]
+
+
+def test_overlap_join_with_nulls(spark):
+    a = iv(spark, [("c", 0, 10, None), ("c", 50, 60, "x"), ("c", 90, 95, None), (None, 0, 10, "n"), ("c", None, 10, "n")], ", name string")
+    b = iv(spark, [("c", 5, 20, None), ("c", 55, 58, None)], ", name string")
+    key = lambda r: (str(r[0]), str(r[1]), str(r[2]), str(r[3]))
+    assert sorted(map(tuple, intervals.overlap_join(a, b, "semi").collect()), key=key) == [("c", 0, 10, None), ("c", 50, 60, "x")]
+    anti = sorted(map(tuple, intervals.overlap_join(a, b, "anti").collect()), key=key)
+    assert anti == sorted([("c", 90, 95, None), (None, 0, 10, "n"), ("c", None, 10, "n")], key=key)
+    left = intervals.overlap_join(a, b, "left").collect()
+    assert len(left) == 5 and sum(r.start_b is not None for r in left) == 2
+
+
+def test_overlap_join_of_very_different_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [("c", int(s), int(s + 10 ** rng.integers(0, 6) + rng.integers(0, 5))) for s in rng.integers(0, 10**6, 250)] + [("c", 0, 10**7), ("c", 5, 5)]
+    other = [("c", int(s), int(s + 2 ** rng.integers(0, 20))) for s in rng.integers(0, 10**6, 200)]
+    a, b = iv(spark, rows), iv(spark, other)
+    got = sorted((r.start_a, r.end_a, r.start_b, r.end_b) for r in intervals.overlap_join(a, b).collect())
+    assert got == sorted((x[1], x[2], y[1], y[2]) for x in rows for y in other if x[1] < y[2] and y[1] < x[2])
+    listed = intervals._listed(a, "start", "end", intervals.levels_of(a), intervals.levels_of(b), True, intervals.SMALLEST, False)
+    assert listed.count() <= 3 * intervals.MOST_LEVELS * len(rows)
+
+
+def test_components_do_not_stop_early(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long").repartition(8)
+    assert connected_components(chain, local=0).select("component").distinct().count() == 1
+    assert connected_components(chain).select("component").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        connected_components(chain.repartition(60), max_iter=0, local=0)
+
+
+def test_running_equals_one_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from spanweave.operators.running import in_blocks, running
+
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 9 == 0 else str(k % 3), int(x), k, None if k % 4 == 0 else int(y)) for k, (x, y) in enumerate(rng.integers(0, 500, (300, 2)))]
+    df = spark.createDataFrame(rows, "g string, pos long, k long, v long")
+    for kind, f in (("max", F.max), ("sum", F.sum), ("last", lambda c: F.last(c, True))):
+        for inclusive in (True, False):
+            for reverse in (True, False):
+                order = [F.desc(c) if reverse else F.asc(c) for c in ("pos", "k")]
+                over = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+                want = {r.k: r.w for r in df.select("k", f("v").over(over).alias("w")).collect()}
+                got = running(in_blocks(df, "pos", 37), ["g"], ["pos", "k"], "w", F.col("v"), kind, inclusive, reverse)
+                assert {r.k: r.w for r in got.collect()} == want
+
+
+def test_carried_hulls(spark):
+    rng = np.random.default_rng(6)
+    rows = sorted((str(c), int(s), int(s + n), int(s - a), int(s + n + b)) for c, s, n, a, b in zip(rng.integers(0, 2, 120), rng.integers(100, 3000, 120), rng.integers(1, 60, 120), rng.integers(0, 90, 120), rng.integers(0, 90, 120)))
+    want, low, high, chrom = [], 0, 0, None
+    for c, s, e, a, b in rows:
+        if c != chrom:
+            low = high = None
+            chrom = c
+        inside = low is not None and s > low and e < high
+        low, high = (low, high) if inside else (a, b)
+        want.append((c, s, e, low, high, inside))
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, hull_start long, hull_end long").repartition(5)
+    assert rows_of(intervals.carry_hulls(df)) == sorted(want)
+    assert any(w[-1] for w in want) and intervals.carry_hulls(df.limit(0)).count() == 0
+
+
+def test_paths(spark):
+    from spanweave.operators import paths
+
+    steps = spark.createDataFrame([(1, 0, ">", "a"), (1, 1, "<", "b"), (1, 2, ">", "00000"), (2, 0, "<", "zz")], "path int, ord int, orient string, node string")
+    nodes = spark.createDataFrame([("a", "AAC"), ("b", "GGT")], "node string, seq string")
+    assert rows_of(paths.oriented_sequences(steps, nodes)) == [(1, "AAC" + "ACC" + "N" * 21), (2, "")]
+    assert paths.chained([">1>2", ">4>5", ">2>3", ">3>4"]) == [">1>2>3>4>5"] and paths.chained([">1>2", ">7"]) == [">1>2", ">7"] and paths.chained([]) == []
+    ref = ">1>12>3>4>5>6"
+    gts = {"r": "000", "h": "100", "m": "0..", "u": "...", "b": "110"}
+    alleles = [(0, 0, ">1>12"), (0, 1, ">1>9"), (1, 0, ">3>4"), (1, 1, ">3<8>4"), (2, 0, ">4>5>6"), (2, 1, ">4>6")]
+    geno = spark.createDataFrame([(g, v, x) for g, t in gts.items() for v, x in enumerate(t)], "group string, variant int, gt string")
+    from pyspark.sql import functions as F
+
+    got = paths.haplotype_paths(geno, spark.createDataFrame(alleles, "variant int, allele int, traversal string"), F.lit(ref), most_missing=0.7)
+    assert dict((r.group, (r.status, r.path)) for r in got.collect()) == {
+        "r": ("known", ref), "h": ("known", ">1>9>3>4>5>6"), "m": ("known", ">1>12>00000"), "u": ("unknown", None), "b": ("known", ">1>9>3<8>4>5>6"),
+    }
+    # the sample has the region's middle reversed, and another place far off
+    line = spark.createDataFrame([("r", k, ">", f"n{k}", 10 * k + 1, 10 * k + 10) for k in range(10)], "path string, ord int, orient string, node string, pos_s long, pos_e long")
+    region = spark.createDataFrame([("x", "r", 16, 45)], "region string, path string, start long, end long")
+    placed = [("s", "c", "n1", 100, 110, ">"), ("s", "c", "n2", 110, 120, "<"), ("s", "c", "n3", 120, 130, ">"), ("s", "c", "n4", 130, 140, "<"), ("s", "c", "n2", 900, 910, ">"), ("t", "c", "n3", 5, 15, "<")]
+    got = paths.project_regions(region, line, spark.createDataFrame(placed, "sample string, chrom string, node string, start long, end long, orient string"))
+    assert [(r.sample, r.start, r.end, round(r.ratio, 4), round(r.share, 4)) for r in got.orderBy("sample").collect()] == [("s", 105, 140, round(30 / 35, 4), 1.0), ("t", 5, 15, round(1 / 3, 4), round(1 / 3, 4))]
+    same = spark.createDataFrame([(3, "a", 5), (1, "a", 5), (2, "b", 5)], "path int, first_node string, len int")
+    assert rows_of(paths.drop_repeated_paths(same)) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_motif_growth():
+    assert motif.best_hits("ACG", "TACGTACG") == (0, [(1, 4), (5, 8)])
+    assert motif.grown_chain([(0, 10), (10, 20), (25, 35)], 10) == [(0, 10), (10, 20), (25, 35)]
+    assert motif.grown_chain([(0, 10), (10, 20), (90, 100)], 10) == [(0, 10), (10, 20)]
+    assert motif.non_redundant([(5, 0, 10), (4, 1, 10), (3, 5, 20), (5, 30, 40)]) == [(5, 30, 40), (5, 0, 10), (3, 5, 20)]
+
+
+def test_refinement(spark):
+    from spanweave.operators import pairs
+
+    def align(c1, s1, e1, c2, s2, e2):
+        return (0.95, 1500, s1, e1, s2, e2) if s1 < 4000 else (0.8, 1500, s1, e1, s2, e2)
+
+    df = spark.createDataFrame([("a", 4050, 6000, "b", 5000, 7000, 0.7, 2000), ("a", 9000, 9500, "b", 5000, 7000, 0.7, 50)], "chrom1 string, start1 long, end1 long, chrom2 string, start2 long, end2 long, identity double, align_len long")
+    got = pairs.refine_pairs(df, align).collect()
+    assert len(got) == 1 and got[0].refined_start1 < 4000 and got[0].refined_identity == 0.95
+    assert [tuple(r) for r in pairs.refine_pairs(df, align).collect()] == [tuple(r) for r in got]
+
+
+def test_tables(spark):
+    from spanweave.operators import stats, tables
+
+    a = spark.createDataFrame([(k * 7 % 11, f"v{k}") for k in range(11)], "o int, v string").repartition(4)
+    assert [(r.o, r.row) for r in tables.number_rows(a, "o").orderBy("row").collect()] == [(k, k + 1) for k in range(11)]
+    b = spark.createDataFrame([(9, "x"), (5, "y")], "p int, w string")
+    assert rows_of(tables.paste(a.where("o < 3"), b, ["o"], ["p"]), "o", "w") == [(0, "y"), (1, "x"), (2, None)]
+    assert rows_of(tables.with_precedence(b, spark.createDataFrame([(9, "z"), (1, "q"), (None, "n")], "p int, w string").where("p is not null"), ["p"])) == [(1, "q"), (5, "y"), (9, "x")]
+    assert rows_of(stats.most_common(spark.createDataFrame([("g", 2), ("g", 1), ("g", 1), ("g", 2), ("h", None)], "k string, x int"), ["k"], "x")) == [("g", 1, 2)]
+
+
+def test_greedy_dedup_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = sorted({("c", int(s), int(s + n)) for s, n in zip(rng.integers(0, 200, 80), rng.integers(5, 80, 80))})
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[1] - r[2], *r)):
+        if not any(max(0, min(r[2], k[2]) - max(r[1], k[1]) + 1) / min(r[2] - r[1] + 1, k[2] - k[1] + 1) >= 0.9 for k in kept):
+            kept.append(r)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "chrom string, start long, end long, g int")
+    assert rows_of(clustering.greedy_dedup(df, ["g"]), "chrom", "start", "end") == sorted(kept)
+
+
+def test_eps_clusters_in_four_axes_are_split_again(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 3, (60, 4)) for c in (0, 40, 500)])
+    df = spark.createDataFrame([(k, "g", *map(float, v)) for k, v in enumerate(x)], "id long, g string, a double, b double, c double, d double")
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+    def parts(members, eps):
+        left, out = set(members), []
+        while left:
+            stack = [left.pop()]
+            own = set(stack)
+            while stack:
+                i = stack.pop()
+                more = {j for j in left if near[i, j] <= eps}
+                left -= more
+                own |= more
+                stack += more
+            out.append(own)
+        return out
+
+    want = sorted(min(p) for q in parts(range(180), 90.0) for p in (parts(q, 25.0) if len(q) > 100 else [q]))
+    got = clustering.eps_clusters(df, ["g"], ["a", "b", "c", "d"], 90.0, ((100, 25.0),))
+    assert sorted({r.cluster for r in got.collect()}) == want and len(want) == 3
