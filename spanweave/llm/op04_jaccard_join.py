@@ -20,7 +20,8 @@ so the space is first cut without loss by shared rare shingles, then by pivots:
    salted, distributed jobs. What cells would not
    make cheaper, or not in ``MAX_ROUNDS`` rounds, is joined by pairs of blocks.
 
-Texts move once, and only those of outer regions with two sets or more. The bucket counts steer
+Texts move once, and only those of outer regions with two sets or more (a Bloom filter of bounded size holds back the
+others). The bucket counts steer
 speed only; the result does not depend on them.
 
 Defined cases: null or empty texts have an empty set and link with nothing; 1 to 4 words are one
@@ -32,14 +33,14 @@ are ignored (``keep_one`` returns them).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import sql
+from spanweave.llm.idfilter import IdFilter
 from spanweave.llm.text import mix, shingle_sets, text_chunks, words_of
 from spanweave.operators.components import connected_components, local_roots
 from spanweave.scratch import Scratch
@@ -495,10 +496,12 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
         links.append(tmp.save(_in_tasks(small), f"links{k}"))
         size = size.where(~fits)
         if not size.limit(1).count():
+            tmp.drop(rows)
             break
         big = rows.join(size, "region")
         if k == MAX_ROUNDS:
             links.append(tmp.save(_by_blocks(big), "blocks"))
+            tmp.drop(rows)
             break
         salts = F.ceil(F.col("sets") / SALT_SETS).cast("int")
         draw = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -515,7 +518,7 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
             .mapInArrow(_split_regions, "region long, pivot long, cid long, d double")
         )
         routed = tmp.save(routed, f"routed{k}")
-        found = routed.where("region is null").select(F.col("cid").alias("src"), F.col("pivot").alias("dst"))
+        found = tmp.save(routed.where("region is null").select(F.col("cid").alias("src"), F.col("pivot").alias("dst")), f"near{k}")
         links.append(found)
         part = connected_components(found).select(F.col("node").alias("cid"), "component")
         cells = routed.where("region is not null").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -536,7 +539,9 @@ def _large_regions(tmp: Scratch, rows: DataFrame) -> list[DataFrame]:
         stuck = rows.join(cost.where("stuck").select("region", "sets"), "region")
         links.append(tmp.save(_by_blocks(stuck), f"blocks{k}"))
         on = cells.join(cost.where("not stuck").select("region"), "region", "left_semi").join(rows, ["region", "cid"])
-        rows = tmp.save(on.select(F.xxhash64("region", "pivot", F.lit(k)).alias("region"), "cid", "shingles"), f"rows{k}")
+        after = tmp.save(on.select(F.xxhash64("region", "pivot", F.lit(k)).alias("region"), "cid", "shingles"), f"rows{k}")
+        tmp.drop(rows, cells, cost)
+        rows = after
     return links
 
 
@@ -556,28 +561,20 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-@contextmanager
-def _runtime_filter(spark: SparkSession) -> Iterator[None]:
-    """Let Spark filter the larger side of a join by a Bloom filter of the smaller one's keys at any size of scan."""
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _row_keys(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _labelled(tmp: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, s1, s2 of every row; s1, s2, n, rep, component, component_id of every class with shingles)."""
+    spark = rows.sparkSession
     signed = tmp.save(rows.mapInArrow(_sign, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary"), "signed", partition_by="kind")
     heavy = spark.sparkContext.broadcast(_ranks(signed))
     own = signed.where("kind = 0")
     classes = own.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
     classes = tmp.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    own = tmp.save(own.select("doc_id", "n", "s1", "s2"), "own")
+    tmp.drop(signed)
     pairs = (
         rows.select("text")
         .mapInArrow(_prefixes(heavy), "token long, n int, s1 long")
@@ -587,6 +584,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     pairs = tmp.save(pairs, "pairs")
+    heavy.destroy()
     side = classes.select("s1", "n", "sketch")
     tested = (
         pairs.where("not sure")
@@ -596,38 +594,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_plausible, "src long, dst long")
     )
     plausible = tmp.save(tested.unionByName(pairs.where("sure").select("src", "dst")), "plausible")
-    tmp.drop(pairs)
+    light = tmp.save(classes.drop("sketch"), "light")
+    tmp.drop(pairs, classes)
     regions = connected_components(plausible)
-    members = tmp.save(classes.join(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "s1"), "members")
-    # texts outside the regions stay where they are: Spark's runtime Bloom filter (of bounded size) drops most
-    # of them at the scan, before the join's shuffle
-    null_id = F.lit(-(2**63)).cast("long")
-    wanted = members.where("n > 0").withColumn("id", F.coalesce("rep", null_id)).drop("sketch")
-    found = wanted.join(rows.select(F.coalesce("doc_id", null_id).alias("id"), "text"), "id").select("region", "cid", "n", "s1", "s2", "text")
-    with _runtime_filter(spark):
-        sets = tmp.save(found.mapInArrow(_texts_to_sets, "region long, cid long, shingles binary"), "sets")
+    members = tmp.save(light.join(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "s1"), "members")
+    tmp.drop(plausible)
+    # texts outside the regions stay where they are
+    wanted = members.select("region", "cid", "n", "s1", "s2", _id("rep").alias("id"))
+    known = IdFilter(wanted.select("id"))
+    found = wanted.join(rows.select(_id("doc_id").alias("id"), "text").where(known.may_have(F.col("id"))), "id")
+    sets = found.select("region", "cid", "n", "s1", "s2", "text").mapInArrow(_texts_to_sets, "region long, cid long, shingles binary")
+    sets = tmp.save(sets, "sets")
+    known.destroy()
+    tmp.drop(members)
     links = _large_regions(tmp, sets)
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
     joined = connected_components(found).select(F.col("node").alias("cid"), "component")
-    labelled = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = labelled.join(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-    tmp.drop(sets)
+    labelled = light.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    labelled = tmp.save(labelled.join(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component"), "labelled")
+    tmp.drop(light, *links)
+    return own, labelled
+
+
+def _id(value: Column | str) -> Column:
+    """An id that joins, null included."""
+    return F.coalesce((F.col(value) if isinstance(value, str) else value).cast("long"), F.lit(-(2**63)).cast("long"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    own, labelled = _labelled(Scratch(docs.sparkSession, "jaccard"), _row_keys(docs))
     return own.join(labelled.select("s1", "s2", "n", "component_id"), ["s1", "s2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _judge(known: IdFilter, value: Column, text: Column) -> Column:
+    """s1, s2, n of the rows whose id may be in the filter (hit true); one call of Python for both."""
+    hits = known.probe()
+
+    @F.arrow_udf("struct<hit: boolean, s1: long, s2: long, n: long>")
+    def judge(a: pa.Array, b: pa.Array, text: pa.Array) -> pa.Array:
+        hit = hits(a, b)
+        out = np.zeros((3, len(hit)), np.int64)
+        at = np.flatnonzero(hit)
+        done = 0
+        for _, _, data, offs in text_chunks(text.filter(pa.array(hit))):
+            hashes, ends = shingle_sets(words_of(data, offs))
+            rows = at[done : done + len(offs) - 1]
+            out[0, rows], out[1, rows] = _signature(hashes, ends)
+            out[2, rows] = np.diff(ends)
+            done += len(rows)
+        return pa.StructArray.from_arrays([pa.array(hit), *map(pa.array, out)], ["hit", "s1", "s2", "n"])
+
+    return judge(*known.places(value), text)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose doc_id stands for its component; rows
-    repeated under one doc_id are left to the first. Rows with a null doc_id stay."""
-    joined = Scratch(docs.sparkSession, "jaccard-kept").save(near_duplicates(docs), "joined")
-    kept = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each component, with the columns of ``docs``: one whose doc_id is the smallest there (null: if all are). Rows
+    without shingles all stay. Only rows whose doc_id has something to leave out go through a shuffle."""
+    tmp = Scratch(docs.sparkSession, "jaccard-kept")
+    own, labelled = _labelled(tmp, _row_keys(docs))
+    chosen = labelled.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("_"), "rep", "s1", "s2", "n")).alias("c"))
+    chosen = chosen.select(_id("c.rep").alias("id"), "c.s1", "c.s2", "c.n", F.lit(True).alias("best"))
+    keys = ["id", "s1", "s2", "n"]
+    rows = own.where("n > 0").select(_id("doc_id").alias("id"), "s1", "s2", "n").groupBy(*keys).agg(F.count("*").alias("rows"))
+    fate = rows.join(chosen, keys, "left").where("best is null or rows > 1").select(*keys, F.coalesce("best", F.lit(False)).alias("best"))
+    fate = tmp.save(fate, "fate")
+    tmp.drop(own, labelled)
+    known = IdFilter(fate.select("id"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), _id(F.col("doc_id")).alias("id"))
+    out = packed.where(~known.may_have(F.col("id"))).select("_row.*")
+    judged = packed.withColumn("_s", _judge(known, F.col("id"), F.col("_row.text").cast("string"))).where("_s.hit").select("_row", "id", "_s.s1", "_s.s2", "_s.n")
+    judged = judged.join(fate, keys, "left")
+    out = out.unionByName(judged.where("best is null").select("_row.*"))
+    if fate.where("best").limit(1).count():  # rows repeated whole
+        out = out.unionByName(judged.where("best").dropDuplicates(keys).select("_row.*"))
+    return out
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
