@@ -3,7 +3,8 @@
 Every statistic is computed from the whole text by vectorised passes over its bytes. The
 trees are trained with numpy on at most ``TRAIN_ROWS`` labelled rows (those with the smallest
 hash of doc_id; the bound is a parameter), flattened into arrays of complete trees, and all
-documents walk all trees at once with numpy.
+documents walk all trees at once with numpy. Texts are read twice, but only those of the sample have their statistics taken twice: it is drawn by
+doc_id alone, and a Bloom filter of its ids picks its texts.
 
 Defined cases: null text counts as empty and is scored like any text; a doc_id with several
 labels takes part only if they agree; null labels are left out; without any training row every
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanweave.llm.idfilter import IdFilter
 from spanweave.llm.text import text_chunks, words_of
 from spanweave.scratch import Scratch
 
@@ -177,71 +179,66 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, bins:
     return Trees(base, feature, threshold, leaf)
 
 
-def _floats(x: np.ndarray) -> pa.Array:
-    offs = np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel(), pa.float32()))
-
-
-@F.arrow_udf(T.ArrayType(T.FloatType()))
-def document_statistics(text: pa.Array) -> pa.Array:
-    return _floats(features(text))
+def _floats(x: np.ndarray, there: np.ndarray) -> pa.Array:
+    """A list for each row that is there, null for the others."""
+    offs = np.concatenate([[0], np.cumsum(there)]).astype(np.int32) * N_FEATURES
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel(), pa.float32()), mask=pa.array(~there))
 
 
 def _remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
 
 
-def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Trees:
-    """Train on the labelled rows of ``statistics`` (doc_id, x) that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Trees:
+    """Train on labelled rows of ``docs`` (doc_id, text) that are not held out."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = (
         labels.where("quality is not null and doc_id is not null")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
         .where("quality = most")
-    )
-    rows = (
-        statistics.join(known, "doc_id")
         .where(_remainder(F.col("doc_id")) != 2)
-        .select("x", "quality", F.xxhash64("doc_id").alias("k"), "doc_id")
-        .orderBy("k", "doc_id", "quality", "x")
-        .limit(max_rows)
-        .select("x", "quality")
-        .toArrow()
     )
+    drawn = known.join(ids, "doc_id", "left_semi").select("doc_id", "quality", F.xxhash64("doc_id").alias("k")).orderBy("k", "doc_id").limit(max_rows)
+    drawn = Scratch(docs.sparkSession, "quality").save(drawn, "drawn")
+    picked = IdFilter(drawn.select(F.col("doc_id").alias("id")))
+    hits = picked.probe()
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def statistics(a: pa.Array, b: pa.Array, text: pa.Array) -> pa.Array:
+        """Null for texts that cannot be in the sample."""
+        hit = hits(a, b)
+        return _floats(features(text.filter(pa.array(hit))), hit)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = texts.withColumn("x", statistics(*picked.places(F.col("doc_id")), "text")).where("x is not null")
+    # of a doc_id with many rows, too, the bound holds
+    rows = texts.select("doc_id", "x").join(drawn, "doc_id").orderBy("k", "doc_id", "x").limit(max_rows).select("x", "quality").toArrow()
+    picked.destroy()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
     return train(x, rows.column("quality").to_numpy().astype(float))
 
 
-def _statistics(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_statistics(F.col("text").cast("string")).alias("x"))
+def _scorer(docs: DataFrame, labels: DataFrame, max_rows: int):
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows).arrays())
 
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(Trees(*model.value).score(features(text)))
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = Scratch(spark, "quality").save(_statistics(docs), "statistics")
-    model = spark.sparkContext.broadcast(fit(rows, labels, max_rows).arrays())
+    return scored(F.col("text").cast("string"))
 
-    @F.arrow_udf("double")
-    def scored(x: pa.Array) -> pa.Array:
-        return pa.array(Trees(*model.value).score(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)))
 
-    return rows.select(
-        "doc_id", (_remainder(F.col("doc_id")) == 2).alias("held_out"), scored("x").alias("score")
-    ).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    held_out = _remainder(F.col("doc_id")) == 2
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), _scorer(docs, labels, max_rows).alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with their columns, that the classifier accepts."""
-    spark = docs.sparkSession
-    rows = Scratch(spark, "quality").save(_statistics(docs), "statistics")
-    model = spark.sparkContext.broadcast(fit(rows, labels, max_rows).arrays())
-
-    @F.arrow_udf("double")
-    def scored(text: pa.Array) -> pa.Array:
-        return pa.array(Trees(*model.value).score(features(text)))
-
-    return docs.where(scored(F.col("text").cast("string")) >= threshold)
+    return docs.where(_scorer(docs, labels, max_rows) >= threshold)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
