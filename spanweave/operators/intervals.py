@@ -281,8 +281,8 @@ def adjacent_windows(windows: DataFrame, shared: int = 500) -> DataFrame:
     inside = (F.col("start") >= F.col("_pstart")) & (F.col("end") <= F.col("_pend"))
     near = F.least("end", "_pend") - F.greatest("start", "_pstart") > shared
     first = F.when(F.col("_pstart").isNull() | ~(inside | near), F.struct("start", "end"))
-    rows = running(rows, ["chrom"], ["start", "end"], "_c", first, "last")
-    return rows.withColumn("cluster", F.col("_c.start")).drop("_c", "_pstart", "_pend", "_block")
+    rows = running(rows, ["chrom"], ["start", "end"], "_first", first, "last")
+    return rows.withColumn("cluster", F.col("_first.start")).drop("_first", "_pstart", "_pend", "_block")
 
 
 def carry_hulls(windows: DataFrame) -> DataFrame:
@@ -295,17 +295,21 @@ def carry_hulls(windows: DataFrame) -> DataFrame:
     first = F.when(F.col("_reach").isNull() | (F.col("end") >= F.col("_reach")), F.struct(*order))
     rows = running(reached, ["chrom"], order, "_run", first, "last").drop("_reach", "_block")
 
-    def carry(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        low, high, out = None, None, []
-        for s, e, a, b in zip(pdf["start"], pdf["end"], pdf["hull_start"], pdf["hull_end"]):
-            inside = low is not None and s > low and e < high
-            if not inside:
-                low, high = a, b
-            out.append((low, high, inside))
-        return pdf.assign(hull_start=[x[0] for x in out], hull_end=[x[1] for x in out], extended=[x[2] for x in out])
+    def carry(frames):
+        run = low = high = None
+        for pdf in frames:
+            out = []
+            for key, s, e, a, b in zip(zip(pdf["chrom"], pdf["_rs"], pdf["_re"]), pdf["start"], pdf["end"], pdf["hull_start"], pdf["hull_end"]):
+                if key != run:
+                    run, low, high = key, None, None
+                inside = low is not None and s > low and e < high
+                if not inside:
+                    low, high = a, b
+                out.append((low, high, inside))
+            yield pdf[names].assign(hull_start=[x[0] for x in out], hull_end=[x[1] for x in out], extended=[x[2] for x in out])
 
     names = windows.columns
-    flat = rows.select(*names, F.col("_run.start").alias("_rs"), F.col("_run.end").alias("_re"))
+    keys = ["chrom", "_rs", "_re"]
+    flat = rows.select(*names, F.col("_run.start").alias("_rs"), F.col("_run.end").alias("_re")).where("chrom is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields) + ", extended boolean"
-    return flat.groupBy("chrom", "_rs", "_re").applyInPandas(lambda pdf: carry(pdf)[[*names, "extended"]], schema)
+    return flat.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(carry, schema)

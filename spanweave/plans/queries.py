@@ -692,7 +692,7 @@ def clip_steps(spark, d):
     "enrichment_p",
     f"""WITH {v.IV}, {v.TGT}, sh AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS k), x AS (SELECT concat(k, '|', chrom) AS chrom, s + greatest(k, 0) * 17 AS s, e + greatest(k, 0) * 17 AS e FROM iv, sh), {v.merged_sql("x", "m")},
 t AS (SELECT concat(k, '|', chrom) AS chrom, s, e, name, k, row_number() OVER () AS id FROM tgt, sh),
-c AS (SELECT t.id, t.k, t.name, t.e - t.s AS len, coalesce(sum(least(t.e, m.e) - greatest(t.s, m.s)), 0) AS cov FROM t LEFT JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY ALL),
+c AS (SELECT t.id, t.k, t.name, t.e - t.s AS len, sum(CASE WHEN m.s IS NULL THEN 0 ELSE least(t.e, m.e) - greatest(t.s, m.s) END) AS cov FROM t LEFT JOIN m ON t.chrom = m.chrom AND t.s < m.e AND m.s < t.e GROUP BY ALL),
 n AS (SELECT k, count(*) FILTER (WHERE r > 0.64) AS n FROM (SELECT k, name, sum(cov) / sum(len) AS r FROM c GROUP BY 1, 2) GROUP BY k), o AS (SELECT n AS observed FROM n WHERE k = -1)
 SELECT observed, count(*) AS shuffles, (1 + count(*) FILTER (WHERE n >= observed)) / (1 + count(*)) AS p FROM n, o WHERE k <> -1 GROUP BY observed""",
 )
@@ -985,9 +985,9 @@ def continuity(spark, d):
     return stats.continuity(v.intervals(spark, d).withColumnRenamed("name", "sample"), 1000, 100_000)
 
 
-@query("size_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(l_partkey, l_suppkey) / greatest(l_partkey, l_suppkey), 6) AS r FROM lineitem")
+@query("size_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, least(l_partkey, l_suppkey) / greatest(l_partkey, l_suppkey) AS r FROM lineitem")
 def size_ratio(spark, d):
-    return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(seq.size_ratio(F.col("l_partkey"), F.col("l_suppkey")), 6).alias("r"))
+    return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", seq.size_ratio(F.col("l_partkey"), F.col("l_suppkey")).alias("r"))
 
 
 @query(
