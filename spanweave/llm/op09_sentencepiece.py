@@ -19,13 +19,13 @@ pass over the batch's own trie. Words are told apart by 128 bits of hash.
 
 Defined cases: null counts as empty and gives an empty array (decoded: empty text); U+2581 in a text
 counts as a space, as in the library; characters without a piece become their UTF-8 bytes' pieces,
-or the unknown piece in a model without them; ids outside the model decode as the unknown piece; input
-columns are kept, and a column named like the output is replaced; an empty table gives no rows.
+or the unknown piece in a model without them; ids outside the model decode as the unknown piece; null
+decodes as empty, and its encoding is exact; input columns are kept, and a column named like the output is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.llm.text import distinct_keys, mix, text_chunks, words_of
 from spanweave.llm.vocab import head_threshold
@@ -40,17 +41,17 @@ from spanweave.scratch import Scratch
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-HEAD_WORDS, HEAD_BYTES = 400_000, 48
+HEAD_WORDS, HEAD_BYTES = 250_000, 48
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
 _GAP, _GAP2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Pairs of pieces whose test a worker remembers.
-PAIR_CACHE = 1_000_000
+PAIR_CACHE = 150_000
 #: Moves of the automaton by way of suffixes that a worker remembers.
-MOVE_CACHE = 1_000_000
+MOVE_CACHE = 60_000
 #: Bytes of text whose rarer words are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 1 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -67,13 +68,7 @@ def load_model(path: str, kind: str = "bpe") -> dict:
     n = sp.get_piece_size()
     ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
     raw = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-    return with_key({"kind": kind, "ids": ids, "scores": [sp.get_score(i) for i in range(n)], "bytes": raw, "unk": sp.unk_id(), "size": n})
-
-
-def with_key(model: dict) -> dict:
-    """``model`` with a digest of its content, by which workers know it again."""
-    content = repr([model["kind"], sorted(model["ids"].items()), model["scores"], sorted(model["bytes"].items()), model["unk"]])
-    return model | {"key": hashlib.sha256(content.encode()).hexdigest()}
+    return {"kind": kind, "ids": ids, "scores": [sp.get_score(i) for i in range(n)], "bytes": raw, "unk": sp.unk_id(), "size": n}
 
 
 class Encoder:
@@ -270,15 +265,23 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-#: The encoder of the model last used in this worker.
-_KEPT: dict[str, Encoder] = {}
+def _spaced(key: np.ndarray, gap: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """Keys of words with so many spaces before them."""
+    return np.where(gap > 1, mix(key ^ (gap.astype(np.uint64) * factor)), key)
 
 
-def _encoder(model: dict) -> Encoder:
-    if model["key"] not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model["key"]] = Encoder(model)
-    return _KEPT[model["key"]]
+def _keys_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two keys of marked words, as ``_marked`` gives them."""
+    bare = [w.replace(_MARK.tobytes(), b"") for w in words]
+    size = np.array([len(b) for b in bare], np.int64)
+    gap = (np.array([len(w) for w in words], np.int64) - size) // 3
+    found = words_of(np.frombuffer(b"".join(bare), np.uint8), np.concatenate([[0], np.cumsum(size)]), lower=False, space=_BLANK, second=True)
+    out = []
+    for own, factor in ((found.hashes, _GAP), (found.second, _GAP2)):
+        key = mix(gap.astype(np.uint64) * factor + np.uint64(1))
+        key[size > 0] = _spaced(own, gap[size > 0], factor)
+        out.append(key)
+    return out[0], out[1]
 
 
 def _marked(data: np.ndarray, offs: np.ndarray):
@@ -298,11 +301,10 @@ def _marked(data: np.ndarray, offs: np.ndarray):
     rest = np.flatnonzero(tail > 0)
     at = words.offs[1:][rest]
     starts, ends = np.insert(words.starts, at, offs[1:][rest]), np.insert(words.ends, at, offs[1:][rest])
-    keys = []
-    for own, factor in ((words.hashes, _GAP), (words.second, _GAP2)):
-        key = own.copy()
-        key[gap > 1] = mix(key[gap > 1] ^ (gap[gap > 1].astype(np.uint64) * factor))
-        keys.append(np.insert(key, at, mix(tail[rest].astype(np.uint64) * factor + np.uint64(1))))
+    keys = [
+        np.insert(_spaced(own, gap, factor), at, mix(tail[rest].astype(np.uint64) * factor + np.uint64(1)))
+        for own, factor in ((words.hashes, _GAP), (words.second, _GAP2))
+    ]
     counts = np.diff(words.offs) + (tail > 0)
     return keys[0], keys[1], np.insert(gap, at, tail[rest]), starts, ends, np.concatenate([[0], np.cumsum(counts)])
 
@@ -354,6 +356,7 @@ class Group:
         self.starts = np.concatenate([m[3] + b for m, b in zip(marked, base)])
         self.ends = np.concatenate([m[4] + b for m, b in zip(marked, base)])
         self.data = np.concatenate([data for data, _ in chunks]) if len(chunks) > 1 else chunks[0][0]
+        self.texts = np.concatenate([[0], *(offs[1:] + b for (_, offs), b in zip(chunks, base))])
         places = np.cumsum([0] + [len(m[0]) for m in marked])
         self.offs = np.concatenate([[0], *(m[5][1:] + p for m, p in zip(marked, places))])
 
@@ -362,24 +365,22 @@ class Group:
         return _spell(self.data, self.gap[at], self.starts[at], self.ends[at])
 
 
-def _groups(column: pa.Array) -> Iterator[Group]:
-    held, size = [], 0
-    for _, _, data, offs in text_chunks(_spaces_for_marks(column)):
-        held.append((data, offs))
-        size += len(data)
-        if size >= TOGETHER:
-            yield Group(held)
-            held, size = [], 0
-    if held:
-        yield Group(held)
+def _groups(column: pa.Array) -> Iterator[tuple[int, int, Group]]:
+    """(first row, end row, words) of consecutive texts with about ``TOGETHER`` bytes."""
+    begin, held, size = 0, [], 0
+    for i, j, _, _ in text_chunks(column):
+        held += [(data, offs) for _, _, data, offs in text_chunks(_spaces_for_marks(column.slice(i, j - i)))]
+        size += len(held[-1][0])
+        if size >= TOGETHER or j == len(column):
+            yield begin, j, Group(held)
+            begin, held, size = j, [], 0
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for g in _groups(batch.column(0)):
+        for _, _, g in _groups(batch.column(0)):
             words = g.spelled(np.arange(len(g.first))).cast(pa.binary())
-            keys = (pa.array(k[g.first].view(np.int64)) for k in (g.keys, g.second))
-            yield pa.RecordBatch.from_arrays([*keys, words, pa.array(np.bincount(g.inverse, minlength=len(g.first)))], ["h", "h2", "w", "cnt"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(g.inverse, minlength=len(g.first)))], ["w", "cnt"])
 
 
 def _words(column: pa.Array) -> list[str]:
@@ -388,92 +389,115 @@ def _words(column: pa.Array) -> list[str]:
 
 def _encode_words(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
+        encoder = Encoder(model.value)
         for batch in batches:
-            ids, size = encoder.encode_sorted(_words(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(ids.view(np.uint8), 4 * size, pa.binary())], ["h", "h2", "ids"])
+            ids, size = encoder.encode_sorted(_words(batch.column(0)))
+            keys = [pa.array(k.view(np.int64)) for k in _keys_of(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*keys, _binary(ids.view(np.uint8), 4 * size, pa.binary())], ["h", "h2", "ids"])
 
     return run
 
 
-def _encoder_udf(model, head):
-    @F.arrow_udf("array<int>")
-    def encode(text: pa.Array) -> pa.Array:
-        encoder = _encoder(model.value)
-        keys, second, start, size, pool = head.value
-        values, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for g in _groups(text):
-            k = g.keys[g.first]
-            at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-            known = (keys[at] == k) & (second[at] == g.second[g.first]) if len(keys) else np.zeros(len(k), bool)
-            rare = np.flatnonzero(~known)
-            spelled = _words(g.spelled(rare))
-            order = sorted(range(len(rare)), key=spelled.__getitem__)
-            ids, n = encoder.encode_sorted([spelled[i] for i in order])
-            begin, many = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-            if len(keys):
-                begin[known], many[known] = start[at[known]], size[at[known]]
-            begin[rare[order]], many[rare[order]] = len(pool) + np.cumsum(n) - n, n
-            many = many[g.inverse]
-            values.append(_gather(np.concatenate([pool, ids]), begin[g.inverse], many))
-            run = np.concatenate([[0], np.cumsum(many)])
-            counts.append(np.diff(run[g.offs]))
-        offs = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(values)))
-
-    return encode
+class Decoder:
+    """Bytes of pieces; any id outside the model is the unknown piece."""
 
+    def __init__(self, model: dict):
+        spelled = [b""] * model["size"] + [" ⁇ ".encode()]
+        for piece, i in model["ids"].items():
+            spelled[i] = piece.replace(MARK, " ").encode()
+        for byte, i in model["bytes"].items():
+            spelled[i] = bytes([byte])
+        spelled[model["unk"]] = spelled[-1]
+        self.size = np.array([len(x) for x in spelled], np.int64)
+        self.start, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(spelled), np.uint8)
+
+    def texts(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, first, end) of the texts of ids[offs[i]:offs[i+1]], without the dummy prefix."""
+        ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+        size = self.size[ids]
+        raw = _gather(self.pool, self.start[ids], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[offs]
+        first, end = ends[:-1].copy(), ends[1:]
+        some = np.flatnonzero(end > first)
+        first[some[raw[first[some]] == 0x20]] += 1
+        return raw, first, end
+
+
+def _group_ids(g: Group, encoder: Encoder, head: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a group's texts, and their offsets."""
+    keys, second, start, size, pool = head
+    k = g.keys[g.first]
+    at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+    known = (keys[at] == k) & (second[at] == g.second[g.first]) if len(keys) else np.zeros(len(k), bool)
+    rare = np.flatnonzero(~known)
+    spelled = _words(g.spelled(rare))
+    order = sorted(range(len(rare)), key=spelled.__getitem__)
+    ids, n = encoder.encode_sorted([spelled[i] for i in order])
+    begin, many = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+    if len(keys):
+        begin[known], many[known] = start[at[known]], size[at[known]]
+    begin[rare[order]], many[rare[order]] = len(pool) + np.cumsum(n) - n, n
+    many = many[g.inverse]
+    run = np.concatenate([[0], np.cumsum(many)])
+    return _gather(np.concatenate([pool, ids]), begin[g.inverse], many), run[g.offs]
+
+
+def _same_texts(g: Group, raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each decoded text is the group's."""
+    same = end - first == np.diff(g.texts)
+    return np.array([bool(ok) and np.array_equal(raw[a:b], g.data[c:d]) for ok, a, b, c, d in zip(same, first, end, g.texts[:-1], g.texts[1:])], bool)
+
+
+def _encode_rows(model, head, text: str, keep: list[str], check: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(model.value), Decoder(model.value)
+        for batch in batches:
+            for i, j, g in _groups(batch.column(text)):
+                ids, offs = _group_ids(g, encoder, head.value)
+                more = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))]
+                if check:
+                    more.append(pa.array(_same_texts(g, *decoder.texts(ids, offs))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *more], names)
 
-def _decoder_udf(model):
-    held: dict = {}
+    return run
 
-    def spell(ids: np.ndarray, offs: np.ndarray) -> list[str]:
-        """Texts of ids[offs[i]:offs[i+1]]."""
-        size = held["size"][ids]
-        raw = _gather(held["pool"], held["start"][ids], size).tobytes()
-        ends = np.concatenate([[0], np.cumsum(size)])[offs].tolist()
-        parts = (raw[a:b] for a, b in zip(ends[:-1], ends[1:]))
-        return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in parts]
+
+def _decoder_udf(model):
+    held: list[Decoder] = []
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
 
         if not held:
-            data = model.value
-            spelled = [b""] * data["size"] + [" ⁇ ".encode()]
-            for piece, i in data["ids"].items():
-                spelled[i] = piece.replace(MARK, " ").encode()
-            for byte, i in data["bytes"].items():
-                spelled[i] = bytes([byte])
-            spelled[data["unk"]] = spelled[-1]
-            size = np.array([len(x) for x in spelled], np.int64)
-            held.update(size=size, start=np.cumsum(size) - size, pool=np.frombuffer(b"".join(spelled), np.uint8))
+            held.append(Decoder(model.value))
+        decoder = held[0]
         ids = pc.fill_null(ids, [])
         flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
         offs = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
         out, i = [], 0
         while i < len(ids):
-            j = min(len(ids), max(i + 1, int(np.searchsorted(offs, offs[i] + (1 << 20), "right")) - 1))
-            part = flat[offs[i] : offs[j]].astype(np.int64)
-            part[(part < 0) | (part >= len(held["size"]))] = len(held["size"]) - 1
-            out += spell(part, offs[i : j + 1] - offs[i])
+            j = min(len(ids), max(i + 1, int(np.searchsorted(offs, offs[i] + (1 << 19), "right")) - 1))
+            raw, first, end = decoder.texts(flat[offs[i] : offs[j]].astype(np.int64), offs[i : j + 1] - offs[i])
+            raw = raw.tobytes()
+            out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(first.tolist(), end.tolist())]
             i = j
         return pa.array(out, pa.string())
 
     return decode
 
 
-def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", head_limit: int = HEAD_WORDS) -> DataFrame:
-    """``docs`` with the piece ids of its text column as array<int>."""
+def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", exact: str | None = None, head_limit: int = HEAD_WORDS) -> DataFrame:
+    """``docs`` with the piece ids of its text column as array<int>; ``exact``: a boolean column of that name is added too, whether decoding the
+    ids gives the text back."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "pieces")
     shared = spark.sparkContext.broadcast(model)
-    column = F.col(text).cast("string")
-    words = docs.select(column.alias("text")).mapInArrow(_distinct, "h long, h2 long, w binary, cnt long").groupBy("h", "h2", "w").agg(F.sum("cnt").alias("cnt"))
+    column = F.col(f"`{text}`").cast("string")
+    words = docs.select(column.alias("text")).mapInArrow(_distinct, "w binary, cnt long").groupBy("w").agg(F.sum("cnt").alias("cnt"))
     words = tmp.save(words.where(F.octet_length("w") <= HEAD_BYTES), "words")
     common = words.where(F.col("cnt") >= head_threshold(words, head_limit)).sortWithinPartitions("w")
-    table = common.select("h", "h2", "w").mapInArrow(_encode_words(shared), "h long, h2 long, ids binary").toArrow()
+    table = common.select("w").mapInArrow(_encode_words(shared), "h long, h2 long, ids binary").toArrow()
     tmp.drop(words)
     keys, second = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h", "h2"))
     order = np.argsort(keys)
@@ -482,7 +506,15 @@ def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", h
     bounds = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 4 if len(raw) else np.zeros(1, np.int64)
     pool = np.frombuffer(raw.buffers()[2], np.int32).copy() if len(raw) and raw.buffers()[2] is not None else np.zeros(0, np.int32)
     head = spark.sparkContext.broadcast((keys[order], second[order], bounds[:-1][order], np.diff(bounds)[order], pool))
-    return docs.withColumn(ids, _encoder_udf(shared, head)(column))
+    added = [ids] if exact is None else [ids, exact]
+    keep = [f for f in docs.schema.fields if f.name not in added]
+    names = [f.name for f in keep]
+    rows, source = docs.select(*[F.col(f"`{n}`") for n in names]), text
+    if text not in names or docs.schema[text].dataType != T.StringType():
+        source = next(n for n in ("_text", *(f"_text{k}" for k in range(len(names)))) if n not in names)
+        rows = docs.select(*[F.col(f"`{n}`") for n in names], column.alias(source))
+    types = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([] if exact is None else [T.StructField(exact, T.BooleanType())])]
+    return rows.mapInArrow(_encode_rows(shared, head, source, names, exact is not None, names + added), T.StructType([*keep, *types]))
 
 
 def decode(rows: DataFrame, model: dict, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -492,13 +524,9 @@ def decode(rows: DataFrame, model: dict, ids: str = "ids", text: str = "decoded"
 
 def digest(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, ids_md5 (of the ids joined by spaces), exact (decoding gives the text back)."""
-    both = decode(encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), model), model)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_md5"),
-        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))).alias("exact"),
-    )
+    both = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, exact="exact")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(ids).alias("ids_md5"), "exact")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from spanweave.llm import (
     op01_revisits,
     op02_embedding_dedup,
@@ -14,8 +16,20 @@ from spanweave.llm import (
     op09_sentencepiece,
     op10_sharding,
 )
+from spanweave.llm.text import small_batches
 
 _MODULES = [op01_revisits, op02_embedding_dedup, op03_decontaminate, op04_jaccard_join, op05_lm_score, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding]
 
-QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
+
+def _lean(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {k: _lean(v) for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

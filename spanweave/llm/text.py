@@ -27,6 +27,17 @@ _GRAM = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _SHORT = _RNG.integers(1, 2**63, 16, dtype=np.uint64)
 
 
+#: Rows that go to Python at once. Spark's default of 10,000 whole texts takes tens of megabytes, several times over, in each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows, unless the user has chosen a size of their own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Words(NamedTuple):
     """Words of one chunk: byte span, hash, and for document i the words offs[i]:offs[i+1]. ``second``: another
     64 bits of each word's hash, if asked for."""
