@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Trees
         return _floats(features(text.filter(pa.array(hit))), hit)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = texts.withColumn("x", statistics(*picked.places(F.col("doc_id")), "text")).where("x is not null")
+    # else the filter on its result would call it once more
+    texts = texts.withColumn("x", statistics.asNondeterministic()(*picked.places(F.col("doc_id")), "text")).where("x is not null")
     # of a doc_id with many rows, too, the bound holds
     rows = texts.select("doc_id", "x").join(drawn, "doc_id").orderBy("k", "doc_id", "x").limit(max_rows).select("x", "quality").toArrow()
     picked.destroy()
