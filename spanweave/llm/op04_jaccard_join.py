@@ -122,7 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by segment -> one row each with the sums of its buckets."""
     last, total = None, None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["n", "sums"])
     for batch in batches:
         for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if n != last:
@@ -137,9 +137,9 @@ def _bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranks(signed: DataFrame) -> np.ndarray:
     """A 16-bit rank of every bucket, growing with its count in the corpus: 2**(BUCKET_BITS + 1) bytes at any size."""
     rows = signed.where("kind = 1").select("n", "sketch").repartition("n").sortWithinPartitions("n").mapInArrow(_bucket_sums, "n long, sums binary").collect()
-    out = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.int64)
+    out = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.uint32)
     for n, sums in rows:
-        out[n] = np.frombuffer(sums, np.int64)
+        out[n] = np.frombuffer(sums, np.uint32)
     scale = max(1.0, float(out.mean()) / 4096)
     return np.minimum(out.ravel() / scale, 65535).astype(np.uint16)
 
@@ -649,7 +649,8 @@ def _judge(known: IdFilter, value: Column, text: Column) -> Column:
             done += len(rows)
         return pa.StructArray.from_arrays([pa.array(hit), *map(pa.array, out)], ["hit", "s1", "s2", "n"])
 
-    return judge(*known.places(value), text)
+    # else the filter on its result would call it once more
+    return judge.asNondeterministic()(*known.places(value), text)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
