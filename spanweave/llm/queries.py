@@ -15,10 +15,13 @@ from spanweave.llm import (
     op08_quality,
     op09_sentencepiece,
     op10_sharding,
+    op11_packing,
+    op12_collocations,
+    op13_resample,
 )
 from spanweave.llm.text import small_batches
 
-_MODULES = [op01_revisits, op02_embedding_dedup, op03_decontaminate, op04_jaccard_join, op05_lm_score, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding]
+_MODULES = [op01_revisits, op02_embedding_dedup, op03_decontaminate, op04_jaccard_join, op05_lm_score, op06_token_counts, op07_pseudonyms, op08_quality, op09_sentencepiece, op10_sharding, op11_packing, op12_collocations, op13_resample]
 
 
 

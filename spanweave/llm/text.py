@@ -157,3 +157,18 @@ def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         parts.append(part)
         ends[i + 1] = ends[i] + len(part)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), ends
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span from one start to the next (the last to the end); every byte takes part."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    lens = np.diff(np.append(starts, len(data)))
+    power = powers(int(lens.max()))
+    value = _BYTE_VALUE[data[starts[0] :]]
+    value *= power[np.arange(len(value)) - np.repeat(starts - starts[0], lens)]
+    at = starts - starts[0]
+    first = mix(np.add.reduceat(value, at) + lens.astype(np.uint64) * _GRAM[15])
+    value ^= value >> np.uint64(29)
+    value *= _GRAM[13]
+    return first, mix(np.add.reduceat(value, at) ^ (lens.astype(np.uint64) * _GRAM[14]))
