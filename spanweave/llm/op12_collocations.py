@@ -37,7 +37,7 @@ from spanweave.scratch import Scratch
 
 DEPTH, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
 #: Bytes of text counted together, trie nodes that a task or a merge holds before it merges or writes them, linked places for each range.
-TOGETHER, NODES, PLACES = 8 << 20, 1_000_000, 250_000
+TOGETHER, NODES, PLACES = 4 << 20, 500_000, 250_000
 SHARES = 64
 
 _BETWEEN, _STOPS = np.zeros(256, bool), np.zeros(256, bool)
