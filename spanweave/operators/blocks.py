@@ -1,91 +1,64 @@
 """Haplotype blocks of a region: runs of nodes that go together in all paths that have them, and scores.
 
-A region's paths are one group and change step by step, so a region is one task; its size is that of the region.
+Steps are region, path, ord, node, len. Steps with a null region, path or node are left out; a node's length is the largest of its steps', null counts
+as 0; equal steps at one ord count each.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.ranking import rank_chains
+from spanweave.operators.running import in_blocks, running
+
 
-def collinear_blocks(paths: dict[str, list[str]]) -> dict[str, int]:
-    """Block number of each node: neighbours a, b share one if every path that has either has them next to each
-    other (in either direction) and just once."""
-    near, seen, count = defaultdict(set), defaultdict(set), defaultdict(int)
-    for p, nodes in paths.items():
-        for k, n in enumerate(nodes):
-            seen[n].add(p)
-            count[n, p] += 1
-            for m in (nodes[k - 1] if k else None, nodes[k + 1] if k + 1 < len(nodes) else None):
-                near[n].add(m)
-    pairs = defaultdict(set)
-    for p, nodes in paths.items():
-        for a, b in zip(nodes, nodes[1:]):
-            pairs[min(a, b), max(a, b)].add(p)
-    root = {n: n for n in seen}
-
-    def find(n):
-        while root[n] != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
-
-    for (a, b), on in sorted(pairs.items()):
-        once = all(count[x, p] == 1 for x in (a, b) for p in seen[x])
-        if a != b and once and on == seen[a] == seen[b]:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    order = {r: k for k, r in enumerate(sorted({find(n) for n in root}))}
-    return {n: order[find(n)] for n in root}
-
-
-def decompose(paths: dict[str, list[str]], lengths: dict[str, int], least: int = 200) -> tuple[dict[str, int], int]:
-    """(block of each retained node, polymorphic blocks): blocks of ``least`` letters or more that all paths share
-    are retained; blocks that some paths lack are polymorphic."""
-    block = collinear_blocks(paths)
-    size, on = defaultdict(int), defaultdict(set)
-    for n, b in block.items():
-        size[b] += lengths.get(n, 0)
-    for p, nodes in paths.items():
-        for n in nodes:
-            on[block[n]].add(p)
-    kept = {n: b for n, b in block.items() if len(on[b]) == len(paths) and size[b] >= least}
-    return kept, sum(len(on[b]) < len(paths) and size[b] >= least for b in set(block.values()))
+def collinear_runs(steps: DataFrame) -> DataFrame:
+    """region, node, run (the smaller of its end nodes), place (from that end): neighbours a, b go together if every path that has either has them next
+    to each other (in either direction) and just once. Runs are unbranched, so they are ranked as chains."""
+    rows = steps.select("region", "path", "ord", "node").dropna()
+    times = rows.groupBy("region", "path", "node").agg(F.count("*").alias("n"))
+    support = times.groupBy("region", "node").agg(F.count("*").alias("paths"), F.max("n").alias("most"))
+    ahead = running(in_blocks(rows, "ord"), ["region", "path"], ["ord"], "next", F.col("node"), "last", inclusive=False, reverse=True)
+    pairs = ahead.where("next is not null and next <> node").select("region", "path", F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+    pairs = pairs.groupBy("region", "a", "b").agg(F.count("*").alias("on"))
+    side = lambda c: support.select("region", F.col("node").alias(c), F.col("paths").alias(f"p{c}"), F.col("most").alias(f"m{c}"))
+    together = pairs.join(side("a"), ["region", "a"]).join(side("b"), ["region", "b"]).where("on = pa and on = pb and ma = 1 and mb = 1")
+    name = lambda c: F.struct("region", F.col(c).alias("node"))
+    alone = support.select(name("node").alias("a"), name("node").alias("b"))
+    ranked = rank_chains(together.select(name("a").alias("a"), name("b").alias("b")).unionByName(alone))
+    return ranked.select("node.region", "node.node", F.col("chain.node").alias("run"), "place")
 
 
 def region_blocks(steps: DataFrame, least: int = 200) -> DataFrame:
-    """steps: region, path, ord, node, len. region, blocks, kept_len, total_len, polyratio (length outside retained
-    blocks over all), poly (polymorphic blocks) and simple (blocks of the nodes that make up nine tenths of the length)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "ord"])
-        paths = {p: g["node"].tolist() for p, g in pdf.groupby("path")}
-        lengths = dict(zip(pdf["node"], pdf["len"]))
-        kept, poly = decompose(paths, lengths, least)
-        total = int(sum(lengths.values()))
-        inside = int(sum(lengths[n] for n in kept))
-        block, run_, simple = collinear_blocks(paths), 0, set()
-        for n in sorted(lengths, key=lambda n: (-lengths[n], n)):
-            if run_ > 0.9 * total:
-                break
-            run_ += lengths[n]
-            simple.add(block[n])
-        row = (pdf["region"].iloc[0], len(set(kept.values())), inside, total, (total - inside) / total if total else 1.0, poly, len(simple))
-        return pd.DataFrame([row], columns=["region", "blocks", "kept_len", "total_len", "polyratio", "poly", "simple"])
-
-    kind = steps.schema["region"].dataType.simpleString()
-    return steps.groupBy("region").applyInPandas(run, f"region {kind}, blocks int, kept_len long, total_len long, polyratio double, poly int, simple int")
+    """region, blocks, kept_len, total_len, polyratio (length outside retained blocks over all), poly (polymorphic blocks) and simple (blocks of the nodes
+    that make up nine tenths of the length). Collinear runs of ``least`` letters or more are retained blocks if all paths share them, polymorphic if some lack them."""
+    rows = steps.dropna(subset=["region", "path", "node"])
+    paths = rows.groupBy("region").agg(F.countDistinct("path").alias("paths"))
+    nodes = rows.groupBy("region", "node").agg(F.coalesce(F.max("len"), F.lit(0)).cast("long").alias("len"))
+    nodes = nodes.join(collinear_runs(rows), ["region", "node"])
+    on = rows.select("region", "path", "node").distinct().join(nodes.select("region", "node", "run"), ["region", "node"]).groupBy("region", "run").agg(F.countDistinct("path").alias("on"))
+    runs = nodes.groupBy("region", "run").agg(F.sum("len").alias("size")).join(on, ["region", "run"]).join(paths, "region")
+    whole, wide = F.col("on") == F.col("paths"), F.col("size") >= least
+    summed = runs.groupBy("region").agg(
+        F.count(F.when(whole & wide, 1)).cast("int").alias("blocks"),
+        F.coalesce(F.sum(F.when(whole & wide, F.col("size"))), F.lit(0)).alias("kept_len"),
+        F.sum("size").alias("total_len"),
+        F.count(F.when(~whole & wide, 1)).cast("int").alias("poly"),
+    )
+    # heaviest first: the sum of what is heavier, by length and then among equals
+    tied = nodes.groupBy("region", "len").agg(F.sum("len").alias("s"))
+    before = running(in_blocks(tied, "len"), ["region"], ["len"], "heavier", F.col("s"), "sum", inclusive=False, reverse=True).select("region", "len", F.coalesce("heavier", F.lit(0)).alias("heavier"))
+    among = F.sum("len").over(Window.partitionBy("region", "len").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    held = nodes.withColumn("_among", F.coalesce(among, F.lit(0))).join(before, ["region", "len"]).join(summed.select("region", "total_len"), "region")
+    simple = held.where(F.col("heavier") + F.col("_among") <= 0.9 * F.col("total_len")).groupBy("region").agg(F.countDistinct("run").cast("int").alias("simple"))
+    ratio = F.when(F.col("total_len") > 0, (F.col("total_len") - F.col("kept_len")) / F.col("total_len")).otherwise(1.0)
+    return summed.join(simple, "region", "left").select("region", "blocks", "kept_len", "total_len", ratio.alias("polyratio"), "poly", F.coalesce("simple", F.lit(0)).alias("simple"))
 
 
 def anchor_pair(steps: DataFrame, k: int = 20, edge: int = 10) -> DataFrame:
     """For each region the two nodes, from the first and last ``edge`` steps of paths and among the ``k`` that
     most samples have, that most paths have on opposite ends: region, a, b, paths."""
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy("region", "path"))
     rank = F.row_number().over(Window.partitionBy("region", "path").orderBy("ord"))
     ends = steps.withColumn("_n", n).withColumn("_r", rank)
@@ -108,7 +81,6 @@ def structural_runs(steps: DataFrame, least: int = 20) -> DataFrame:
     first and last are those of that run."""
     from spanweave.operators.intervals import merge_intervals
     from spanweave.operators.ordered import gaps_to_next
-    from spanweave.operators.running import in_blocks, running
 
     rows = in_blocks(steps.select("path", "ord", "len", "ref_pos"), "ord")
     on = F.col("ref_pos").isNotNull()

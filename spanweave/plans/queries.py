@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions import sequences as seq
-from spanweave.operators import blocks, clustering, intervals, model, ordered, pairs, paths, stats, tables
+from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, stats, tables
 from spanweave.operators.components import connected_components
 from spanweave.plans import views as v
 
@@ -717,6 +717,16 @@ def region_blocks(spark, d):
     return blocks.region_blocks(v.steps(spark, d).withColumn("region", F.col("path") % 10))
 
 
+@query("chunked_blocks")
+def chunked_blocks(spark, d):
+    """Documents of a language as paths of sentences: the blocks that copies share. Rounds of changes to all paths have no SQL."""
+    sentences = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "[.!?\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    rows = v.table(spark, d, "documents").select(F.col("lang").alias("region"), F.col("doc_id").alias("path"), F.posexplode(sentences).alias("ord", "node"))
+    found, nodes = chunked.chunked_blocks(rows.withColumn("len", F.length("node")))
+    kept = found.groupBy("region").agg(F.countDistinct("path").alias("paths"), F.sum(F.col("last") - F.col("first") + 1).alias("steps"))
+    return chunked.block_summary(found, nodes).join(kept, "region", "left").withColumn("polyratio", F.round("polyratio", 6))
+
+
 _AP = f"""{_ST}, x AS (SELECT path % 10 AS region, *, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY ord) AS r FROM st),
 u AS (SELECT region, node, count(DISTINCT path) AS s FROM x GROUP BY 1, 2), t AS (SELECT region, node FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY s DESC, node) AS k FROM u) WHERE k <= 20),
 h AS (SELECT DISTINCT region, path, node AS a FROM x JOIN t USING (region, node) WHERE r <= 10), l AS (SELECT DISTINCT region, path, node AS b FROM x JOIN t USING (region, node) WHERE r > n - 10),

@@ -227,10 +227,9 @@ def test_motifs(spark):
 
 def test_blocks(spark):
     paths = {"p": ["1", "2", "3", "4"], "q": ["1", "2", "4"], "r": ["4", "2", "1"]}
-    block = blocks.collinear_blocks(paths)
-    assert block["1"] == block["2"] and len({block["1"], block["3"], block["4"]}) == 3
     rows = [("g", p, k, n, 300 if n != "3" else 250) for p, nodes in paths.items() for k, n in enumerate(nodes)]
     df = spark.createDataFrame(rows, "region string, path string, ord int, node string, len long")
+    assert rows_of(blocks.collinear_runs(df), "node", "run", "place") == [("1", "1", 0), ("2", "1", 1), ("3", "3", 0), ("4", "4", 0)]
     got = blocks.region_blocks(df).first()
     assert (got.blocks, got.kept_len, got.total_len, got.poly) == (2, 900, 1150, 1)
     assert blocks.anchor_pair(df, edge=1).first().paths >= 1
