@@ -147,17 +147,18 @@ def anchored_paths(steps: DataFrame, k: int = 20, edge: int = 10) -> DataFrame:
     return marked.where("(af = 1 and bl = 1) or (bf = 1 and al = 1)").select("region", "path", "a", "b")
 
 
-def project_regions(regions: DataFrame, steps: DataFrame, placed: DataFrame, least_ratio: float = 0.5) -> DataFrame:
+def project_regions(regions: DataFrame, steps: DataFrame, placed: DataFrame, least_ratio: float = 0.5, density: bool = False) -> DataFrame:
     """Regions on reference paths carried over to sample paths.
 
     regions: region, path, start, end (1-based on the path, end included). steps: path, ord, orient, node, pos_s, pos_e (likewise, of the
     reference paths). placed: sample, chrom, node, start, end, orient (0-based and half-open places of the nodes on sample paths).
 
     Each step inside a region gives, for each place of its node in a sample, the part of that place which the region covers, counted from the
-    other end if the strands differ. A sample's places on one chromosome are put together to runs whose gaps are at most half the region's
-    length. A row for each run: region, sample, chrom, start, end, ratio (the smaller over the larger of the run's and the region's length),
-    share (the part of the region that lies on nodes the sample has). Runs under ``least_ratio`` are left out if the sample has one that is not, and else only the
-    widest run stays."""
+    other end if the strands differ. A row for the hull of a sample's places on one chromosome if its ratio (the smaller over the larger of its and the
+    region's length) is over ``least_ratio``. Else the places are clustered, and each cluster whose own ratio is over it gives a row; if there is none, the hull does. Clusters are runs
+    whose gaps are at most half the region's length, or, if ``density``, those of ``density_clusters`` over the merged places (at
+    least two, by the distance of their starts and ends, epsilon half the region's length). region, sample, chrom, start, end, ratio, share (the part of the
+    region that lies on nodes the sample has)."""
     from spanweave.operators.intervals import overlap_join
 
     spots = regions.select(F.col("path").alias("chrom"), (F.col("start") - 1).alias("start"), F.col("end"), "region")
@@ -177,19 +178,38 @@ def project_regions(regions: DataFrame, steps: DataFrame, placed: DataFrame, lea
     share = hit.select("region", "sample", "size", "ord", (F.col("to") - F.col("from")).alias("w")).distinct()
     share = share.groupBy("region", "sample").agg((F.sum("w") / F.max("size")).alias("share"))
     # a region's places in a sample are as many as its steps: one group of the window is a region, not a chromosome
-    order = Window.partitionBy("region", "sample", "chrom").orderBy("start", "end")
+    keys = ["region", "sample", "chrom"]
+    order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") - reach > F.col("size") / 2), 1).otherwise(0)
+    most = F.lit(0) if density else F.col("size") / 2
+    new = F.when(reach.isNull() | (F.col("start") - reach > most), 1).otherwise(0)
     runs = hit.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    runs = runs.groupBy("region", "sample", "chrom", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
+    runs = runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
+    if density:
+        runs = _density_runs(runs, keys)
     width = F.col("end") - F.col("start")
-    runs = runs.withColumn("ratio", F.least(width, F.col("size")) / F.greatest(width, F.col("size")))
-    every = Window.partitionBy("region", "sample")
-    best = F.max(F.struct(width.alias("w"), (-F.col("start")).alias("s"), "chrom")).over(every)
-    runs = runs.withColumn("_most", F.max("ratio").over(every)).withColumn("_best", best)
-    widest = (F.col("_best.w") == width) & (F.col("_best.s") == -F.col("start")) & (F.col("_best.chrom") == F.col("chrom"))
-    kept = runs.where((F.col("ratio") > least_ratio) | ((F.col("_most") <= least_ratio) & widest))
-    return kept.join(share, ["region", "sample"]).select("region", "sample", "chrom", "start", "end", "ratio", "share")
+    ratio = F.least(width, F.col("size")) / F.greatest(width, F.col("size"))
+    runs = runs.select(*keys, "start", "end", "size", ratio.alias("ratio"))
+    hull = hit.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size")).withColumn("ratio", ratio)
+    near = hull.where(F.col("ratio") > least_ratio)
+    split = runs.where(F.col("ratio") > least_ratio).join(near.select(*keys), keys, "left_anti")
+    whole = hull.join(split.select(*keys).distinct(), keys, "left_anti")
+    return whole.unionByName(split).join(share, ["region", "sample"]).select("region", "sample", "chrom", "start", "end", "ratio", "share")
+
+
+def _density_runs(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """Hulls of the density clusters of merged places (keys, _run, start, end, size). Merged places follow each other with both their ends, so the lightest
+    spanning tree of a group links each one to the next: no pairs are needed to find it, and with one sample a core distance is no more than a link."""
+    from spanweave.operators.density import density_clusters
+    from spanweave.operators.tables import number_rows
+
+    rows = number_rows(merged.withColumn("_key", F.struct(*keys)), "_key", "start", name="id").drop("_key")
+    over = Window.partitionBy(*keys).orderBy("start")
+    after = lambda c: F.lead(c).over(over)
+    far = F.sqrt(F.pow((after("start") - F.col("start")).cast("double"), 2) + F.pow((after("end") - F.col("end")).cast("double"), 2))
+    links = rows.select(F.col("id").alias("a"), after("id").alias("b"), far.alias("w"), (F.col("size") / 2).alias("epsilon")).where("b is not null")
+    found = rows.join(density_clusters(rows, links), "id").where("cluster is not null")
+    return found.groupBy(*keys, "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
 
 
 def unit_steps(steps: DataFrame, unit: int = 10) -> DataFrame:

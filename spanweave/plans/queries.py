@@ -859,9 +859,11 @@ h AS (SELECT region, s.path AS sample, i.ord, f, t, CASE WHEN i.role = s.role TH
 sh AS (SELECT region, sample, sum(w) / 131 AS share FROM (SELECT DISTINCT region, sample, ord, t - f AS w FROM h) GROUP BY 1, 2),
 r AS (SELECT *, max(e) OVER (PARTITION BY region, sample ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM h),
 g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s - pe > 131 / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY region, sample ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r),
-u AS (SELECT region, sample, run, min(s) AS s, max(e) AS e FROM g GROUP BY 1, 2, 3), q AS (SELECT *, least(e - s, 131) / greatest(e - s, 131) AS ratio FROM u),
-k AS (SELECT *, max(ratio) OVER (PARTITION BY region, sample) AS most, row_number() OVER (PARTITION BY region, sample ORDER BY e - s DESC, s) AS n FROM q)
-SELECT region, sample, s, e, round(ratio, 6) AS ratio, round(share, 6) AS share FROM k JOIN sh USING (region, sample) WHERE ratio > 0.5 OR (most <= 0.5 AND n = 1)""",
+q AS (SELECT region, sample, min(s) AS s, max(e) AS e, least(max(e) - min(s), 131) / greatest(max(e) - min(s), 131) AS ratio FROM g GROUP BY region, sample, run),
+w AS (SELECT region, sample, min(s) AS s, max(e) AS e, least(max(e) - min(s), 131) / greatest(max(e) - min(s), 131) AS ratio FROM h GROUP BY 1, 2),
+k AS (SELECT q.* FROM q JOIN w USING (region, sample) WHERE q.ratio > 0.5 AND w.ratio <= 0.5),
+o AS (SELECT * FROM k UNION ALL SELECT * FROM w ANTI JOIN k USING (region, sample))
+SELECT region, sample, s, e, round(ratio, 6) AS ratio, round(share, 6) AS share FROM o JOIN sh USING (region, sample)""",
 )
 def project_regions(spark, d):
     p = _positions(spark, d).withColumn("orient", F.col("role"))
