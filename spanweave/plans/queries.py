@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.functions import kmers
 from spanweave.functions import sequences as seq
 from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, stats, tables
 from spanweave.operators.components import connected_components
@@ -514,20 +515,19 @@ _T = "lower(translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtac
 _K = f"k AS (SELECT DISTINCT doc_id, least(x, reverse(translate(x, 'acgt', 'tgca'))) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(t) - 10 + 1), lambda i: t[i:i+10])) AS x FROM (SELECT doc_id, {_T} AS t FROM documents)) WHERE NOT contains(x, 'n'))"
 
 
-def _doc_kmers(spark, d):
-    t = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    return v.table(spark, d, "documents").select("doc_id", seq.canonical_kmers(t, 11).alias("kmers"))
+def _sequences(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac").alias("seq"))
 
 
 @query("kmer_count", f"WITH {_K}, c AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM documents LEFT JOIN c USING (doc_id)")
 def kmer_count(spark, d):
-    return _doc_kmers(spark, d).select("doc_id", F.coalesce(F.size("kmers"), F.lit(0)).cast("long").alias("n"))
+    return kmers.kmer_counts(_sequences(spark, d), F.col("seq"), 11).drop("seq")
 
 
 @query("kmer_share", f"WITH {_K}, b AS (SELECT DISTINCT kmer, 1 AS hit FROM k WHERE doc_id % 2 = 0) SELECT doc_id, round(count(hit) / count(*), 6) AS share FROM k LEFT JOIN b USING (kmer) GROUP BY doc_id")
 def kmer_share(spark, d):
-    rows = seq.kmer_rows(_doc_kmers(spark, d), "doc_id", F.col("kmers"))
-    return seq.kmer_share(rows, "doc_id", rows.where("doc_id % 2 = 0")).select("doc_id", F.round("share", 6).alias("share"))
+    rows = kmers.kmer_rows(_sequences(spark, d), "doc_id", F.col("seq"), 11)
+    return kmers.kmer_share(rows, "doc_id", rows.where("doc_id % 2 = 0")).select("doc_id", F.round("share", 6).alias("share"))
 
 
 @query("edit_distance", "WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS dist FROM t a JOIN t b ON b.item_id = a.item_id + 1")
