@@ -56,13 +56,12 @@ def infix_distances_from_end(motif: str, text: str) -> np.ndarray:
 
 
 def _apart(places: list[tuple[int, int]], share: float = 0.7) -> list[tuple[int, int]]:
-    """The places, in order, without those of which ``share`` or more is covered by ones before."""
-    kept, covered = [], set()
+    """The places, in order, without those of which the last one that stayed covers ``share`` or more."""
+    kept: list[tuple[int, int]] = []
     for s, e in places:
-        own = set(range(s, e))
-        if not kept or len(own & covered) < share * len(own):
+        shared = min(e, kept[-1][1]) - max(s, kept[-1][0]) if kept else 0
+        if shared < share * (e - s):
             kept.append((s, e))
-            covered |= own
     return kept
 
 
@@ -85,40 +84,26 @@ def motif_hits(motif: str, text: str, tolerance: float = 0.2) -> list[tuple[int,
     return sorted(hits)
 
 
-def _chains(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
-    chains = [[hits[0]]]
-    for h in hits[1:]:
-        if abs(h[0] - chains[-1][-1][1] + 1) <= math.ceil(0.2 * size):
-            chains[-1].append(h)
-        else:
-            chains.append([h])
-    return chains
+def _reached(gaps: np.ndarray, held: np.ndarray, size: int, tolerance: float) -> int:
+    """How many chains in a row join: the gap before each, and the hits held until then."""
+    joins = (gaps < size * np.minimum(3, np.ceil(tolerance * held))) & (gaps > -0.2 * size)
+    return len(joins) if joins.all() else int(joins.argmin())
 
 
 def grown_chain(hits: list[tuple[int, int]], size: int, tolerance: float = 0.3) -> list[tuple[int, int]]:
-    """The longest chain of hits (gaps up to a fifth of the motif), grown by chains on either side. A chain joins if it overlaps the last joined one
-    by less than a fifth of the motif, or its gap, in motifs, is under min(3, ceil(tolerance * n)), n being the hits held before the last
-    chain joined (to the left, once one joined there, the letters they span). A chain that does not join is passed over."""
-    chains = _chains(hits, size)
-    k = max(range(len(chains)), key=lambda i: (len(chains[i]), -i))
-    held, n = list(chains[k]), len(chains[k])
-
-    def joins(gap: int) -> bool:
-        return gap / size < min(3, math.ceil(tolerance * n)) if gap >= 0 else gap / size > -0.2
-
-    last = chains[k]
-    for chain in chains[k + 1 :]:
-        if joins(chain[0][0] - last[-1][1] + 1):
-            n = len(held)
-            held += chain
-            last = chain
-    first = chains[k]
-    for chain in reversed(chains[:k]):
-        if joins(first[0][0] - chain[-1][1] + 1):
-            n = held[-1][1] - held[0][0] - 1
-            held = chain + held
-            first = chain
-    return sorted(held)
+    """The hits around the longest chain (neighbours at most a fifth of the motif apart or overlapping; the first such) that go with it: on either side chain after
+    chain joins while its gap, in motifs, is less than min(3, ceil(tolerance * n)), n being the hits from the longest chain up to there, and it overlaps
+    by less than a fifth of the motif. The first chain that does not join ends that side."""
+    starts, ends = np.array(sorted(hits)).T
+    between = starts[1:] - ends[:-1]
+    first = np.flatnonzero(np.concatenate([[True], np.abs(between) > math.ceil(0.2 * size)]))
+    count = np.diff(np.append(first, len(starts)))
+    gaps = between[first[1:] - 1]
+    k = int(count.argmax())
+    right = _reached(gaps[k:], np.cumsum(count[k:])[:-1], size, tolerance)
+    left = _reached(gaps[:k][::-1], np.cumsum(count[: k + 1][::-1])[:-1], size, tolerance)
+    a, b = first[k - left], first[k + right] + count[k + right]
+    return list(zip(starts[a:b].tolist(), ends[a:b].tolist()))
 
 
 def copy_number(motif: str, text: str, tolerance: float = 0.2) -> tuple[int, int, int]:
@@ -131,14 +116,18 @@ def copy_number(motif: str, text: str, tolerance: float = 0.2) -> tuple[int, int
 
 
 def non_redundant(calls: list[tuple[float, int, int]], share: float = 0.9) -> list[tuple[float, int, int]]:
-    """Calls (score, start, end), the best first, without those of which ``share`` or more is covered by ones before."""
-    kept, covered = [], set()
+    """Calls (score, start, end) from the highest on, without those of which what stayed covers ``share`` or more (depth along the locus)."""
+    if not calls:
+        return []
+    low = min(s for _, s, _ in calls)
+    held = np.zeros(max(e for _, _, e in calls) - low, bool)
+    stays = []
     for call in sorted(calls, reverse=True):
-        own = set(range(call[1], call[2]))
-        if not kept or len(own & covered) < share * len(own):
-            kept.append(call)
-            covered |= own
-    return kept
+        own = held[call[1] - low : call[2] - low]
+        if not stays or own.sum() < share * len(own):
+            own[:] = True
+            stays.append(call)
+    return stays
 
 
 def oriented_copy_number(motif: str, text: str) -> dict:

@@ -8,11 +8,11 @@ it is the missing node and as empty elsewhere; repeated steps count each; empty
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.sequences import revcomp
+from spanweave.operators.ranking import rank_lists
 
 # fixed values: the node that stands for a missing allele, and the sequence of what is unknown
 MISSING_NODE = "00000"
@@ -44,38 +44,28 @@ def substitute_alleles(path: Column, changes: Column) -> Column:
     return F.replace(done, F.lit(";"), F.lit(""))
 
 
-def chained(traversals: list[str]) -> list[str]:
-    """Traversals put together where one's last step is another's first, until no two go together; each step string is used once, the first
-    in order first."""
-    import re
-
-    parts = [re.findall(r"[<>][^<>]+", t) for t in traversals if t]
-    while True:
-        done, used = [], set()
-        for i, a in enumerate(parts):
-            if i in used or not a:
-                continue
-            for j, b in enumerate(parts):
-                if j == i or j in used or not b:
-                    continue
-                if b[0] == a[-1] or b[-1] == a[0]:
-                    used |= {i, j}
-                    done.append(a + b[1:] if b[0] == a[-1] else b + a[1:])
-                    break
-            else:
-                done.append(a)
-        if not used:
-            return ["".join(p) for p in done]
-        parts = done
-
-
-def chain_column(traversals: Column) -> Column:
-    """``chained`` of an array<string> column, a batch at a time."""
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: chained([t for t in x if t is not None]) if x is not None else [])
-
-    return run(traversals)
+def chained_traversals(rows: DataFrame) -> DataFrame:
+    """group, ord, chain: traversals (group, ord, traversal; ord unique in a group) put together where one's last step is another's first, until no two go together.
+
+    Of the traversals of a group that end with a step and those that begin with it, in their order, the first goes on in the first, the second in the second, and so
+    on (one that ends as it begins does not go on in itself; a ring begins at its first traversal). A chain has the ord of the traversal it begins with. Empty
+    traversals are left out."""
+    steps = F.regexp_extract_all(F.col("traversal"), F.lit(r"[<>][^<>]+"), F.lit(0))
+    own = rows.select("group", "ord", steps.alias("steps")).where((F.size("steps") > 0) & F.col("ord").isNotNull()).withColumn("id", F.struct("group", "ord"))
+    own = own.withColumn("first", F.element_at("steps", 1)).withColumn("last", F.element_at("steps", -1))
+    nth = lambda c: F.row_number().over(Window.partitionBy("group", c).orderBy("ord"))
+    ends = own.select("group", F.col("last").alias("step"), nth("last").alias("n"), F.col("id").alias("prev"))
+    begins = own.select("group", F.col("first").alias("step"), nth("first").alias("n"), "id")
+    links = begins.join(ends, ["group", "step", "n"]).where("id <> prev").select("id", "prev")
+    longest = own.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ranked = rank_lists(own.select("id").join(links, "id", "left"), longest).join(own.select("id", "steps"), "id")
+    parts = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("place") > 0, F.slice("steps", 2, F.size("steps"))).otherwise(F.col("steps")).alias("s"))))
+    joined = F.array_join(F.flatten(F.transform(parts, lambda x: x["s"])), "")
+    return ranked.groupBy("head").agg(joined.alias("chain")).select("head.group", "head.ord", "chain")
+
+
+def _null_safe(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def haplotype_paths(genotypes: DataFrame, alleles: DataFrame, reference: Column, missing: str = ".", most_missing: float = 0.5) -> DataFrame:
@@ -93,15 +83,16 @@ def haplotype_paths(genotypes: DataFrame, alleles: DataFrame, reference: Column,
     found = both.groupBy("group").agg(
         F.avg(F.when(gone, 1.0).otherwise(0.0)).alias("share"),
         F.array_sort(F.collect_list(F.when(~gone & (F.col("gt") != "0") & F.col("new").isNotNull(), change))).alias("changes"),
-        F.array_sort(F.collect_list(F.when(gone, F.struct("variant", "old")))).alias("gaps"),
     )
-    lost = chain_column(F.transform("gaps", lambda g: g["old"]))
+    chains = chained_traversals(both.where(gone).select(F.struct("group").alias("group"), F.col("variant").alias("ord"), F.col("old").alias("traversal")))
+    lost = chains.groupBy(F.col("group.group").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chain"))), lambda c: c["chain"]).alias("_lost"))
     changes = F.concat(
         F.transform("changes", lambda c: F.struct(c["old"].alias("old"), c["new"].alias("new"))),
         F.transform("_lost", lambda t: F.struct(t.alias("old"), F.lit(">" + MISSING_NODE).alias("new"))),
     )
     unknown = F.col("share") > most_missing
-    out = found.withColumn("_lost", lost)
+    text = F.array().cast("array<string>")
+    out = _null_safe(found, lost, "group").withColumn("_lost", F.coalesce("_lost", text))
     return out.select("group", F.when(unknown, "unknown").otherwise("known").alias("status"), F.when(~unknown, substitute_alleles(reference, changes)).alias("path"))
 
 

@@ -1,4 +1,4 @@
-"""List ranking by pointer jumping: the members of chains, numbered along them, in as many rounds of joins as the logarithm of the longest chain."""
+"""List ranking by pointer jumping: the members of chains or lists, numbered along them, in as many rounds of joins as the logarithm of the longest one."""
 
 from __future__ import annotations
 
@@ -46,3 +46,35 @@ def rank_chains(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     first = ends.groupBy("node").agg(F.min(F.struct("end", "far")).alias("m")).select("node", F.col("m.end").alias("chain"), F.col("m.far").alias("place"))
     rest = alone.join(first.select(F.col("node").alias("a")), "a", "left_anti")
     return first.unionByName(rest.select(F.col("a").alias("node"), F.col("a").alias("chain"), F.lit(0).cast("long").alias("place")))
+
+
+def rank_lists(rows: DataFrame, longest: int) -> DataFrame:
+    """id, head, place of every row of ``rows`` (id; prev, the id before it in its list, or null). No id is the prev of two rows; no list has more than
+    ``longest`` rows. A ring is cut before its smallest id."""
+    tmp = Scratch(rows.sparkSession, "lists")
+
+    def jumped(now: DataFrame, name: str) -> DataFrame:
+        # at: the row that the pointer has reached, place: links to it (to the head once at is null); low: the smallest id on the way
+        now = tmp.save(now.select("id", F.col("prev").alias("at"), F.col("id").alias("head"), F.col("prev").isNotNull().cast("long").alias("place"), F.col("id").alias("low")), name)
+        for k in range(max(1, longest).bit_length() + 1):
+            if not now.where("at is not null").limit(1).count():
+                break
+            ahead = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("head").alias("_head"), F.col("place").alias("_place"), F.col("low").alias("_low"))
+            both = now.join(ahead, "at", "left")
+            on = F.col("at").isNotNull()
+            moved = both.select(
+                "id", F.when(on, F.col("_at")).alias("at"), F.when(on, F.col("_head")).otherwise(F.col("head")).alias("head"),
+                F.when(on, F.col("place") + F.col("_place")).otherwise(F.col("place")).alias("place"), F.least("low", "_low").alias("low"),
+            )
+            after = tmp.save(moved, f"{name}{k}")
+            tmp.drop(now)
+            now = after
+        return now
+
+    once = jumped(rows, "round")
+    rings = once.where("at is not null").select("id", "low")
+    lists = once.where("at is null").select("id", "head", "place")
+    if not rings.limit(1).count():
+        return lists
+    cut = rings.join(rows, "id").select("id", F.when(F.col("id") != F.col("low"), F.col("prev")).alias("prev"))
+    return lists.unionByName(jumped(cut, "ring").select("id", "head", "place"))

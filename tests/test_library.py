@@ -310,7 +310,9 @@ def test_paths(spark):
     steps = spark.createDataFrame([(1, 0, ">", "a"), (1, 1, "<", "b"), (1, 2, ">", "00000"), (2, 0, "<", "zz")], "path int, ord int, orient string, node string")
     nodes = spark.createDataFrame([("a", "AAC"), ("b", "GGT")], "node string, seq string")
     assert rows_of(paths.oriented_sequences(steps, nodes)) == [(1, "AAC" + "ACC" + "N" * 21), (2, "")]
-    assert paths.chained([">1>2", ">4>5", ">2>3", ">3>4"]) == [">1>2>3>4>5"] and paths.chained([">1>2", ">7"]) == [">1>2", ">7"] and paths.chained([]) == []
+    rows = [(0, k, t) for k, t in enumerate([">1>2", ">4>5", ">2>3", ">3>4"])] + [(1, 0, ">1>2"), (1, 1, ">7"), (2, 0, ""), (2, 1, None)]
+    got = paths.chained_traversals(spark.createDataFrame(rows, "group int, ord int, traversal string"))
+    assert rows_of(got) == [(0, 0, ">1>2>3>4>5"), (1, 0, ">1>2"), (1, 1, ">7")]
     ref = ">1>12>3>4>5>6"
     gts = {"r": "000", "h": "100", "m": "0..", "u": "...", "b": "110"}
     alleles = [(0, 0, ">1>12"), (0, 1, ">1>9"), (1, 0, ">3>4"), (1, 1, ">3<8>4"), (2, 0, ">4>5>6"), (2, 1, ">4>6")]
