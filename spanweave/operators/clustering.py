@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.components import connected_components
+from spanweave.operators.intervals import overlap_join
+from spanweave.operators.tables import number_rows
+from spanweave.scratch import Scratch
 
 
 def eps_graph(df: DataFrame, by: list[str], cols: list[str], eps: float) -> DataFrame:
@@ -52,56 +56,74 @@ def cluster_kind(clusters: DataFrame, large: int = 100) -> DataFrame:
     return size.withColumn("kind", F.when(F.col("n") == 1, "nointe").when(F.col("n") >= large, "large").otherwise("inte"))
 
 
-class _Kept:
-    """Places of the rows that stay, in numpy arrays that grow by doubling."""
-
-    def __init__(self, sides: int):
-        self.n, self.chrom = 0, np.empty((sides, 64), object)
-        self.start, self.end = np.zeros((sides, 64), np.int64), np.zeros((sides, 64), np.int64)
-
-    def covers(self, chrom: list, start: list, end: list, share: float) -> bool:
-        """Whether one kept row covers the share of the shorter of both, on each side of the new row with its better side."""
-        n = self.n
-        if not n:
-            return False
-        least = None
-        for c, s, e in zip(chrom, start, end):
-            size = np.minimum(self.end[:, :n], e) - np.maximum(self.start[:, :n], s) + 1
-            part = np.where(self.chrom[:, :n] == c, np.maximum(size, 0) / np.minimum(self.end[:, :n] - self.start[:, :n] + 1, e - s + 1), 0.0).max(0)
-            least = part if least is None else np.minimum(least, part)
-        return bool((least >= share).any())
-
-    def add(self, chrom: list, start: list, end: list) -> None:
-        if self.n == self.start.shape[1]:
-            self.chrom, self.start, self.end = (np.concatenate([x, np.empty_like(x)], 1) for x in (self.chrom, self.start, self.end))
-        self.chrom[:, self.n], self.start[:, self.n], self.end[:, self.n] = chrom, start, end
-        self.n += 1
+#: Conflicts between undecided rows that one task may finish.
+LOCAL_CONFLICTS = 200_000
+
+
+def first_independent(edges: DataFrame, max_rounds: int = 1000, local: int = LOCAL_CONFLICTS) -> DataFrame:
+    """id of the rows that go when rows are read by id and one goes if one that stayed is in conflict with it. edges: a, b (a < b; in conflict).
+
+    A row that no undecided one before it is in conflict with stays, and what it is in conflict with goes, for all such rows of a round at once. At most
+    ``local`` conflicts that are left are finished by one task; rounds follow the longest alternation of staying and going, and more than ``max_rounds`` are an error."""
+    tmp = Scratch(edges.sparkSession, "independent")
+    left = tmp.save(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "conflicts")
+    gone = edges.sparkSession.createDataFrame([], "id long")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((a, b))
+        out: set[int] = set()
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            if x not in out:  # all its conflicts with rows before it have been read
+                out.add(y)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], ["id"])
+
+    for k in range(max_rounds):
+        n = left.count()
+        if n <= local:
+            return gone.unionByName(left.repartition(1).mapInArrow(finish, "id long")) if n else gone
+        firsts = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = tmp.save(left.join(firsts, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
+        gone = gone.unionByName(out)
+        open_ = left.join(firsts, "a", "left_anti")
+        for c in ("a", "b"):
+            open_ = open_.join(out.withColumnRenamed("id", c), c, "left_anti")
+        after = tmp.save(open_.select("a", "b"), f"round{k}")
+        tmp.drop(left)
+        left = after
+    raise RuntimeError(f"conflicts were left after {max_rounds} rounds")
 
 
 def greedy_dedup(df: DataFrame, by: list[str], sides: int = 1, thr: float = 0.9) -> DataFrame:
-    """Rows that stay when each group is read from the longest on and a row goes if a kept one covers ``thr`` of the
-    shorter of both (closed), for two sides on each side. Sequential by nature, so one task for a group, which compares a row
-    with all kept ones at once; groups are components of overlapping rows. Rows with nulls in their places go."""
+    """Rows that stay when each group is read from the longest on (ties by place) and a row goes if a kept one covers ``thr`` of the
+    shorter of both (closed), for two sides on each side with either side of the kept one. Of rows with equal places in a group the smallest stays. Rows with nulls in
+    their places go. Pairs in conflict come from an overlap join, and the reading is done in rounds (``first_independent``), so no task holds a group."""
     names = [("chrom", "start", "end")] if sides == 1 else [("chrom1", "start1", "end1"), ("chrom2", "start2", "end2")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, _Kept(len(names))
-        for pdf in frames:
-            stays = np.zeros(len(pdf), bool)
-            places = [[pdf[n[k]].tolist() for n in names] for k in range(3)]
-            for i, key in enumerate(zip(*(pdf[c] for c in by))):
-                if key != group:
-                    group, kept = key, _Kept(len(names))
-                row = [[column[i] for column in kind] for kind in places]
-                if not kept.covers(*row, thr):
-                    kept.add(*row)
-                    stays[i] = True
-            yield pdf[stays]
-
+    places = [c for n in names for c in n]
+    tmp = Scratch(df.sparkSession, "dedup")
     total = sum((F.col(e) - F.col(s) for _, s, e in names[1:]), F.col(names[0][2]) - F.col(names[0][1]))
-    order = [*by, F.desc("_t"), *[c for n in names for c in n]]
-    rows = df.dropna(subset=[c for n in names for c in n]).withColumn("_t", total).repartition(*by).sortWithinPartitions(*order).drop("_t")
-    return rows.mapInPandas(run, df.schema)
+    one = df.dropna(subset=places).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(*by).alias("_by"), *places)
+    one = one.groupBy("_by", *places).agg(F.min("_row").alias("_row")).withColumn("_t", -total)
+    rows = tmp.save(number_rows(one, "_t", *places, name="_id"), "rows")
+    spots = rows.select("_id", "_by", *places)
+    own = spots.select("_id", "_by", F.col(names[0][0]).alias("chrom"), F.col(names[0][1]).alias("start"), F.col(names[0][2]).alias("end"))
+    other = reduce(DataFrame.unionByName, [spots.select("_id", "_by", F.col(c).alias("chrom"), F.col(s).alias("start"), F.col(e).alias("end")) for c, s, e in names])
+    pairs = overlap_join(own, other, closed=True).where((F.col("_id_b") < F.col("_id_a")) & F.col("_by_a").eqNullSafe(F.col("_by_b")))
+    pairs = pairs.select(F.col("_id_b").alias("a"), F.col("_id_a").alias("b")).distinct()
+    side = lambda tag: spots.select(F.col("_id").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in places])
+
+    def share(new: tuple, old: tuple) -> Column:
+        (cn, sn, en), (co, so, eo) = [f"b_{x}" for x in new], [f"a_{x}" for x in old]
+        shared = F.greatest(F.least(en, eo) - F.greatest(sn, so) + 1, F.lit(0))
+        return F.when(F.col(cn) == F.col(co), shared / F.least(F.col(en) - F.col(sn) + 1, F.col(eo) - F.col(so) + 1)).otherwise(0.0)
+
+    covered = reduce(Column.__and__, [reduce(F.greatest, [share(new, old) for old in names[1:]], share(new, names[0])) >= thr for new in names])
+    conflicts = pairs.join(side("a"), "a").join(side("b"), "b").where(covered).select("a", "b")
+    stays = rows.join(first_independent(conflicts).withColumnRenamed("id", "_id"), "_id", "left_anti")
+    return stays.select("_row.*")
 
 
 def grouped_components(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -12,10 +12,11 @@ overlap what they lie inside of; repeated rows count each; other columns, null o
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.running import in_blocks, running
+from spanweave.operators.running import BLOCK_ROWS, in_blocks, running
 from spanweave.scratch import Scratch
 
 #: Width of the smallest bins, and the factor from one level to the next.
@@ -198,7 +199,7 @@ def subtract(a: DataFrame, b: DataFrame, whole: bool = False) -> DataFrame:
     """What b leaves of each row of a (one row for each piece); ``whole``: rows of a that b does not touch."""
     if whole:
         return overlap_join(a, b.select("chrom", "start", "end"), "anti")
-    union = Scratch(b.sparkSession, "subtract").save(merge_intervals(b).select("chrom", "start", "end"), "union")
+    union = Scratch(b.sparkSession, "subtract").save(merge_intervals(b.where("start < end")).select("chrom", "start", "end"), "union")
     spots = a.select("chrom", "start", "end").distinct()
     cuts = overlap_join(spots, union).groupBy("chrom", "start_a", "end_a").agg(
         F.array_sort(F.collect_list(F.struct(F.greatest("start_a", "start_b").alias("s"), F.least("end_a", "end_b").alias("e")))).alias("_cuts")
@@ -285,31 +286,79 @@ def adjacent_windows(windows: DataFrame, shared: int = 500) -> DataFrame:
     return rows.withColumn("cluster", F.col("_first.start")).drop("_first", "_pstart", "_pend", "_block")
 
 
-def carry_hulls(windows: DataFrame) -> DataFrame:
-    """windows: chrom, start, end, hull_start, hull_end (what a window would grow to; null: itself). A window strictly inside the hull of the last window that
-    was not itself carried takes that hull (extended true). Sequential in a run of windows, so runs are cut, without
-    loss, where no earlier hull reaches: adds run; a run is one task."""
-    order = ["start", "end"]
-    whole = windows.where("start is not null and end is not null").withColumns({"hull_start": F.coalesce("hull_start", "start"), "hull_end": F.coalesce("hull_end", "end")})
-    reached = running(in_blocks(whole, "start"), ["chrom"], order, "_reach", F.greatest("end", "hull_end"), "max", inclusive=False)
-    first = F.when(F.col("_reach").isNull() | (F.col("end") >= F.col("_reach")), F.struct(*order))
-    rows = running(reached, ["chrom"], order, "_run", first, "last").drop("_reach", "_block")
-
-    def carry(frames):
-        run = low = high = None
-        for pdf in frames:
-            out = []
-            for key, s, e, a, b in zip(zip(pdf["chrom"], pdf["_rs"], pdf["_re"]), pdf["start"], pdf["end"], pdf["hull_start"], pdf["hull_end"]):
-                if key != run:
-                    run, low, high = key, None, None
-                inside = low is not None and s > low and e < high
-                if not inside:
-                    low, high = a, b
-                out.append((low, high, inside))
-            yield pdf[names].assign(hull_start=[x[0] for x in out], hull_end=[x[1] for x in out], extended=[x[2] for x in out])
-
-    names = windows.columns
-    keys = ["chrom", "_rs", "_re"]
-    flat = rows.select(*names, F.col("_run.start").alias("_rs"), F.col("_run.end").alias("_re")).where("chrom is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields) + ", extended boolean"
-    return flat.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(carry, schema)
+def carry_hulls(windows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """windows: chrom, start, end, hull_start, hull_end (what a window would grow to; null: itself). In the order of places a window strictly inside the hull that is
+    carried takes that hull (extended true); any other carries on its own hull. Adds extended; windows with a null place are left out.
+
+    As starts ascend, the hull of a window holds until the next window, if that does not begin inside, or the first one after it that ends at the hull's end or
+    beyond. So each window has a successor, whatever came before it, and the windows that carry their own hulls are those that successors
+    reach from the first one of a chromosome: found by jumps of 1, 2, 4, ... successors. Successors come from within a block of ``block`` windows, or from the first later
+    block with a large enough end, so no task holds a run of windows."""
+    tmp = Scratch(windows.sparkSession, "hulls")
+    names, order = windows.columns, ["start", "end", "hull_start", "hull_end"]
+    whole = windows.where("chrom is not null and start is not null and end is not null")
+    whole = whole.withColumns({"hull_start": F.coalesce("hull_start", "start"), "hull_end": F.coalesce("hull_end", "end")})
+    rows = running(in_blocks(whole, "start"), ["chrom"], order, "_pos", F.lit(1), "sum").drop("_block").withColumn("_pos", F.col("_pos") - 1)
+    rows = tmp.save(rows.withColumn("_block", F.expr(f"_pos div {block}")), "rows")
+    kind = rows.schema["chrom"].dataType.simpleString()
+
+    def within(pdf):
+        pdf = pdf.sort_values("_pos")
+        s, e, a, b = (pdf[c].to_numpy(np.int64) for c in order)
+        n = len(pdf)
+        # levels of maxima of 1, 2, 4, ... ends, by which the first end that is large enough is found
+        tops = [np.append(e, np.iinfo(np.int64).min)]
+        while 1 << len(tops) <= n:
+            step, last = 1 << (len(tops) - 1), tops[-1]
+            tops.append(np.maximum(last, last[np.minimum(np.arange(n + 1) + step, n)]))
+        at = np.arange(1, n + 1)
+        for k in range(len(tops) - 1, -1, -1):
+            at = np.where((at < n) & (tops[k][np.minimum(at, n)] < b), np.minimum(at + (1 << k), n), at)
+        outside = np.append(s[1:] <= a[:-1], False)
+        at = np.where(outside, np.arange(1, n + 1), at)
+        pos = pdf["_pos"].to_numpy(np.int64)
+        top = np.maximum.accumulate(e)
+        return pdf.assign(_next=np.where(at < n, pos + (at - np.arange(n)), -1), _last=np.arange(n) == n - 1, _prior=np.append(np.iinfo(np.int64).min // 4, top[:-1]), _record=np.append(True, e[1:] > top[:-1]))
+
+    spots = rows.select("chrom", *[F.col(c).cast("long").alias(c) for c in order], "_pos", "_block")
+    schema = f"chrom {kind}, {', '.join(f'{c} long' for c in order)}, _pos long, _block long, _next long, _last boolean, _prior long, _record boolean"
+    spots = tmp.save(spots.groupBy("chrom", "_block").applyInPandas(within, schema), "spots")
+    blocks = spots.groupBy("chrom", "_block").agg(F.max("end").alias("top"), F.min("_pos").alias("first"), F.min("start").alias("low"))
+    blocks = tmp.save(blocks, "blocks")
+    pending = spots.where("_next < 0").select("chrom", "_pos", "hull_start", F.col("hull_end").alias("reach"), (F.col("_block") + 1).alias("_at"), "_last")
+    ahead = blocks.select("chrom", F.col("_block").alias("_at"), "low", "first")
+    pending = tmp.save(pending.join(ahead, ["chrom", "_at"]).withColumn("_next", F.when(F.col("_last") & (F.col("low") <= F.col("hull_start")), F.col("first"))), "pending")
+    # the first later block whose largest end reaches: skip 2**k blocks whose ends do not, from the largest k on
+    most = blocks.groupBy("chrom").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = [blocks.select("chrom", F.col("_block").alias("_at"), "top")]
+    for k in range(max(1, most).bit_length() - 1):
+        later = levels[-1].select("chrom", (F.col("_at") - (1 << k)).alias("_at"), F.col("top").alias("_top"))
+        levels.append(tmp.save(levels[-1].join(later, ["chrom", "_at"], "left").select("chrom", "_at", F.greatest("top", "_top").alias("top")), f"level{k}"))
+    search = pending.where("_next is null").select("chrom", "_pos", "reach", "_at")
+    for k in range(len(levels) - 1, -1, -1):
+        seen = search.join(levels[k], ["chrom", "_at"])  # beyond the last block nothing is found
+        search = seen.withColumn("_at", F.col("_at") + F.when(F.col("top") < F.col("reach"), 1 << k).otherwise(0)).drop("top")
+    key = F.struct("chrom", "_at").alias("chrom")
+    points = search.select(key, F.col("reach").alias("start"), (F.col("reach") + 1).alias("end"), "_pos")
+    records = spots.where("_record").select(F.struct("chrom", F.col("_block").alias("_at")).alias("chrom"), (F.col("_prior") + 1).alias("start"), (F.col("end") + 1).alias("end"), "_pos")
+    found = overlap_join(points, records).select(F.col("chrom.chrom").alias("chrom"), F.col("_pos_a").alias("_pos"), F.col("_pos_b").alias("_next"))
+    after = spots.where("_next >= 0").select("chrom", "_pos", "_next").unionByName(pending.where("_next is not null").select("chrom", "_pos", "_next")).unionByName(found)
+    after = tmp.save(after, "successors")
+    reached = tmp.save(spots.where("_pos = 0").select("chrom", "_pos"), "reached")
+    n = 1
+    while True:
+        more = reached.join(after, ["chrom", "_pos"]).select("chrom", F.col("_next").alias("_pos"))
+        if not more.limit(1).count():
+            break
+        wider = tmp.save(reached.unionByName(more).distinct(), f"reached{n}")
+        tmp.drop(reached)
+        reached, n = wider, n + 1
+        twice = after.join(after.select("chrom", F.col("_pos").alias("_next"), F.col("_next").alias("_to")), ["chrom", "_next"]).select("chrom", "_pos", F.col("_to").alias("_next"))
+        longer = tmp.save(twice, f"jump{n}")
+        tmp.drop(after)
+        after = longer
+    marked = rows.join(reached.withColumn("_own", F.lit(True)), ["chrom", "_pos"], "left")
+    hull = F.when(F.col("_own"), F.struct("hull_start", "hull_end"))
+    done = running(marked, ["chrom"], ["_pos"], "_hull", hull, "last")
+    shown = {"hull_start": F.col("_hull.hull_start"), "hull_end": F.col("_hull.hull_end")}
+    return done.select(*[shown.get(c, F.col(f"`{c}`")).alias(c) for c in names], F.col("_own").isNull().alias("extended"))

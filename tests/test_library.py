@@ -1,6 +1,7 @@
 """Literal rows with answers worked out by hand, and brute-force versions for the custom operators."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from spanweave.functions import sequences as seq
@@ -300,7 +301,17 @@ def test_carried_hulls(spark):
         low, high = (low, high) if inside else (a, b)
         want.append((c, s, e, low, high, inside))
     df = spark.createDataFrame(rows, "chrom string, start long, end long, hull_start long, hull_end long").repartition(5)
-    assert rows_of(intervals.carry_hulls(df)) == sorted(want)
+    for block in (4096, 16, 3):
+        assert rows_of(intervals.carry_hulls(df, block)) == sorted(want)
+    # nested hulls, one run over all blocks: each window's hull ends a little before the one around it
+    deep = [("d", k, k + 1, -1 if k % 3 else k, 900 - 2 * k) for k in range(300)] + [("d", 700 + k, 700 + k + k % 5, 0, 10**9 if k == 40 else 705 + k) for k in range(90)]
+    want, low, high = [], None, None
+    for c, s, e, a, b in sorted(deep):
+        inside = low is not None and s > low and e < high
+        low, high = (low, high) if inside else (a, b)
+        want.append((c, s, e, low, high, inside))
+    nested = spark.createDataFrame(deep, "chrom string, start long, end long, hull_start long, hull_end long")
+    assert rows_of(intervals.carry_hulls(nested, 7)) == sorted(want) and rows_of(intervals.carry_hulls(nested)) == sorted(want)
     assert any(w[-1] for w in want) and intervals.carry_hulls(df.limit(0)).count() == 0
 
 
@@ -370,8 +381,33 @@ def test_greedy_dedup_by_brute_force(spark):
     for r in sorted(rows, key=lambda r: (r[1] - r[2], *r)):
         if not any(max(0, min(r[2], k[2]) - max(r[1], k[1]) + 1) / min(r[2] - r[1] + 1, k[2] - k[1] + 1) >= 0.9 for k in kept):
             kept.append(r)
-    df = spark.createDataFrame([(*r, 1) for r in rows], "chrom string, start long, end long, g int")
+    df = spark.createDataFrame([(*r, 1) for r in [*rows, *rows[:9], (None, 1, 2)]], "chrom string, start long, end long, g int")
     assert rows_of(clustering.greedy_dedup(df, ["g"]), "chrom", "start", "end") == sorted(kept)
+    # many rounds: windows of equal length, of which every other one goes
+    line = spark.createDataFrame([("c", 5 * k, 5 * k + 99, None) for k in range(60)], "chrom string, start long, end long, g int")
+    whole = clustering.greedy_dedup(line, ["g"], thr=0.95)
+    assert rows_of(whole, "start") == [(10 * k,) for k in range(30)]
+    edges = [(int(a), int(b)) for a, b in np.sort(rng.integers(0, 60, (150, 2)), 1) if a < b]
+    gone = set()
+    for x in range(60):
+        gone |= {x} if any(b == x and a not in gone for a, b in edges) else set()
+    table = spark.createDataFrame(edges, "a long, b long")
+    for local in (0, 10**6):
+        assert {r.id for r in clustering.first_independent(table, local=local).collect()} == gone
+    two = sorted({(c, int(s), int(s + n), d, int(t), int(t + m)) for c, s, n, d, t, m in zip(rng.choice(["x", "y"], 90), rng.integers(0, 40, 90), rng.integers(20, 60, 90), rng.choice(["x", "y"], 90), rng.integers(0, 40, 90), rng.integers(20, 60, 90))})
+    part = lambda a, b: max(0, min(a[2], b[2]) - max(a[1], b[1]) + 1) / min(a[2] - a[1] + 1, b[2] - b[1] + 1) if a[0] == b[0] else 0
+    kept = []
+    for r in sorted(two, key=lambda r: (r[1] - r[2] + r[4] - r[5], *r)):
+        if not any(all(max(part(side, k[:3]), part(side, k[3:])) >= 0.7 for side in (r[:3], r[3:])) for k in kept):
+            kept.append(r)
+    df = spark.createDataFrame(two, "chrom1 string, start1 long, end1 long, chrom2 string, start2 long, end2 long").withColumn("g", F.lit(None).cast("int"))
+    assert rows_of(clustering.greedy_dedup(df, ["g"], 2, 0.7), "chrom1", "start1", "end1", "chrom2", "start2", "end2") == sorted(kept) and len(kept) < len(two)
+
+
+def test_subtract_ignores_empty_rows(spark):
+    a = spark.createDataFrame([("c", 0, 10)], "chrom string, start long, end long")
+    b = spark.createDataFrame([("c", 5, 5), ("c", 7, 8)], "chrom string, start long, end long")
+    assert rows_of(intervals.subtract(a, b)) == [("c", 0, 7), ("c", 8, 10)]
 
 
 def test_eps_clusters_in_four_axes_are_split_again(spark):
