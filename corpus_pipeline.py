@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import op03_decontaminate, op04_jaccard_join, op07_pseudonyms, op08_quality, op09_sentencepiece
-from spanweave.llm.text import small_batches
+from spanweave.llm.text import as_row, small_batches
 from spanweave.scratch import Scratch, collecting
 
 _OPENED: list[Scratch] = []
@@ -59,12 +59,12 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated numbers, dates and addresses replaced in the texts; n_chars follows a text that changed. Null stays null."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(as_row(docs).alias("_row"), F.col("text").cast("string").alias("text"))
     done = op07_pseudonyms.pseudonymise(packed, op07_pseudonyms.key_of(spark))
     shown = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         shown["n_chars"] = F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("_row.n_chars"))
-    return done.select(*[shown.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[shown.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 @_stage

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm import sql
 from spanweave.llm.idfilter import IdFilter
-from spanweave.llm.text import mix, shingle_sets, text_chunks, words_of
+from spanweave.llm.text import as_row, mix, shingle_sets, text_chunks, words_of
 from spanweave.operators.components import connected_components, local_roots
 from spanweave.scratch import Scratch
 
@@ -601,12 +601,27 @@ def _labelled(tmp: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tmp.drop(plausible)
     # texts outside the regions stay where they are
     wanted = members.select("region", "cid", "n", "s1", "s2", _id("rep").alias("id"))
-    known = IdFilter(wanted.select("id"))
-    found = wanted.join(rows.select(_id("doc_id").alias("id"), "text").where(known.may_have(F.col("id"))), "id")
+    # an id of several rows names several classes: those are told apart by signature, and one text of each is fetched
+    repeated = own.groupBy(_id("doc_id").alias("id")).agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    repeated = tmp.save(repeated, "repeated")
+    several = bool(repeated.limit(1).count())
+    single = wanted.join(repeated, "id", "left_anti") if several else wanted
+    known = IdFilter(single.select("id"))
+    found = single.join(rows.select(_id("doc_id").alias("id"), "text").where(known.may_have(F.col("id"))), "id")
     sets = found.select("region", "cid", "n", "s1", "s2", "text").mapInArrow(_texts_to_sets, "region long, cid long, shingles binary")
+    filters = [known]
+    if several:
+        asked = wanted.join(repeated, "id", "left_semi")
+        filters.append(IdFilter(asked.select("id")))
+        keys = ["id", "s1", "s2", "n"]
+        judged = rows.select(_id("doc_id").alias("id"), "text").withColumn("_s", _judge(filters[1], F.col("id"), F.col("text")))
+        each = judged.where("_s.hit").select("id", "_s.s1", "_s.s2", "_s.n", "text").groupBy(*keys).agg(F.first("text").alias("text"))
+        more = asked.join(each, keys).select("region", "cid", "n", "s1", "s2", "text")
+        sets = sets.unionByName(more.mapInArrow(_texts_to_sets, "region long, cid long, shingles binary"))
     sets = tmp.save(sets, "sets")
-    known.destroy()
-    tmp.drop(members)
+    for f in filters:
+        f.destroy()
+    tmp.drop(members, repeated)
     links = _large_regions(tmp, sets)
     found = links[0]
     for more in links[1:]:
@@ -666,7 +681,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fate = tmp.save(fate, "fate")
     tmp.drop(own, labelled)
     known = IdFilter(fate.select("id"))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), _id(F.col("doc_id")).alias("id"))
+    packed = docs.select(as_row(docs).alias("_row"), _id(F.col("doc_id")).alias("id"))
     out = packed.where(~known.may_have(F.col("id"))).select("_row.*")
     judged = packed.withColumn("_s", _judge(known, F.col("id"), F.col("_row.text").cast("string"))).where("_s.hit").select("_row", "id", "_s.s1", "_s.s2", "_s.n")
     judged = judged.join(fate, keys, "left")

@@ -9,7 +9,8 @@ Kinds and what is validated and permuted:
 - card: 13 to 19 digits, plain or in groups, that pass the Luhn test; all digits but the check
   digit, which is computed anew;
 - date: a calendar day of 1900 to 2099 as y-m-d, y/m/d, d.m.y, m/d/y or, where that is no day, d/m/y; the day
-  number, so one day has one pseudonym in every notation;
+  number, so one day has one pseudonym in every notation. The permutation is walked on until the new day of the month is over 12 if the old one was,
+  and not if not: so what is written d/m/y reads as d/m/y again, and no two days share a pseudonym;
 - iban: a country code and up to 30 letters and digits, plain or in groups, whose check digits are right (mod 97); all but
   the country, each character within its class, with check digits computed anew;
 - ssn: ddd-dd-dddd in the issued ranges (area, group and serial);
@@ -30,12 +31,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.text import quoted
+
 #: Not a secret.
 DEMONSTRATION_KEY = "public-demonstration-key"
 KEY_SETTING = "spanweave.pseudonyms.key"
 ROUNDS = 8
 #: 1900-01-01 to 2099-12-31 are 73,049 = 17 * 4297 days.
 FIRST_DAY, DATE_RADIX = "DATE'1900-01-01'", (17, 4297)
+#: Steps of a day's walk, of which about two are taken; one that were not back by then (probability under 1e-14) would not be one-to-one.
+WALK = 80
 
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
@@ -106,8 +111,11 @@ def _date(key: str) -> str:
     )
     iso = f"case when {dash} or {slash} then replace(m, '/', '-') when fm = 'MM/dd/yyyy' then {month_first} else {day_first} end"
     a, b = DATE_RADIX
-    moved = _feistel(f"array(cast(dn div {b} as int), cast(dn % {b} as int))", f"array({a}, {b})", "date", key)
-    shown = _let("dt", _let("nd", moved, f"date_add({FIRST_DAY}, nd[0] * {b} + nd[1])"), "date_format(dt, fm)")
+    once = _feistel(f"array(cast(cw div {b} as int), cast(cw % {b} as int))", f"array({a}, {b})", "date", key)
+    step = _let("nd", once, f"nd[0] * {b} + nd[1]")
+    late = lambda n: f"day(date_add({FIRST_DAY}, {n})) > 12"
+    moved = f"aggregate(sequence(1, {WALK}), dn, (cw, ct) -> if(ct > 1 and ({late('cw')}) = ({late('dn')}), cw, {step}))"
+    shown = _let("dt", f"date_add({FIRST_DAY}, {moved})", "date_format(dt, fm)")
     return _let("fm", form, _let("dn", f"datediff(try_cast({iso} as date), {FIRST_DAY})", f"if(dn between 0 and {a * b - 1}, {shown}, m)"))
 
 
@@ -177,11 +185,12 @@ def pseudonym_sql(key: str) -> str:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text column pseudonymised and n_matches, n_replaced added or replaced."""
     own = [c for c in docs.columns if c not in ("n_matches", "n_replaced")]
-    found = docs.select(*own, F.expr(f"regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0)").alias("_found"))
-    new = found.select(*own, "_found", F.expr(f"transform(_found, m -> {pseudonym_sql(key)})").alias("_new"))
+    every = [F.col(quoted(c)) for c in own]
+    found = docs.select(*every, F.expr(f"regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0)").alias("_found"))
+    new = found.select(*every, "_found", F.expr(f"transform(_found, m -> {pseudonym_sql(key)})").alias("_new"))
     joined = f"array_join(zip_with(split(`{text}`, {_sql(PATTERN)}, -1), _new, (g, m) -> concat(g, coalesce(m, ''))), '')"
     return new.select(
-        *[F.expr(f"if(size(_found) > 0, {joined}, `{text}`)").alias(text) if c == text else F.col(c) for c in own],
+        *[F.expr(f"if(size(_found) > 0, {joined}, `{text}`)").alias(text) if c == text else F.col(quoted(c)) for c in own],
         F.expr("coalesce(size(_found), 0)").alias("n_matches"),
         F.expr("coalesce(size(filter(zip_with(_found, _new, (a, b) -> a <> b), x -> x)), 0)").alias("n_replaced"),
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.text import distinct_keys, mix, text_chunks, words_of
+from spanweave.llm.text import distinct_keys, mix, quoted, text_chunks, words_of
 from spanweave.llm.vocab import head_threshold
 from spanweave.scratch import Scratch
 
@@ -493,7 +493,7 @@ def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", e
     spark = docs.sparkSession
     tmp = Scratch(spark, "pieces")
     shared = spark.sparkContext.broadcast(model)
-    column = F.col(f"`{text}`").cast("string")
+    column = F.col(quoted(text)).cast("string")
     words = docs.select(column.alias("text")).mapInArrow(_distinct, "w binary, cnt long").groupBy("w").agg(F.sum("cnt").alias("cnt"))
     words = tmp.save(words.where(F.octet_length("w") <= HEAD_BYTES), "words")
     common = words.where(F.col("cnt") >= head_threshold(words, head_limit)).sortWithinPartitions("w")
@@ -508,13 +508,17 @@ def encode(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", e
     head = spark.sparkContext.broadcast((keys[order], second[order], bounds[:-1][order], np.diff(bounds)[order], pool))
     added = [ids] if exact is None else [ids, exact]
     keep = [f for f in docs.schema.fields if f.name not in added]
-    names = [f.name for f in keep]
-    rows, source = docs.select(*[F.col(f"`{n}`") for n in names]), text
-    if text not in names or docs.schema[text].dataType != T.StringType():
-        source = next(n for n in ("_text", *(f"_text{k}" for k in range(len(names)))) if n not in names)
-        rows = docs.select(*[F.col(f"`{n}`") for n in names], column.alias(source))
-    types = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([] if exact is None else [T.StructField(exact, T.BooleanType())])]
-    return rows.mapInArrow(_encode_rows(shared, head, source, names, exact is not None, names + added), T.StructType([*keep, *types]))
+    # they travel under names that any of Spark's functions takes
+    names, own = [f.name for f in keep], [f"c{k}" for k in range(len(keep))]
+    travelling = [F.col(quoted(n)).alias(c) for n, c in zip(names, own)]
+    if text in names and docs.schema[text].dataType == T.StringType():
+        rows, source = docs.select(*travelling), own[names.index(text)]
+    else:
+        rows, source = docs.select(*travelling, column.alias("text")), "text"
+    new = ["ids"] if exact is None else ["ids", "exact"]
+    types = [T.StructField(c, f.dataType) for c, f in zip(own, keep)] + [T.StructField("ids", T.ArrayType(T.IntegerType())), *([] if exact is None else [T.StructField("exact", T.BooleanType())])]
+    done = rows.mapInArrow(_encode_rows(shared, head, source, own, exact is not None, own + new), T.StructType(types))
+    return done.toDF(*names, *added)
 
 
 def decode(rows: DataFrame, model: dict, ids: str = "ids", text: str = "decoded") -> DataFrame:

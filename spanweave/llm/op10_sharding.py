@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.running import running
+from spanweave.llm.text import quoted
 from spanweave.scratch import Scratch
 
 SHARDS = 16
@@ -132,7 +133,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     names = {c: c if c in ("g", "size", "node") else f"c_{k}" for k, c in enumerate(given)}
     own = list(names.values())
     base = tmp.save(
-        rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_k", F.xxhash64(*own)).withColumn("start", F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(shards)).cast("int")),
+        rows.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]).withColumn("_k", F.xxhash64(*own)).withColumn("start", F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(shards)).cast("int")),
         "base",
     )
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()

@@ -38,6 +38,18 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and F.col take it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(df):
+    """One struct of all columns of ``df``."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 class Words(NamedTuple):
     """Words of one chunk: byte span, hash, and for document i the words offs[i]:offs[i+1]. ``second``: another
     64 bits of each word's hash, if asked for."""

@@ -237,3 +237,54 @@ def test_trie_states_are_the_crc_of_the_run():
     walked = [trie.states()[nodes].tolist() for _, nodes in trie.walk(words) if True]
     assert walked[0] == [zlib.crc32(x.encode()) for x in ("ab", "c", "ab", "cé", "ab")]
     assert [trie.crc[n] for n in list(trie.walk(words))[2][1]] == [zlib.crc32(x.encode()) for x in ("ab c ab", "c ab cé", "ab cé ab")]
+
+
+# 7, 4 and the stages of the pipeline
+
+
+def test_dates_are_one_to_one_in_every_notation(spark):
+    from spanweave.llm import op07_pseudonyms
+
+    days = spark.range(73_049).select(F.expr("date_add(DATE'1900-01-01', cast(id as int))").alias("d")).repartition(4)
+    late = F.day("d") > 12
+    forms = F.when(late, F.date_format("d", "dd/MM/yyyy"))
+    texts = days.select("d", F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), forms, F.date_format("d", "yyyy-MM-dd"))).alias("text")).where("text is not null")
+    done = op07_pseudonyms.pseudonymise(texts.withColumn("old", F.col("text")), "k").select("d", "old", "text")
+    month_first, day_first = F.expr("try_to_date(text, 'MM/dd/yyyy')"), F.expr("try_to_date(text, 'dd/MM/yyyy')")
+    read = done.withColumn("new", F.when(F.col("text").contains("-"), F.to_date("text")).otherwise(F.coalesce(month_first, day_first)))
+    out = read.groupBy("new").agg(F.countDistinct("d").alias("days"), F.count("*").alias("n")).agg(F.max("days"), F.count("*"), F.sum("n")).first()
+    assert tuple(out) == (1, 73_049, texts.count())
+    assert read.groupBy("d").agg(F.countDistinct("new").alias("n")).where("n > 1").count() == 0
+
+
+def test_null_and_repeated_ids_have_their_texts_told_apart(spark):
+    from spanweave.llm import op04_jaccard_join
+
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        words = [f"t{k}w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[:-1], "other"])]
+    base = [(i, t) for i, t in enumerate(texts)]
+    kept = {}
+    for name, rows in {"own": base, "null": [(None, t) for _, t in base], "few": [(i % 7, t) for i, t in base], "mixed": [(None if i % 3 else i, t) for i, t in base]}.items():
+        df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `a.b` string")
+        found = op04_jaccard_join.near_duplicates(df)
+        assert found.count() == len(rows) and {r.n_shingles for r in found.collect()} == {56}
+        out = op04_jaccard_join.keep_one(df)
+        assert out.columns == df.columns
+        kept[name] = sorted({r.text.split()[0][: r.text.index("w")] for r in out.collect()}), out.count()
+    assert set(map(str, kept.values())) == {str((sorted(f"t{k}" for k in range(60)), 60))}
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, sentence(30) + " 29/10/1946", "en", "s", 9, "x", i) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c d` long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        after = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path))
+        assert [c for c in after.columns if c in docs.columns] == docs.columns
+        assert {(r["a.b"], r["c d"] == r["doc_id"]) for r in after.collect()} <= {("x", True)}
