@@ -12,6 +12,7 @@ from spanweave.functions import sequences as seq
 from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, stats, tables
 from spanweave.operators.components import connected_components
 from spanweave.plans import views as v
+from spanweave.sources import fasta
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -550,6 +551,23 @@ def minhash_lsh(spark, d):
     return seq.lsh_pairs(rows, "doc_id", "grams", least=0.4).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+_CHUNK = 500
+
+
+@query(
+    "chunk_fetch",
+    "SELECT l_orderkey AS order_key, l_linenumber AS line, doc_id, md5(substr(text, CAST(l_partkey AS BIGINT) + 1, CAST(l_quantity AS BIGINT) * 40)) AS part FROM lineitem JOIN documents ON doc_id = l_suppkey WHERE length(text) > l_partkey",
+)
+def chunk_fetch(spark, d):
+    """Ranges of documents, as sequences in chunks, by their suppliers' lines."""
+    chunks = fasta.chunk_sequences(v.table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("seq")), _CHUNK)
+    t = v.table(spark, d, "lineitem")
+    at = F.col("l_partkey").cast("long")
+    ranges = t.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("chrom"), at.alias("start"), (at + F.col("l_quantity").cast("long") * 40).alias("end"))
+    found = fasta.fetch(chunks, ranges, _CHUNK).where("seq is not null")
+    return found.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.col("chrom").alias("doc_id"), F.md5("seq").alias("part"))
+
+
 # --- clusters ---------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT DISTINCT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders UNION SELECT c_custkey * 2, c_custkey * 2 + 2 FROM customer WHERE c_custkey % 7 <> 0)"
