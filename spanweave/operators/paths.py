@@ -19,13 +19,6 @@ MISSING_NODE = "00000"
 UNKNOWN = "N" * 21
 
 
-def path_steps(text: Column) -> Column:
-    """array<struct<orient, node>> of a path string."""
-    orient = F.regexp_extract_all(text, F.lit(r"([<>])[^<>]+"), F.lit(1))
-    node = F.regexp_extract_all(text, F.lit(r"[<>]([^<>]+)"), F.lit(1))
-    return F.arrays_zip(orient.alias("orient"), node.alias("node"))
-
-
 def oriented_sequences(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, seq: the sequences of a path's steps (path, ord, orient, node) in order, reverse complements on the other strand. nodes: node, seq."""
     known = nodes.select("node", F.col("seq").alias("_seq"))

@@ -34,8 +34,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def segment_positions(segments: DataFrame, reference: str) -> DataFrame:
     """chrom, start, end, node, orient (always forward) of the segments (node, tags) of which a tag places them on the reference, as in
     ``reference#0#chr1:10-25``; commas in numbers are dropped. A node placed by several tags has a row for each."""
-    tag = F.explode(F.filter("tags", lambda t: t.contains(reference)))
-    rows = segments.select("node", F.regexp_replace(tag, ",", "").alias("t"))
+    tags = F.transform(F.filter("tags", lambda t: t.contains(reference)), lambda t: F.replace(t, F.lit(","), F.lit("")))
+    rows = segments.select("node", F.explode(tags).alias("t"))
     part = lambda k: F.regexp_extract("t", r"([^#:\s]+):(\d+)-(\d+)", k)
     placed = rows.where(F.col("t").rlike(r"[^#:\s]+:\d+-\d+"))
     return placed.select(part(1).alias("chrom"), part(2).cast("long").alias("start"), part(3).cast("long").alias("end"), "node", F.lit(">").alias("orient"))
@@ -152,3 +152,14 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, header: b
     """Tab-separated files, in folders by the values of ``by`` if given."""
     writer = df.write.mode("overwrite").option("sep", "\t").option("header", header)
     (writer.partitionBy(*by) if by else writer).csv(path)
+
+
+def save_by_node(df: DataFrame, table: str, buckets: int = 64, by: list[str] | None = None, path: str | None = None) -> None:
+    """A table in ``buckets`` by node, sorted by it, in folders by the values of ``by`` (walks: sample). Tables with equal bucket counts are joined by node without a shuffle, as often
+    as they are used."""
+    writer = df.repartition(buckets, "node").write.mode("overwrite").bucketBy(buckets, "node").sortBy("node")
+    if by:
+        writer = writer.partitionBy(*by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
