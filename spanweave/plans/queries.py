@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import kmers
 from spanweave.functions import sequences as seq
-from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, stats, tables
+from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, setjoin, stats, tables
 from spanweave.operators.components import connected_components
 from spanweave.plans import views as v
 from spanweave.sources import fasta
@@ -551,6 +551,20 @@ def minhash_lsh(spark, d):
     return seq.lsh_pairs(rows, "doc_id", "grams", least=0.4).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(
+    "similar_sets",
+    """WITH g AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT min(c) AS c FROM (SELECT c, list(p ORDER BY p) AS l FROM g GROUP BY c) GROUP BY l), k AS (SELECT g.* FROM g JOIN r USING (c)), z AS (SELECT c, count(*) AS n FROM k GROUP BY c),
+j AS (SELECT x.c AS a, y.c AS b, count(*) AS s FROM k x JOIN k y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2)
+SELECT a, b, s AS shared, round(s / (m.n + o.n - s), 6) AS jaccard FROM j JOIN z m ON m.c = a JOIN z o ON o.c = b WHERE s / (m.n + o.n - s) >= 0.05""",
+)
+def similar_sets(spark, d):
+    """Customers by the parts that they ordered."""
+    orders = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    rows = v.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey")
+    return setjoin.similar_sets(rows, "o_custkey", ["l_partkey"], 0.05).withColumn("jaccard", F.round("jaccard", 6))
+
+
 _CHUNK = 500
 
 
