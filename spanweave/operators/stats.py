@@ -24,6 +24,16 @@ def normalized_entropy(df: DataFrame, by: list[str], value: str, drop: tuple = (
     return sums.select(*by, F.when((F.col("_k") < 2) | (h == 0), 0.0).otherwise(h / F.round(F.log2("_k"), 5)).alias("entropy"))
 
 
+def entropy_of(values: Column, drop: tuple = (".",)) -> Column:
+    """``normalized_entropy`` of an array column, row by row; 0 where nothing is left."""
+    kept = F.filter(values, lambda x: x.isNotNull() & ~x.isin(*drop))
+    counts = F.transform(F.array_distinct(kept), lambda x: F.size(F.filter(kept, lambda y: y == x)))
+    n, k = F.size(kept), F.size(counts)
+    part = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c))
+    h = F.round(F.log2(n) - part / n, 5)
+    return F.when((k < 2) | (h == 0), 0.0).otherwise(h / F.round(F.log2(k), 5))
+
+
 def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
 

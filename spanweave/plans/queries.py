@@ -11,6 +11,7 @@ from spanweave.functions import kmers
 from spanweave.functions import sequences as seq
 from spanweave.operators import blocks, chunked, clustering, intervals, model, ordered, pairs, paths, setjoin, stats, tables
 from spanweave.operators.components import connected_components
+from spanweave.plans import regions
 from spanweave.plans import views as v
 from spanweave.sources import fasta
 
@@ -658,6 +659,92 @@ def feature_assembly(spark, d):
     return model.assemble(v.table(spark, d, "documents").select("doc_id", "n_chars"), [v.table(spark, d, "labels")], ["doc_id"])
 
 
+_WIN = "w AS (SELECT chrom, unnest(generate_series(s, e - 1, 500)) AS s0, e FROM (SELECT chrom, min(s) AS s, max(e) AS e FROM iv GROUP BY chrom))"
+_VAR = """vr AS (SELECT CAST(l_suppkey AS VARCHAR) AS chrom, l_orderkey AS s, l_orderkey + l_linenumber AS e, l_linenumber AS r, CAST(l_quantity AS BIGINT) AS a,
+  CASE len(list_distinct([l_returnflag, l_linestatus, 'N'])) WHEN 1 THEN 0.0 WHEN 2 THEN 0.9183 ELSE 1.0 END AS entropy FROM lineitem)"""
+
+
+def _variants(spark, d):
+    size = F.col("l_linenumber").cast("long")
+    return v.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + size).alias("end"),
+        size.alias("ref_len"), F.col("l_quantity").cast("long").alias("alt_len"), stats.entropy_of(F.array("l_returnflag", "l_linestatus", F.lit("N"))).alias("entropy"),
+    )
+
+
+def _windows(spark, d):
+    hulls = v.intervals(spark, d).groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return intervals.make_windows(hulls, 1000, 500)
+
+
+_MET = """met AS (SELECT w.chrom, w.s0 AS ws, least(w.s0 + 1000, w.e) AS we, vr.s AS vs, vr.e AS ve, r, a, entropy FROM w JOIN vr ON vr.chrom = w.chrom AND vr.s < least(w.s0 + 1000, w.e) AND w.s0 < vr.e)"""
+_DIVERSITY = f"""{_MET}, k AS (SELECT concat(chrom, '|', ws) AS chrom, vs AS s, ve + 1 AS e FROM met), {v.merged_sql("k", "um")}, u AS (SELECT chrom, sum(e - s) AS uniq FROM um GROUP BY chrom),
+sz AS (SELECT chrom, ws, we, least(ws, min(vs)) AS lo, greatest(we, max(ve)) AS hi, sum(greatest(r, a)) AS al, sum(a * entropy) / sum(a) AS entropy FROM met GROUP BY chrom, ws, we),
+dv AS (SELECT sz.chrom, ws, we, entropy, (hi - lo + 1 - uniq) / (hi - lo + 1 - uniq + al) AS win_sim FROM sz JOIN u ON u.chrom = concat(sz.chrom, '|', ws))"""
+
+
+@query(
+    "window_diversity",
+    f"WITH {v.IV}, {_WIN}, {_VAR}, {_DIVERSITY} SELECT chrom, ws AS s, we AS e, round(entropy, 6) AS entropy, round(win_sim, 6) AS win_sim FROM dv",
+)
+def window_diversity(spark, d):
+    done = regions.window_diversity(_windows(spark, d), _variants(spark, d))
+    return _shown(done, F.round("entropy", 6).alias("entropy"), F.round("win_sim", 6).alias("win_sim"))
+
+
+#: Parameters that stand for fitted ones, by a rule: mean and deviation of each feature, two dense layers (8 to 3 to 2), three centroids.
+_MEAN, _STD = [i / 10 for i in range(8)], [1 + i / 4 for i in range(8)]
+_LAYERS = [([[((3 * i + 5 * j) % 7 - 3) / 4 for j in range(b)] for i in range(a)], [(j - 1) / 5 for j in range(b)]) for a, b in ((8, 3), (3, 2))]
+_MIDDLES = [[((i * (k + 2) + k) % 5 - 2) / 2 for i in range(2)] for k in range(3)]
+
+
+def _scored_sql() -> str:
+    unit = [f"(({c}) - {m}) / {s}" for c, m, s in zip(model.FEATURES, _MEAN, _STD)]
+    dense = lambda xs, layer, j: " + ".join([f"({x}) * ({layer[0][i][j]})" for i, x in enumerate(xs)] + [f"({layer[1][j]})"])
+    hidden = ", ".join(f"greatest({dense(unit, _LAYERS[0], j)}, 0) AS h{j}" for j in range(3))
+    code = ", ".join(f"{dense(['h0', 'h1', 'h2'], _LAYERS[1], j)} AS z{j}" for j in range(2))
+    kernel = ", ".join(f"1 / (1 + (z0 - ({a})) ** 2 + (z1 - ({b})) ** 2) AS q{k}" for k, (a, b) in enumerate(_MIDDLES))
+    gini = "2 * sum(i * x) / nullif(n * sum(x), 0) - (n + 1.0) / nullif(n, 0)"
+    trimmed = lambda source, x: f"""(SELECT chrom, s, e, max(x) AS most, stddev_samp(x) FILTER (x BETWEEN lo AND hi) AS sd FROM (SELECT *, {x} AS x, quantile_cont({x}, 0.05) OVER (PARTITION BY chrom, s, e) AS lo,
+  quantile_cont({x}, 0.95) OVER (PARTITION BY chrom, s, e) AS hi FROM {source}) GROUP BY chrom, s, e HAVING count(*) FILTER (x BETWEEN lo AND hi) > 0)"""
+    ginied = lambda source, x: f"""(SELECT chrom, s, e, CASE WHEN n >= 2 THEN {gini} END AS gini FROM (SELECT *, row_number() OVER (PARTITION BY chrom, s, e ORDER BY x) AS i, count(*) OVER (PARTITION BY chrom, s, e) AS n
+  FROM (SELECT *, CAST({x} AS DOUBLE) AS x, quantile_cont({x}, 0.05) OVER (PARTITION BY chrom, s, e) AS lo, quantile_cont({x}, 0.95) OVER (PARTITION BY chrom, s, e) AS hi FROM {source}) WHERE x BETWEEN lo AND hi)
+  GROUP BY chrom, s, e, n)"""
+    return f"""WITH {v.IV}, {_WIN}, {_VAR}, {_DIVERSITY}, sp AS (SELECT w.chrom, w.s0 AS s, least(w.s0 + 1000, w.e) AS e, l_discount, l_extendedprice, l_tax, l_quantity FROM w
+  JOIN lineitem ON chrom = CAST(l_suppkey AS VARCHAR) AND l_orderkey BETWEEN w.s0 AND least(w.s0 + 1000, w.e) - 1),
+lc AS (SELECT CAST(l_suppkey AS VARCHAR) AS chrom, l_orderkey // 400 * 400 AS s, l_orderkey // 400 * 400 + 100 AS e, CAST(l_quantity AS BIGINT) AS copies FROM lineitem),
+lg AS {ginied("lc", "copies")}, vn AS (SELECT w.chrom, w.s0 AS s, max(gini) AS g FROM w JOIN lg ON lg.chrom = w.chrom AND lg.s < least(w.s0 + 1000, w.e) AND w.s0 < lg.e GROUP BY 1, 2),
+bb AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS chrom, o_orderkey AS s, o_orderkey + 3000 AS e, (o_orderkey % 90) / 100 AS ratio FROM orders WHERE o_orderkey % 7 = 0),
+bw AS (SELECT w.chrom, w.s0 AS s, max(1 / (1 + exp(-3 * (ratio - 3))) + CASE WHEN ratio < 0.5 THEN 1 ELSE 0 END) AS sb,
+  max(2 / (1 + exp(-3 * (1 / (1 + exp(-100 * (ratio - 0.1))) * ratio - 3))) + CASE WHEN ratio < 0.5 THEN 1 ELSE 0 END) AS cb
+  FROM w JOIN bb ON bb.chrom = w.chrom AND bb.s <= w.s0 AND least(w.s0 + 1000, w.e) <= bb.e GROUP BY 1, 2),
+f AS (SELECT dv.chrom, ws AS s, we AS e, hm.most AS sd_max, hm.sd AS sd_var, coalesce(sb, 0.01) AS sim_bubble, coalesce(cb, 0.01) AS com_bubble, (1 - win_sim) + entropy AS Vscore, coalesce(el.gini, 0) AS TEgini,
+  CASE WHEN vn.chrom IS NULL THEN 0.0 ELSE 1.0 END AS vntr_cov, coalesce(vn.g, 0) AS vntr_gini_max
+  FROM dv JOIN {trimmed("sp", "l_discount")} hm ON hm.chrom = dv.chrom AND hm.s = ws AND hm.e = we AND hm.sd IS NOT NULL JOIN {ginied("sp", "l_quantity")} el ON el.chrom = dv.chrom AND el.s = ws AND el.e = we
+  LEFT JOIN vn ON vn.chrom = dv.chrom AND vn.s = ws LEFT JOIN bw ON bw.chrom = dv.chrom AND bw.s = ws),
+h AS (SELECT chrom, s, e, {hidden} FROM f), z AS MATERIALIZED (SELECT chrom, s, e, {code} FROM h), q AS (SELECT chrom, s, e, {kernel} FROM z)
+SELECT chrom, s, e, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 'simple' WHEN q1 >= q2 THEN 'CC4' ELSE 'CC1' END AS cluster, round(q0 / (q0 + q1 + q2), 4) AS p0, round(q1 / (q0 + q1 + q2), 4) AS p1 FROM q"""
+
+
+@query("classed_regions", _scored_sql())
+def classed_regions(spark, d):
+    """The five branches of windows of lineitem and orders, joined, scaled, encoded and classed."""
+    t, w, key = v.table(spark, d, "lineitem"), _windows(spark, d), F.col("l_suppkey").cast("string").alias("chrom")
+    spots = t.select(key, F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 1).alias("end"), "l_discount", "l_quantity")
+    met = intervals.overlap_join(w, spots).select("chrom", F.col("start_a").alias("start"), F.col("end_a").alias("end"), F.col("l_discount_b").alias("sim"), F.col("l_quantity_b").alias("delta"))
+    at = F.floor(F.col("l_orderkey") / 400) * 400
+    copies = t.select(key, at.alias("start"), (at + 100).alias("end"), F.col("l_quantity").cast("long").alias("copies"))
+    orders = v.table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    ratio = (F.col("o_orderkey") % 90) / 100
+    bubbles = orders.select((F.col("o_custkey") % 100).cast("string").alias("chrom"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 3000).alias("end"), *[ratio.alias(c) for c in ("poly", "polyratio", "simple", "pathratio")])
+    features = regions.region_features(
+        regions.window_diversity(w, _variants(spark, d)), regions.element_variation(met), regions.homology_variation(met),
+        regions.repeat_variation(w, copies), regions.bubble_features(w, bubbles),
+    )
+    done = regions.class_regions(features, _MEAN, _STD, _LAYERS, _MIDDLES)
+    return _shown(done, "cluster", F.round("simple", 4).alias("p0"), F.round("CC4", 4).alias("p1"))
+
+
 # --- the rest of the inventory ------------------------------------------------------------------
 
 
