@@ -174,6 +174,12 @@ def merge_intervals(df: DataFrame, by: list[str] | None = None, max_gap: int = 0
     return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *value).drop("_island")
 
 
+def mark_islands(df: DataFrame, by: list[str], max_gap: int = 0) -> DataFrame:
+    """Adds ``island``: the start of the union (``merge_intervals``) that the row belongs to; rows without a place go."""
+    rows = df.where("start is not null and end is not null")
+    return _marked(rows, by, lambda reach: F.col("start") > reach + max_gap).withColumnRenamed("_island", "island")
+
+
 def coverage(a: DataFrame, b: DataFrame, bin: int | None = None) -> DataFrame:
     """Rows of a with n (overlapping rows of b), covered (length of their union within the row),
     length and fraction. Equal rows of a are counted each."""

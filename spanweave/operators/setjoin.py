@@ -59,13 +59,12 @@ def _listed(sets: DataFrame, least: float) -> DataFrame:
     return cells.select("_id", F.least("_at", "_o").alias("_c1"), F.greatest("_at", "_o").alias("_c2"), "_at", "key", "n", "place")
 
 
-def similar_sets(rows: DataFrame, key: str, items: list[str], least: float) -> DataFrame:
-    """a, b, shared, jaccard: all pairs (a < b) of different sets with a Jaccard of ``least`` or more. ``rows`` holds an item (the columns ``items``) of a set (``key``) in each row; of
-    equal sets the smallest key stands for all (``set_classes`` lists them)."""
+def similar_classes(classes: DataFrame, key: str, least: float) -> DataFrame:
+    """``similar_sets`` of the classes that ``set_classes`` gives."""
     if not 0 < least <= 1:
         raise ValueError("the least Jaccard must be over 0 and at most 1")
-    scratch = Scratch(rows.sparkSession, "similar")
-    sets = scratch.save(set_classes(rows, key, items).where(F.col(key) == F.col("rep")).select(F.col("rep").alias("key"), "n", "ids", "blocks"), "classes")
+    scratch = Scratch(classes.sparkSession, "similar")
+    sets = scratch.save(classes.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("key"), "n", "ids", "blocks"), "classes")
     listed = _listed(sets, least)
     a = listed.select("_id", "_c1", "_c2", *[F.col(c).alias(f"{c}_a") for c in ("_at", "key", "n", "place")])
     b = listed.select("_id", "_c1", "_c2", *[F.col(c).alias(f"{c}_b") for c in ("_at", "key", "n", "place")])
@@ -80,3 +79,9 @@ def similar_sets(rows: DataFrame, key: str, items: list[str], least: float) -> D
     both = both.withColumn("shared", F.size(F.array_intersect("_ia", "_ib")).cast("long"))
     both = both.withColumn("jaccard", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")))
     return both.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+
+
+def similar_sets(rows: DataFrame, key: str, items: list[str], least: float) -> DataFrame:
+    """a, b, shared, jaccard: all pairs (a < b) of different sets with a Jaccard of ``least`` or more. ``rows`` holds an item (the columns ``items``) of a set (``key``) in each row; of
+    equal sets the smallest key stands for all (``set_classes`` lists them)."""
+    return similar_classes(set_classes(rows, key, items), key, least)

@@ -679,17 +679,17 @@ def _windows(spark, d):
 
 _MET = """met AS (SELECT w.chrom, w.s0 AS ws, least(w.s0 + 1000, w.e) AS we, vr.s AS vs, vr.e AS ve, r, a, entropy FROM w JOIN vr ON vr.chrom = w.chrom AND vr.s < least(w.s0 + 1000, w.e) AND w.s0 < vr.e)"""
 _DIVERSITY = f"""{_MET}, k AS (SELECT concat(chrom, '|', ws) AS chrom, vs AS s, ve + 1 AS e FROM met), {v.merged_sql("k", "um")}, u AS (SELECT chrom, sum(e - s) AS uniq FROM um GROUP BY chrom),
-sz AS (SELECT chrom, ws, we, least(ws, min(vs)) AS lo, greatest(we, max(ve)) AS hi, sum(greatest(r, a)) AS al, sum(a * entropy) / sum(a) AS entropy FROM met GROUP BY chrom, ws, we),
-dv AS (SELECT sz.chrom, ws, we, entropy, (hi - lo + 1 - uniq) / (hi - lo + 1 - uniq + al) AS win_sim FROM sz JOIN u ON u.chrom = concat(sz.chrom, '|', ws))"""
+sz AS (SELECT chrom, ws, we, least(ws, min(vs)) AS lo, greatest(we, max(ve)) AS hi, sum(greatest(r, a)) AS al, sum(a * CAST(entropy AS DOUBLE)) / sum(a) AS entropy, CAST(sum(a) AS BIGINT) AS weight FROM met GROUP BY chrom, ws, we),
+dv AS (SELECT sz.chrom, ws, we, entropy, weight, (hi - lo + 1 - uniq) / (hi - lo + 1 - uniq + al) AS win_sim FROM sz JOIN u ON u.chrom = concat(sz.chrom, '|', ws))"""
 
 
 @query(
     "window_diversity",
-    f"WITH {v.IV}, {_WIN}, {_VAR}, {_DIVERSITY} SELECT chrom, ws AS s, we AS e, round(entropy, 6) AS entropy, round(win_sim, 6) AS win_sim FROM dv",
+    f"WITH {v.IV}, {_WIN}, {_VAR}, {_DIVERSITY} SELECT chrom, ws AS s, we AS e, round(entropy * weight, 4) AS weighted, weight, round(win_sim, 6) AS win_sim FROM dv",
 )
 def window_diversity(spark, d):
     done = regions.window_diversity(_windows(spark, d), _variants(spark, d))
-    return _shown(done, F.round("entropy", 6).alias("entropy"), F.round("win_sim", 6).alias("win_sim"))
+    return _shown(done, F.round(F.col("entropy") * F.col("weight"), 4).alias("weighted"), "weight", F.round("win_sim", 6).alias("win_sim"))
 
 
 #: Parameters that stand for fitted ones, by a rule: mean and deviation of each feature, two dense layers (8 to 3 to 2), three centroids.

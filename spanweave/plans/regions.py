@@ -35,7 +35,7 @@ def variants_of(vcf: DataFrame) -> DataFrame:
 
 
 def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
-    """chrom, start, end, entropy (mean over the window's variants, weighted by the longest allele) and win_sim (share of positions that no variant changes) of windows with variants."""
+    """chrom, start, end, entropy (mean over the window's variants, weighted by the longest allele), weight (the sum of those) and win_sim (share of positions that no variant changes) of windows with variants."""
     met = intervals.overlap_join(windows.select(*PLACE).distinct(), variants)
     met = Scratch(windows.sparkSession, "diversity").save(met, "met")
     rows = met.select(
@@ -43,9 +43,9 @@ def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
         F.col("ref_len_b").alias("ref_len"), F.col("alt_len_b").alias("alt_len"), F.col("entropy_b").alias("entropy"),
     )
     keys = ["chrom", "wstart", "wend"]
-    mean = stats.weighted_mean(rows, keys, "entropy", "alt_len").withColumnRenamed("mean", "entropy")
+    mean = rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("entropy") * F.col("alt_len")), F.sum("alt_len")).alias("entropy"), F.sum("alt_len").alias("weight"))
     near = stats.window_similarity(rows).select(*keys, F.col("sim").alias("win_sim"))
-    return mean.join(near, keys).withColumnsRenamed({"wstart": "start", "wend": "end"}).select(*PLACE, "entropy", "win_sim")
+    return mean.join(near, keys).withColumnsRenamed({"wstart": "start", "wend": "end"}).select(*PLACE, "entropy", "weight", "win_sim")
 
 
 def haplotype_similarity(haplotypes: DataFrame, segments: DataFrame, k: int = 31) -> DataFrame:
