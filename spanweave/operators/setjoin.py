@@ -70,10 +70,14 @@ def similar_classes(classes: DataFrame, key: str, least: float) -> DataFrame:
     b = listed.select("_id", "_c1", "_c2", *[F.col(c).alias(f"{c}_b") for c in ("_at", "key", "n", "place")])
     here = (F.least("_at_a", "_at_b") == F.col("_c1")) & (F.greatest("_at_a", "_at_b") == F.col("_c2"))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
-    # what the two can share at most from here on: this item and what comes after it in both
-    enough = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
-    met = a.join(b.hint("merge"), ["_id", "_c1", "_c2"]).where((F.col("key_a") < F.col("key_b")) & here & sized & enough)
-    pairs = scratch.save(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
+    met = a.join(b.hint("merge"), ["_id", "_c1", "_c2"]).where((F.col("key_a") < F.col("key_b")) & here & sized)
+    # the most that the two can share: from the first item that they have in common on, and the listed ones with all that one of the two does not list
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    counts = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.max(rest + 1).alias("_from"), F.count("*").alias("_c"))
+    unlisted = F.ceil(F.greatest("n_a", "n_b") * least - 1e-9) - 1
+    need = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
+    good = counts.where((F.col("_from") >= need) & (F.col("_c") + unlisted >= need))
+    pairs = scratch.save(good.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "pairs")
     whole = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"_n{c}"), F.col("ids").alias(f"_i{c}"))
     both = pairs.join(whole("a"), "a").join(whole("b"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("_ia", "_ib")).cast("long"))
