@@ -104,8 +104,10 @@ def disjoint_paths(paths: DataFrame, nodes: DataFrame, disjoint: bool = True) ->
 
 def consumed_matches(paths: DataFrame, reference: DataFrame) -> DataFrame:
     """ref_path, path: reference paths in order (path, rank) each take the paths that share a node with them and that none before took."""
-    both = paths.select("path", "node").distinct().join(reference.select("node", F.col("path").alias("ref_path"), "rank").distinct(), "node")
-    return both.groupBy("path").agg(F.min_by("ref_path", F.struct("rank", "ref_path")).alias("ref_path")).select("ref_path", "path")
+    # of a node's reference paths only the first can take a path, so no list of paths meets another
+    first = reference.groupBy("node").agg(F.min(F.struct("rank", F.col("path").alias("ref_path"))).alias("_r"))
+    both = paths.select("path", "node").distinct().join(first, "node")
+    return both.groupBy("path").agg(F.min("_r").alias("_r")).select("_r.ref_path", "path")
 
 
 def drop_repeated_paths(paths: DataFrame) -> DataFrame:
