@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.ranking import rank_chains
-from spanweave.operators.running import in_blocks, running
+from spanweave.operators.running import keyed, running, unkeyed
 
 
 def collinear_runs(steps: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def collinear_runs(steps: DataFrame) -> DataFrame:
     rows = steps.select("region", "path", "ord", "node").dropna()
     times = rows.groupBy("region", "path", "node").agg(F.count("*").alias("n"))
     support = times.groupBy("region", "node").agg(F.count("*").alias("paths"), F.max("n").alias("most"))
-    ahead = running(in_blocks(rows, "ord"), ["region", "path"], ["ord"], "next", F.col("node"), "last", inclusive=False, reverse=True)
+    ahead = unkeyed(running(keyed(rows, ["region", "path"], "ord"), ["region", "path"], ["ord"], "next", F.col("node"), "last", inclusive=False, reverse=True), ["region", "path"])
     pairs = ahead.where("next is not null and next <> node").select("region", "path", F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
     pairs = pairs.groupBy("region", "a", "b").agg(F.count("*").alias("on"))
     side = lambda c: support.select("region", F.col("node").alias(c), F.col("paths").alias(f"p{c}"), F.col("most").alias(f"m{c}"))
@@ -48,7 +48,7 @@ def region_blocks(steps: DataFrame, least: int = 200) -> DataFrame:
     )
     # heaviest first: the sum of what is heavier, by length and then among equals
     tied = nodes.groupBy("region", "len").agg(F.sum("len").alias("s"))
-    before = running(in_blocks(tied, "len"), ["region"], ["len"], "heavier", F.col("s"), "sum", inclusive=False, reverse=True).select("region", "len", F.coalesce("heavier", F.lit(0)).alias("heavier"))
+    before = unkeyed(running(keyed(tied, ["region"], "len"), ["region"], ["len"], "heavier", F.col("s"), "sum", inclusive=False, reverse=True), ["region"]).select("region", "len", F.coalesce("heavier", F.lit(0)).alias("heavier"))
     among = F.sum("len").over(Window.partitionBy("region", "len").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
     held = nodes.withColumn("_among", F.coalesce(among, F.lit(0))).join(before, ["region", "len"]).join(summed.select("region", "total_len"), "region")
     simple = held.where(F.col("heavier") + F.col("_among") <= 0.9 * F.col("total_len")).groupBy("region").agg(F.countDistinct("run").cast("int").alias("simple"))
@@ -82,13 +82,14 @@ def structural_runs(steps: DataFrame, least: int = 20) -> DataFrame:
     from spanweave.operators.intervals import merge_intervals
     from spanweave.operators.ordered import gaps_to_next
 
-    rows = in_blocks(steps.select("path", "ord", "len", "ref_pos"), "ord")
+    rows = keyed(steps.select("path", "ord", "len", "ref_pos"), ["path"], "ord")
     on = F.col("ref_pos").isNotNull()
     place = F.when(on, F.struct(F.col("ref_pos").alias("s"), (F.col("ref_pos") + F.col("len")).alias("e")))
     rows = running(rows, ["path"], ["ord"], "_b", place, "last", inclusive=False)
     rows = running(rows, ["path"], ["ord"], "_a", place, "last", inclusive=False, reverse=True)
     rows = running(rows, ["path"], ["ord"], "_on", F.when(on, 1).otherwise(0), "sum")
-    rows = running(rows, ["path"], ["ord"], "_off", F.when(on, 0).otherwise(1), "sum").drop("_block")
+    rows = running(rows, ["path"], ["ord"], "_off", F.when(on, 0).otherwise(1), "sum")
+    rows = unkeyed(rows, ["path"])
     off = rows.where(~on).groupBy("path", "_on").agg(
         F.min("ord").alias("first"), F.max("ord").alias("last"), F.sum("len").alias("inserted"), F.first("_b").alias("b"), F.first("_a").alias("a")
     )

@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.running import BLOCK_ROWS, in_blocks, running
+from spanweave.operators.running import BLOCK_ROWS, keyed, running, unkeyed
 from spanweave.scratch import Scratch
 
 #: Width of the smallest bins, and the factor from one level to the next.
 SMALLEST, FACTOR = 64, 8
+#: The same for pairs, which are listed once for each two of their bins: wide enough that most have one on either side.
+SMALLEST_PAIRS = 512
 MOST_LEVELS = 17
 
 
@@ -99,7 +101,8 @@ def _pairs(a: DataFrame, b: DataFrame, closed: bool, smallest: int) -> DataFrame
     right = _suffixed(_listed(b, "start", "end", lb, la, False, smallest, closed), "_b", ["chrom", *_PLACE])
     start, end = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
     cond = (F.col("start_a") < F.col("end_b") + one) & (F.col("start_b") < F.col("end_a") + one) & _here(start, "_level", "_bin", smallest)
-    return left.join(right, ["chrom", *_PLACE]).where(cond).drop(*_PLACE).withColumn("overlap", end - start + one)
+    # the planner knows neither the rows that are listed nor how well they compress: it would broadcast what the driver cannot hold
+    return left.join(right.hint("merge"), ["chrom", *_PLACE]).where(cond).drop(*_PLACE).withColumn("overlap", end - start + one)
 
 
 def overlap_join(
@@ -135,7 +138,7 @@ def overlap_join(
     return _pairs(a, b, closed, bin or SMALLEST).where(cond).unionByName(lone, allowMissingColumns=True)
 
 
-def both_sides_join(p: DataFrame, q: DataFrame, closed: bool = False, smallest: int = SMALLEST) -> DataFrame:
+def both_sides_join(p: DataFrame, q: DataFrame, closed: bool = False, smallest: int = SMALLEST_PAIRS) -> DataFrame:
     """Pairs of rows of p and q (chrom1, start1, end1, chrom2, start2, end2) that overlap on both sides, met by bins of both: columns with _p
     and _q, and overlap1, overlap2."""
     one = 1 if closed else 0
@@ -151,17 +154,16 @@ def both_sides_join(p: DataFrame, q: DataFrame, closed: bool = False, smallest:
         start, end = F.greatest(f"{s}_p", f"{s}_q"), F.least(f"{e}_p", f"{e}_q")
         cond = cond & (F.col(f"{s}_p") < F.col(f"{e}_q") + one) & (F.col(f"{s}_q") < F.col(f"{e}_p") + one) & _here(start, f"_level{k}", f"_bin{k}", smallest)
         sizes[f"overlap{k}"] = end - start + one
-    hit = _suffixed(left, "_p", keys).join(_suffixed(right, "_q", keys), keys).where(cond)
+    hit = _suffixed(left, "_p", keys).join(_suffixed(right, "_q", keys).hint("merge"), keys).where(cond)
     return hit.drop(*[c for c in keys if not c.startswith("chrom")]).withColumns(sizes)
 
 
 def _marked(rows: DataFrame, by: list[str], new) -> DataFrame:
     """Adds ``_island``: the first start of the run of rows that a row belongs to. new(reach): whether a row begins one, by the
     largest end of all rows before it."""
-    blocks = in_blocks(rows, "start")
-    reached = running(blocks, by, ["start", "end"], "_reach", F.col("end"), "max", inclusive=False)
+    reached = running(keyed(rows, by, "start"), by, ["start", "end"], "_reach", F.col("end"), "max", inclusive=False)
     first = F.when(F.col("_reach").isNull() | new(F.col("_reach")), F.col("start"))
-    return running(reached, by, ["start", "end"], "_island", first, "max").drop("_reach", "_block")
+    return unkeyed(running(reached, by, ["start", "end"], "_island", first, "max").drop("_reach"), by)
 
 
 def merge_intervals(df: DataFrame, by: list[str] | None = None, max_gap: int = 0, collect: str | None = None) -> DataFrame:
@@ -180,12 +182,18 @@ def mark_islands(df: DataFrame, by: list[str], max_gap: int = 0) -> DataFrame:
     return _marked(rows, by, lambda reach: F.col("start") > reach + max_gap).withColumnRenamed("_island", "island")
 
 
+def _of_chroms(b: DataFrame, a: DataFrame) -> DataFrame:
+    """The rows of b on chromosomes of a: others meet nothing, and need not be merged."""
+    return b.join(a.select("chrom").distinct(), "chrom", "left_semi")
+
+
 def coverage(a: DataFrame, b: DataFrame, bin: int | None = None) -> DataFrame:
     """Rows of a with n (overlapping rows of b), covered (length of their union within the row),
     length and fraction. Equal rows of a are counted each."""
     keys = a.columns
     own = [F.col("chrom") if c == "chrom" else F.col(f"{c}_a").alias(c) for c in keys]
     spots = a.select("chrom", "start", "end").distinct()
+    b = _of_chroms(b.select("chrom", "start", "end"), spots)
     raw = overlap_join(spots, b.select("chrom", "start", "end"), bin=bin).groupBy("chrom", "start_a", "end_a").agg(F.count("*").alias("n"))
     union = Scratch(b.sparkSession, "coverage").save(merge_intervals(b).select("chrom", "start", "end"), "union")
     part = overlap_join(spots, union, bin=bin).groupBy("chrom", "start_a", "end_a").agg(F.sum("overlap").alias("covered"))
@@ -205,8 +213,8 @@ def subtract(a: DataFrame, b: DataFrame, whole: bool = False) -> DataFrame:
     """What b leaves of each row of a (one row for each piece); ``whole``: rows of a that b does not touch."""
     if whole:
         return overlap_join(a, b.select("chrom", "start", "end"), "anti")
-    union = Scratch(b.sparkSession, "subtract").save(merge_intervals(b.where("start < end")).select("chrom", "start", "end"), "union")
     spots = a.select("chrom", "start", "end").distinct()
+    union = Scratch(b.sparkSession, "subtract").save(merge_intervals(_of_chroms(b.where("start < end"), spots)).select("chrom", "start", "end"), "union")
     cuts = overlap_join(spots, union).groupBy("chrom", "start_a", "end_a").agg(
         F.array_sort(F.collect_list(F.struct(F.greatest("start_a", "start_b").alias("s"), F.least("end_a", "end_b").alias("e")))).alias("_cuts")
     )
@@ -282,14 +290,13 @@ def grow_to_fixpoint(windows: DataFrame, regions: DataFrame) -> DataFrame:
 def adjacent_windows(windows: DataFrame, shared: int = 500) -> DataFrame:
     """Adds ``cluster``, the first start of a run of windows each of which overlaps the one before it (in the order of starts, then ends) by more than
     ``shared`` or lies inside it."""
-    rows = in_blocks(windows.where("start is not null and end is not null"), "start")
-    for name in ("start", "end"):
-        rows = running(rows, ["chrom"], ["start", "end"], f"_p{name}", F.col(name), "last", inclusive=False)
-    inside = (F.col("start") >= F.col("_pstart")) & (F.col("end") <= F.col("_pend"))
-    near = F.least("end", "_pend") - F.greatest("start", "_pstart") > shared
-    first = F.when(F.col("_pstart").isNull() | ~(inside | near), F.struct("start", "end"))
-    rows = running(rows, ["chrom"], ["start", "end"], "_first", first, "last")
-    return rows.withColumn("cluster", F.col("_first.start")).drop("_first", "_pstart", "_pend", "_block")
+    rows = keyed(windows.where("start is not null and end is not null"), ["chrom"], "start")
+    rows = running(rows, ["chrom"], ["start", "end"], "_p", F.struct("start", "end"), "last", inclusive=False)
+    inside = (F.col("start") >= F.col("_p.start")) & (F.col("end") <= F.col("_p.end"))
+    near = F.least("end", F.col("_p.end")) - F.greatest("start", F.col("_p.start")) > shared
+    first = F.when(F.col("_p").isNull() | ~(inside | near), F.struct("start", "end"))
+    rows = unkeyed(running(rows, ["chrom"], ["start", "end"], "_first", first, "last"), ["chrom"])
+    return rows.select(*windows.columns, F.col("_first.start").alias("cluster"))
 
 
 def carry_hulls(windows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
@@ -304,7 +311,7 @@ def carry_hulls(windows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     names, order = windows.columns, ["start", "end", "hull_start", "hull_end"]
     whole = windows.where("chrom is not null and start is not null and end is not null")
     whole = whole.withColumns({"hull_start": F.coalesce("hull_start", "start"), "hull_end": F.coalesce("hull_end", "end")})
-    rows = running(in_blocks(whole, "start"), ["chrom"], order, "_pos", F.lit(1), "sum").drop("_block").withColumn("_pos", F.col("_pos") - 1)
+    rows = unkeyed(running(keyed(whole, ["chrom"], "start"), ["chrom"], order, "_pos", F.lit(1), "sum"), ["chrom"]).withColumn("_pos", F.col("_pos") - 1)
     rows = tmp.save(rows.withColumn("_block", F.expr(f"_pos div {block}")), "rows")
     kind = rows.schema["chrom"].dataType.simpleString()
 

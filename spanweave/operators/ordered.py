@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.running import block_span, in_blocks, running
+from spanweave.operators.running import keyed, running, unkeyed
+from spanweave.scratch import Scratch
 
 
 def islands_1d(df: DataFrame, by: list[str], pos: str, eps: float) -> DataFrame:
@@ -31,16 +32,21 @@ def run_lengths(df: DataFrame, by: list[str], order: str, value: str, least: int
 
 
 def consecutive_runs(df: DataFrame, by: list[str], index: str) -> DataFrame:
-    """Runs of consecutive index values: first, last, n."""
-    over = Window.partitionBy(*by).orderBy(index)
-    keyed = df.withColumn("_k", F.col(index) - F.row_number().over(over))
-    return keyed.groupBy(*by, "_k").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("_k")
+    """Runs of consecutive index values: first, last, n (different values; repeated rows count once)."""
+    rows = keyed(df.where(F.col(index).isNotNull()).select(*by, index), by, index)
+    for name, back in (("_prev", False), ("_next", True)):
+        rows = running(rows, by, [index], name, F.col(index), "last", inclusive=False, reverse=back)
+    at = F.col(index)
+    rows = running(rows, by, [index], "first", F.when(F.col("_prev").isNull() | (at - F.col("_prev") > 1), at), "max")
+    ends = unkeyed(rows, by).where(F.col("_next").isNull() | (F.col("_next") - at > 1))
+    return ends.select(*by, "first", at.alias("last"), (at - F.col("first") + 1).alias("n"))
 
 
 def gaps_to_next(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Adds ``gap``: from a row's end to the start of the next row (by start, then end); null for the last."""
-    rows = running(in_blocks(df, start), by, [start, end], "_next", F.col(start), "last", inclusive=False, reverse=True)
-    return rows.withColumn("gap", F.col("_next") - F.col(end)).drop("_next", "_block")
+    saved = Scratch(df.sparkSession, "gaps").save(df, "rows")  # it is read for the blocks' width, the totals and the rows
+    rows = running(keyed(saved, by, start), by, [start, end], "_next", F.col(start), "last", inclusive=False, reverse=True)
+    return unkeyed(rows, by).select(*df.columns, (F.col("_next") - F.col(end)).alias("gap"))
 
 
 def cumulative_share(df: DataFrame, by: list[str], weight: str, tie: str, until: float = 0.9) -> DataFrame:
@@ -63,16 +69,19 @@ def equal_slices(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
 def _points_around(points: DataFrame, regions: DataFrame) -> DataFrame:
     """regions (key, start, end; distinct) with left, the last point (key, pos) before the start, and right, the first at the end or after; null
     where there is none."""
-    marks = points.where("pos is not null").select("key", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    # points on chromosomes without regions lie around none
+    points = points.where("pos is not null").join(regions.select("key").distinct(), "key", "left_semi")
+    none = F.lit(None).cast("long")
+    marks = points.select("key", "pos", F.lit(2).alias("kind"), none.alias("start"), none.alias("end"))
     left = regions.select("key", F.col("start").alias("pos"), F.lit(0).alias("kind"), "start", "end")
-    right = regions.select("key", F.col("end").alias("pos"), F.lit(0).alias("kind"), "start", "end")
-    own = F.when(F.col("kind") == 1, F.col("pos"))
-    span = block_span(points, "pos")
+    right = regions.select("key", F.col("end").alias("pos"), F.lit(1).alias("kind"), "start", "end")
+    own = F.when(F.col("kind") == 2, F.col("pos"))
     # at one position borders come first: a point there is not before the start, but at the end
-    before = running(in_blocks(left.unionByName(marks), "pos", span), ["key"], ["pos", "kind"], "left", own, "last")
-    after = running(in_blocks(right.unionByName(marks), "pos", span), ["key"], ["pos", "kind"], "right", own, "last", reverse=True)
-    keys = ["key", "start", "end"]
-    return before.where("kind = 0").select(*keys, "left").join(after.where("kind = 0").select(*keys, "right"), keys)
+    rows = keyed(marks.unionByName(left).unionByName(right), ["key"], "pos")
+    rows = running(rows, ["key"], ["pos", "kind"], "left", own, "last")
+    rows = unkeyed(running(rows, ["key"], ["pos", "kind"], "right", own, "last", reverse=True), ["key"]).where("kind < 2")
+    side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(c)
+    return rows.groupBy("key", "start", "end").agg(side(0, "left"), side(1, "right"))
 
 
 def asof_both(points: DataFrame, regions: DataFrame, max_span: int = 1_000_000) -> DataFrame:
@@ -101,8 +110,8 @@ def asof_path(regions: DataFrame, steps: DataFrame) -> DataFrame:
 
 def walk_positions(steps: DataFrame, segments: DataFrame, path: str = "path", ord: str = "ord", node: str = "node", closed: bool = False) -> DataFrame:
     """Adds pos_s, pos_e of each step on its path, from the lengths of the nodes (node, len). Steps at unknown nodes are left out."""
-    rows = in_blocks(steps.join(segments.select(node, "len"), node), ord)
-    rows = running(rows, [path], [ord], "pos_e", F.col("len"), "sum").drop("_block")
+    rows = keyed(steps.join(segments.select(node, "len"), node), [path], ord)
+    rows = unkeyed(running(rows, [path], [ord], "pos_e", F.col("len"), "sum"), [path])
     return rows.withColumn("pos_s", F.col("pos_e") - F.col("len") + (1 if closed else 0))
 
 
@@ -122,8 +131,10 @@ def clip_steps(steps: DataFrame, regions: DataFrame) -> DataFrame:
 
 def path_share(paths: DataFrame, reference: DataFrame) -> DataFrame:
     """For each path the first reference path (smallest ord) that shares a node with it: path, ref_path."""
-    hit = paths.select("path", "node").distinct().join(reference.select("node", F.col("path").alias("ref_path"), "ord").distinct(), "node")
-    return hit.groupBy("path").agg(F.min_by("ref_path", F.struct("ord", "ref_path")).alias("ref_path"))
+    # of a node's reference paths only the first can be a path's first, so no list of paths meets another
+    first = reference.groupBy("node").agg(F.min(F.struct("ord", F.col("path").alias("ref_path"))).alias("_r"))
+    hit = paths.select("path", "node").distinct().join(first, "node")
+    return hit.groupBy("path").agg(F.min("_r").alias("_r")).select("path", "_r.ref_path")
 
 
 def weighted_overlap(members: DataFrame, least: float | None = None) -> DataFrame:
