@@ -76,3 +76,16 @@ def test_listed_rows_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(clustering.eps_graph(points, ["g"], ["x", "y"], 2.0))
     w = spark.range(50).selectExpr("'c' as chrom", "id as start", "id + 9 as end")
     assert "Broadcast" not in plan_of(intervals.overlap_join(w, w))
+
+
+def test_candidates_bring_texts_and_not_sets(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.functions import sequences as seq
+
+    texts = ["abcdefghij" * 3 + "x", "abcdefghij" * 3 + "y", "abcdefghij" * 3 + "x", "0123456789", None, "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "a long, text string")
+    grams = seq.char_kmers(F.col("text"), 5)
+    out = seq.lsh_pairs(df, "a", grams, least=0.5)
+    want = seq.lsh_pairs(df.select("a", grams.alias("s")), "a", "s", least=0.5)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) == [(0, 1, 10 / 12), (0, 2, 1.0), (1, 2, 10 / 12)]
