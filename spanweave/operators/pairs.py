@@ -81,7 +81,8 @@ def pair_overlap(p: DataFrame, q: DataFrame, min_recip: float | None = None, all
         for k in ("1", "2"):
             for side in ("p", "q"):
                 hit = hit.where(F.col(f"overlap{k}") >= (F.col(f"end{k}_{side}") - F.col(f"start{k}_{side}")) * min_recip)
-    return hit.select(F.col("pair_p"), F.col("pair_q")).distinct()
+    # dealt by one side, which what is counted or joined by it afterwards can go on from
+    return hit.select("pair_p", "pair_q").repartition("pair_p").distinct()
 
 
 def overlap_clusters(df: DataFrame) -> DataFrame:
