@@ -272,7 +272,9 @@ def nonrepeat_filter(regions: DataFrame, repeats: DataFrame, least: int = 500, s
 
 def redistribute(base: DataFrame, merged: DataFrame, value: str) -> DataFrame:
     """Give each base window inside a merged window an equal part of the merged window's value."""
-    inside = overlap_join(base, merged, min_frac_a=1.0)
+    tmp = Scratch(base.sparkSession, "redistribute")  # a join reads its sides for their levels, and again for their rows
+    inside = overlap_join(tmp.save(base, "base"), tmp.save(merged, "merged"), min_frac_a=1.0)
+    inside = tmp.save(inside.select("chrom", "start_a", "end_a", "start_b", "end_b", f"{value}_b"), "inside")
     count = inside.groupBy("chrom", "start_b", "end_b").agg(F.count("*").alias("_n"))
     return inside.join(count, ["chrom", "start_b", "end_b"]).select(
         "chrom", F.col("start_a").alias("start"), F.col("end_a").alias("end"), (F.col(f"{value}_b") / F.col("_n")).alias(value)
