@@ -51,9 +51,8 @@ def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
 def haplotype_similarity(haplotypes: DataFrame, segments: DataFrame, k: int = 31) -> DataFrame:
     """chrom, start, end, sample, sim: the share of the k-mers of each sample's sequence of a window (haplotypes: window columns, sample, seq) that the duplicated segments (seq)
     hold; sequences without k-mers have no row."""
-    database = kmers.kmer_rows(segments.select(F.lit(0).alias("_s"), "seq"), "_s", F.col("seq"), k)
-    rows = kmers.kmer_rows(haplotypes.select(F.struct(*PLACE, "sample").alias("_w"), "seq"), "_w", F.col("seq"), k)
-    return kmers.kmer_share(rows, "_w", database).select("_w.*", F.col("share").alias("sim"))
+    rows = haplotypes.select(F.struct(*PLACE, "sample").alias("_w"), "seq")
+    return kmers.sequence_share(rows, "_w", F.col("seq"), k, segments, F.col("seq")).select("_w.*", F.col("share").alias("sim"))
 
 
 def homology_variation(similarities: DataFrame) -> DataFrame:

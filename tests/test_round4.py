@@ -89,3 +89,29 @@ def test_candidates_bring_texts_and_not_sets(spark):
     out = seq.lsh_pairs(df, "a", grams, least=0.5)
     want = seq.lsh_pairs(df.select("a", grams.alias("s")), "a", "s", least=0.5)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) == [(0, 1, 10 / 12), (0, 2, 1.0), (1, 2, 10 / 12)]
+
+
+def test_kmers_are_packed_and_not_joined(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.functions import kmers
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("acgt nry"), 3000)) for _ in range(40)] + [None, "ac", "acgtacgt" * 40]
+    texts += [texts[3], texts[5][:1500] + texts[6][1500:]]
+    df = spark.createDataFrame([(k, None if k == 7 else f"p{k}", t) for k, t in enumerate(texts)], "id long, name string, s string")
+    df = df.withColumn("w", F.struct("id", "name"))
+    known = kmers.kmer_rows(df.where("id % 2 = 0"), "id", F.col("s"), 9)
+    hits = {(r.hi, r.lo) for r in known.collect()}
+    want = {}
+    for r in kmers.kmer_rows(df, "id", F.col("s"), 9).collect():
+        want.setdefault(r.id, []).append((r.hi, r.lo) in hits)
+    want = {k: sum(x) / len(x) for k, x in want.items()}
+    assert 41 not in want and want[7] < 1
+    for key, of in (("id", lambda r: r.id), ("w", lambda r: r.w.id), ("name", lambda r: int((r.name or "p7")[1:]))):
+        rows = kmers.kmer_share(kmers.kmer_rows(df, key, F.col("s"), 9), key, known)
+        texts_ = kmers.sequence_share(df, key, F.col("s"), 9, df.where("id % 2 = 0"), F.col("s"))
+        for got in (rows, texts_):
+            assert "Join" not in plan_of(got)
+            out = got.collect()
+            assert {of(r): r.share for r in out} == want and len(out) == len(want)
