@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from spanweave.operators import setjoin
@@ -53,3 +54,16 @@ def test_common_item_goes_by_broadcast(spark, monkeypatch):
     sets = {k: {0, k, k + 1} for k in range(1, 60)}
     got = {(r.a, r.b): r.shared for r in setjoin.similar_sets(rows_of(spark, sets), "id", ["x"], 0.1).collect()}
     assert got == {k: v[0] for k, v in by_hand(sets, 0.1).items()}
+
+
+def test_pairs_are_packed_by_set(spark):
+    """300 sets of one common item: a row for each set goes through the shuffle, not one for each of 44,850 pairs."""
+    cells = spark.createDataFrame([(1, 0, 0, 0, k, 5, 1) for k in range(300)] + [(2, 0, 1, k % 2, k, 5, 2) for k in range(6)], "_id long, _c1 int, _c2 int, _at int, key long, n long, place int")
+    met = cells.repartition(1).sortWithinPartitions("_id").mapInArrow(setjoin._met(0.05), "a long, n long, others binary").collect()
+    assert len(met) <= 306
+    pairs = [(r.a, b, m, most) for r in met for b, m, most in zip(*setjoin._decoded(r.others))]
+    assert len(pairs) == 300 * 299 // 2 + 9 and all(a < b and m == 5 and most in (4, 5) for a, b, m, most in pairs)
+    assert sum(len(r.others) for r in met) < 5 * len(pairs)
+    again = spark.createDataFrame([(k, 5, setjoin._coded(*(np.array(x) for x in ([k + 1, k + 2], [5, 5], [5, 1])))) for k in range(0, 9, 3)], "a long, n long, others binary")
+    assert {tuple(r) for r in again.repartition(1).sortWithinPartitions("a").mapInArrow(setjoin._candidates(0.3), "a long, b long").collect()} == set()
+    assert {tuple(r) for r in again.repartition(1).sortWithinPartitions("a").mapInArrow(setjoin._candidates(0.1), "a long, b long").collect()} == {(0, 1), (0, 2), (3, 4), (3, 5), (6, 7), (6, 8)}
