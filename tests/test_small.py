@@ -78,3 +78,18 @@ def test_motif_columns(spark):
     assert wide[0].flank_copies >= motif.oriented_copy_number("ACG", "ACGACG")["copies"] and wide[0].flank_letters > 0 and (wide[1].flank_copies, wide[1].flank_letters) == (0, 0)
     calls = spark.createDataFrame([("l", 5.0, 0, 10), ("l", 4.0, 1, 10), ("l", 3.0, 5, 20), ("k", 1.0, 0, 10), ("k", None, 0, 10)], "locus string, score double, start int, end int")
     assert rows_of(motif.non_redundant_calls(calls, ["locus"], "score")) == [("k", 1.0, 0, 10), ("l", 3.0, 5, 20), ("l", 5.0, 0, 10)]
+
+
+def test_motif_search_does_not_read_the_text_again_for_each_place(monkeypatch):
+    """Before, a place of the motif cost a turn of all the text before it, and each stretch between two places an alignment."""
+    aligned = []
+    plain, turned = motif.infix_distances, motif.infix_distances_from_end
+    monkeypatch.setattr(motif, "infix_distances", lambda m, t: aligned.append(len(t)) or plain(m, t))
+    monkeypatch.setattr(motif, "infix_distances_from_end", lambda m, t: aligned.append(len(t)) or turned(m, t))
+    text = "GATTACAGATTACATTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTGATTACATTTTTTTTTTTTTTTTTTTTTT" * 30
+    hits = motif.motif_hits("GATTACA", text)
+    assert len(hits) == 90 and all(text[s:e] == "GATTACA" for s, e in hits)
+    assert sum(aligned) < 12 * len(text)
+    aligned.clear()
+    assert len(motif.motif_hits("GATT", text)) == 90 and not aligned
+    assert motif.motif_hits("ACGTACG", "ßßacgtacg") == [(2, 9)]
