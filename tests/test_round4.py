@@ -115,3 +115,18 @@ def test_kmers_are_packed_and_not_joined(spark):
             assert "Join" not in plan_of(got)
             out = got.collect()
             assert {of(r): r.share for r in out} == want and len(out) == len(want)
+
+
+def test_neighbours_of_one_root_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.operators import components
+
+    star = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(30)] + [(7, 5000), (5000, 5001), (9000, 9000)]
+    edges = spark.createDataFrame(star, "u long, v long")
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    met = components._with_least(edges, low, 50)
+    assert "BroadcastHashJoin" in plan_of(met) and sorted(met.select("u", "v", "m").collect()) == sorted(edges.join(low, "u").select("u", "v", "m").collect())
+    for heavy in (3, 1000):
+        got = {r.node: r.component for r in components.connected_components(edges, "u", "v", local=0, heavy=heavy).collect()}
+        assert got == {**{k: 0 for k in [*range(400), 5000, 5001]}, **{k: 1000 for k in range(1000, 1031)}, 9000: 9000}
