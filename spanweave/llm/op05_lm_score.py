@@ -5,14 +5,15 @@ entries of a Bloom filter, (bigram, 1) to (bigram, q); probing (bigram, 1), (big
 the first miss gives its level back, never too low, and too high with small probability. The
 filter has a fixed number of bits for each entry, so it grows with the corpus; it is cut into segments by the bigram.
 Up to ``BROADCAST_BYTES`` its segments are broadcast in shards of at most ``SHARD_BYTES``, of which a task holds one at a
-time. A larger filter is not broadcast: the distinct bigrams of each text are sent to the segments instead (salted, as one
-bigram may be in every text) and probed there. Both give the same scores.
+time. A filter that may be larger (``BITS_PER_ENTRY`` for each token) is not broadcast: texts are dealt into chunks of some
+megabytes, and each chunk sends its distinct bigrams to the segments once, packed; a segment counts them, makes its
+filter, probes it and sends back a byte for each, in the same order. Both give the same scores.
 
 p(w | v) = (c(v,w) + m * u(w)) / (c(v) + m), additive smoothing with the unigram estimate u(w) (that of the base score) as
 the prior; its weight m is the mean number of different successors of a word in all training texts. c(v,w) is the
 filter's count, at most c(v). c(v) and u(w) are exact for every word: the commonest ``head_limit`` words are broadcast, and
-tokens of which either word is outside the head get the missing counts by shuffle joins, so the scores do not depend on
-``head_limit``. A first word that training has not seen leaves u(w).
+tokens of which either word is outside the head get the missing counts by shuffle joins (from the segments, where the filter
+is not broadcast), so the scores do not depend on ``head_limit``. A first word that training has not seen leaves u(w).
 
 Defined cases: null counts as empty and consists of the end token; a null doc_id counts as the empty
 string, so it is held out; repeated rows are scored each; without training rows c and N are 0; an empty
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm.text import mix, text_chunks, words_of
@@ -35,8 +36,8 @@ from spanweave.scratch import Scratch
 SHARD_BYTES = 32_000_000
 BROADCAST_BYTES = 512_000_000
 BITS_PER_ENTRY = 10
-#: Copies of a segment among which its probes are dealt where the filter is not broadcast.
-SALTS = 8
+#: Tokens of training texts for each chunk of texts, about, where the filter is not broadcast.
+CHUNK_POSITIONS = 1 << 20
 #: Bytes of text whose tokens are looked up together.
 GROUP_BYTES = 4 << 20
 PROBES = 4
@@ -92,6 +93,15 @@ def _segment(key: np.ndarray, segments: int) -> np.ndarray:
     return (mix(key ^ _PAIR) % np.uint64(segments)).astype(np.int32)
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Counts of a chunk, as one byte each if all of them are small."""
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _unpacked(counts: bytes, keys: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8 if 8 * len(counts) == len(keys) else np.uint32).astype(np.int64)
+
+
 def _bigram_blocks(segments: int):
     """segment, keys (bytes of uint64), counts (bytes of uint32): distinct bigrams of some megabytes of
     text, summed before the shuffle."""
@@ -100,14 +110,14 @@ def _bigram_blocks(segments: int):
         key, n = np.unique(np.concatenate(held), return_counts=True)
         seg = _segment(key, segments)
         order = np.argsort(seg, kind="stable")
-        seg, key, n = seg[order], key[order], n[order].astype(np.uint32)
+        seg, key, n = seg[order], key[order], n[order]
         edges = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]])
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(seg[edges[:-1]]),
                 pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([n[a:b].astype(np.uint8).tobytes() if n[a:b].max() < 256 else n[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([_packed(n[a:b]) for a, b in spans], pa.binary()),
             ],
             ["segment", "keys", "counts"],
         )
@@ -153,7 +163,7 @@ def _filters(per_entry: int):
 
     def done(seg, parts):
         key = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in parts])
-        n = np.concatenate([np.frombuffer(c, np.uint8 if 8 * len(c) == len(k) else np.uint32).astype(np.int64) for k, c in parts])
+        n = np.concatenate([_unpacked(c, k) for k, c in parts])
         key, inverse = np.unique(key, return_inverse=True)
         raw = filter_of(key, np.bincount(inverse, n, len(key)).astype(np.int64), per_entry).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([raw], pa.binary())], ["segment", "pairs", "filter"])
@@ -216,9 +226,9 @@ def _open(broadcast, alone: bool) -> Shard:
 
 
 class Model:
-    """Counts of the head's words, and the filter if it is broadcast (``shards`` None: it is not)."""
+    """Counts of the head's words, and the filter's shards where it is broadcast."""
 
-    def __init__(self, head, shards, facts: dict):
+    def __init__(self, head, shards: list, facts: dict):
         self.keys, self.counts = head
         self.shards, self.facts = shards, facts
 
@@ -228,7 +238,7 @@ class Model:
     def bigrams(self, key: np.ndarray) -> np.ndarray:
         level = np.zeros(len(key), np.int64)
         seg = _segment(key, self.facts["segments"])
-        for b in self.shards or []:
+        for b in self.shards:
             level += _open(b, len(self.shards) == 1).levels(key, seg)
         return COUNT_OF[level]
 
@@ -251,7 +261,7 @@ _OPEN_SCHEMA = "kind int, group long, a long, b long, cv long, cw long, n long,
 def _score(head, shards, facts):
     """kind 0: row (group), doc_id, tokens (a), known ones in the head (b), base (x) and score (y) but for what is open.
     Other kinds, one row for each distinct (text, bigram) that is open: bit 0, the count of the first word (cv) is to
-    come; bit 1, that of the second one (cw); bit 2, both are known and only the bigram's (x) is to come. n: occurrences."""
+    come; bit 1, that of the second one (cw). x: count of the bigram; n: occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -269,10 +279,7 @@ def _score(head, shards, facts):
                 (cw, known_w), (cv, known_v) = model.counts_of(tokens), model.counts_of(first)
                 u = model.unigram(cw.astype(float))
                 x = np.where(known_w, np.log10(u), 0)
-                if shards is None:
-                    pairs, done = np.zeros(len(key)), np.zeros(len(key), bool)
-                else:
-                    pairs, done = model.bigrams(key), known_v & known_w
+                pairs, done = model.bigrams(key), known_v & known_w
                 y = np.where(done, model.log_p(pairs, cv, u), 0)
                 known_n, base, score = (np.add.reduceat(v, offs[:-1]) for v in (known_w.astype(np.int64), x, y))
                 at = np.flatnonzero(~done)
@@ -280,7 +287,6 @@ def _score(head, shards, facts):
                 _, one, times = np.unique(mix(key[at] + owner.astype(np.uint64) * _PAIR), return_index=True, return_counts=True)
                 at, owner, m = at[one], owner[one], len(one)
                 kind = np.where(known_v[at], 0, 1) + np.where(known_w[at], 0, 2)
-                kind[kind == 0] = 4
                 zero = np.zeros(n, np.int64)
                 docs = [zero.astype(np.int32), rows, np.diff(offs), known_n, zero, zero, zero, base]
                 more = [kind.astype(np.int32), owner, first[at].view(np.int64), tokens[at].view(np.int64), cv[at], cw[at], times.astype(np.int64), pairs[at]]
@@ -296,47 +302,195 @@ def _score(head, shards, facts):
     return run
 
 
-def _places(segments: int):
-    """Open tokens -> the same with their segment."""
+class _Tally:
+    """Distinct keys with the sum of their counts; no more is held than twice the distinct ones and some."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size, self.least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, CHUNK_POSITIONS
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size >= self.least:
+            keys, _ = self.done()
+            self.least = CHUNK_POSITIONS + 2 * len(keys)
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        return keys, counts
+
+
+def _by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending keys by segment, and where each segment begins in it: what a chunk asks for and the answers have this order."""
+    seg = _segment(key, segments)
+    order = np.argsort(seg, kind="stable")
+    return order, np.searchsorted(seg[order], np.arange(segments + 1))
+
+
+_ASKED = "segment int, chunk long, keys binary, counts binary, words binary, seen binary"
+
+
+def _questions(head, segments: int):
+    """Rows (chunk, trains, text) ordered by chunk -> for each chunk and segment the distinct bigrams of the chunk and its
+    words outside the head, with their counts in its training texts."""
+
+    def asked(chunk, pairs, words):
+        (key, n), (word, times) = pairs.done(), words.done()
+        (order, begin), (word_order, word_begin) = _by_segment(key, segments), _by_segment(word, segments)
+        key, n, word, times = key[order], n[order], word[word_order], times[word_order]
+        some = np.flatnonzero((np.diff(begin) > 0) | (np.diff(word_begin) > 0))
+        spans, word_spans = (list(zip(x[some].tolist(), x[some + 1].tolist())) for x in (begin, word_begin))
+        columns = [
+            [key[a:b].tobytes() for a, b in spans],
+            [_packed(n[a:b]) for a, b in spans],
+            [word[a:b].tobytes() for a, b in word_spans],
+            [_packed(times[a:b]) for a, b in word_spans],
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), *(pa.array(c, pa.binary()) for c in columns)],
+            ["segment", "chunk", "keys", "counts", "words", "seen"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, pairs, words = head.value[0], None, _Tally(), _Tally()
         for batch in batches:
-            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(_pair_key(a, b), segments)), *batch.columns], ["segment", *batch.schema.names])
+            for chunk, part in _runs(batch):
+                if last is not None and chunk != last:
+                    yield asked(last, pairs, words)
+                    pairs, words = _Tally(), _Tally()
+                last = chunk
+                trains = part.column("trains").to_numpy(zero_copy_only=False).astype(np.int64)
+                for i, j, tokens, offs in _groups(part.column("text")):
+                    times = np.repeat(trains[i:j], np.diff(offs))
+                    pairs.add(_pair_key(_contexts(tokens, offs), tokens), times)
+                    tail = ~lookup(known, tokens)[1]
+                    words.add(tokens[tail], times[tail])
+        if last is not None:
+            yield asked(last, pairs, words)
 
     return run
 
 
-def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by segment and salt, the filter first -> open tokens with the count of their bigram (x)."""
-    shard = None
-    for batch in batches:
-        seg, raw = batch.column("segment").to_numpy(), batch.column("filter")
-        edges = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False)).tolist()
-        cuts = sorted({0, *edges, batch.num_rows})
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(i, j - i)
-            if part.column("filter")[0].is_valid:
-                shard = int(seg[i]), Shard.of(1, [(0, part.column("filter")[0].as_py())])
-                part = part.slice(1)
-            if not part.num_rows:
-                continue
-            a, b = (part.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-            here = (seg[j - part.num_rows : j] == shard[0]) if shard else np.zeros(part.num_rows, bool)
-            x = COUNT_OF[shard[1].levels(_pair_key(a, b), np.zeros(len(a), np.int64))] if shard else np.zeros(len(a))
-            columns = [part.column(c) for c in _OPEN[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(here, x, 0.0))], _OPEN)
-
-
-def _probe_by_segment(tokens: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
-    """Open tokens with x, by a shuffle to the filter's segments."""
-    placed = tokens.mapInArrow(_places(segments), "segment int, " + _OPEN_SCHEMA)
-    placed = placed.select("segment", F.pmod(F.xxhash64("group"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), *_OPEN)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    tables = filters.select("segment", "filter").withColumn("salt", salts)
-    both = tables.unionByName(placed, allowMissingColumns=True).select("segment", "salt", "filter", *_OPEN)
-    order = F.col("filter").isNull()
-    return both.repartition("segment", "salt").sortWithinPartitions("segment", "salt", order).mapInArrow(_probed, _OPEN_SCHEMA)
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, its rows) of a batch ordered by chunk."""
+    chunk = batch.column("chunk").to_numpy()
+    edges = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+    for i, j in zip(edges[:-1], edges[1:]):
+        if i < j:
+            yield int(chunk[i]), batch.slice(i, j - i)
+
+
+_ANSWERED = "chunk long, segment int, pairs long, levels binary, seen binary"
+
+
+def _answers(per_entry: int):
+    """Questions ordered by segment -> for each the levels of its bigrams in the segment's filter (a byte each) and the counts of its
+    words (int64); and a row of chunk -1 with the segment's number of distinct bigrams in training."""
+
+    def summed(parts, k, c):
+        key, inverse = np.unique(np.concatenate([np.frombuffer(p[k], np.uint64) for p in parts]), return_inverse=True)
+        ends = np.cumsum([len(p[k]) // 8 for p in parts])[:-1]
+        return key, np.bincount(inverse, np.concatenate([_unpacked(p[c], p[k]) for p in parts]), len(key)).astype(np.int64), np.split(inverse, ends)
+
+    def done(segment, parts):
+        key, n, rows = summed(parts, 1, 2)
+        raw = filter_of(key[n > 0], n[n > 0], per_entry).tobytes()
+        level = Shard.of(1, [(0, raw)]).levels(key, np.zeros(len(key), np.int64)).astype(np.uint8)
+        _, times, word_rows = summed(parts, 3, 4)
+        columns = [
+            pa.array([-1, *(p[0] for p in parts)], pa.int64()),
+            pa.array(np.full(len(parts) + 1, segment, np.int32)),
+            pa.array([int((n > 0).sum()), *([0] * len(parts))], pa.int64()),
+            pa.array([b"", *(level[r].tobytes() for r in rows)], pa.binary()),
+            pa.array([b"", *(times[r].tobytes() for r in word_rows)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "pairs", "levels", "seen"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            for seg, *part in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and seg != last:
+                    yield done(last, parts)
+                    parts = []
+                last = seg
+                parts.append(part)
+        if parts:
+            yield done(last, parts)
+
+    return run
+
+
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _answered(head, facts):
+    """Rows ordered by chunk, of each first its answers by segment and then its texts -> scores. Equal texts of a chunk are held once."""
+
+    def scored(model, levels, seen, ids, which, texts):
+        parts = list(_groups(pa.array(texts, pa.large_string())))
+        tokens = np.concatenate([p[2] for p in parts])
+        lens = np.concatenate([np.diff(p[3]) for p in parts])
+        offs = np.concatenate([[0], np.cumsum(lens)])
+        first = _contexts(tokens, offs)
+        key, inverse = np.unique(_pair_key(first, tokens), return_inverse=True)
+        level = np.zeros(len(key), np.int64)
+        level[_by_segment(key, facts["segments"])[0]] = np.frombuffer(b"".join(levels), np.uint8)
+        word = np.unique(tokens[~lookup(model.keys, tokens)[1]])
+        times = np.zeros(len(word), np.int64)
+        times[_by_segment(word, facts["segments"])[0]] = np.frombuffer(b"".join(seen), np.int64)
+
+        def counts(words):
+            c, known = model.counts_of(words)
+            at, found = lookup(word, words)
+            return np.where(found & ~known, times[at] if len(word) else 0, c)
+
+        cw, cv = counts(tokens), counts(first)
+        u = model.unigram(cw.astype(float))
+        by_text = (cw > 0).astype(np.int64), np.log10(u), model.log_p(COUNT_OF[level[inverse]], cv, u)
+        columns = [lens, *(np.add.reduceat(v, offs[:-1]) for v in by_text)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c[which]) for c in columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(head.value, [], facts)
+        last, levels, seen, ids, which, texts = None, [], [], [], [], {}
+        for batch in batches:
+            for chunk, part in _runs(batch):
+                if ids and chunk != last:
+                    yield scored(model, levels, seen, ids, which, list(texts))
+                if chunk != last:
+                    last, levels, seen, ids, which, texts = chunk, [], [], [], [], {}
+                for segment, level, times, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("segment", "levels", "seen", "doc_id", "text"))):
+                    if segment is None:
+                        ids.append(doc_id)
+                        which.append(texts.setdefault(text, len(texts)))
+                    else:
+                        levels.append(level)
+                        seen.append(times)
+        if ids:
+            yield scored(model, levels, seen, ids, which, list(texts))
+
+    return run
+
+
+def _scores_by_chunk(rows: DataFrame, trains: Column, head, facts: dict, per_entry: int, tmp: Scratch) -> DataFrame:
+    """Scores without a broadcast filter. Copies of a text are dealt by their ids."""
+    chunks = max(1, facts["n"] // CHUNK_POSITIONS)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    texts = dealt.select("chunk", trains.alias("trains"), "text").repartition("chunk").sortWithinPartitions("chunk")
+    asked = texts.mapInArrow(_questions(head, facts["segments"]), _ASKED).repartition("segment").sortWithinPartitions("segment")
+    answers = tmp.save(asked.mapInArrow(_answers(per_entry), _ANSWERED), "answers")
+    facts = facts | {"prior": _prior(answers.agg(F.sum("pairs")).first()[0], facts)}
+    both = answers.where("chunk >= 0").drop("pairs").unionByName(dealt, allowMissingColumns=True)
+    return both.repartition("chunk").sortWithinPartitions("chunk", F.col("segment").asc_nulls_last()).mapInArrow(_answered(head, facts), _SCORES)
+
+
+def _prior(pairs: int, facts: dict) -> float:
+    """How many different successors a word of training has on average, the start among them and the end not."""
+    return pairs / facts["v"] if pairs else 1.0
 
 
 def _resolved(tokens: DataFrame, tail: DataFrame) -> DataFrame:
@@ -348,7 +502,7 @@ def _resolved(tokens: DataFrame, tail: DataFrame) -> DataFrame:
     both = tokens.where("kind = 3").drop("cv").join(found("a", "cv"), "a", "left").select(*own, "b", count("cv"))
     second = tokens.where("kind = 2").select(*own, "b", "cv").unionByName(both)
     second = second.join(found("b", "cw"), "b", "left").select(*own, "cv", count("cw"))
-    return first.unionByName(second).unionByName(tokens.where("kind = 4").select(*own, "cv", "cw"))
+    return first.unionByName(second)
 
 
 def _broadcast_shards(filters: DataFrame, segments: int, limit: int) -> list:
@@ -387,7 +541,11 @@ def lm_scores(
     texts = (counts.where(F.col("h") == int(END.view(np.int64))).agg(F.max("cnt")).first()[0]) or 0
     cut = head_threshold(counts, head_limit)
     head = sc.broadcast(collect_sorted(counts.where(F.col("cnt") >= cut), "h", "cnt"))
-    segments = max(1, -(-n // SEGMENT_POSITIONS))
+    facts = {"n": n, "v": v, "texts": texts, "segments": max(1, -(-n // SEGMENT_POSITIONS))}
+    segments = facts["segments"]
+    names = ["doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
+    if bits_per_entry * n // 8 > broadcast_bytes:  # an entry for each token is the most that the filter may have
+        return _scores_by_chunk(rows, part != 0, head, facts, bits_per_entry, tmp).select(*names)
     filters = (
         train.mapInArrow(_bigram_blocks(segments), "segment int, keys binary, counts binary")
         .repartition("segment")
@@ -395,17 +553,13 @@ def lm_scores(
         .mapInArrow(_filters(bits_per_entry), "segment int, pairs long, filter binary")
     )
     filters = tmp.save(filters, "filters")
-    pairs, size = filters.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()
-    # a word of training, the start among them and the end not, has so many different successors on average
-    prior = pairs / v if pairs else 1.0
-    facts = {"n": n, "v": v, "texts": texts, "segments": segments, "prior": prior}
-    shards = _broadcast_shards(filters, segments, shard_bytes) if size <= broadcast_bytes else None
+    prior = _prior(filters.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], facts)
+    facts = facts | {"prior": prior}
+    shards = _broadcast_shards(filters, segments, shard_bytes)
     scored = tmp.save(rows.mapInArrow(_score(head, shards, facts), _OPEN_SCHEMA + ", doc_id long, y double"), "scored", partition_by="kind")
-    for b in (head, *(shards or [])):
+    for b in (head, *shards):
         b.destroy()
     tokens = scored.where("kind > 0").select(*_OPEN)
-    if shards is None:
-        tokens = _probe_by_segment(tokens, filters, segments)
     u = (F.col("cw") + 0.1) / F.lit(n + 0.1 * (v + 1))
     p = (F.least(F.col("x"), F.col("cv").cast("double")) + F.lit(prior) * u) / (F.col("cv") + F.lit(prior))
     second = F.col("kind").isin(2, 3)
@@ -424,13 +578,12 @@ def lm_scores(
         .join(tail, "group", "left")
         .select(
             "doc_id",
-            (part == 0).alias("held_out"),
             F.col("a").alias("n_tokens"),
             (F.col("b") + F.coalesce("k", zero)).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
             (F.col("x") + F.coalesce("base", zero)).alias("base_score"),
             (F.col("y") + F.coalesce("open", zero)).alias("score"),
         )
+        .select(*names)
     )
 
 
