@@ -52,8 +52,8 @@ def window_similarity(variants: DataFrame) -> DataFrame:
 
 
 def trimmed_stats(df: DataFrame, by: list[str], value: str, prop: float = 0.05) -> DataFrame:
-    """sd (sample) and gini (uncorrected) of the values between the exact ``prop`` and 1 - ``prop`` quantiles;
-    null where fewer than two are left."""
+    """sd (sample) and gini (uncorrected) of the values between the exact ``prop`` and 1 - ``prop`` quantiles, null where fewer than two are left, and
+    n, how many are left (of two different values none)."""
     rows = df.where(F.col(value).isNotNull())
     cut = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(prop), F.lit(1 - prop))).alias("_q"))
     kept = rows.join(cut, by).where((F.col(value) >= F.col("_q")[0]) & (F.col(value) <= F.col("_q")[1]))
@@ -61,7 +61,7 @@ def trimmed_stats(df: DataFrame, by: list[str], value: str, prop: float = 0.05)
     ranked = kept.withColumn("_i", F.row_number().over(order))
     sums = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.stddev_samp(value).alias("_sd"), F.sum(value).alias("_t"), F.sum(F.col("_i") * F.col(value)).alias("_r"))
     gini = F.try_divide(2 * F.col("_r") - (F.col("_n") + 1) * F.col("_t"), F.col("_n") * F.col("_t"))
-    return cut.select(*by).join(sums, by, "left").select(*by, F.when(F.col("_n") >= 2, F.col("_sd")).alias("sd"), F.when(F.col("_n") >= 2, gini).alias("gini"))
+    return cut.select(*by).join(sums, by, "left").select(*by, F.when(F.col("_n") >= 2, F.col("_sd")).alias("sd"), F.when(F.col("_n") >= 2, gini).alias("gini"), F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 def row_max(df: DataFrame, by: list[str], value: str) -> DataFrame:

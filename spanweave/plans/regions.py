@@ -62,13 +62,14 @@ def homology_variation(similarities: DataFrame) -> DataFrame:
 
 
 def element_variation(deltas: DataFrame) -> DataFrame:
-    """TEgini: trimmed Gini coefficient of the samples' element lengths (delta) in each window; 0 where it is undefined."""
-    return stats.trimmed_stats(deltas, PLACE, "delta").select(*PLACE, F.coalesce("gini", F.lit(0.0)).alias("TEgini"))
+    """TEgini: trimmed Gini coefficient of the samples' element lengths (delta) in each window; 0 where it is undefined. Windows of which trimming leaves no sample have no row."""
+    return stats.trimmed_stats(deltas, PLACE, "delta").where("n > 0").select(*PLACE, F.coalesce("gini", F.lit(0.0)).alias("TEgini"))
 
 
 def repeat_variation(windows: DataFrame, copies: DataFrame) -> DataFrame:
-    """vntr_cov (1 if a tandem repeat lies in the window, else 0) and vntr_gini_max: the largest trimmed Gini coefficient over the samples of the window's loci (chrom, start, end, sample, copies)."""
-    loci = stats.trimmed_stats(copies, PLACE, "copies").select(*PLACE, "gini")
+    """vntr_cov (1 if a tandem repeat lies in the window, else 0) and vntr_gini_max: the largest trimmed Gini coefficient over the samples of the window's loci (chrom, start, end, sample, copies).
+    Loci of which trimming leaves no sample do not count."""
+    loci = stats.trimmed_stats(copies, PLACE, "copies").where("n > 0").select(*PLACE, "gini")
     spots = windows.select(*PLACE).distinct()
     met = intervals.overlap_join(spots, loci).groupBy("chrom", "start_a", "end_a").agg(F.max("gini_b").alias("_g"), F.sum("overlap").alias("_n"))
     met = met.withColumnsRenamed({"start_a": "start", "end_a": "end"})
