@@ -46,6 +46,11 @@ def _level(start: str, end: str, smallest: int) -> Column:
     return out
 
 
+def level_of(start: str, end: str) -> Column:
+    """The level of an interval, by its length; of the smallest bins' width that joins take unless told otherwise."""
+    return _level(start, end, SMALLEST)
+
+
 def levels_of(df: DataFrame, start: str = "start", end: str = "end", smallest: int = SMALLEST) -> list[int]:
     """The levels that occur; at most ``MOST_LEVELS`` + 1."""
     return sorted(df.agg(F.collect_set(_level(start, end, smallest))).first()[0])

@@ -7,8 +7,10 @@ Defined cases: a window with a null feature is left out; windows without bubble,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions import kmers
@@ -20,6 +22,9 @@ from spanweave.sources import formats
 PLACE = ["chrom", "start", "end"]
 # fixed values: the bubble features of a window that lies in no bubble
 NO_BUBBLE = 0.01
+#: Windows of up to this width (the end of a level) meet their variants in one task.
+WIDE = intervals.SMALLEST * intervals.FACTOR**4
+TASK_VARIANTS = 1 << 18
 
 
 def variants_of(vcf: DataFrame) -> DataFrame:
@@ -34,9 +39,9 @@ def variants_of(vcf: DataFrame) -> DataFrame:
     )
 
 
-def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
-    """chrom, start, end, entropy (mean over the window's variants, weighted by the longest allele), weight (the sum of those) and win_sim (share of positions that no variant changes) of windows with variants."""
-    met = intervals.overlap_join(windows.select(*PLACE).distinct(), variants)
+def _diversity_of_wide(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """``window_diversity`` of windows that may hold a chromosome's variants: their orders are taken in blocks."""
+    met = intervals.overlap_join(windows, variants)
     met = Scratch(windows.sparkSession, "diversity").save(met, "met")
     rows = met.select(
         "chrom", F.col("start_a").alias("wstart"), F.col("end_a").alias("wend"), F.col("start_b").alias("vstart"), F.col("end_b").alias("vend"),
@@ -48,6 +53,45 @@ def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
     return mean.join(near, keys).withColumnsRenamed({"wstart": "start", "wend": "end"}).select(*PLACE, "entropy", "weight", "win_sim")
 
 
+def _diversity_by_blocks(windows: DataFrame, variants: DataFrame, widths: dict[int, int]) -> DataFrame:
+    """``window_diversity`` with one shuffle of the variants: a window lies in the block of its width's level (``widths``: the widest of each) in which it starts, a variant in
+    all blocks in which a window that it overlaps can start. So a window meets its variants, orders and adds them up in one task."""
+    size = lambda k: intervals.SMALLEST * intervals.FACTOR**k
+    spot = lambda k: lambda block: block * (intervals.MOST_LEVELS + 1) + k
+    # a number of tasks that is given is not coalesced by the size of what is shuffled, which the join multiplies
+    tasks = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-variants.count() // TASK_VARIANTS))
+    at = F.coalesce(*[F.when(intervals.level_of("start", "end") == k, spot(k)(F.floor(F.col("start") / size(k)))) for k in widths])
+    placed = windows.select("chrom", at.alias("_at"), F.col("start").alias("ws"), F.col("end").alias("we")).repartition(tasks, "chrom", "_at").distinct()
+    last = F.greatest(F.col("start"), F.col("end") - 1)
+    spots = [F.transform(F.sequence(F.floor((F.col("start") - width) / size(k)), F.floor(last / size(k))), spot(k)) for k, width in widths.items()]
+    listed = variants.select(
+        "chrom", F.explode(F.concat(*spots)).alias("_at"), F.col("start").alias("vs"), (F.col("end") - F.col("start")).alias("v"), F.col("alt_len").alias("a"), F.col("entropy").alias("h"), F.greatest("ref_len", "alt_len").alias("n")
+    )
+    listed = listed.repartition(tasks, "chrom", "_at")
+    met = placed.join(listed.hint("merge"), ["chrom", "_at"]).withColumn("ve", F.col("vs") + F.col("v")).where("vs < we and ws < ve")
+    keys = ["chrom", "_at", "ws", "we"]
+    reach = F.max("ve").over(Window.partitionBy(*keys).orderBy("vs").rowsBetween(Window.unboundedPreceding, -1))
+    # of closed spans: what this one adds to those before it
+    met = met.withColumn("_new", F.greatest(F.lit(0), F.col("ve") - F.greatest(F.col("vs") - 1, reach)))
+    sums = met.groupBy(*keys).agg(F.sum(F.col("h") * F.col("a")).alias("h"), F.sum("a").alias("weight"), F.sum("n").alias("n"), F.sum("_new").alias("uniq"), F.min("vs").alias("lo"), F.max("ve").alias("hi"))
+    match = F.greatest("we", "hi") - F.least("ws", "lo") + 1 - F.col("uniq")
+    return sums.select(
+        "chrom", F.col("ws").alias("start"), F.col("we").alias("end"), F.try_divide("h", "weight").alias("entropy"), "weight", F.try_divide(match, match + F.col("n")).alias("win_sim")
+    )
+
+
+def window_diversity(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """chrom, start, end, entropy (mean over the window's variants, weighted by the longest allele), weight (the sum of those) and win_sim (share of positions that no variant changes) of windows with variants."""
+    windows, level = windows.select(*PLACE), intervals.level_of("start", "end")
+    widest = windows.where("start is not null and end is not null").groupBy(level.alias("k")).agg(F.max(F.col("end") - F.col("start")).alias("w")).collect()
+    widths = {r.k: max(1, r.w) for r in widest if r.w <= WIDE}
+    wide = F.col("end") - F.col("start") > WIDE
+    parts = [_diversity_by_blocks(windows.where(~wide), variants, widths)] if widths else []
+    if len(widths) < len(widest) or not parts:
+        parts.append(_diversity_of_wide(windows.where(wide).distinct(), variants))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def haplotype_similarity(haplotypes: DataFrame, segments: DataFrame, k: int = 31) -> DataFrame:
     """chrom, start, end, sample, sim: the share of the k-mers of each sample's sequence of a window (haplotypes: window columns, sample, seq) that the duplicated segments (seq)
     hold; sequences without k-mers have no row."""

@@ -11,3 +11,43 @@ def test_places_that_trimming_empties_have_no_row(spark):
     assert sorted((r.start, r.TEgini) for r in got) == [(20, 0.0), (40, 0.0)]
     got = regions.repeat_variation(windows, spark.createDataFrame(rows, place + ", copies double")).collect()
     assert sorted((r.start, r.vntr_cov) for r in got) == [(0, 0.0), (20, 1.0), (40, 1.0), (60, 0.0)]
+
+
+def test_windows_meet_their_variants_without_a_table_between(spark, monkeypatch):
+    import math
+    import random
+
+    from spanweave.plans import regions
+
+    rng = random.Random(7)
+    starts = [rng.randrange(-200, 30000) for _ in range(60)]
+    windows = [(rng.choice("ab"), s, s + rng.choice([0, 1, 40, 64, 65, 600, 1000, 1000, 5000])) for s in starts] + [("a", 5, None), (None, 5, 9)]
+    variants = [(rng.choice("abc"), s, s + rng.choice([0, 1, 3, 3, 200, 9000]), rng.choice([1, 7]), rng.choice([None, 2, 5]), rng.choice([None, 0.5, 1.0])) for s in (rng.randrange(-300, 31000) for _ in range(500))]
+    variants += variants[:40] + [("a", None, 4, 1, 1, 1.0)]
+
+    def plain(windows):
+        out = {}
+        for c, a, b in set(windows):
+            met = [x for x in variants if None not in (a, b, c, x[1]) and x[0] == c and x[1] < b and a < x[2]]
+            if met:
+                lo, hi = min(a, *[x[1] for x in met]), max(b, *[x[2] for x in met])
+                left = hi - lo + 1 - len({p for x in met for p in range(x[1], x[2] + 1)})
+                size = sum(max(x[3], x[4] or 0) for x in met)
+                weight = sum(x[4] for x in met if x[4]) if any(x[4] for x in met) else None
+                out[c, a, b] = (sum(x[4] * x[5] for x in met if x[4] and x[5]) / weight if weight and any(x[4] and x[5] for x in met) else None, weight, left / (left + size))
+        return out
+
+    place = "chrom string, start long, end long"
+    df = spark.createDataFrame(variants, place + ", ref_len long, alt_len long, entropy double")
+    near = lambda x, y: (x is None and y is None) or math.isclose(x, y)
+
+    def same(windows):
+        got = regions.window_diversity(spark.createDataFrame(windows, place), df).collect()
+        want = plain(windows)
+        assert len(got) == len(want) and all(near(x, y) for r in got for x, y in zip((r.entropy, r.weight, r.win_sim), want[r.chrom, r.start, r.end]))
+
+    same([*windows, *windows[:9], ("a", -1000, 400000), ("b", 0, 262144)])
+    same([("a", -1000, 400000)])
+    assert regions.window_diversity(spark.createDataFrame([], place), df).count() == 0
+    monkeypatch.setattr(regions, "Scratch", None)  # no table is written between the join and the sums
+    same(windows)
