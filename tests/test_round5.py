@@ -51,3 +51,27 @@ def test_windows_meet_their_variants_without_a_table_between(spark, monkeypatch)
     assert regions.window_diversity(spark.createDataFrame([], place), df).count() == 0
     monkeypatch.setattr(regions, "Scratch", None)  # no table is written between the join and the sums
     same(windows)
+
+
+def test_pairs_of_texts_are_those_of_their_substrings(spark):
+    import random
+
+    from spanweave.functions import textpairs
+
+    rng = random.Random(11)
+    letters = "abcdeé😀 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 4, 5, 30, 400, 1500]))) for _ in range(40)]
+    texts += [t[: len(t) * k // 8] + t[len(t) * (k - 1) // 8 :][::-1] for t in texts for k in (4, 6, 7)] + texts[:9] + [None, "aaaaaaaaaa", "aaaaa", "ab" * 400, "ba" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (x or "" for x in texts)]
+    want = {}
+    for a in range(len(sets)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0
+            if j >= 0.4:
+                want[b, a] = j
+    got = textpairs.text_pairs(df, "id", "text", 5, 0.4)
+    assert {(r.a, r.b): r.jaccard for r in got.collect()} == want and len(want) > 40 and got.count() == len(want)
+    assert textpairs.text_pairs(df.limit(0), "id", "text", 5, 0.4).count() == 0
+    bands, rows, agree = textpairs.shape_for(0.4)
+    assert (1 - 0.4**rows) ** bands <= 5e-7 and 0 < agree < 0.4 * bands * rows
