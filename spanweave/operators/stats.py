@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.intervals import union_width
+from spanweave.scratch import Scratch
 
 
 def normalized_entropy(df: DataFrame, by: list[str], value: str, drop: tuple = (".",)) -> DataFrame:
@@ -107,18 +108,29 @@ def odds_ratio(df: DataFrame, exposed: Column, case: Column) -> DataFrame:
     return rows.select("a", "b", "c", "d", ratio.alias("odds_ratio"), F.exp(F.log(ratio) - 1.96 * se).alias("low"), F.exp(F.log(ratio) + 1.96 * se).alias("high"))
 
 
+#: Chromosomes of targets up to which they are broadcast, so that intervals on others are not shuffled.
+MOST_CHROMS = 100_000
+
+
 def enrichment(targets: DataFrame, observed: DataFrame, shuffled: DataFrame, ratio: float) -> DataFrame:
     """Named targets covered beyond ``ratio``: number with the observed intervals, with each of the shuffles (column
-    shuffle_id), and p = (1 + shuffles with at least as many) / (1 + shuffles). All replicates go through one
-    coverage, with the replicate as part of the chromosome."""
-    from spanweave.operators.intervals import coverage
-
-    keyed = lambda df, k: df.select(F.concat_ws("|", k.cast("string"), "chrom").alias("chrom"), "start", "end")
-    every = reduce(DataFrame.unionByName, (keyed(observed, F.lit(-1)), keyed(shuffled, F.col("shuffle_id"))))
-    ids = shuffled.select("shuffle_id").distinct().unionByName(observed.limit(1).select(F.lit(-1).cast(shuffled.schema["shuffle_id"].dataType).alias("shuffle_id")))
-    spots = targets.join(F.broadcast(ids)).select(F.concat_ws("|", F.col("shuffle_id").cast("string"), "chrom").alias("chrom"), "start", "end", "name", "shuffle_id")
-    done = coverage(spots, every)
-    named = done.groupBy("shuffle_id", "name").agg((F.sum("covered") / F.sum("length")).alias("ratio"))
+    shuffle_id), and p = (1 + shuffles with at least as many) / (1 + shuffles). Only intervals are there once for each replicate: targets meet the unions of all replicates at once, and as
+    a union's intervals are apart, what they cover of a name's targets is a sum over the pairs."""
+    from spanweave.operators.intervals import merge_intervals, overlap_join
+
+    tmp = Scratch(targets.sparkSession, "enrichment")
+    chroms = tmp.save(targets.select("chrom").where("chrom is not null").distinct(), "chroms")
+    here = F.broadcast(chroms) if chroms.count() <= MOST_CHROMS else chroms
+    whose = F.lit(-1).cast(shuffled.schema["shuffle_id"].dataType).alias("shuffle_id")
+    place = ["shuffle_id", "chrom", "start", "end"]
+    every = observed.select(whose, "chrom", "start", "end").unionByName(shuffled.select(*place)).join(here, "chrom", "left_semi")
+    union = tmp.save(merge_intervals(every, ["shuffle_id", "chrom"]).select(*place), "union")
+    met = overlap_join(targets.select("chrom", "start", "end", "name"), union)
+    covered = met.groupBy(F.col("shuffle_id_b").alias("shuffle_id"), F.col("name_a").alias("name")).agg(F.sum("overlap").alias("covered"))
+    ids = shuffled.select("shuffle_id").distinct().unionByName(observed.limit(1).select(whose))
+    total = targets.groupBy("name").agg(F.sum(F.col("end") - F.col("start")).alias("length")).join(F.broadcast(ids))
+    named = covered.unionByName(total, allowMissingColumns=True).groupBy("shuffle_id", "name")
+    named = named.agg(F.try_divide(F.coalesce(F.sum("covered"), F.lit(0)), F.sum("length")).alias("ratio"))
     counts = named.groupBy("shuffle_id").agg(F.count(F.when(F.col("ratio") > ratio, 1)).alias("count"))
     seen = counts.where("shuffle_id = -1").select(F.col("count").alias("observed"))
     return counts.where("shuffle_id <> -1").join(F.broadcast(seen)).groupBy("observed").agg(

@@ -75,3 +75,33 @@ def test_pairs_of_texts_are_those_of_their_substrings(spark):
     assert textpairs.text_pairs(df.limit(0), "id", "text", 5, 0.4).count() == 0
     bands, rows, agree = textpairs.shape_for(0.4)
     assert (1 - 0.4**rows) ** bands <= 5e-7 and 0 < agree < 0.4 * bands * rows
+
+
+def test_enrichment_does_not_repeat_its_targets(spark, monkeypatch):
+    import random
+
+    from spanweave.operators import intervals, stats
+
+    rng = random.Random(5)
+    spot = lambda: (rng.choice("abc"), (s := rng.randrange(300)), s + rng.randrange(1, 12))
+    targets = [(*spot(), rng.choice(["x", "y", "z", None, "far"])) for _ in range(60)] + [("q", 1, 5, "far"), (None, 1, 5, "z"), ("a", None, 5, "x")]
+    observed, moved = [spot() for _ in range(150)], [(k, *spot()) for k in range(4) for _ in range(100 + 30 * k)]
+    held = {k: {(c, p) for j, c, s, e in [(-1, *x) for x in observed] + moved if j == k for p in range(s, e)} for k in range(-1, 4)}
+
+    def above(k):
+        parts = {}
+        for c, s, e, n in targets:
+            if s is not None:
+                have, size = parts.get(n, (0, 0))
+                parts[n] = (have + sum((c, p) in held[k] for p in range(s, e)), size + e - s)
+        return sum(h / n > 0.64 for h, n in parts.values())
+
+    place = "chrom string, start long, end long"
+    frames = [spark.createDataFrame(targets, place + ", name string"), spark.createDataFrame(observed, place), spark.createDataFrame(moved, "shuffle_id int, " + place)]
+    seen, before = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b, **how: seen.append(a.count()) or before(a, b, **how))
+    rows = stats.enrichment(*frames, 0.64).collect()
+    n = above(-1)
+    assert [tuple(r) for r in rows] == [(n, 4, (1 + sum(above(k) >= n for k in range(4))) / 5)]
+    assert seen == [len(targets)]
+    assert stats.enrichment(frames[0], frames[1].limit(0), frames[2], 0.64).count() == 0
