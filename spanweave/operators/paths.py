@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions.sequences import revcomp
 from spanweave.operators.ranking import rank_lists
+from spanweave.operators.running import TASK_ROWS
 
 # fixed values: the node that stands for a missing allele, and the sequence of what is unknown
 MISSING_NODE = "00000"
@@ -161,18 +162,18 @@ def project_regions(regions: DataFrame, steps: DataFrame, placed: DataFrame, lea
         F.when(same, F.col("at") + F.col("from")).otherwise(F.col("at") + F.col("len") - F.col("to")).alias("start"),
         F.when(same, F.col("at") + F.col("to")).otherwise(F.col("at") + F.col("len") - F.col("from")).alias("end"),
     )
+    if not density:
+        return _projected(hit, _number_of_hits(inside, places), least_ratio)
     share = hit.select("region", "sample", "size", "ord", (F.col("to") - F.col("from")).alias("w")).distinct()
     share = share.groupBy("region", "sample").agg((F.sum("w") / F.max("size")).alias("share"))
     # a region's places in a sample are as many as its steps: one group of the window is a region, not a chromosome
     keys = ["region", "sample", "chrom"]
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    most = F.lit(0) if density else F.col("size") / 2
-    new = F.when(reach.isNull() | (F.col("start") - reach > most), 1).otherwise(0)
+    new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     runs = hit.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
     runs = runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
-    if density:
-        runs = _density_runs(runs, keys)
+    runs = _density_runs(runs, keys)
     width = F.col("end") - F.col("start")
     ratio = F.least(width, F.col("size")) / F.greatest(width, F.col("size"))
     runs = runs.select(*keys, "start", "end", "size", ratio.alias("ratio"))
@@ -183,6 +184,38 @@ def project_regions(regions: DataFrame, steps: DataFrame, placed: DataFrame, lea
     return whole.unionByName(split).join(share, ["region", "sample"]).select("region", "sample", "chrom", "start", "end", "ratio", "share")
 
 
+def _number_of_hits(inside: DataFrame, places: DataFrame) -> int:
+    """Rows that the steps of regions and the places of samples have by their nodes; counted by node, without the rows."""
+    both = inside.groupBy("node").agg(F.count("*").alias("n")).join(places.groupBy("node").agg(F.count("*").alias("m")), "node")
+    return both.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+
+def _projected(hit: DataFrame, rows: int, least_ratio: float) -> DataFrame:
+    """``project_regions`` of the hits with runs as clusters. They are dealt once, by region and sample, to tasks of about ``TASK_ROWS``; all that follows stays there."""
+    tasks = max(int(hit.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    pair, keys = ["region", "sample"], ["region", "sample", "chrom"]
+    hit = hit.where("region is not null and sample is not null").select(*keys, "size", "ord", "start", (F.col("end") - F.col("start")).alias("w")).repartition(tasks, *pair)
+    # a step counts once for the share, however many places it has; the part of it that lies in the region is as long as each
+    again = Window.partitionBy(*pair, "size", "ord", "w").orderBy("start")
+    hit = hit.withColumn("_own", F.when(F.row_number().over(again) == 1, F.col("w"))).withColumn("end", F.col("start") + F.col("w"))
+    # a region's places in a sample are as many as its steps: one group of the window is a region, not a chromosome
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("start") - reach > F.col("size") / 2), 1).otherwise(0)
+    runs = hit.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    runs = runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"), F.sum("_own").alias("_own"))
+    ratio = lambda a, b: F.least(b - a, F.col("size")) / F.greatest(b - a, F.col("size"))
+    whole, every = Window.partitionBy(*keys), Window.partitionBy(*pair)
+    low, high = F.min("start").over(whole), F.max("end").over(whole)
+    runs = runs.withColumns({"_low": low, "_high": high, "size": F.max("size").over(whole), "_share": F.sum("_own").over(every) / F.max("size").over(every)})
+    runs = runs.withColumns({"ratio": ratio(F.col("start"), F.col("end")), "_whole": ratio(F.col("_low"), F.col("_high"))})
+    good = (F.col("ratio") > least_ratio) & (F.col("_whole") <= least_ratio)
+    runs = runs.withColumn("_good", good).withColumn("_any", F.max(good).over(whole))
+    shown = runs.where("_good or (not _any and _run = 1)")
+    side = lambda own, hull: F.when(F.col("_good"), F.col(own)).otherwise(F.col(hull))
+    return shown.select(*keys, side("start", "_low").alias("start"), side("end", "_high").alias("end"), side("ratio", "_whole").alias("ratio"), F.col("_share").alias("share"))
+
+
 def _density_runs(merged: DataFrame, keys: list[str]) -> DataFrame:
     """Hulls of the density clusters of merged places (keys, _run, start, end, size). Merged places follow each other with both their ends, so the lightest
     spanning tree of a group links each one to the next: no pairs are needed to find it, and with one sample a core distance is no more than a link."""

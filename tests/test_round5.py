@@ -105,3 +105,18 @@ def test_enrichment_does_not_repeat_its_targets(spark, monkeypatch):
     assert [tuple(r) for r in rows] == [(n, 4, (1 + sum(above(k) >= n for k in range(4))) / 5)]
     assert seen == [len(targets)]
     assert stats.enrichment(frames[0], frames[1].limit(0), frames[2], 0.64).count() == 0
+
+
+def test_hits_of_a_projection_are_dealt_once(spark):
+    import re
+
+    from spanweave.operators import paths
+
+    line = spark.createDataFrame([("r", k, ">", f"n{k % 7}", 10 * k + 1, 10 * k + 10) for k in range(10)], "path string, ord int, orient string, node string, pos_s long, pos_e long")
+    region = spark.createDataFrame([("x", "r", 16, 75), ("y", "r", 1, 30)], "region string, path string, start long, end long")
+    placed = [(s, c, f"n{k % 5}", 40 * k * (s + 1), 40 * k * (s + 1) + 10, "><"[k % 2]) for s in range(3) for c in "cd" for k in range(12)]
+    placed = spark.createDataFrame(placed, "sample int, chrom string, node string, start long, end long, orient string")
+    got = paths.project_regions(region, line, placed)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(region", plan)) == 1 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 2
+    assert got.count() == len({(r.region, r.sample, r.chrom, r.start) for r in got.collect()}) >= 12
