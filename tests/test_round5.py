@@ -120,3 +120,26 @@ def test_hits_of_a_projection_are_dealt_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(region", plan)) == 1 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 2
     assert got.count() == len({(r.region, r.sample, r.chrom, r.start) for r in got.collect()}) >= 12
+
+
+def test_kmers_beyond_a_bound_go_through_the_shuffle_in_parts(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanweave.functions import kmers
+    from spanweave.scratch import Scratch
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("acgt n") for _ in range(rng.choice([3, 40, 900]))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    known = df.where("id % 3 = 0")
+    rows, pool = kmers.kmer_rows(df, "id", F.col("s"), 6), kmers.kmer_rows(known, "id", F.col("s"), 6)
+    want = sorted(map(tuple, kmers.sequence_share(df, "id", F.col("s"), 6, known, F.col("s")).collect()))
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, table, name: saved.append(name) or save(self, table, name))
+    monkeypatch.setattr(kmers, "AT_ONCE", -(-sum(len(t or "") for i, t in enumerate(texts) for _ in range(1 + (i % 3 == 0))) // 3))
+    assert sorted(map(tuple, kmers.sequence_share(df, "id", F.col("s"), 6, known, F.col("s")).collect())) == want
+    assert saved == ["part0", "part1", "part2"]
+    monkeypatch.setattr(kmers, "AT_ONCE", 4000)
+    assert sorted(map(tuple, kmers.kmer_share(rows, "id", pool).collect())) == want and len(saved) > 4
