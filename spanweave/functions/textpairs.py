@@ -21,7 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from spanweave.scratch import Scratch
 
 #: Hashes that a pass over the lanes takes at a time, so that they stay in the cache.
-SPAN = 1 << 14
+SPAN = 1 << 8
+#: Texts whose sets a comparison keeps.
+HELD = 256
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -57,7 +59,8 @@ def shape_for(least: float, miss: float = 1e-6) -> tuple[int, int, int]:
 
 def _signed(k: int, bands: int, rows: int, kind: pa.DataType):
     lanes = bands * rows
-    seeds = np.random.default_rng(30).integers(1, 1 << 63, lanes, np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = np.random.default_rng(30).integers(1, 1 << 31, lanes, np.uint32) * np.uint32(2) + np.uint32(1)
+    odd, half = np.uint32(0x7FEB352D), np.uint32(15)
     number = np.arange(bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +70,15 @@ def _signed(k: int, bands: int, rows: int, kind: pa.DataType):
                 h = np.unique(substring_hashes(text, k))
                 if not len(h):
                     continue
-                least = np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-                for a in range(0, len(h), SPAN):
-                    part = h[a : a + SPAN]
-                    for j in range(lanes):
-                        x = part * seeds[j]
-                        x ^= x >> np.uint64(32)
-                        x *= _ODD[1]
-                        least[j] = min(least[j], x.min())
+                # 32 bits do for the lanes: among the substrings of a text few are equal in them
+                own, least = (h >> np.uint64(32)).astype(np.uint32), np.full(lanes, np.iinfo(np.uint32).max, np.uint32)
+                for a in range(0, len(own), SPAN):
+                    part = own[a : a + SPAN]
+                    x = part[None, :] * seeds[:, None]
+                    x ^= x >> half
+                    x *= odd
+                    np.minimum(least, x.min(1), out=least)
+                least = least.astype(np.uint64)
                 banded = _mixed(number * _ODD[0] + np.uint64(7))
                 for j in range(rows):
                     banded = _mixed(banded * _ODD[3] + least[j::rows])
@@ -101,12 +105,19 @@ def _agreeing(least: int):
 def _compared(k: int):
     @F.arrow_udf("double")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, held, own = [], None, None
+        out, sets = [], {}
+
+        def set_of(text: str) -> np.ndarray:
+            if text not in sets:
+                if len(sets) == HELD:
+                    sets.clear()
+                sets[text] = np.unique(substring_hashes(text, k))
+            return sets[text]
+
         for x, y in zip(a.to_pylist(), b.to_pylist()):
-            if own is None or x != held:
-                held, own = x, np.unique(substring_hashes(x, k))
-            other = np.unique(substring_hashes(y, k))
-            both = len(np.intersect1d(own, other, assume_unique=True))
+            own, other = set_of(x), set_of(y)
+            at = np.minimum(own.searchsorted(other), len(own) - 1)
+            both = int((own[at] == other).sum())
             out.append(both / (len(own) + len(other) - both))
         return pa.array(out)
 
